@@ -1,8 +1,12 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from txloom.llm import bpe
+from txloom.llm import bpe, packing, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_packing": packing.op2_packing,
+    "op7_url_filter": urls.op7_url_filter,
+}
+ORACLES: dict[str, str] = {
+    "op7_url_filter": urls.OP7_SQL,
 }
-ORACLES: dict[str, str] = {}
