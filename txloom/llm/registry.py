@@ -1,8 +1,9 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from txloom.llm import bpe, packing, urls
+from txloom.llm import ann, bpe, packing, urls
 
 QUERIES = {
+    "op5_ann": ann.op5_ann,
     "op1_bpe": bpe.op1_bpe,
     "op2_packing": packing.op2_packing,
     "op7_url_filter": urls.op7_url_filter,
