@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txloom.llm.common import table
+from txloom.llm.common import stage, table
 
 TREES = 96
 BITS = 64
@@ -114,21 +114,22 @@ def nearest(vectors: DataFrame, queries, k: int = 5, trees: int = TREES, surety:
     rows = rows.where(F.forall(v, finite) & F.exists(v, lambda x: x != 0))
     first = Window.partitionBy("v").orderBy("id")
     few = rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    classes = few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("cid", F.element_at("ids", 1))
+    classes = stage(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("cid", F.element_at("ids", 1)))
     asked = rows.select(F.col("id").alias(key), "v").where(queries).select(F.col(key).alias("id"), "v").distinct().join(classes.select("v", "cid"), "v").select("id", "cid")
-    asking = classes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "v")
+    asked = stage(asked)
+    asking = classes.join(asked.select("cid").distinct(), "cid", "left_semi").select(F.col("cid").alias("qid"), F.col("v").alias("q"))
     total = classes.count()
     shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-total // (50 * QUERY_ROWS)))
-    left = asking.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = classes.select("cid", "v", "ids").withColumn("shard", F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    left = asking.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks).cast("long"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = classes.select("cid", "v", "ids").withColumn("shard", F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(q: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        for dim in sorted({len(x) for x in q["v"]} & {len(x) for x in own["v"]}):
-            qs, rs = q[q["v"].map(len) == dim], own[own["v"].map(len) == dim]
+        for dim in sorted({len(x) for x in q["q"]} & {len(x) for x in own["v"]}):
+            qs, rs = q[q["q"].map(len) == dim], own[own["v"].map(len) == dim]
             base, ids = np.stack(rs["v"].to_numpy()), rs["ids"].to_numpy()
-            asked_for = np.stack(qs["v"].to_numpy())
-            for cid, x, (found, _) in zip(qs["cid"], asked_for, Forest(base, trees).search(asked_for, k + 1, surety)):
+            asked_for = np.stack(qs["q"].to_numpy())
+            for cid, x, (found, _) in zip(qs["qid"], asked_for, Forest(base, trees).search(asked_for, k + 1, surety)):
                 near = base[found]
                 cosines = (near @ x) / (np.sqrt((near * near).sum(axis=1)) * math.sqrt(float(x @ x)))
                 out += [(cid, int(i), float(c)) for f, c in zip(found, cosines) for i in ids[f]]

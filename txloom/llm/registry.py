@@ -1,12 +1,14 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from txloom.llm import ann, bpe, packing, urls
+from txloom.llm import ann, bpe, langid, packing, toxicity, urls
 
 QUERIES = {
-    "op5_ann": ann.op5_ann,
     "op1_bpe": bpe.op1_bpe,
     "op2_packing": packing.op2_packing,
+    "op5_ann": ann.op5_ann,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_url_filter": urls.op7_url_filter,
+    "op10_langid": langid.op10_langid,
 }
 ORACLES: dict[str, str] = {
     "op7_url_filter": urls.OP7_SQL,
