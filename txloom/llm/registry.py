@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from txloom.llm import ann, bpe, langid, packing, toxicity, urls
+from txloom.llm import ann, bpe, langid, packing, substring, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -8,8 +8,10 @@ QUERIES = {
     "op5_ann": ann.op5_ann,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_url_filter": urls.op7_url_filter,
+    "op8_substring_dedup": substring.op8_substring_dedup,
     "op10_langid": langid.op10_langid,
 }
 ORACLES: dict[str, str] = {
     "op7_url_filter": urls.OP7_SQL,
+    "op8_substring_dedup": substring.OP8_SQL,
 }
