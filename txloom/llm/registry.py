@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from txloom.llm import ann, bpe, langid, packing, substring, toxicity, urls
+from txloom.llm import ann, bpe, jaccard, langid, packing, substring, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_url_filter": urls.op7_url_filter,
     "op8_substring_dedup": substring.op8_substring_dedup,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_langid": langid.op10_langid,
 }
 ORACLES: dict[str, str] = {
