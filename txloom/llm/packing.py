@@ -195,3 +195,8 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
     made = pack(tokenise(docs, read_spec(public_tokenizers.path("byte_bpe_50k.json"))))
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the pieces of all documents."""
+    return packed_documents(docs)
