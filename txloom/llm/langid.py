@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import io
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txloom.llm.bpe import _kind
-from txloom.llm.common import held_out, table
+from txloom.llm.common import held_out, stage, table
 
 ORDER = 4
 #: Bound of the training sample, rows a language.
@@ -107,7 +108,8 @@ def learn(words: list[str], counts: np.ndarray, order: int = ORDER) -> dict[str,
         else:
             full[~here] = 1.0 / letters
         lower[n] = full
-        out |= {f"gram{n}": own, f"p{n}": np.log(p), f"ctx{n}": ctx, f"w{n}": np.log(np.maximum(rest, 1e-9))}
+        suffix = hashes[n - 1][where[at]] if n > 1 else np.zeros(len(own), np.uint64)
+        out |= {f"gram{n}": own, f"p{n}": np.log(p), f"of{n}": context, f"end{n}": suffix, f"ctx{n}": ctx, f"w{n}": np.log(np.maximum(rest, 1e-9))}
     out["floor"] = np.array([-np.log(letters)])
     return out
 
@@ -117,22 +119,60 @@ def look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np
     return keys[at] == asked, values[at]
 
 
+class Merged:
+    """Several models over the union of their n-grams: one binary search serves all of them.
+
+    values[n] holds, for each n-gram that any model knows, its full log probability under every model, backed off
+    where a model lacks it; weights[n] holds each known context's log weight of the lower order.
+    """
+
+    def __init__(self, models: list[dict[str, np.ndarray]]):
+        self.order, self.floor = int(models[0]["order"][0]), np.array([float(m["floor"][0]) for m in models])
+        self.grams: dict[int, np.ndarray] = {}
+        self.values: dict[int, np.ndarray] = {}
+        self.contexts: dict[int, np.ndarray] = {}
+        self.weights: dict[int, np.ndarray] = {}
+        for n in range(1, self.order + 1):
+            own, at = np.unique(np.concatenate([m[f"gram{n}"] for m in models]), return_index=True)
+            of, end = (np.concatenate([m[f"{k}{n}"] for m in models])[at] for k in ("of", "end"))
+            ctx = np.unique(np.concatenate([m[f"ctx{n}"] for m in models]))
+            self.contexts[n], self.weights[n] = ctx, np.zeros((len(ctx), len(models)))
+            self.grams[n], self.values[n] = own, np.empty((len(own), len(models)))
+            for k, m in enumerate(models):
+                there, w = look_up(m[f"ctx{n}"], m[f"w{n}"], ctx)
+                self.weights[n][:, k] = np.where(there, w, 0.0)
+                known, p = look_up(m[f"gram{n}"], m[f"p{n}"], own)
+                there, w = look_up(m[f"ctx{n}"], m[f"w{n}"], of)
+                lower = self.values[n - 1][np.searchsorted(self.grams[n - 1], end), k] if n > 1 else self.floor[k]
+                self.values[n][:, k] = np.where(known, p, np.where(there, w, 0.0) + lower)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Sum of log probabilities of each word's characters and its closing space, a column for each model."""
+        if not words:
+            return np.zeros((0, len(self.floor)))
+        codes, place, starts = laid_out(words)
+        out = np.zeros((len(codes), len(self.floor)))
+        left = np.flatnonzero(place > 0)
+        context = grams(codes, self.order)
+        for n in range(self.order, 0, -1):
+            h, context = context, grams(codes, n - 1) if n > 1 else np.zeros(len(codes), np.uint64)
+            here = place[left] >= n - 1
+            now, later = left[here], left[~here]
+            at = np.minimum(np.searchsorted(self.grams[n], h[now]), len(self.grams[n]) - 1)
+            known = self.grams[n][at] == h[now]
+            out[now[known]] += self.values[n][at[known]]
+            now = now[~known]
+            if len(now):
+                at = np.minimum(np.searchsorted(self.contexts[n], context[now - 1]), len(self.contexts[n]) - 1)
+                there = self.contexts[n][at] == context[now - 1]
+                out[now[there]] += self.weights[n][at[there]]
+            left = np.concatenate([later, now])
+        out[left] += self.floor
+        return np.add.reduceat(out, starts, axis=0)
+
+
 def word_scores(model: dict[str, np.ndarray], words: list[str]) -> np.ndarray:
-    """Sum of log probabilities of each word's characters and its closing space."""
-    codes, place, starts = laid_out(words)
-    order = int(model["order"][0])
-    score = np.full(len(codes), float(model["floor"][0]))
-    for n in range(1, order + 1):
-        h = grams(codes, n)
-        here = np.flatnonzero(place >= max(1, n - 1))
-        known, p = look_up(model[f"gram{n}"], model[f"p{n}"], h[here])
-        if n > 1:
-            there, w = look_up(model[f"ctx{n}"], model[f"w{n}"], grams(codes, n - 1)[here - 1])
-        else:
-            there, w = look_up(model["ctx1"], model["w1"], np.zeros(len(here), np.uint64))
-        score[here] = np.where(known, p, score[here] + np.where(there, w, 0.0))
-    score[place == 0] = 0.0
-    return np.add.reduceat(score, starts) if len(words) else np.empty(0)
+    return Merged([model]).score(words)[:, 0]
 
 
 def noise_entropy(model: dict[str, np.ndarray], words: list[str]) -> float:
@@ -170,7 +210,8 @@ def train(docs: DataFrame, allowed=None, per_lang: int = PER_LANG, order: int =
     if allowed is not None:
         rows = rows.where(allowed)
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_lang)
+    # staged, so that its true size decides how it is joined
+    few = stage(rows.select("doc_id", "lang").withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_lang))
     sample = rows.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"])
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -178,10 +219,11 @@ def train(docs: DataFrame, allowed=None, per_lang: int = PER_LANG, order: int =
         texts = [words_of(t) for t in group["text"]]
         fitted = [t for i, t in enumerate(texts) if i % 4 or len(texts) < 8]
         checked = [t for i, t in enumerate(texts) if i % 4 == 0 or len(texts) < 8]
-        names, counts = np.unique(np.array([w for t in fitted for w in t], object).astype(str), return_counts=True) if any(fitted) else ([], [])
-        if not len(names):
+        counts = Counter(w for t in fitted for w in t)
+        if not counts:
             return pd.DataFrame({"lang": [], "model": []})
-        model = learn(list(names), np.array(counts), order)
+        names = sorted(counts)
+        model = learn(names, np.array([counts[w] for w in names]), order)
         means, sizes = [], []
         for t in checked:
             if t:
@@ -204,24 +246,22 @@ class Scorer:
 
     def __init__(self, models: dict[str, dict[str, np.ndarray]]):
         self.names = list(models)
-        self.models = list(models.values())
-        self.bound = np.array([m["bound"] for m in self.models]).reshape(-1, 3)
+        self.merged = Merged(list(models.values())) if models else None
+        self.bound = np.array([m["bound"] for m in models.values()]).reshape(-1, 3)
         self.forget()
 
     def forget(self) -> None:
         self.row: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.models) + 1))
+        self.table = np.zeros((0, len(self.names) + 1))
 
     def learn(self, chunks: set[str]) -> None:
         """Rows of the table for chunks (parts of a text between white space): log probabilities, characters."""
-        spelt = {c: words_of(c) for c in chunks}
-        words = sorted({w for ws in spelt.values() for w in ws})
+        spelt = {c: [c.lower()] if c.isascii() and c.isalpha() else words_of(c) for c in chunks}
+        words = list({w for ws in spelt.values() for w in ws})
         at = {w: i for i, w in enumerate(words)}
-        each = np.zeros((len(words) + 1, len(self.models) + 1))
-        if words:
-            for k, m in enumerate(self.models):
-                each[:-1, k] = word_scores(m, words)
-            each[:-1, -1] = [len(w) + 1 for w in words]
+        each = np.zeros((len(words) + 1, len(self.names) + 1))
+        each[:-1, :-1] = self.merged.score(words)
+        each[:-1, -1] = [len(w) + 1 for w in words]
         rows = np.zeros((len(spelt), each.shape[1]))
         single = np.array([at[ws[0]] if len(ws) == 1 else -1 for ws in spelt.values()], np.int64)
         rows[:] = each[single]
@@ -251,7 +291,7 @@ class Scorer:
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool, float | None]]:
         """(language, score, rejected, cross-entropy) of each text."""
-        if not self.models:
+        if not self.names:
             return [("und", 0.0, True, None)] * len(texts)
         sums = self.sums(texts)
         out = []
