@@ -2,7 +2,8 @@
 
 Learning uses a bounded sample: `per_class` labelled texts of each class with the smallest hash of their id. Terms are
 lower-cased runs of letters. Their document frequencies by class are counted over the sample, and the terms kept are
-those that the positive class holds significantly more often (log-likelihood ratio, at most `terms` of them). An
+those that the positive class holds `LIFT` times as often and significantly so (log-likelihood ratio; the `terms`
+highest). An
 example is the TF-IDF vector of a text over these terms, at unit length.
 
 The index: postings by term over the examples, in blocks of `BLOCK` consecutive ones, with the largest weight of
@@ -35,11 +36,13 @@ from txloom.llm.bpe import _kind
 from txloom.llm.common import held_out, stage, table, unstage
 
 #: Bound of the training sample, labelled texts of each class.
-PER_CLASS = 6_000
+PER_CLASS = 2_000
 #: Terms kept, at most.
-TERMS = 4_096
-#: Log-likelihood ratio that a kept term needs (p about 1e-4).
-SIGNIFICANT = 15.0
+TERMS = 1_024
+#: Log-likelihood ratio that a kept term needs (p about 1e-6, as some hundred thousand terms are tried).
+SIGNIFICANT = 24.0
+#: How many times as common among the positive texts a kept term must be.
+LIFT = 3.0
 K = 15
 BLOCK = 64
 PRIOR = 1.0
@@ -60,40 +63,37 @@ class BlockMaxIndex:
     """Unit vectors over term numbers, in blocks, with the largest weight of each term in each block."""
 
     def __init__(self, vectors: list[dict[int, float]], terms: int):
-        self.size, blocks = len(vectors), -(-len(vectors) // BLOCK)
-        self.most = np.zeros((terms, max(1, blocks)))
-        held: list[dict[int, list]] = [{} for _ in range(blocks)]
+        blocks = -(-len(vectors) // BLOCK)
+        self.posted = np.zeros((max(1, blocks), terms, BLOCK))  # a block's postings of a term lie together
         for i, v in enumerate(vectors):
-            for t, w in v.items():
-                held[i // BLOCK].setdefault(t, []).append((i % BLOCK, w))
-                self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
-        self.posted = [{t: (np.array([p[0] for p in ps]), np.array([p[1] for p in ps])) for t, ps in b.items()} for b in held]
+            self.posted[i // BLOCK, list(v), i % BLOCK] = list(v.values())
+        self.most = self.posted.max(axis=2)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
         """(example, cosine) of the k nearest with a cosine above 0, nearest first; exact."""
-        terms, weights = np.array(list(query)), np.array(list(query.values()))
-        bounds = weights @ self.most[terms]
+        terms, weights = list(query), np.array(list(query.values()))
+        bounds = self.most[:, terms] @ weights
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
                 break
-            got = np.zeros(BLOCK)
-            for t, w in query.items():
-                if t in self.posted[b]:
-                    at, own = self.posted[b][t]
-                    got[at] += w * own
-            if without // BLOCK == b and without >= 0:
+            got = weights @ self.posted[b, terms]
+            if without >= 0 and without // BLOCK == b:
                 got[without % BLOCK] = 0.0
-            best += [(-float(got[i]), b * BLOCK + i) for i in np.flatnonzero(got).tolist()]
-            best = sorted(best)[:k]
+            least = -best[-1][0] - 1e-12 if len(best) == k else 0.0
+            found = np.flatnonzero(got > max(least, 1e-12))
+            if len(found):
+                best = sorted(best + [(-c, b * BLOCK + i) for c, i in zip(np.round(got[found], 12).tolist(), found.tolist())])[:k]
         return [(i, -c) for c, i in best]
 
 
 class Votes:
     """The fitted scorer: terms, index, labels, and the curve from votes to scores."""
 
-    def __init__(self, examples: list[tuple[object, int, dict[str, int]]], df: dict[str, int], total: int):
-        """examples: (id, label, counts of kept terms); df: documents of the sample that hold a kept term; total: all."""
+    def __init__(self, examples: list[tuple[object, int, dict[str, int]]], df: dict[str, int], total: int, stands: tuple[float, float] = (1.0, 1.0)):
+        """examples: (id, label, counts of kept terms); df: documents of the sample that hold a kept term; total: all;
+        stands: how many labelled documents an example of class 0 and of class 1 stands for."""
+        self.stands = np.array(stands) / min(stands)
         self.number = {t: i for i, t in enumerate(sorted(df))}
         self.idf = {t: math.log((1 + total) / (1 + n)) + 1 for t, n in df.items()}
         empty = [y for _, y, c in examples if not c]
@@ -101,12 +101,13 @@ class Votes:
         self.ids, self.labels = [e[0] for e in held], np.array([e[1] for e in held], float)
         vectors = [self.vector(e[2]) for e in held]
         self.index = BlockMaxIndex(vectors, len(self.number))
-        self.base = (sum(e[1] for e in examples) + 0.5) / (len(examples) + 1)
-        self.blank = (sum(empty) + 0.5 * self.base) / (len(empty) + 0.5) if examples else 0.0
+        share = lambda ys, prior, n: (self.stands[1] * sum(ys) + n * prior) / (self.stands[1] * sum(ys) + self.stands[0] * (len(ys) - sum(ys)) + n)
+        self.base = share([e[1] for e in examples], 0.5, 1.0)
+        self.blank = share(empty, self.base, 0.5)
         self.curve = (1.0, 0.0)
         if held:
             x = np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)])
-            self.curve = logistic(np.log(x / (1 - x)), self.labels)
+            self.curve = logistic(np.log(x / (1 - x)), self.labels, self.stands[self.labels.astype(int)])
         self.known: dict = {}
 
     def vector(self, counts: dict[str, int]) -> dict[int, float]:
@@ -116,8 +117,11 @@ class Votes:
 
     def vote(self, vector: dict[int, float], without: int = -1) -> tuple[float, list[tuple[int, float]]]:
         near = self.index.nearest(vector, K, without)
-        weight = sum(c for _, c in near)
-        return (sum(c * self.labels[i] for i, c in near) + PRIOR * self.base) / (weight + PRIOR), near
+        votes = np.zeros(2)
+        for i, c in near:
+            y = int(self.labels[i])
+            votes[y] += c * self.stands[y]
+        return (votes[1] + PRIOR * self.base) / (votes.sum() + PRIOR), near
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         number = self.number
@@ -135,14 +139,14 @@ class Votes:
         return found
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton steps with a small ridge; slope 1 and intercept 0 if one class is missing."""
     if len(set(y.tolist())) < 2:
         return 1.0, 0.0
     X, w = np.stack([x, np.ones_like(x)], axis=1), np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
-        step = np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + 1e-2 * np.eye(2), X.T @ (p - y) + 1e-2 * (w - [1.0, 0.0]))
+        step = np.linalg.solve((X * (weight * p * (1 - p))[:, None]).T @ X + 1e-2 * np.eye(2), X.T @ (weight * (p - y)) + 1e-2 * (w - [1.0, 0.0]))
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -170,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] if r[2] else 0 for r in rows], pa.int64()), pa.array([0 if r[2] else r[1] for r in rows], pa.int64())], ["term", "pos", "neg"])
 
     sizes = dict(sample.groupBy((F.col("toxic") > 0).cast("int")).count().collect())
+    whole = dict(marks.groupBy((F.col("toxic") > 0).cast("int")).count().collect())
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         unstage(sample)
@@ -179,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER
     part = lambda k, e: F.when(k > 0, k * F.ln(k / e)).otherwise(0.0)
     share = (a + b) / (pos + neg)
     ratio = 2 * (part(a, share * pos) + part(b, share * neg) + part(pos - a, (1 - share) * pos) + part(neg - b, (1 - share) * neg))
-    kept = found.where((a / pos > b / neg) & (ratio > SIGNIFICANT)).select("term", "pos", "neg", ratio.alias("ratio"))
+    kept = found.where((a / pos > LIFT * b / neg) & (ratio > SIGNIFICANT)).select("term", "pos", "neg", ratio.alias("ratio"))
     df = {r["term"]: r["pos"] + r["neg"] for r in kept.orderBy(F.desc("ratio"), "term").limit(terms).collect()}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER
     rows = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, counts binary").collect()
     unstage(sample)
     examples = sorted([(r["doc_id"], int(r["toxic"] > 0), pickle.loads(bytes(r["counts"]))) for r in rows], key=lambda e: (sorted(e[2].items()), str(e[0]), e[1]))  # like examples share a block
-    return Votes(examples, df, pos + neg)
+    return Votes(examples, df, pos + neg, (max(1.0, whole[0] / neg), max(1.0, whole[1] / pos)))
 
 
 _LOADED: dict[str, Votes] = {}
