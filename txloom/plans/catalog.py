@@ -1,4 +1,437 @@
-"""Every query of the engine with its DuckDB oracle."""
+"""Every query of the engine over the supplied tables. Its DuckDB counterpart is in oracles.py under the same name."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from txloom.functions import scalars as S
+from txloom.operators import blocks as B
+from txloom.operators import delivery as D
+from txloom.operators import merkle as M
+from txloom.operators import registry as R
+from txloom.operators import seen as N
+from txloom.plans.oracles import ORACLES  # noqa: F401
+from txloom.sources import readers
+from txloom.sources import testdata as T
+
+CAP = 3
+HEIGHT = 6  # subtrees hold at most 64 leaves
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def registrations(spark: SparkSession, sf: str) -> DataFrame:
+    return R.latest_registrations(T.registration_events(spark, sf))
+
+
+def found(spark: SparkSession, sf: str) -> DataFrame:
+    return R.lookup(T.leaves(spark, sf), registrations(spark, sf))
+
+
+def levels(spark: SparkSession, sf: str) -> DataFrame:
+    return M.tree_levels(T.leaves(spark, sf), HEIGHT)
+
+
+def nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return M.stump_nodes(found(spark, sf), levels(spark, sf))
+
+
+@query
+def registered_by_url(spark: SparkSession, sf: str) -> DataFrame:
+    """Registered txids of each (block, url), with how many subtrees they lie in."""
+    f = found(spark, sf).groupBy("height", "url").agg(F.count("*").alias("n_txids"), F.count_distinct("subtree_index").alias("n_subtrees"), F.min("txid").alias("first_txid"))
+    return f
+
+
+@query
+def registration_lookup(spark, sf):
+    return found(spark, sf).select("height", "subtree_index", "leaf_index", "txid", "url", "token")
+
+
+@query
+def txid_display(spark, sf):
+    return T.transactions(spark, sf).select("tx_key", "raw_hex", "txid")
+
+
+@query
+def raw_split_txids(spark, sf):
+    """Subtree blobs split into hashes again."""
+    blobs = M.subtree_arrays(T.leaves(spark, sf)).select("height", "subtree_index", F.unhex(F.array_join("hashes", "")).alias("data"))
+    return readers.split_hashes(blobs).select("height", "subtree_index", F.col("leaf_index").cast("long").alias("leaf_index"), "raw_hex", "txid")
+
+
+@query
+def watch_validation(spark, sf):
+    """Requests made from suppliers, good and bad by turns."""
+    s = T.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    k = F.col("k") % 12
+    tx = S.sha256_hex(F.concat(F.lit("tx:"), F.col("k").cast("string")))
+    url = (
+        F.when(k == 3, "").when(k == 4, "ftp://a.example/x").when(k == 5, "http://10.1.2.3/x").when(k == 6, "http://metadata/x")
+        .when(k == 7, "http://u:p@b.example/x").when(k == 8, "http://127.0.0.1:99/x").when(k == 9, "https://172.32.0.1/x").otherwise("https://arcade.example/cb")
+    )
+    s = s.select("k", F.when(k == 1, "").when(k == 2, "xyz").when(k == 11, F.upper(tx)).otherwise(tx).alias("txid"), url.alias("callbackUrl"), F.when(k == 10, F.repeat(F.lit("é"), 2049)).otherwise("t").alias("callbackToken"))
+    return R.validate_watch(s).select("k", F.col("status").cast("long").alias("status"), "error")
+
+
+@query
+def registration_latest_token(spark, sf):
+    return registrations(spark, sf).select("txid", "url", "token")
+
+
+@query
+def registration_cap(spark, sf):
+    return R.capped(registrations(spark, sf), CAP).select("txid", "url", F.col("slot").cast("long").alias("slot"))
+
+
+@query
+def registration_over_cap(spark, sf):
+    return R.over_cap(registrations(spark, sf), CAP).groupBy("txid").agg(F.count("*").alias("refused"))
+
+
+@query
+def registration_point_get(spark, sf):
+    one = S.reversed_hex(T.raw_hash(F.lit(7)))
+    return registrations(spark, sf).where(F.col("txid") == one).select("url", "token").orderBy("url")
+
+
+@query
+def registration_missing_anti(spark, sf):
+    """Transactions that nobody registered for."""
+    return T.transactions(spark, sf).join(registrations(spark, sf), "txid", "left_anti").select("tx_key", "txid")
+
+
+@query
+def registration_nested(spark, sf):
+    """The set-valued form, as text."""
+    n = R.nested(registrations(spark, sf))
+    return n.select("txid", F.array_join(F.transform("callbacks", lambda c: F.concat(c["url"], F.lit("|"), c["token"])), ",").alias("callbacks"))
+
+
+def expiring(spark, sf):
+    """txid, expires_at: users, a day after their last event; every tenth never expires."""
+    e = T.read(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
+    return e.select(F.col("user_id").cast("string").alias("txid"), F.when(F.col("user_id") % 10 != 0, F.col("ts") + F.make_interval(days=F.lit(1))).alias("expires_at"))
+
+
+@query
+def ttl_update(spark, sf):
+    hit = T.read(spark, sf, "events").where("event_type = 'purchase' and value > 150").select(F.col("user_id").cast("string").alias("txid"))
+    return R.with_ttl(expiring(spark, sf), hit, T.NOW, 1800)
+
+
+@query
+def ttl_sweep(spark, sf):
+    children = T.read(spark, sf, "events").select(F.col("user_id").cast("string").alias("txid"), T.url_of(F.col("event_id")).alias("url")).distinct()
+    parents, kids = R.swept(expiring(spark, sf), children, "2024-01-31 12:00:00")
+    return parents.join(kids.groupBy("txid").agg(F.count("*").alias("urls")), "txid", "left").select("txid", F.coalesce("urls", F.lit(0)).alias("urls"))
+
+
+@query
+def url_registry_upsert(spark, sf):
+    return R.url_registry(T.url_sightings(spark, sf))
+
+
+@query
+def url_registry_active(spark, sf):
+    u = R.url_registry(T.url_sightings(spark, sf).where("seq % 3 <> 0 or last_seen < timestamp_ntz'2024-01-20 00:00:00'"))
+    u = u.withColumn("last_seen", F.when(F.col("url") != "https://arcade-7.example/callback", F.col("last_seen")))
+    return R.active_urls(u, "2024-02-05 12:00:00").select("url", "token")
+
+
+@query
+def seen_group_by_url(spark, sf):
+    g = N.by_url(found(spark, sf), "height", "subtree_index")
+    return g.select("height", "subtree_index", "url", F.coalesce("token", F.lit("")).alias("token"), "n", F.sha2(F.array_join("txids", ","), 256).alias("txids_sha256"))
+
+
+@query
+def seen_chunked(spark, sf):
+    c = N.chunked(registrations(spark, sf), 100)
+    return c.select("url", "chunk", F.size("txids").cast("long").alias("n"), S.txid_set_hash("txids").alias("set_hash"))
+
+
+@query
+def seen_distinct_count(spark, sf):
+    return N.distinct_counts(T.observations(spark, sf))
+
+
+@query
+def seen_approx_count(spark, sf):
+    return N.approximate_counts(T.observations(spark, sf))
+
+
+@query
+def seen_threshold_fire(spark, sf):
+    return N.fired(T.observations(spark, sf)).select("txid", "subtree_id", "fired_at")
+
+
+@query
+def seen_threshold_fire_55(spark, sf):
+    return N.fired(T.observations(spark, sf), 55).select("txid", "subtree_id", "fired_at")
+
+
+@query
+def seen_multiple_nodes(spark, sf):
+    """Txids that just fired, by (subtree that made them fire, url)."""
+    f = N.fired(T.observations(spark, sf)).withColumn("url", T.url_of(F.col("txid").cast("long"))).withColumn("token", F.lit("t"))
+    g = N.by_url(f, "subtree_id")
+    return g.select("subtree_id", "url", "n", F.array_join("txids", ",").alias("txids"))
+
+
+@query
+def message_dedup(spark, sf):
+    """The first sighting of each subtree."""
+    return N.deduplicated(T.observations(spark, sf), "subtree_id").select("subtree_id", "ts", "seq")
+
+
+def callback_messages(spark, sf) -> DataFrame:
+    """STUMP, BLOCK_PROCESSED and SEEN messages over the blocks of the tables."""
+    sub = M.subtree_arrays(T.leaves(spark, sf)).select("block_hash", "subtree_index", "subtree_hash", F.slice("hashes", 1, 2).alias("two"))
+    kinds = F.explode(F.array(*map(F.lit, ("STUMP", "BLOCK_PROCESSED", "SEEN_ON_NETWORK", "SEEN_MULTIPLE_NODES"))))
+    m = sub.withColumn("type", kinds).withColumn("url", T.url_of(F.col("subtree_index")))
+    stump, done, many = (F.col("type") == t for t in ("STUMP", "BLOCK_PROCESSED", "SEEN_ON_NETWORK"))
+    one = ~(stump | done | many)
+    return m.select(
+        "type", "url",
+        F.when(stump | done, F.col("block_hash")).otherwise("").alias("block"),
+        F.when(done, "").when(F.col("subtree_index") % 2 == 0, F.col("subtree_hash")).otherwise("").alias("subtree"),
+        F.when(stump, F.col("subtree_index")).otherwise(F.lit(0)).alias("index"),
+        F.when(one, F.element_at("two", 1)).otherwise("").alias("txid"),
+        F.when(many, F.col("two")).otherwise(F.array().cast("array<string>")).alias("txids"),
+        F.col("block_hash"), F.col("subtree_index"),
+    )
+
+
+@query
+def partition_key(spark, sf):
+    m = callback_messages(spark, sf)
+    return m.select("block_hash", "subtree_index", "type", S.partition_key("type", "subtree", "block", "index", "url").alias("partition_key"))
+
+
+@query
+def idempotency_key(spark, sf):
+    m = callback_messages(spark, sf)
+    return m.select("block_hash", "subtree_index", "type", S.idempotency_key("type", "block", "index", "txid", "txids").alias("idempotency_key"))
+
+
+@query
+def dedup_key(spark, sf):
+    m = callback_messages(spark, sf)
+    scope = S.scope_key("type", "block", "index", "txid", "txids")
+    return m.select("block_hash", "subtree_index", "type", S.dedup_key(scope, "url", "type").alias("dedup_key"))
+
+
+@query
+def callback_payload_json(spark, sf):
+    m = callback_messages(spark, sf)
+    return m.select("block_hash", "subtree_index", F.col("type").alias("kind"), D.payload(F.col("type"), F.col("txid"), F.col("txids"), F.col("block"), F.col("index"), F.lit("")).alias("payload"))
+
+
+@query
+def txid_set_hash(spark, sf):
+    return registrations(spark, sf).groupBy("url").agg(F.collect_set("txid").alias("t")).select("url", S.txid_set_hash("t").alias("set_hash"))
+
+
+@query
+def hash_partition(spark, sf):
+    """Hashed keys of urls: 8 bytes in hex, and the first 4 as a signed number."""
+    u = T.url_sightings(spark, sf).select("url").distinct()
+    return u.select("url", S.short_hash(F.col("url")).alias("short_hash"), S.hash_int32("url").cast("long").alias("int32"))
+
+
+@query
+def compact_size(spark, sf):
+    n = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    v = F.when(F.col("k") % 4 == 0, F.col("k") * 1_000_003).when(F.col("k") % 4 == 1, F.col("k") % 300).when(F.col("k") % 4 == 2, F.col("k") * 97).otherwise(F.col("k") * F.lit(5_000_000_007))
+    return n.select("k", S.compact_size_hex(v).alias("encoded"))
+
+
+@query
+def backoff(spark, sf):
+    p = T.read(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 9 + 1).alias("attempt"))
+    return p.select("k", S.exponential_backoff_ms("attempt").alias("exponential_ms"), (F.col("attempt") * 30).alias("linear_s"))
+
+
+@query
+def block_fanout(spark, sf):
+    sub = M.subtree_arrays(T.leaves(spark, sf))
+    blocks = sub.groupBy("block_hash", "height").agg(F.expr("transform(array_sort(collect_list(struct(subtree_index, subtree_hash))), x -> x.subtree_hash)").alias("subtrees"))
+    return B.fan_out(blocks).select("block_hash", "height", F.col("subtree_index").cast("long").alias("subtree_index"), "subtree_hash")
+
+
+@query
+def merkle_levels(spark, sf):
+    return levels(spark, sf).select("height", "subtree_index", F.col("level").cast("long").alias("level"), F.col("offset").cast("long").alias("offset"), "hash")
+
+
+@query
+def merkle_root(spark, sf):
+    return M.roots(levels(spark, sf)).select("block_hash", "subtree_index", F.col("n").cast("long").alias("n"), "root")
+
+
+@query
+def stump_nodes(spark, sf):
+    n = nodes(spark, sf)
+    return n.select("block_hash", "subtree_index", *[F.col(c).cast("long").alias(c) for c in ("tree_height", "level", "offset", "flag")], F.coalesce("hash", F.lit("")).alias("hash"))
+
+
+@query
+def stump_encode_hex(spark, sf):
+    return M.encode_stumps(nodes(spark, sf)).select("block_hash", "subtree_index", "stump_hex")
+
+
+@query
+def stump_ref(spark, sf):
+    return M.encode_stumps(nodes(spark, sf)).select("block_hash", "subtree_index", "stump_ref")
+
+
+@query
+def stump_decode(spark, sf):
+    """Proofs encoded and decoded again; equal to stump_nodes."""
+    d = M.decode_stumps(M.encode_stumps(nodes(spark, sf)))
+    return d.select("block_hash", "subtree_index", *[F.col(c).cast("long").alias(c) for c in ("tree_height", "level", "offset", "flag")], F.coalesce("hash", F.lit("")).alias("hash"))
+
+
+@query
+def stump_verify(spark, sf):
+    """The root that each registered leaf folds to, and whether it is the tree's."""
+    lv = levels(spark, sf)
+    v = M.verify(M.stump_nodes(found(spark, sf), lv))
+    r = M.roots(lv).select("block_hash", "subtree_index", F.col("root").alias("want"))
+    return v.join(r, ["block_hash", "subtree_index"]).select("block_hash", "subtree_index", F.col("leaf_index").cast("long").alias("leaf_index"), (F.col("root") == F.col("want")).alias("ok"))
+
+
+@query
+def stump_merge(spark, sf):
+    """Proofs of each url merged into the proof of all."""
+    f, lv = found(spark, sf), levels(spark, sf)
+    halves = [M.stump_nodes(f.where(F.col("leaf_index") % 2 == k), lv) for k in (0, 1)]
+    m = M.merge(halves[0].unionByName(halves[1]))
+    return m.select("block_hash", "subtree_index", *[F.col(c).cast("long").alias(c) for c in ("tree_height", "level", "offset", "flag")], F.coalesce("hash", F.lit("")).alias("hash"))
+
+
+@query
+def stump_callbacks(spark, sf):
+    f = found(spark, sf)
+    c = B.stump_callbacks(f, M.encode_stumps(M.stump_nodes(f, levels(spark, sf))))
+    return c.select("block_hash", "subtree_index", "url", F.coalesce("token", F.lit("")).alias("token"), "stump_ref")
+
+
+def work(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(expected subtrees of each block, finished ones: all but every eleventh of the odd blocks)."""
+    sub = T.leaves(spark, sf).select("height", "block_hash", "subtree_index").distinct()
+    expected = sub.groupBy("block_hash").agg(F.count("*").alias("expected"))
+    return expected, sub.where((F.col("height") % 2 == 0) | ((F.col("subtree_index") + F.col("height")) % 11 != 0)).select("block_hash", "subtree_index", F.col("subtree_index").alias("finished_at"))
+
+
+@query
+def subtree_countdown(spark, sf):
+    return B.countdown(*work(spark, sf))
+
+
+@query
+def running_remaining(spark, sf):
+    return B.running_remaining(*work(spark, sf))
+
+
+@query
+def block_processed_broadcast(spark, sf):
+    done = B.countdown(*work(spark, sf)).where("remaining <= 0")
+    return B.broadcast_done(done, R.active_urls(R.url_registry(T.url_sightings(spark, sf)), T.NOW)).select("block_hash", "url", "token")
+
+
+@query
+def accumulator_drain(spark, sf):
+    a = B.accumulated(found(spark, sf))
+    text = F.array_join(F.transform("entries", lambda e: F.concat(e["subtree_index"].cast("string"), F.lit(":"), S.txid_set_hash(e["txids"]))), ",")
+    return a.select("block_hash", "url", text.alias("entries"))
+
+
+@query
+def dah_prune(spark, sf):
+    s = T.leaves(spark, sf).select("height", "block_hash", "subtree_index").distinct()
+    s = s.withColumn("delete_at_height", F.when(F.col("subtree_index") > 0, F.col("height") + 10))
+    return B.pruned(s, T.FIRST_HEIGHT + 40).select("block_hash", "subtree_index")
+
+
+@query
+def delivery_dedup(spark, sf):
+    """Attempts whose key has no success on record within a day before the clock."""
+    a = T.attempts(spark, sf).withColumn("dedup_key", S.dedup_key(F.col("key").cast("string"), "url", "event_type"))
+    done = a.where("event_type = 'purchase'").groupBy("dedup_key").agg(F.max(F.col("ts") + F.make_interval(days=F.lit(1))).alias("expires_at"))
+    return D.undelivered(a, done, "2024-01-30 12:00:00").groupBy("key", "url").agg(F.count("*").alias("n"))
+
+
+@query
+def delivery_retry_schedule(spark, sf):
+    return D.scheduled(T.attempts(spark, sf)).select("key", "seq", F.col("retry").cast("long").alias("retry"), "state", "next_at")
+
+
+@query
+def delivery_outcome(spark, sf):
+    return D.outcomes(D.scheduled(T.attempts(spark, sf)))
+
+
+def failing(spark, sf) -> DataFrame:
+    """Attempts that only a purchase ends, so that some messages run out of tries."""
+    return T.attempts(spark, sf).withColumn("ok", F.col("event_type") == "purchase")
+
+
+@query
+def dlq_rows(spark, sf):
+    return D.scheduled(failing(spark, sf)).where("state = 'dlq'").select("key", "url", "seq", F.col("retry").cast("long").alias("retry"))
+
+
+@query
+def due_messages(spark, sf):
+    ready, later = D.due(D.scheduled(failing(spark, sf)), "2024-01-01 06:00:00")
+    return ready.select("key", "seq").withColumn("due", F.lit(True)).unionByName(later.select("key", "seq").withColumn("due", F.lit(False)))
+
+
+@query
+def delivery_latency_percentiles(spark, sf):
+    return D.percentiles(T.read(spark, sf, "orders"), "o_totalprice")
+
+
+@query
+def scale_duplicates(spark, sf):
+    return D.repeated(T.registration_events(spark, sf), "txid", "url")
+
+
+@query
+def recent_callbacks(spark, sf):
+    return D.recent(T.attempts(spark, sf), 100).select("key", "url", "seq", "ts", "ok")
+
+
+@query
+def receiver_report(spark, sf):
+    e = T.attempts(spark, sf).withColumn("bytes", F.octet_length("event_type").cast("long"))
+    return D.receiver_stats(e)
+
+
+@query
+def missing_and_unexpected(spark, sf):
+    """Registered pairs of even subtrees against pairs that the lookup found in all."""
+    got = found(spark, sf).where("subtree_index % 2 = 0").select("txid", "url")
+    return D.spurious(got, registrations(spark, sf), "txid", "url").groupBy("what").agg(F.count("*").alias("n"))
+
+
+@query
+def exact_cover(spark, sf):
+    """Fixture txids dealt over subtrees: each lies in one, and all subtrees are equal."""
+    r = readers.round_robin(readers.fixture_txids(spark, 42, 4000), 16)
+    return r.groupBy("subtree_index").agg(F.count("*").alias("n"), F.count_distinct("raw_hex").alias("distinct_n"), F.min("raw_hex").alias("first_hex"))
+
+
+@query
+def latest_sighting_gap(spark, sf):
+    """The time between a txid's repeated sightings of a subtree: what a time-bounded dedup would have to remember."""
+    order = Window.partitionBy("txid", "subtree_id").orderBy("ts", "seq")
+    o = T.observations(spark, sf).withColumn("before", F.lag("ts").over(order)).where("before is not null")
+    return o.groupBy("subtree_id").agg(F.count("*").alias("n"), F.max(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))).alias("longest_us"))
