@@ -186,3 +186,19 @@ def test_hub_fetch_and_post(spark):
     with pytest.raises(ValueError):
         hub.fetch(f"{base}/aaaa", limit=2)
     server.shutdown()
+
+
+def test_options_and_small_scalars(spark, tmp_path):
+    from txloom.sources import options
+
+    (tmp_path / "o.json").write_text('{"seenThreshold": 4, "callback": {"maxRetries": "7"}, "unknown": 1}')
+    got = options.load(str(tmp_path / "o.json"), {"TXLOOM_SEENTHRESHOLD": "9", "TXLOOM_API_ALLOWPRIVATECALLBACKIPS": "true"})
+    assert (got["seenThreshold"], got["callback.maxRetries"], got["api.allowPrivateCallbackIps"], got["storageMode"]) == (9, 7, True, "realtime")
+    cases = {"90s": 90, "5m": 300, "24h": 86400, "0s": 7, "x": 7, "-1s": 7}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["s"] for r in df.withColumn("s", S.seconds_or("t", 7)).collect()} == cases
+    sizes = spark.createDataFrame([(5,), (2048,), (5 << 20,), (3 << 30,)], "n long").select(S.size_text("n")).collect()
+    assert [r[0] for r in sizes] == ["5 B", "2.0 KB", "5.0 MB", "3.0 GB"]
+    assert spark.range(1).select(S.snippet(F.repeat(F.lit("a"), 9999))).head()[0] == "a" * 256
+    both = spark.range(1).select(S.bytes_or_none(F.lit("0aff")), S.bytes_or_none(F.lit("Cv8="))).head()
+    assert bytes(both[0]) == bytes(both[1]) == b"\x0a\xff"

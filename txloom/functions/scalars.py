@@ -182,3 +182,31 @@ def url_error(url: Column | str, allow_private: bool = False) -> Column:
         .when(host.isin(*BLOCKED_HOSTS), "blocked host")
         .when(F.coalesce(blocked_ipv4(ipv4_number(host), allow_private), F.lit(False)), "blocked address")
     )
+
+
+def registry_key(url: Column | str) -> Column:
+    return sha256_hex(url)
+
+
+def stump_key(ref: Column | str) -> Column:
+    """A proof's content address without the folder that stores put before it."""
+    return F.regexp_replace(col(ref), "^stump/", "")
+
+
+def seconds_or(text: Column | str, default: int) -> Column:
+    """A duration like 90s, 5m or 24h in seconds; the default if it is malformed or not above zero."""
+    t = col(text)
+    n = F.regexp_extract(t, r"^(\d{1,9})(s|m|h)$", 1)
+    unit = F.regexp_extract(t, r"^(\d{1,9})(s|m|h)$", 2)
+    value = F.when(n != "", n.cast("long") * F.when(unit == "h", 3600).when(unit == "m", 60).otherwise(1))
+    return F.when(value > 0, value).otherwise(F.lit(default))
+
+
+def snippet(body: Column | str, kept: int = 4096, shown: int = 256) -> Column:
+    """What a log shows of an answer: its first bytes only."""
+    return F.substring(F.substring(col(body), 1, kept), 1, shown)
+
+
+def root_matches(root: Column | str, want: Column | str) -> Column:
+    """Equal in either byte order."""
+    return (col(root) == F.lower(col(want))) | (reversed_hex(root) == F.lower(col(want)))

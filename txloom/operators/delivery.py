@@ -96,3 +96,22 @@ def spurious(received: DataFrame, expected: DataFrame, *key: str) -> DataFrame:
     """Rows received but not expected, and expected but not received."""
     extra = received.select(*key).distinct().join(expected.select(*key), [*key], "left_anti").withColumn("what", F.lit("unexpected"))
     return extra.unionByName(expected.select(*key).distinct().join(received.select(*key), [*key], "left_anti").withColumn("what", F.lit("missing")))
+
+
+def exactly_one(messages: DataFrame, *key: str) -> DataFrame:
+    """key, n, ok: whether each key has exactly one message."""
+    return messages.groupBy(*key).agg(F.count("*").alias("n")).withColumn("ok", F.col("n") == 1)
+
+
+def valid_stumps(received: DataFrame, height: Column) -> DataFrame:
+    """received with ok: the proof is there, is hex, and starts with the height that is expected."""
+    from txloom.functions.scalars import compact_size_hex
+
+    hex_ = F.coalesce(F.col("stump_hex"), F.lit(""))
+    return received.withColumn("ok", hex_.rlike("^([0-9a-f]{2})+$") & hex_.startswith(compact_size_hex(height)))
+
+
+def appended(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """key, value: all values of a key appended in order."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, value)))
+    return df.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r[value]), "").alias(value))

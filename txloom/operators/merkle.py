@@ -185,3 +185,16 @@ def verify(nodes: DataFrame) -> DataFrame:
 def merge(nodes: DataFrame) -> DataFrame:
     """Proofs of one subtree as one: nodes by (level, offset), registered leaves before others."""
     return nodes.groupBy(*TREE, "height", "tree_height", "level", "offset").agg(F.max("flag").alias("flag"), F.max("hash").alias("hash"))
+
+
+def proof_walk(nodes: DataFrame) -> DataFrame:
+    """block_hash, subtree_index, leaf_index, level, own, other: the nodes that lead each registered leaf to the root."""
+    own = nodes.where("flag = 2").select(*TREE, "tree_height", F.col("offset").alias("leaf_index"))
+    up = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("tree_height") - 1)))
+    at = F.expr("cast(shiftright(leaf_index, level) as int)")
+    return up.select(*TREE, "leaf_index", "level", at.alias("own"), at.bitwiseXOR(F.lit(1)).alias("other"))
+
+
+def layout(levels: DataFrame, width: float = 100.0) -> DataFrame:
+    """Where a drawing puts each node: x over the middle of its leaves, y by level."""
+    return levels.withColumn("x", (F.col("offset") + 0.5) * width * F.expr("power(2, level)")).withColumn("y", -F.col("level") * width)

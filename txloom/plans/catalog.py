@@ -435,3 +435,71 @@ def latest_sighting_gap(spark, sf):
     order = Window.partitionBy("txid", "subtree_id").orderBy("ts", "seq")
     o = T.observations(spark, sf).withColumn("before", F.lag("ts").over(order)).where("before is not null")
     return o.groupBy("subtree_id").agg(F.count("*").alias("n"), F.max(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))).alias("longest_us"))
+
+
+@query
+def proof_walk(spark, sf):
+    w = M.proof_walk(nodes(spark, sf))
+    return w.select("block_hash", "subtree_index", *[F.col(c).cast("long").alias(c) for c in ("leaf_index", "level", "own", "other")])
+
+
+@query
+def root_in_either_order(spark, sf):
+    """Roots against their own bytes, turned round for odd subtrees and wrong for every third."""
+    r = M.roots(levels(spark, sf)).withColumn("k", F.col("subtree_index") % 3)
+    want = F.when(F.col("k") == 0, F.col("root")).when(F.col("k") == 1, S.reversed_hex("root")).otherwise(F.sha2("root", 256))
+    return r.select("block_hash", "subtree_index", S.root_matches(F.col("root"), want).alias("ok"))
+
+
+@query
+def stump_validity(spark, sf):
+    """Received proofs: as sent, missing, or of another block by turns."""
+    e = M.encode_stumps(nodes(spark, sf)).join(T.leaves(spark, sf).select("block_hash", "height").distinct(), "block_hash")
+    k = F.col("subtree_index") % 3
+    e = e.withColumn("stump_hex", F.when(k == 0, F.col("stump_hex")).when(k == 1, F.col("stump_hex")))  # nothing for the third kind
+    return D.valid_stumps(e, F.col("height") + F.when(k == 1, 1).otherwise(0)).select("block_hash", "subtree_index", "ok")
+
+
+@query
+def exactly_one_block_processed(spark, sf):
+    return D.exactly_one(block_processed_broadcast(spark, sf), "block_hash", "url")
+
+
+@query
+def bulk_register_summary(spark, sf):
+    return watch_validation(spark, sf).groupBy((F.col("status") == 200).alias("ok")).agg(F.count("*").alias("n"))
+
+
+@query
+def registry_keys(spark, sf):
+    u = T.url_sightings(spark, sf).select("url").distinct()
+    return u.select("url", S.registry_key("url").alias("key"), S.stump_key(F.concat(F.lit("stump/"), "url")).alias("trimmed"))
+
+
+@query
+def appended_values(spark, sf):
+    """Subtree ids appended by user in the order they came."""
+    return D.appended(T.observations(spark, sf), "txid", "subtree_id", "ts", "seq").select("txid", F.sha2("subtree_id", 256).alias("digest"))
+
+
+@query
+def tracked_txids(spark, sf):
+    e = T.url_sightings(spark, sf).select(F.col("token").alias("txid"), F.col("url").alias("urls"), F.col("last_seen").alias("ts"))
+    return R.tracked(e)
+
+
+@query
+def running_dedup_hits(spark, sf):
+    """How many sightings of each subtree a dedup by subtree suppresses."""
+    o = T.observations(spark, sf)
+    return o.groupBy("subtree_id").agg((F.count("*") - 1).alias("suppressed"))
+
+
+@query
+def dead_letters_also_count_down(spark, sf):
+    """Work that ran out of attempts is finished too: remaining after successes, and after dead letters as well."""
+    expected, finished = work(spark, sf)
+    everything = T.leaves(spark, sf).select("block_hash", "subtree_index").distinct()
+    lost = everything.join(finished.select("block_hash", "subtree_index"), ["block_hash", "subtree_index"], "left_anti")
+    both = B.countdown(expected, finished.select("block_hash", "subtree_index").unionByName(lost)).select("block_hash", F.col("remaining").alias("after_dlq"))
+    return B.countdown(expected, finished).select("block_hash", "remaining").join(both, "block_hash")

