@@ -33,16 +33,17 @@ def double_sha256_hex(hex_: Column | str) -> Column:
     return F.sha2(F.unhex(F.sha2(F.unhex(col(hex_)), 256)), 256)
 
 
-def reversed_hex(hex_: Column | str) -> Column:
-    """The bytes that hex_ spells, last first."""
+def reversed_hex(hex_: Column | str, size: int | None = None) -> Column:
+    """The bytes that hex_ spells, last first. With a known size in bytes it is one concatenation inside generated code;
+    else the text is turned round and each pair of digits back."""
     h = col(hex_)
-    last = (F.length(h) / 2).cast("int") - 1
-    turned = F.transform(F.sequence(last, F.lit(0), F.lit(-1)), lambda i: F.substring(h, i * 2 + 1, F.lit(2)))
-    return F.when(F.length(h) >= 2, F.array_join(turned, "")).otherwise(F.lit(""))
+    if size is None:
+        return F.regexp_replace(F.reverse(h), "(.)(.)", "$2$1")
+    return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(size - 1, -1, -1)])
 
 
 def little_endian_hex(n: Column | str, size: int) -> Column:
-    return reversed_hex(F.lpad(F.lower(F.hex(col(n).cast("long"))), size * 2, "0"))
+    return reversed_hex(F.lpad(F.lower(F.hex(col(n).cast("long"))), size * 2, "0"), size)
 
 
 def compact_size_hex(n: Column | str) -> Column:

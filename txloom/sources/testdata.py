@@ -26,7 +26,7 @@ def raw_hash(order_key) -> F.Column:
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx_key, month, raw_hex (internal byte order), txid (display order): one row an order."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_key"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-    return o.withColumn("raw_hex", raw_hash(F.col("tx_key"))).withColumn("txid", reversed_hex("raw_hex"))
+    return o.withColumn("raw_hex", raw_hash(F.col("tx_key"))).withColumn("txid", reversed_hex("raw_hex", 32))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +46,10 @@ def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registration_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """txid, url, token, seq: requests in a total order (seq), from returned line items."""
-    li = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    li = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").withColumn("raw", raw_hash(F.col("l_orderkey")))
     seq = F.struct("l_shipdate", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
     token = F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit("tok-"), F.col("l_linenumber").cast("string")))
-    return li.select(reversed_hex(raw_hash(F.col("l_orderkey"))).alias("txid"), url_of(F.col("l_suppkey")).alias("url"), token.alias("token"), seq.alias("seq"))
+    return li.select(reversed_hex("raw", 32).alias("txid"), url_of(F.col("l_suppkey")).alias("url"), token.alias("token"), seq.alias("seq"))
 
 
 def url_of(key) -> F.Column:
