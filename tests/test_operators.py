@@ -95,7 +95,7 @@ def test_payload_leaves_out_zero_and_empty(spark):
         ("", False, "empty url"), ("ftp://a.b/", False, "unsupported scheme"), ("http:///x", False, "missing host"), ("http://u@a.b/", False, "userinfo not allowed"),
         ("http://METADATA/", True, "blocked host"), ("http://169.254.169.254/", True, "blocked host"), ("http://10.0.0.1/", False, "blocked address"), ("http://10.0.0.1/", True, None),
         ("http://0.0.0.0/", True, "blocked address"), ("http://224.0.0.1/", True, "blocked address"), ("http://172.16.0.1/", False, "blocked address"), ("http://172.32.0.1/", False, None),
-        ("http://100.64.0.1/", False, None), ("https://arcade.example:8080/cb", False, None),
+        ("http://100.64.0.1/", False, None), ("https://subscriber.example:8080/cb", False, None),
     ],
 )
 def test_url_guard(spark, url, private, want):

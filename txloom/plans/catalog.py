@@ -73,7 +73,7 @@ def watch_validation(spark, sf):
     tx = S.sha256_hex(F.concat(F.lit("tx:"), F.col("k").cast("string")))
     url = (
         F.when(k == 3, "").when(k == 4, "ftp://a.example/x").when(k == 5, "http://10.1.2.3/x").when(k == 6, "http://metadata/x")
-        .when(k == 7, "http://u:p@b.example/x").when(k == 8, "http://127.0.0.1:99/x").when(k == 9, "https://172.32.0.1/x").otherwise("https://arcade.example/cb")
+        .when(k == 7, "http://u:p@b.example/x").when(k == 8, "http://127.0.0.1:99/x").when(k == 9, "https://172.32.0.1/x").otherwise("https://subscriber.example/cb")
     )
     s = s.select("k", F.when(k == 1, "").when(k == 2, "xyz").when(k == 11, F.upper(tx)).otherwise(tx).alias("txid"), url.alias("callbackUrl"), F.when(k == 10, F.repeat(F.lit("é"), 2049)).otherwise("t").alias("callbackToken"))
     return R.validate_watch(s).select("k", F.col("status").cast("long").alias("status"), "error")
@@ -140,7 +140,7 @@ def url_registry_upsert(spark, sf):
 @query
 def url_registry_active(spark, sf):
     u = R.url_registry(T.url_sightings(spark, sf).where("seq % 3 <> 0 or last_seen < timestamp_ntz'2024-01-20 00:00:00'"))
-    u = u.withColumn("last_seen", F.when(F.col("url") != "https://arcade-7.example/callback", F.col("last_seen")))
+    u = u.withColumn("last_seen", F.when(F.col("url") != "https://subscriber-7.example/callback", F.col("last_seen")))
     return R.active_urls(u, "2024-02-05 12:00:00").select("url", "token")
 
 

@@ -12,7 +12,7 @@ def _hash2(h: str) -> str:
 
 
 def _url(k: str) -> str:
-    return f"'https://arcade-' || ({k} % 20)::varchar || '.example/callback'"
+    return f"'https://subscriber-' || ({k} % 20)::varchar || '.example/callback'"
 
 
 def _compact(n: str) -> str:
@@ -122,7 +122,7 @@ select k, case when m in (1, 2, 3, 4, 5, 6, 7, 8, 10) then 400 else 200 end::big
 select k.txid, count(distinct {_url('event_id')}) as urls from kept k left join events e on e.user_id::varchar = k.txid group by k.txid""",
     "url_registry_upsert": f"with {_SEEN_URL} select url, max(last_seen) as last_seen, arg_max(token, seq) as token from us group by url",
     "url_registry_active": f"""with {_SEEN_URL}, u as (select url, max(last_seen) as last_seen, arg_max(token, seq) as token from us where seq % 3 <> 0 or last_seen < timestamp '2024-01-20' group by url)
-select url, token from u where url = 'https://arcade-7.example/callback' or last_seen >= timestamp '2024-02-05 12:00:00' - interval 7 day""",
+select url, token from u where url = 'https://subscriber-7.example/callback' or last_seen >= timestamp '2024-02-05 12:00:00' - interval 7 day""",
     "seen_group_by_url": f"{_ALL} select height, subtree_index, url, coalesce(max(token) filter (token <> ''), '') as token, count(*) as n, sha256(string_agg(txid, ',' order by txid)) as txids_sha256 from found group by height, subtree_index, url",
     "seen_chunked": f"with {_REG} select url, chunk, count(*) as n, {_SET('list(txid)')} as set_hash from (select url, txid, (row_number() over (partition by url order by txid) - 1) // 100 as chunk from reg) group by url, chunk",
     "seen_distinct_count": f"with {_OBS} select txid, count(distinct subtree_id) as n from obs group by txid",

@@ -15,7 +15,7 @@ SUBTREE_WORK = T.StructType([_f("blockHash", T.StringType()), _f("blockHeight",
 CALLBACK_MESSAGE = T.StructType([_f("callbackUrl", T.StringType()), _f("callbackToken", T.StringType()), _f("type", T.StringType()), _f("txid", T.StringType()), _f("txids", T.ArrayType(T.StringType())), _f("blockHash", T.StringType()), _f("subtreeHash", T.StringType()), _f("subtreeIndex", T.IntegerType()), _f("stumpRef", T.StringType()), _f("retryCount", T.IntegerType()), _f("nextRetryAt", T.TimestampType())])
 WATCH_REQUEST = T.StructType([_f("txid", T.StringType()), _f("callbackUrl", T.StringType()), _f("callbackToken", T.StringType())])
 BLOCK_META = T.StructType([_f("height", T.LongType()), _f("subtrees", T.ArrayType(T.StringType())), _f("transaction_count", T.LongType())])
-MANIFEST = T.StructType([_f("seed", T.LongType()), _f("blockHash", T.StringType()), _f("blockHeight", T.LongType()), _f("totalTxids", T.IntegerType()), _f("arcadeInstances", T.ArrayType(T.StructType([_f("index", T.IntegerType()), _f("port", T.IntegerType()), _f("callbackUrl", T.StringType()), _f("txidStart", T.IntegerType()), _f("txidEnd", T.IntegerType())]))), _f("subtrees", T.ArrayType(T.StructType([_f("index", T.IntegerType()), _f("hash", T.StringType()), _f("txidIndices", T.ArrayType(T.IntegerType()))])))])
+MANIFEST = T.StructType([_f("seed", T.LongType()), _f("blockHash", T.StringType()), _f("blockHeight", T.LongType()), _f("totalTxids", T.IntegerType()), _f("subtrees", T.ArrayType(T.StructType([_f("index", T.IntegerType()), _f("hash", T.StringType()), _f("txidIndices", T.ArrayType(T.IntegerType()))])))])
 
 
 def decoded(df: DataFrame, schema: T.StructType, key: str, value: str = "value", strict: bool = False) -> DataFrame:

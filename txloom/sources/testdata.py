@@ -53,7 +53,7 @@ def registration_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_of(key) -> F.Column:
-    return F.concat(F.lit("https://arcade-"), (key % 20).cast("string"), F.lit(".example/callback"))
+    return F.concat(F.lit("https://subscriber-"), (key % 20).cast("string"), F.lit(".example/callback"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
