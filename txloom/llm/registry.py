@@ -15,4 +15,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op7_url_filter": urls.OP7_SQL,
     "op8_substring_dedup": substring.OP8_SQL,
+    "op9_jaccard_join": jaccard.OP9_SQL,
 }

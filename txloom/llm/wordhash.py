@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text hashed at once (a longer single text is taken whole).
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -50,7 +50,8 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.n
     starts = np.flatnonzero(begins)
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
-    place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)), axis=0) if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], n) - np.repeat(starts, np.diff(np.append(starts, n)))])
+    place = np.arange(n, dtype=np.int32)
+    place[starts[0] :] -= np.repeat(starts.astype(np.int32), np.diff(np.append(starts, n)))
     place[~word] = 0
     values = (_LOWER if lower else _PLAIN)[data]
     values[~word] = 0
