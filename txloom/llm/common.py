@@ -14,11 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "/tmp/txloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/txloom-checkpoints"
 
 
 def stage(df: DataFrame) -> DataFrame:
