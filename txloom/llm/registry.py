@@ -1,10 +1,11 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from txloom.llm import ann, bpe, jaccard, langid, lm, packing, substring, toxicity, urls
+from txloom.llm import ann, bpe, jaccard, langid, lm, media, packing, substring, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_packing": packing.op2_packing,
+    "op3_media_copies": media.op3_media_copies,
     "op4_lm_score": lm.op4_lm_score,
     "op5_ann": ann.op5_ann,
     "op6_toxicity": toxicity.op6_toxicity,
