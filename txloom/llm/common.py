@@ -45,3 +45,17 @@ def parts_for(df: DataFrame, per_input: int = 1) -> int:
 def held_out():
     """crc32 of doc_id as text, modulo 5, is 0."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the system, as workers live on through later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

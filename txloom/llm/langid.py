@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txloom.llm.bpe import _kind
-from txloom.llm.common import held_out, stage, table
+from txloom.llm.common import held_out, stage, table, trim
 
 ORDER = 4
 #: Bound of the training sample, rows a language.
@@ -209,9 +209,17 @@ def train(docs: DataFrame, allowed=None, per_lang: int = PER_LANG, order: int =
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     if allowed is not None:
         rows = rows.where(allowed)
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
+        return {}
+    # about four times the sample by hash, so that ranking meets a bounded number of rows; then exactly the smallest
+    spread = 1 << 40
+    cuts = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(spread, 4 * per_lang * spread // r["count"]))])
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
+    by = Window.partitionBy("lang").orderBy(place, "doc_id")
+    near = rows.select("doc_id", "lang").where(place < F.element_at(cuts, F.col("lang")))
     # staged, so that its true size decides how it is joined
-    few = stage(rows.select("doc_id", "lang").withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_lang))
+    few = stage(near.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_lang))
     sample = rows.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"])
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -309,26 +317,21 @@ class Scorer:
         return out
 
 
-_LOADED: dict[str, Scorer] = {}
-
-
 def identify(docs: DataFrame, models: dict[str, dict[str, np.ndarray]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score (0 to 1), rejected, cross_entropy (nats a character) for each row."""
     kind = docs.schema[key].dataType.simpleString()
     blobs = {k: pack(m) for k, m in models.items()}
-    name = f"{hash(tuple(sorted(blobs.items())))}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _LOADED:
-            _LOADED.clear()
-            _LOADED[name] = Scorer({k: unpack(b) for k, b in blobs.items()})
-        scorer = _LOADED[name]
+        scorer = Scorer({k: unpack(b) for k, b in blobs.items()})  # a task's own: a worker keeps nothing for later stages
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 made = scorer.judge(part.column(1).to_pylist())
                 cols = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["key", "lang_pred", "score", "rejected", "cross_entropy"])
+        scorer.forget()
+        trim()
 
     out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double, rejected boolean, cross_entropy double")
     return out.withColumnRenamed("key", key)
@@ -352,16 +355,15 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def keep_by(docs: DataFrame, models: dict) -> DataFrame:
     """docs without the rows that are rejected; a narrow pass over whole rows."""
     blobs = {k: pack(m) for k, m in models.items()}
-    name = f"{hash(tuple(sorted(blobs.items())))}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _LOADED:
-            _LOADED.clear()
-            _LOADED[name] = Scorer({k: unpack(b) for k, b in blobs.items()})
+        scorer = Scorer({k: unpack(b) for k, b in blobs.items()})
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                made = _LOADED[name].judge(part.column(part.schema.get_field_index("text")).to_pylist())
+                made = scorer.judge(part.column(part.schema.get_field_index("text")).to_pylist())
                 yield part.filter(pa.array([not m[2] for m in made]))
+        scorer.forget()
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txloom.llm.common import table
+from txloom.llm.common import table, trim
 from txloom.llm.wordhash import SECOND, slices, split_by_hash, windows
 
 WINDOW = 35
 PERIOD = 13
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def difference_cover(period: int) -> list[int]:
@@ -183,6 +183,8 @@ def dedup_rows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, text
                 removed.append(n)
         kinds = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         made = {"kept": pa.array(kept, pa.string()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, kinds)}
+        raw.clear()
+        trim()
         return pa.table({c: group[c] for c in names if c not in made} | made)
 
     again = lambda rows: rows.repartition(parts, "span").groupBy("span").applyInArrow(_again, back).repartition(parts, "block")

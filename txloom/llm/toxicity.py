@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txloom.llm.bpe import _kind
-from txloom.llm.common import held_out, stage, table, unstage
+from txloom.llm.common import held_out, stage, table, trim, unstage
 
 #: Bound of the training sample, labelled texts of each class.
 PER_CLASS = 2_000
@@ -160,8 +160,14 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER
     if allowed is not None:
         marks = marks.where(allowed)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    by = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = marks.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_class)
+    marks = marks.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    whole = dict(marks.groupBy("toxic").count().collect())
+    # about four times the sample by hash, so that ranking meets a bounded number of rows; then exactly the smallest
+    spread = 1 << 40
+    cut = F.when(F.col("toxic") == 1, min(spread, 4 * per_class * spread // max(1, whole.get(1, 0)))).otherwise(min(spread, 4 * per_class * spread // max(1, whole.get(0, 0))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
+    by = Window.partitionBy("toxic").orderBy(place, "doc_id")
+    few = marks.where(place < cut).withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_class)
     # at most 2 per_class rows: small enough to send to every task
     sample = stage(docs.select("doc_id", "text").join(F.broadcast(few.select("doc_id", "toxic")), "doc_id"))
 
@@ -173,8 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER
             rows = [(t, n, y) for y, c in seen.items() for t, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] if r[2] else 0 for r in rows], pa.int64()), pa.array([0 if r[2] else r[1] for r in rows], pa.int64())], ["term", "pos", "neg"])
 
-    sizes = dict(sample.groupBy((F.col("toxic") > 0).cast("int")).count().collect())
-    whole = dict(marks.groupBy((F.col("toxic") > 0).cast("int")).count().collect())
+    sizes = dict(sample.groupBy("toxic").count().collect())
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         unstage(sample)
@@ -199,17 +204,6 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER
     return Votes(examples, df, pos + neg, (max(1.0, whole[0] / neg), max(1.0, whole[1] / pos)))
 
 
-_LOADED: dict[str, Votes] = {}
-
-
-def loaded(blob: bytes) -> Votes:
-    key = f"{len(blob)}:{hash(blob)}"
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = pickle.loads(blob)
-    return _LOADED[key]
-
-
 def score(docs: DataFrame, model: Votes | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score (0 to 1), evidence (neighbours: id, label, cosine) for each row."""
     kind = docs.schema[key].dataType.simpleString()
@@ -219,7 +213,7 @@ def score(docs: DataFrame, model: Votes | None, key: str = "doc_id", text: str =
     blob = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes = loaded(blob)
+        votes = pickle.loads(blob)  # a task's own: a worker keeps nothing for later stages
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -247,11 +241,13 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     blob = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes = loaded(blob)
+        votes = pickle.loads(blob)  # a task's own: a worker keeps nothing for later stages
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 yield part.filter(pa.array([votes.score(t)[0] < 0.5 for t in texts], pa.bool_()))
+        del votes
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
