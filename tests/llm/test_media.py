@@ -31,3 +31,39 @@ def test_descriptors_turn_with_the_image():
     own, turned = ({f[3] for f in M.features(x) if f[0] == 0} for x in (a, np.rot90(a).copy()))
     near = sum(any(bin((x ^ y) & (1 << 64) - 1).count("1") <= 12 for y in turned) for x in own)
     assert near >= 0.5 * len(own)
+
+
+def test_links_are_those_of_all_pairs(spark, monkeypatch):
+    """Images whose every table entry is owned by an unrelated smaller id, among random ones, against brute force."""
+    rng = np.random.default_rng(3)
+    kinds = [int(v) for v in rng.integers(-(1 << 63), 1 << 63, 60)]
+    flip = lambda v, n: int(np.int64(v) ^ np.int64(sum(1 << int(b) for b in rng.choice(63, n, replace=False))))
+    f = [(i, 0, 200 * i, 7, v) for i, v in enumerate(kinds)]  # each descriptor is first owned by a page of its own
+    for i in range(60, 160):
+        mine, dy = rng.choice(30 if i < 130 else 60, 6, replace=False), int(rng.integers(0, 40))
+        f += [(i, 0, 20 * int(k) + dy, 9, flip(kinds[k], int(rng.integers(0, 3)))) for k in mine]
+    f += [(i, 0, 20 * k + i, 9, flip(kinds[k], i - 200)) for i in (200, 201) for k in range(40, 50)]
+    places = {}
+    for i, _, y, x, v in f:
+        places.setdefault(i, []).append((y, x, v))
+
+    def linked(a, b):
+        votes = {}
+        for y, x, v in places[a]:
+            for y2, x2, w in places[b]:
+                if bin((v ^ w) & (1 << 64) - 1).count("1") <= M.DISTANCE:
+                    for h in (0, 0.5):
+                        for k in (0, 0.5):
+                            votes.setdefault((h, k, np.floor((y2 - y) / M.BIN + h), np.floor((x2 - x) / M.BIN + k)), set()).add((y, x))
+        return any(len(s) >= M.CONSENSUS for s in votes.values())
+
+    want = {i: i for i in places}
+    for a in places:
+        for b in places:
+            if a != b and want[a] != want[b] and linked(a, b):
+                lo, hi = sorted((want[a], want[b]))
+                want = {i: lo if c == hi else c for i, c in want.items()}
+    monkeypatch.setattr(M, "describe", lambda images: spark.createDataFrame(f, "id long, scale int, y int, x int, bits long"))
+    images = spark.createDataFrame([(i, 9, bytearray(str(i).encode())) for i in places], "id long, width int, pixels binary")
+    got = {r["id"]: r["copy_of"] for r in M.copies(images).collect()}
+    assert got == want and got[201] == 200 and 20 < len(set(want.values())) < len(want)

@@ -3,10 +3,10 @@ Hamming tables, and geometric consensus.
 
 An image is a raw grey raster (width, height, bytes). At each scale (halved by means) the strongest Harris corner of
 each cell is kept; a patch's orientation is the direction of its centroid of intensity; the descriptor is 64 fixed
-comparisons of smoothed pixels, their places turned by that orientation. A descriptor is filed in 4 tables under 16 of
-its bits each, so two that differ in at most 3 bits share an entry. In each entry every feature is compared with the
-entry's first image only (never all pairs); pairs that differ in at most 3 bits vote for the scale step and shift they
-imply, and images with `consensus` votes for one shift (in bins that overlap by half) are linked. Links give groups.
+comparisons of smoothed pixels, their places turned by that orientation. Distinct descriptors are filed in 10 tables
+under 2 of 5 parts of their bits each, so two that differ in at most 3 bits share an entry and meet. Features of such
+descriptors vote for the scale step and shift they imply, and images with `consensus` votes of either one's places for
+one shift (in bins that overlap by half) are linked. Links give groups, the same as if all pairs were compared (`links`).
 
 The supplied tables hold no images: the query reads each page's html as a raster 64 bytes wide.
 
@@ -17,17 +17,20 @@ one image; null ids take no part; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txloom.llm.common import stage, table
+from txloom.llm.common import stage, table, unstage
 from txloom.llm.components import components
 
 SCALES, CELL, RADIUS, TURNS = 3, 12, 6, 32
 DISTANCE, CONSENSUS, BIN = 3, 4, 4
+#: Bounds of the 5 parts of a descriptor.
+PARTS = (0, 13, 26, 39, 52, 64)
 
 
 def _tests() -> np.ndarray:
@@ -99,19 +102,62 @@ def describe(images: DataFrame) -> DataFrame:
     return images.where("id is not null").select("id", "width", "pixels").mapInArrow(run, "id long, scale int, y int, x int, bits long")
 
 
+def near_descriptors(bits: DataFrame) -> DataFrame:
+    """bits, other: all pairs of the distinct descriptors `bits` within DISTANCE, both ways round and each with itself.
+    Two that differ in at most 3 of 64 bits agree in 2 of 5 parts at least, so they share one of 10 keys of 25 or 26 bits."""
+    masks = [sum((1 << hi) - (1 << lo) for lo, hi in two) for two in combinations(zip(PARTS, PARTS[1:]), 2)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    filed = bits.select("bits", F.posexplode(F.array(*map(F.lit, masks))).alias("t", "m")).select("bits", "t", F.col("bits").bitwiseAND(F.col("m")).alias("v"))
+    other = filed.select(F.col("bits").alias("other"), "t", "v")
+    close = (F.col("bits") < F.col("other")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= DISTANCE)
+    pairs = filed.join(other, ["t", "v"]).where(close).select("bits", "other").distinct()
+    both = F.explode(F.array(F.struct("bits", "other"), F.struct(F.col("other").alias("bits"), F.col("bits").alias("other"))))
+    return pairs.select(both.alias("p")).select("p.*").union(bits.select("bits", F.col("bits").alias("other")))
+
+
+def voted(met: DataFrame, consensus: int) -> DataFrame:
+    """a, b: the pairs of owners whose met features (scale, y, x of a; r of b) have `consensus` votes for one shift."""
+    # one vote for each place of a and its pair
+    pairs = met.select("a", "b", "scale", "y", "x", (F.col("r.scale") - F.col("scale")).alias("step"), F.expr("r.y * power(2, r.scale) - y * power(2, r.scale)").alias("dy"), F.expr("r.x * power(2, r.scale) - x * power(2, r.scale)").alias("dx")).distinct()
+    half = F.explode(F.expr("array(struct(0 as a, 0 as b), struct(0 as a, 1 as b), struct(1 as a, 0 as b), struct(1 as a, 1 as b))"))
+    votes = pairs.withColumn("h", half).groupBy("a", "b", "step", "h", F.expr(f"floor(dy / {BIN} + h.a * 0.5)").alias("by"), F.expr(f"floor(dx / {BIN} + h.b * 0.5)").alias("bx")).agg(F.count_distinct("scale", "y", "x").alias("n"))
+    return votes.where(F.col("n") >= consensus).select("a", "b").distinct()
+
+
+def links(f: DataFrame, consensus: int) -> DataFrame:
+    """a, b: links between images (features f: id, scale, y, x, bits) that connect all that links of every pair would.
+
+    First each image meets the first one of each equal descriptor; what that connects is a group. Then groups meet: all
+    descriptors within DISTANCE, by the union of a group's features, whose votes bound those of its images. Where
+    `consensus` places agree, one agrees outside any `consensus` - 1, so a group asks with all but its commonest ones.
+    Last, the images of groups that could be linked are compared feature by feature."""
+    place = F.struct("scale", "y", "x").alias("r")
+    first = f.groupBy("bits").agg(F.min(F.struct("id", "scale", "y", "x")).alias("r"))
+    early = stage(voted(f.join(first, "bits").where(F.col("id") != F.col("r.id")).withColumns({"a": F.col("id"), "b": F.col("r.id")}), consensus))
+    groups = components(early).withColumnRenamed("node", "id")
+    owned = stage(f.join(groups, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label"))
+    whole = stage(owned.select("g", "scale", "y", "x", "bits").distinct())
+    near = stage(near_descriptors(whole.select("bits").distinct()))
+    seen = near.join(whole.groupBy("bits").agg(F.count("*").alias("n")).withColumnRenamed("bits", "other"), "other").groupBy("bits").agg(F.sum("n").alias("heat"))
+    places = whole.join(seen, "bits").groupBy("g", "scale", "y", "x").agg(F.max("heat").alias("heat"))
+    ranked = places.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("heat"), "scale", "y", "x")))
+    asking = whole.join(ranked.where(F.col("n") >= consensus).drop("n", "heat"), ["g", "scale", "y", "x"], "left_semi")
+    theirs = whole.select(F.col("g").alias("h"), F.col("bits").alias("other"), place)
+    pairs = stage(asking.select("g", "bits").distinct().join(near, "bits").select("g", "other").distinct().join(theirs.select("h", "other").distinct(), "other").where("g <> h").select("g", "h").distinct())
+    met = pairs.join(whole, "g").join(near, "bits").join(theirs, ["h", "other"])
+    maybe = stage(voted(met.withColumns({"a": F.col("g"), "b": F.col("h")}), consensus).select(F.col("a").alias("g"), F.col("b").alias("h")))
+    unstage(pairs)
+    unstage(whole)
+    theirs = owned.select(F.col("g").alias("h"), F.col("id").alias("b"), F.col("bits").alias("other"), place)
+    met = maybe.join(owned.withColumnRenamed("id", "a"), "g").join(near, "bits").join(theirs, ["h", "other"])
+    return early.union(voted(met, consensus))
+
+
 def copies(images: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
     """id, n_features, copy_of (the smallest id of the group that links connect) for each distinct id."""
     f = stage(describe(images).distinct())
-    filed = f.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("v", F.expr("shiftrightunsigned(bits, 16 * t) & 65535"))
-    first = filed.groupBy("t", "v").agg(F.min(F.struct("id", "scale", "y", "x", "bits")).alias("r"))
-    met = filed.join(first, ["t", "v"]).where((F.col("id") != F.col("r.id")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("r.bits"))) <= DISTANCE))
-    # one vote for each feature of an image and its pair, whatever the tables they met in
-    pairs = met.select("id", F.col("r.id").alias("other"), "scale", "y", "x", (F.col("r.scale") - F.col("scale")).alias("step"), F.expr("r.y * power(2, r.scale) - y * power(2, r.scale)").alias("dy"), F.expr("r.x * power(2, r.scale) - x * power(2, r.scale)").alias("dx")).distinct()
-    half = F.explode(F.expr("array(struct(0 as a, 0 as b), struct(0 as a, 1 as b), struct(1 as a, 0 as b), struct(1 as a, 1 as b))"))
-    votes = pairs.withColumn("h", half).groupBy("id", "other", "step", "h", F.expr(f"floor(dy / {BIN} + h.a * 0.5)").alias("by"), F.expr(f"floor(dx / {BIN} + h.b * 0.5)").alias("bx")).agg(F.count_distinct("scale", "y", "x").alias("n"))
-    links = votes.where(F.col("n") >= consensus).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     counts = images.where("id is not null").select("id").distinct().join(f.groupBy("id").agg(F.count("*").alias("n_features")), "id", "left")
-    groups = components(links).withColumnRenamed("node", "id")
+    groups = components(links(f, consensus)).withColumnRenamed("node", "id")
     return counts.join(groups, "id", "left").select("id", F.coalesce("n_features", F.lit(0)).alias("n_features"), F.coalesce("label", "id").alias("copy_of"))
 
 
