@@ -67,3 +67,11 @@ def test_stage_keeps_columns_and_clean_rows(spark, tmp_path):
     ids = [r["doc_id"] for r in kept.collect()]
     assert len([i for i in ids if i is not None and i < 900 and i % 5]) == 720
     assert len([i for i in ids if i is not None and i < 900 and not i % 5]) < 10
+
+
+def test_every_shared_term_finds_neighbours(spark):
+    """A text that holds no term typical of a class still meets the examples that share its only known word."""
+    docs, labels = data(spark)
+    asked = spark.createDataFrame([(5000, "w7"), (5001, "unheard of")], "doc_id long, text string")
+    got = {r["doc_id"]: r["evidence"] for r in T.score(asked, T.train(docs, labels, ~held_out())).collect()}
+    assert len(got[5000]) == T.K and all(e["cosine"] > 0 for e in got[5000]) and got[5001] == []

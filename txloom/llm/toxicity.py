@@ -1,14 +1,11 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF vectors over inverted lists.
 
 Learning uses a bounded sample: `per_class` labelled texts of each class with the smallest hash of their id. Terms are
-lower-cased runs of letters. Their document frequencies by class are counted over the sample, and the terms kept are
-those that the positive class holds `LIFT` times as often and significantly so (log-likelihood ratio; the `terms`
-highest). An
-example is the TF-IDF vector of a text over these terms, at unit length.
+lower-cased runs of letters. All terms of the sample are kept; each weighs its idf times `lift`, 1 or more, by how much
+commoner it is in one class. An example is the vector of a text over these terms, at unit length.
 
-The index: postings by term over the examples, in blocks of `BLOCK` consecutive ones, with the largest weight of
-each term in each block. A query's products with these block maxima bound every cosine in a block; blocks are
-scored exactly from the largest bound down, until the k-th best cosine reaches the next bound. So the k nearest are exact.
+The index: postings by term over the examples, with commoner terms as a dense matrix. Every text that shares a term with
+an example is compared with all such examples, and the k nearest are exact.
 
 The score: votes of the k nearest weighted by their cosine, with the base rate as a fixed prior weight, then a
 logistic curve that was fitted to the leave-one-out votes of the examples (so it is calibrated). Texts without any
@@ -16,7 +13,7 @@ term get the base rate of such texts. Evidence: the ids, labels and cosines of t
 
 Edge cases: null and empty texts have no term; with no labels (or none of one class) every score is 0; rows that
 repeat a label count once, and a positive label beats a negative one; repeated documents are scored one by one; of
-equal cosines the earlier example in the order of (terms, id) is nearer; other columns are dropped.
+equal cosines the earlier example in the order of ids as text is nearer; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -25,7 +22,8 @@ import math
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +34,12 @@ from txloom.llm.bpe import _kind
 from txloom.llm.common import held_out, stage, table, trim, unstage
 
 #: Bound of the training sample, labelled texts of each class.
-PER_CLASS = 2_000
-#: Terms kept, at most.
-TERMS = 1_024
-#: Log-likelihood ratio that a kept term needs (p about 1e-6, as some hundred thousand terms are tried).
-SIGNIFICANT = 24.0
-#: How many times as common among the positive texts a kept term must be.
-LIFT = 3.0
+PER_CLASS = 6_000
 K = 15
-BLOCK = 64
 PRIOR = 1.0
 ROWS = 1024
-#: Remembered term vectors of a task; beyond this the table starts anew.
-TABLE = 50_000
+#: Queries multiplied at once.
+BATCH = 128
 
 _WORDS: list = []
 
@@ -59,84 +50,134 @@ def words_of(text: str) -> list[str]:
     return _WORDS[0].findall(text.lower())
 
 
-class BlockMaxIndex:
-    """Unit vectors over term numbers, in blocks, with the largest weight of each term in each block."""
-
-    def __init__(self, vectors: list[dict[int, float]], terms: int):
-        blocks = -(-len(vectors) // BLOCK)
-        self.posted = np.zeros((max(1, blocks), terms, BLOCK))  # a block's postings of a term lie together
-        for i, v in enumerate(vectors):
-            self.posted[i // BLOCK, list(v), i % BLOCK] = list(v.values())
-        self.most = self.posted.max(axis=2)
+class Postings:
+    """Unit vectors over term numbers as postings by term. Terms that a sixteenth of the vectors hold are rows of a dense
+    matrix, multiplied for many queries at once; the rest are added term by term."""
+
+    def __init__(self, vectors: Iterable[dict[int, float]], terms: int):
+        numbers, weights = [], []
+        for v in vectors:
+            numbers.append(np.fromiter(v.keys(), np.int32, len(v)))
+            weights.append(np.fromiter(v.values(), np.float64, len(v)))
+        self.terms, self.n = terms, len(numbers)
+        self.bounds = np.cumsum([0] + [len(x) for x in numbers])
+        self.numbers = np.concatenate(numbers or [np.zeros(0, np.int32)])
+        self.weights = np.concatenate(weights or [np.zeros(0)])
+        self.post()
+
+    def post(self) -> None:
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.bounds))
+        df = np.bincount(self.numbers, minlength=self.terms)
+        common = np.flatnonzero(df > max(16, self.n // 16))
+        self.place = np.full(self.terms, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        at = self.place[self.numbers]
+        self.dense[at[at >= 0], rows[at >= 0]] = self.weights[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.numbers[rare], kind="stable")]
+        self.docs, self.values = rows[rare], self.weights[rare].astype(np.float32)
+        self.starts = np.searchsorted(self.numbers[rare], np.arange(self.terms + 1))
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("terms", "n", "bounds", "numbers", "weights")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.post()
+
+    def nearest_all(self, queries: list[dict[int, float]], k: int, without: list[int] | None = None) -> list[list[tuple[int, float]]]:
+        """(example, cosine) of the k nearest with a cosine above 0, nearest first, for each query; exact: single precision
+        only tells which examples can be among them."""
+        sides = [(np.fromiter(q.keys(), np.int64, len(q)), np.fromiter(q.values(), np.float64, len(q))) for q in queries]
+        asked = np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, (t, w) in enumerate(sides):
+            at = self.place[t]
+            asked[i, at[at >= 0]] = w[at >= 0]
+        sums = asked @ self.dense
+        whole, out = np.zeros(self.terms), []
+        for i, (t, w) in enumerate(sides):
+            got = sums[i]
+            rare = self.place[t] < 0
+            lo, hi = self.starts[t[rare]], self.starts[t[rare] + 1]
+            if len(lo):
+                pairs = list(zip(lo.tolist(), hi.tolist()))
+                docs = np.concatenate([self.docs[a:b] for a, b in pairs])
+                values = np.concatenate([self.values[a:b] for a, b in pairs])
+                got = got + np.bincount(docs, values * np.repeat(w[rare], hi - lo), self.n)
+            if without is not None:
+                got[without[i]] = 0.0
+            least = np.partition(got, self.n - k)[self.n - k] - 1e-4 if self.n > k else 0.0
+            whole[t] = w
+            found = []
+            for e in np.flatnonzero(got >= max(least, 1e-12)).tolist():
+                a, b = self.bounds[e], self.bounds[e + 1]
+                found.append((-round(float(whole[self.numbers[a:b]] @ self.weights[a:b]), 12), e))
+            whole[t] = 0.0
+            out.append([(e, -c) for c, e in sorted(found)[:k] if c < 0])
+        return out
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
-        """(example, cosine) of the k nearest with a cosine above 0, nearest first; exact."""
-        terms, weights = list(query), np.array(list(query.values()))
-        bounds = self.most[:, terms] @ weights
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
-                break
-            got = weights @ self.posted[b, terms]
-            if without >= 0 and without // BLOCK == b:
-                got[without % BLOCK] = 0.0
-            least = -best[-1][0] - 1e-12 if len(best) == k else 0.0
-            found = np.flatnonzero(got > max(least, 1e-12))
-            if len(found):
-                best = sorted(best + [(-c, b * BLOCK + i) for c, i in zip(np.round(got[found], 12).tolist(), found.tolist())])[:k]
-        return [(i, -c) for c, i in best]
+        return self.nearest_all([query], k, None if without < 0 else [without])[0]
+
+
+#: The index's name where it kept block maxima.
+BlockMaxIndex = Postings
 
 
 class Votes:
     """The fitted scorer: terms, index, labels, and the curve from votes to scores."""
 
-    def __init__(self, examples: list[tuple[object, int, dict[str, int]]], df: dict[str, int], total: int, stands: tuple[float, float] = (1.0, 1.0)):
-        """examples: (id, label, counts of kept terms); df: documents of the sample that hold a kept term; total: all;
-        stands: how many labelled documents an example of class 0 and of class 1 stands for."""
+    def __init__(self, examples: list[tuple[object, int, np.ndarray, np.ndarray]], terms: list[str], df: np.ndarray, total: int, weight: np.ndarray, stands: tuple[float, float] = (1.0, 1.0)):
+        """examples: (id, label, term numbers, counts); terms: all terms of the examples; df: documents that hold each, of
+        total; weight: what each term's TF-IDF is multiplied by; stands: how many labelled documents an example of class 0
+        and of class 1 stands for."""
         self.stands = np.array(stands) / min(stands)
-        self.number = {t: i for i, t in enumerate(sorted(df))}
-        self.idf = {t: math.log((1 + total) / (1 + n)) + 1 for t, n in df.items()}
-        empty = [y for _, y, c in examples if not c]
-        held = [e for e in examples if e[2]]
+        self.number = {t: i for i, t in enumerate(terms)}
+        self.idf = ((np.log((1 + total) / (1 + df)) + 1) * weight).tolist()
+        empty = [e[1] for e in examples if not len(e[2])]
+        held = [e for e in examples if len(e[2])]
         self.ids, self.labels = [e[0] for e in held], np.array([e[1] for e in held], float)
-        vectors = [self.vector(e[2]) for e in held]
-        self.index = BlockMaxIndex(vectors, len(self.number))
+        vectors = lambda: (self.vector(dict(zip(e[2].tolist(), e[3].tolist()))) for e in held)
+        self.index = Postings(vectors(), len(self.number))
         share = lambda ys, prior, n: (self.stands[1] * sum(ys) + n * prior) / (self.stands[1] * sum(ys) + self.stands[0] * (len(ys) - sum(ys)) + n)
         self.base = share([e[1] for e in examples], 0.5, 1.0)
         self.blank = share(empty, self.base, 0.5)
         self.curve = (1.0, 0.0)
         if held:
-            x = np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)])
+            x, own = [], vectors()
+            for at in range(0, len(held), BATCH):
+                part = list(islice(own, BATCH))
+                x += [self.vote(near) for near in self.index.nearest_all(part, K, list(range(at, at + len(part))))]
+            x = np.array(x)
             self.curve = logistic(np.log(x / (1 - x)), self.labels, self.stands[self.labels.astype(int)])
-        self.known: dict = {}
 
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        v = {self.number[t]: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
+    def vector(self, counts: dict[int, int]) -> dict[int, float]:
+        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {t: w / norm for t, w in v.items()}
 
-    def vote(self, vector: dict[int, float], without: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        near = self.index.nearest(vector, K, without)
+    def vote(self, near: list[tuple[int, float]]) -> float:
         votes = np.zeros(2)
         for i, c in near:
             y = int(self.labels[i])
             votes[y] += c * self.stands[y]
-        return (votes[1] + PRIOR * self.base) / (votes.sum() + PRIOR), near
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        number = self.number
-        counts = Counter([w for w in words_of(text or "") if w in number])
-        if not counts:
-            return self.blank, []
-        key = tuple(sorted(counts.items()))
-        found = self.known.get(key)
-        if found is None:
-            vote, near = self.vote(self.vector(counts))
-            a, b = self.curve
-            if len(self.known) > TABLE:
-                self.known.clear()
-            found = self.known[key] = 1 / (1 + math.exp(-(a * math.log(vote / (1 - vote)) + b))), near
-        return found
+        return (votes[1] + PRIOR * self.base) / (votes.sum() + PRIOR)
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        number, out = self.number, []
+        for at in range(0, len(texts), BATCH):
+            counts = [Counter([number[w] for w in words_of(t or "") if w in number]) for t in texts[at : at + BATCH]]
+            nears = iter(self.index.nearest_all([self.vector(c) for c in counts if c], K))
+            for c in counts:
+                if not c:
+                    out.append((self.blank, []))
+                    continue
+                near = next(nears)
+                vote = self.vote(near)
+                a, b = self.curve
+                out.append((1 / (1 + math.exp(-(a * math.log(vote / (1 - vote)) + b))), near))
+        return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -153,9 +194,14 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER_CLASS, terms: int = TERMS) -> Votes | None:
-    """The scorer, or None if a class has no text. The driver gets at most 2 per_class ids, `terms` terms and the
-    examples' counts of those; texts stay on the executors."""
+def lift(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Weight of each term by how much commoner it is in one class than in the other: 1 where it is alike in both."""
+    ratio = np.log2(((pos + 1) / (n_pos + 2)) / ((neg + 1) / (n_neg + 2)))
+    return 1 + np.abs(ratio) * (1 - 1 / np.sqrt(1 + pos + neg))
+
+
+def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER_CLASS) -> Votes | None:
+    """The scorer, or None if a class has no text. The driver gets the term counts of at most 2 per_class texts."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     if allowed is not None:
         marks = marks.where(allowed)
@@ -171,37 +217,34 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER
     # at most 2 per_class rows: small enough to send to every task
     sample = stage(docs.select("doc_id", "text").join(F.broadcast(few.select("doc_id", "toxic")), "doc_id"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[int(y > 0)].update(set(words_of(text or "")))
-            rows = [(t, n, y) for y, c in seen.items() for t, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] if r[2] else 0 for r in rows], pa.int64()), pa.array([0 if r[2] else r[1] for r in rows], pa.int64())], ["term", "pos", "neg"])
-
     sizes = dict(sample.groupBy("toxic").count().collect())
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         unstage(sample)
         return None
-    found = sample.select("text", "toxic").mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
-    part = lambda k, e: F.when(k > 0, k * F.ln(k / e)).otherwise(0.0)
-    share = (a + b) / (pos + neg)
-    ratio = 2 * (part(a, share * pos) + part(b, share * neg) + part(pos - a, (1 - share) * pos) + part(neg - b, (1 - share) * neg))
-    kept = found.where((a / pos > LIFT * b / neg) & (ratio > SIGNIFICANT)).select("term", "pos", "neg", ratio.alias("ratio"))
-    df = {r["term"]: r["pos"] + r["neg"] for r in kept.orderBy(F.desc("ratio"), "term").limit(terms).collect()}
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [pickle.dumps(dict(Counter([w for w in words_of(t or "") if w in df]))) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["doc_id", "toxic", "counts"])
+            made = [Counter(words_of(t or "")) for t in batch.column(2).to_pylist()]
+            packed = [pa.array([" ".join(c) for c in made], pa.string()), pa.array([np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["doc_id", "toxic", "terms", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(vectors, f"doc_id {kind}, toxic int, counts binary").collect()
+    rows = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(counts, f"doc_id {kind}, toxic int, terms string, counts binary")
+    number: dict[str, int] = {}
+    examples = []
+    for r in rows.toLocalIterator():
+        own = np.array([number.setdefault(t, len(number)) for t in r["terms"].split()], np.int32)
+        examples.append((r["doc_id"], int(r["toxic"] > 0), own, np.frombuffer(bytes(r["counts"]), np.int32)))
+    examples.sort(key=lambda e: (str(e[0]), e[1]))
+    terms = sorted(number)
+    new = np.zeros(len(terms), np.int32)
+    new[[number[t] for t in terms]] = np.arange(len(terms))
+    del number
+    examples = [(i, y, new[own], n) for i, y, own, n in examples]
+    a, b = (np.bincount(np.concatenate([e[2] for e in examples if e[1] == y]), minlength=len(terms)) for y in (1, 0))
     unstage(sample)
-    examples = sorted([(r["doc_id"], int(r["toxic"] > 0), pickle.loads(bytes(r["counts"]))) for r in rows], key=lambda e: (sorted(e[2].items()), str(e[0]), e[1]))  # like examples share a block
-    return Votes(examples, df, pos + neg, (max(1.0, whole[0] / neg), max(1.0, whole[1] / pos)))
+    return Votes(examples, terms, a + b, pos + neg, lift(a, b, pos, neg), (max(1.0, whole[0] / neg), max(1.0, whole[1] / pos)))
 
 
 def score(docs: DataFrame, model: Votes | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,7 +260,7 @@ def score(docs: DataFrame, model: Votes | None, key: str = "doc_id", text: str =
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                made = [votes.score(t) for t in part.column(1).to_pylist()]
+                made = votes.score(part.column(1).to_pylist())
                 seen = [[{"id": votes.ids[i], "label": int(votes.labels[i]), "cosine": c} for i, c in n] for _, n in made]
                 own = pa.list_(pa.struct([("id", batch.column(0).type), ("label", pa.int32()), ("cosine", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.float64()), pa.array(seen, own)], ["key", "score", "evidence"])
@@ -246,7 +289,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                yield part.filter(pa.array([votes.score(t)[0] < 0.5 for t in texts], pa.bool_()))
+                yield part.filter(pa.array([m[0] < 0.5 for m in votes.score(texts)], pa.bool_()))
         del votes
         trim()
 
