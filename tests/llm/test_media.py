@@ -67,3 +67,14 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch):
     images = spark.createDataFrame([(i, 9, bytearray(str(i).encode())) for i in places], "id long, width int, pixels binary")
     got = {r["id"]: r["copy_of"] for r in M.copies(images).collect()}
     assert got == want and got[201] == 200 and 20 < len(set(want.values())) < len(want)
+
+
+def test_equal_rasters_without_features_are_copies(spark):
+    rng = np.random.default_rng(9)
+    small = [bytearray(rng.integers(0, 256, 70, dtype=np.uint8).tobytes()) for _ in range(3)]
+    flat, big = bytearray(40 * 40), picture(rng)
+    rows = [(1, 10, small[0]), (2, 10, small[1]), (3, 10, small[0]), (4, 7, small[0]), (5, 10, small[2]), (6, 10, small[2]), (5, 10, small[0]), (7, 40, flat), (8, 40, flat), (9, 10, bytearray()), (10, 10, bytearray()), (None, 10, small[1])]
+    rows += [(i, 140, bytearray(big.tobytes())) for i in (20, 21, 22)] + [(23, 130, bytearray(big[:, 10:].tobytes()))]
+    got = {r["id"]: (r["copy_of"], r["n_features"]) for r in M.copies(spark.createDataFrame(rows, "id long, width int, pixels binary")).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 1, 6: 1, 7: 7, 8: 7, 9: 9, 10: 10, 20: 20, 21: 20, 22: 20, 23: 20}
+    assert got[7][1] == got[1][1] == 0 and got[20][1] == got[22][1] > 20

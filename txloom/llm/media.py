@@ -10,7 +10,9 @@ one shift (in bins that overlap by half) are linked. Links give groups, the same
 
 The supplied tables hold no images: the query reads each page's html as a raster 64 bytes wide.
 
-Edge cases: null, empty and too small rasters have no features and are groups of their own; repeated rows of an id are
+Rows of equal width and bytes are linked whatever features they have, and one of them meets the others' features.
+
+Edge cases: null, empty and too small rasters have no features, and but for equal ones are groups of their own; repeated rows of an id are
 one image; null ids take no part; an empty table gives no rows; other columns are dropped.
 """
 
@@ -157,7 +159,14 @@ def copies(images: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
     """id, n_features, copy_of (the smallest id of the group that links connect) for each distinct id."""
     f = stage(describe(images).distinct())
     counts = images.where("id is not null").select("id").distinct().join(f.groupBy("id").agg(F.count("*").alias("n_features")), "id", "left")
-    groups = components(links(f, consensus)).withColumnRenamed("node", "id")
+    rasters = images.where("id is not null and width > 0 and octet_length(pixels) > 0").select("id", "width", F.sha2("pixels", 256).alias("digest"))
+    rasters = stage(rasters.distinct())
+    least = rasters.groupBy("width", "digest").agg(F.min("id").alias("b"))
+    equal = rasters.join(least, ["width", "digest"]).where("id <> b").select(F.col("id").alias("a"), "b")
+    # the smallest id of equal rasters stands for those that have no other raster: it has all their features
+    lone = rasters.groupBy("id").count().where("count = 1")
+    stands = stage(f.join(equal.join(lone, equal["a"] == lone["id"]).select("id"), "id", "left_anti"))
+    groups = components(links(stands, consensus).union(equal)).withColumnRenamed("node", "id")
     return counts.join(groups, "id", "left").select("id", F.coalesce("n_features", F.lit(0)).alias("n_features"), F.coalesce("label", "id").alias("copy_of"))
 
 
