@@ -75,3 +75,15 @@ def test_every_shared_term_finds_neighbours(spark):
     asked = spark.createDataFrame([(5000, "w7"), (5001, "unheard of")], "doc_id long, text string")
     got = {r["doc_id"]: r["evidence"] for r in T.score(asked, T.train(docs, labels, ~held_out())).collect()}
     assert len(got[5000]) == T.K and all(e["cosine"] > 0 for e in got[5000]) and got[5001] == []
+
+
+def test_idf_counts_all_documents(spark):
+    docs, labels = data(spark, 100)
+    more = docs.unionByName(spark.createDataFrame([(9000 + i, "w7 idiot", "en") for i in range(50)], docs.schema))
+    want, got = [], []
+    for d in (docs, more):
+        model, rows = T.train(d, labels), [set(T.words_of(r["text"] or "")) for r in d.collect()]
+        for t in ("w", "idiot", "scum"):
+            want.append(np.log((1 + len(rows)) / (1 + sum(t in r for r in rows))) + 1)
+            got.append(model.idf[model.number[t]])
+    assert np.allclose(np.divide(got[3:], got[:3]), np.divide(want[3:], want[:3])) and got[4] < got[1]

@@ -2,7 +2,7 @@
 
 Learning uses a bounded sample: `per_class` labelled texts of each class with the smallest hash of their id. Terms are
 lower-cased runs of letters. All terms of the sample are kept; each weighs its idf times `lift`, 1 or more, by how much
-commoner it is in one class. An example is the vector of a text over these terms, at unit length.
+commoner it is in one class. The idf counts all documents, in one pass that each task adds up. An example is the vector of a text over these terms, at unit length.
 
 The index: postings by term over the examples, with commoner terms as a dense matrix. Every text that shares a term with
 an example is compared with all such examples, and the k nearest are exact.
@@ -201,7 +201,8 @@ def lift(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER_CLASS) -> Votes | None:
-    """The scorer, or None if a class has no text. The driver gets the term counts of at most 2 per_class texts."""
+    """The scorer, or None if a class has no text. The driver gets the term counts of at most 2 per_class texts,
+    and how many of all documents hold each term of those."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     if allowed is not None:
         marks = marks.where(allowed)
@@ -244,7 +245,23 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER
     examples = [(i, y, new[own], n) for i, y, own, n in examples]
     a, b = (np.bincount(np.concatenate([e[2] for e in examples if e[1] == y]), minlength=len(terms)) for y in (1, 0))
     unstage(sample)
-    return Votes(examples, terms, a + b, pos + neg, lift(a, b, pos, neg), (max(1.0, whole[0] / neg), max(1.0, whole[1] / pos)))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, n, total = {t: i for i, t in enumerate(terms)}, np.zeros(len(terms), np.int64), 0
+        for batch in batches:
+            total += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                n[[number[w] for w in set(words_of(text or "")) if w in number]] += 1
+        at = np.flatnonzero(n)
+        del number
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(n[at], total), pa.int64())], ["term", "n"])
+
+    found = docs.select(F.col("text").cast("string")).mapInArrow(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+    df = np.zeros(len(terms), np.int64)
+    df[at[at >= 0]] = n[at >= 0]
+    return Votes(examples, terms, df, int(n[at < 0].sum()), lift(a, b, pos, neg), (max(1.0, whole[0] / neg), max(1.0, whole[1] / pos)))
 
 
 def score(docs: DataFrame, model: Votes | None, key: str = "doc_id", text: str = "text") -> DataFrame:
