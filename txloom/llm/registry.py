@@ -15,6 +15,7 @@ QUERIES = {
     "op10_langid": langid.op10_langid,
 }
 ORACLES: dict[str, str] = {
+    "op4_lm_score": lm.OP4_SQL,
     "op7_url_filter": urls.OP7_SQL,
     "op8_substring_dedup": substring.OP8_SQL,
     "op9_jaccard_join": jaccard.OP9_SQL,

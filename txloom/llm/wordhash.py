@@ -88,6 +88,32 @@ def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[t
         row += len(chunk)
 
 
+def word_count(texts: pa.Array) -> int:
+    """How many words all texts have together."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if not len(texts):
+        return 0
+    _, at, held = texts.buffers()
+    bounds = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    word = ~_SPACE[np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]]] if held is not None and held.size else np.empty(0, bool)
+    edge = np.unique(bounds[1:-1] - bounds[0])
+    edge = edge[(edge > 0) & (edge < len(word))]  # words that meet where one text ends and the next begins
+    return int(word[:1].sum() + np.count_nonzero(word[1:] & ~word[:-1]) + np.count_nonzero(word[edge] & word[edge - 1]))
+
+
+def ordered(h: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit hashes: places ride in the low bits of a plain sort, several times faster than an argsort;
+    the few hashes that differ in those bits alone are put right after it."""
+    bits = np.uint64(max(1, len(h)).bit_length())
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    keys = h & ~mask
+    keys |= np.arange(len(h), dtype=np.uint64)
+    keys.sort()
+    at = (keys & mask).astype(np.int64)
+    found = h[at]
+    return at[np.argsort(found, kind="stable")] if (found[1:] < found[:-1]).any() else at
+
+
 def split_by_hash(h: np.ndarray, buckets: int) -> np.ndarray:
     """Where sorted hashes change from one of `buckets` equal ranges to the next (buckets + 1 places)."""
     edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
