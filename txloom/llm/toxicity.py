@@ -1,18 +1,20 @@
 """Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF vectors over inverted lists.
 
 Learning uses a bounded sample: `per_class` labelled texts of each class with the smallest hash of their id. Terms are
-lower-cased runs of letters. All terms of the sample are kept; each weighs its idf times `lift`, 1 or more, by how much
+lower-cased runs of word characters other than digits and underscores. All terms of the sample are kept; each weighs its idf times `lift`, 1 or more, by how much
 commoner it is in one class. The idf counts all documents, in one pass that each task adds up. An example is the vector of a text over these terms, at unit length.
 
-The index: postings by term over the examples, with commoner terms as a dense matrix. Every text that shares a term with
-an example is compared with all such examples, and the k nearest are exact.
+The index: blocks of alike examples, and for each term the largest weight that each block holds of it. Every text that
+shares a term with an example is bounded against all blocks; blocks that could hold one of the k nearest are read, so the
+k nearest are exact.
 
 The score: votes of the k nearest weighted by their cosine, with the base rate as a fixed prior weight, then a
 logistic curve that was fitted to the leave-one-out votes of the examples (so it is calibrated). Texts without any
 term get the base rate of such texts. Evidence: the ids, labels and cosines of the neighbours.
 
 Edge cases: null and empty texts have no term; with no labels (or none of one class) every score is 0; rows that
-repeat a label count once, and a positive label beats a negative one; repeated documents are scored one by one; of
+repeat a label count once, and a positive label beats a negative one; of documents that repeat an id one text (the least)
+can be an example; repeated documents are scored one by one; of
 equal cosines the earlier example in the order of ids as text is nearer; other columns are dropped.
 """
 
@@ -27,92 +29,139 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from txloom.llm.bpe import _kind
 from txloom.llm.common import held_out, stage, table, trim, unstage
 
 #: Bound of the training sample, labelled texts of each class.
-PER_CLASS = 6_000
+PER_CLASS = 2_000
 K = 15
 PRIOR = 1.0
 ROWS = 1024
-#: Queries multiplied at once.
-BATCH = 128
+#: Examples in a block of the index, and queries asked together.
+BLOCK, BATCH = 32, 128
 
-_WORDS: list = []
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    if not _WORDS:
-        _WORDS.append(re.compile(f"[{_kind('L')}]+"))
-    return _WORDS[0].findall(text.lower())
-
-
-class Postings:
-    """Unit vectors over term numbers as postings by term. Terms that a sixteenth of the vectors hold are rows of a dense
-    matrix, multiplied for many queries at once; the rest are added term by term."""
-
-    def __init__(self, vectors: Iterable[dict[int, float]], terms: int):
-        numbers, weights = [], []
+    return _WORDS.findall(text.lower())
+
+
+def arranged(bounds: np.ndarray, numbers: np.ndarray, weights: np.ndarray, terms: int, size: int) -> np.ndarray:
+    """An order of vectors in which alike ones stand together: halves by their main direction, and halves of those, down to
+    `size`. It decides how tight the bounds of blocks are, never what is found."""
+    done, todo = [], [np.arange(len(bounds) - 1)]
+    while todo:
+        ids = todo.pop()
+        if len(ids) <= size:
+            done.append(ids)
+            continue
+        lens = bounds[ids + 1] - bounds[ids]
+        at = np.repeat(bounds[ids] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+        t, w, rows = numbers[at], weights[at], np.repeat(np.arange(len(ids)), lens)
+        u = np.cos(1.7 * np.arange(len(ids)))
+        for _ in range(8):
+            u = u - u.mean()
+            u = np.bincount(rows, w * np.bincount(t, w * u[rows], terms)[t], len(ids))
+            u = u / max(1e-30, np.abs(u).max())
+        order, half = np.argsort(u, kind="stable"), -(-len(ids) // size) // 2 * size
+        todo += [ids[order[half:]], ids[order[:half]]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
+class BlockMaxIndex:
+    """Unit vectors over term numbers in blocks of alike ones, as inverted lists: rarer terms as postings, commoner ones as a
+    dense matrix for each block, with each term's largest weight in each block.
+
+    Queries come in batches. Postings give each vector a first part of its cosine; the best of a block plus the maxima of the
+    commoner terms bounds the block. The block with the largest bound is read first; those whose bound falls below its
+    k-th cosine are never read. Exact: single precision only tells which vectors can be among the k nearest."""
+
+    def __init__(self, vectors: Iterable[dict[int, float]], terms: int, size: int = BLOCK):
+        numbers, weights = [np.zeros(0, np.int32)], [np.zeros(0)]
         for v in vectors:
             numbers.append(np.fromiter(v.keys(), np.int32, len(v)))
             weights.append(np.fromiter(v.values(), np.float64, len(v)))
-        self.terms, self.n = terms, len(numbers)
-        self.bounds = np.cumsum([0] + [len(x) for x in numbers])
-        self.numbers = np.concatenate(numbers or [np.zeros(0, np.int32)])
-        self.weights = np.concatenate(weights or [np.zeros(0)])
+        self.terms, self.n, self.size = terms, len(numbers) - 1, size
+        bounds = np.cumsum([len(x) for x in numbers])
+        self.order = arranged(bounds, np.concatenate(numbers), np.concatenate(weights), terms, size)
+        self.bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[self.order])])
+        self.numbers = np.concatenate([numbers[0], *[numbers[i + 1] for i in self.order.tolist()]])
+        self.weights = np.concatenate([weights[0], *[weights[i + 1] for i in self.order.tolist()]])
         self.post()
 
     def post(self) -> None:
+        count = self.count = -(-self.n // self.size)
+        self.place = np.empty(self.n, np.int64)
+        self.place[self.order] = np.arange(self.n)
         rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.bounds))
         df = np.bincount(self.numbers, minlength=self.terms)
         common = np.flatnonzero(df > max(16, self.n // 16))
-        self.place = np.full(self.terms, -1, np.int32)
-        self.place[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.n), np.float32)
-        at = self.place[self.numbers]
-        self.dense[at[at >= 0], rows[at >= 0]] = self.weights[at >= 0]
+        self.dense = np.full(self.terms, -1, np.int32)
+        self.dense[common] = np.arange(len(common))
+        at = self.dense[self.numbers]
+        self.parts = np.zeros((count, len(common), self.size), np.float32)
+        self.parts[rows[at >= 0] // self.size, at[at >= 0], rows[at >= 0] % self.size] = self.weights[at >= 0]
+        self.maxima = np.ascontiguousarray(self.parts.max(axis=2).T) if count else np.zeros((0, 0), np.float32)
         rare = np.flatnonzero(at < 0)
         rare = rare[np.argsort(self.numbers[rare], kind="stable")]
-        self.docs, self.values = rows[rare], self.weights[rare].astype(np.float32)
+        self.rows, self.values = rows[rare], self.weights[rare].astype(np.float32)
         self.starts = np.searchsorted(self.numbers[rare], np.arange(self.terms + 1))
+        self.whole, self.read = np.zeros(self.terms), 0
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("terms", "n", "bounds", "numbers", "weights")}
+        return {k: self.__dict__[k] for k in ("terms", "n", "size", "order", "bounds", "numbers", "weights")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.post()
 
     def nearest_all(self, queries: list[dict[int, float]], k: int, without: list[int] | None = None) -> list[list[tuple[int, float]]]:
-        """(example, cosine) of the k nearest with a cosine above 0, nearest first, for each query; exact: single precision
-        only tells which examples can be among them."""
+        """(vector, cosine) of the k nearest with a cosine above 0, nearest first, for each query; of equal ones the earlier."""
+        if not self.n or not queries:
+            return [[] for _ in queries]
+        m, size = len(queries), self.size
         sides = [(np.fromiter(q.keys(), np.int64, len(q)), np.fromiter(q.values(), np.float64, len(q))) for q in queries]
-        asked = np.zeros((len(queries), len(self.dense)), np.float32)
+        asked, sums = np.zeros((m, len(self.maxima)), np.float32), np.zeros((m, self.count * size), np.float32)
         for i, (t, w) in enumerate(sides):
-            at = self.place[t]
+            at = self.dense[t]
             asked[i, at[at >= 0]] = w[at >= 0]
-        sums = asked @ self.dense
-        whole, out = np.zeros(self.terms), []
+            lo, hi = self.starts[t], self.starts[t + 1]
+            some = np.flatnonzero(hi > lo)
+            if len(some):
+                spans = [slice(a, b) for a, b in zip(lo[some].tolist(), hi[some].tolist())]
+                values = np.concatenate([self.values[s] for s in spans]) * np.repeat(w[some], (hi - lo)[some])
+                sums[i, : self.n] = np.bincount(np.concatenate([self.rows[s] for s in spans]), values, self.n)
+        mine = np.full(m, -1) if without is None else self.place[np.array(without)]
+        tile = sums.reshape(m, self.count, size)
+        bound = tile.max(axis=2) + asked @ self.maxima
+        first, done, least = bound.argmax(axis=1), np.zeros((m, self.count), bool), np.zeros(m, np.float32)
+        for turn in (0, 1):
+            need = (np.arange(self.count) == first[:, None]) if turn == 0 else (bound >= np.maximum(least - 1e-4, 1e-9)[:, None]) & ~done
+            for b in np.flatnonzero(need.any(axis=0)).tolist():
+                q = np.flatnonzero(need[:, b])
+                tile[q, b] += asked[q] @ self.parts[b]
+                self.read += len(q)
+            done |= need
+            if turn == 0:
+                if without is not None:
+                    sums[np.arange(m), mine] = 0.0
+                if size >= k:
+                    least = np.partition(tile[np.arange(m), first], size - k, axis=1)[:, size - k]
+        if without is not None:
+            sums[np.arange(m), mine] = 0.0
+        tile[~done] = 0.0
+        floor = np.partition(sums, sums.shape[1] - k, axis=1)[:, sums.shape[1] - k] - 1e-4 if sums.shape[1] > k else np.zeros(m)
+        out, whole = [], self.whole
         for i, (t, w) in enumerate(sides):
-            got = sums[i]
-            rare = self.place[t] < 0
-            lo, hi = self.starts[t[rare]], self.starts[t[rare] + 1]
-            if len(lo):
-                pairs = list(zip(lo.tolist(), hi.tolist()))
-                docs = np.concatenate([self.docs[a:b] for a, b in pairs])
-                values = np.concatenate([self.values[a:b] for a, b in pairs])
-                got = got + np.bincount(docs, values * np.repeat(w[rare], hi - lo), self.n)
-            if without is not None:
-                got[without[i]] = 0.0
-            least = np.partition(got, self.n - k)[self.n - k] - 1e-4 if self.n > k else 0.0
             whole[t] = w
             found = []
-            for e in np.flatnonzero(got >= max(least, 1e-12)).tolist():
+            for e in np.flatnonzero(sums[i, : self.n] >= max(floor[i], 1e-12)).tolist():
                 a, b = self.bounds[e], self.bounds[e + 1]
-                found.append((-round(float(whole[self.numbers[a:b]] @ self.weights[a:b]), 12), e))
+                found.append((-round(float(whole[self.numbers[a:b]] @ self.weights[a:b]), 12), int(self.order[e])))
             whole[t] = 0.0
             out.append([(e, -c) for c, e in sorted(found)[:k] if c < 0])
         return out
@@ -121,10 +170,6 @@ class Postings:
         return self.nearest_all([query], k, None if without < 0 else [without])[0]
 
 
-#: The index's name where it kept block maxima.
-BlockMaxIndex = Postings
-
-
 class Votes:
     """The fitted scorer: terms, index, labels, and the curve from votes to scores."""
 
@@ -139,7 +184,7 @@ class Votes:
         held = [e for e in examples if len(e[2])]
         self.ids, self.labels = [e[0] for e in held], np.array([e[1] for e in held], float)
         vectors = lambda: (self.vector(dict(zip(e[2].tolist(), e[3].tolist()))) for e in held)
-        self.index = Postings(vectors(), len(self.number))
+        self.index = BlockMaxIndex(vectors(), len(self.number))
         share = lambda ys, prior, n: (self.stands[1] * sum(ys) + n * prior) / (self.stands[1] * sum(ys) + self.stands[0] * (len(ys) - sum(ys)) + n)
         self.base = share([e[1] for e in examples], 0.5, 1.0)
         self.blank = share(empty, self.base, 0.5)
@@ -165,7 +210,7 @@ class Votes:
         return (votes[1] + PRIOR * self.base) / (votes.sum() + PRIOR)
 
     def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
-        number, out = self.number, []
+        number, (a, b), out = self.number, self.curve, []
         for at in range(0, len(texts), BATCH):
             counts = [Counter([number[w] for w in words_of(t or "") if w in number]) for t in texts[at : at + BATCH]]
             nears = iter(self.index.nearest_all([self.vector(c) for c in counts if c], K))
@@ -175,7 +220,6 @@ class Votes:
                     continue
                 near = next(nears)
                 vote = self.vote(near)
-                a, b = self.curve
                 out.append((1 / (1 + math.exp(-(a * math.log(vote / (1 - vote)) + b))), near))
         return out
 
@@ -210,13 +254,17 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, per_class: int = PER
     marks = marks.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     whole = dict(marks.groupBy("toxic").count().collect())
     # about four times the sample by hash, so that ranking meets a bounded number of rows; then exactly the smallest
-    spread = 1 << 40
-    cut = F.when(F.col("toxic") == 1, min(spread, 4 * per_class * spread // max(1, whole.get(1, 0)))).otherwise(min(spread, 4 * per_class * spread // max(1, whole.get(0, 0))))
+    spread, each = 1 << 40, [max(1, whole.get(y, 0)) for y in (0, 1)]
+    cut = F.when(F.col("toxic") == 1, min(spread, 4 * per_class * spread // each[1])).otherwise(min(spread, 4 * per_class * spread // each[0]))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
-    by = Window.partitionBy("toxic").orderBy(place, "doc_id")
-    few = marks.where(place < cut).withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_class)
-    # at most 2 per_class rows: small enough to send to every task
-    sample = stage(docs.select("doc_id", "text").join(F.broadcast(few.select("doc_id", "toxic")), "doc_id"))
+    drawn = sorted(marks.where(place < cut).select("toxic", place.alias("place"), "doc_id").collect(), key=lambda r: (r["toxic"], r["place"], str(r["doc_id"])))
+    few = [r for y in (0, 1) for r in [r for r in drawn if r["toxic"] == y][:per_class]]
+    if not few:
+        return None
+    # at most 2 per_class rows: small enough to send to every task; one text an id
+    few = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in few], T.StructType([marks.schema["doc_id"], T.StructField("toxic", T.IntegerType())]))
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+    sample = stage(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
     sizes = dict(sample.groupBy("toxic").count().collect())
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
