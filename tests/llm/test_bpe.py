@@ -71,3 +71,12 @@ def test_query(spark, tmp_path):
         ids = library.encode({1: "Hello <|endoftext|> wörld"}.get(r["doc_id"], ""), add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_every_code_point_is_that_of_the_library(both):
+    """Letters, numbers, case and composition of all characters, whatever version of Unicode Python knows."""
+    library, own = both
+    points = [*range(0xD800), *range(0xE000, bpe.PLANES), *range(bpe.PLANES, 0x110000, 997)]
+    texts = [" ".join(f"a{chr(k)}b {chr(k)}" for k in points[i : i + 40]) for i in range(0, len(points), 40)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode_batch(texts)] == want

@@ -20,11 +20,13 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from txloom.llm.common import table
 
@@ -37,6 +39,9 @@ LONGEST = 64
 #: Rows turned into one output batch.
 ROWS = 1024
 
+#: Letters and numbers lie below: the later planes are unassigned, marks or for private use.
+PLANES = 0x40000
+
 INF = float("inf")
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 GPT_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,17 +54,22 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
+@cache
 def _kind(classes: str) -> str:
-    """The characters of Unicode's general categories that start with one of classes, as ranges for a pattern."""
-    ranges, start = [], None
-    for k in range(0x110001):
-        inside = k < 0x110000 and unicodedata.category(chr(k))[0] in classes
-        if inside and start is None:
-            start = k
-        elif not inside and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{k - 1:08x}")
-            start = None
-    return "".join(ranges)
+    """The characters of Unicode's general categories that start with one of classes, as ranges for a pattern, by the tables
+    of the tokenizers library: Python's are of another version of Unicode."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, PLANES)]))
+    found = pre_tokenizers.Split(Regex("[" + "".join(rf"\p{{{c}}}" for c in classes) + "]+"), "removed").pre_tokenize_str(every)
+    ends = [0, *[x for _, at in found for x in at], len(every)]
+    name = lambda k: f"\\U{ord(every[k]):08x}"
+    return "".join(f"{name(i)}-{name(j - 1)}" for i, j in zip(ends[::2], ends[1::2]) if i < j)
+
+
+@cache
+def _unknown() -> re.Pattern:
+    """The characters that Python's Unicode tables do not know."""
+    new = "".join(chr(k) if unicodedata.category(chr(k)) == "Cn" else " " for k in [*range(0xD800), *range(0xE000, PLANES)])
+    return re.compile("[" + "".join(f"\\U{ord(m[0][0]):08x}-\\U{ord(m[0][-1]):08x}" for m in re.finditer("[^ ]+", new)) + "]")
 
 
 class TrieBpe:
@@ -281,7 +291,10 @@ class Tokenizer:
                 if chunk.isalpha():
                     return [chunk]
             else:
-                chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # the library has no final sigma
+                if _unknown().search(chunk):
+                    chunk = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(chunk)
+                else:
+                    chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # the library has no final sigma
         return [w.encode("utf-8", "replace").decode("latin-1").translate(self.chars) for w in self.words.findall(chunk)]
 
     def learn(self, chunks: set[str]) -> None:
