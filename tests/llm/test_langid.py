@@ -111,3 +111,12 @@ def test_table_starts_anew_without_changing_results(spark, monkeypatch):
     monkeypatch.setattr(L, "TABLE", 30)
     small = L.Scorer(models)
     assert [small.judge([t])[0] for t in texts] == want
+
+
+def test_sample_is_bounded_when_ids_repeat(spark, monkeypatch):
+    rows = [(i, " ".join(["haus", "baum", "wasser", f"wort{i % 7}"] * 3), "de") for i in range(40)]
+    rows += [(5, rows[5][1], "de")] * 300 + [(5, "zzz aaa", "de")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = L.train(docs, per_lang=10)
+    once = L.train(docs.groupBy("doc_id", "lang").agg({"text": "min"}).withColumnRenamed("min(text)", "text"), per_lang=10)
+    assert seen.keys() == once.keys() and all((seen["de"][k] == once["de"][k]).all() for k in once["de"])

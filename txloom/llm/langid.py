@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txloom.llm.bpe import _kind
-from txloom.llm.common import held_out, stage, table, trim
+from txloom.llm.common import held_out, stage, table, trim, unstage
 
 ORDER = 4
 #: Bound of the training sample, rows a language.
@@ -40,8 +40,6 @@ LONGEST = 64
 ROWS = 1024
 #: Standard deviations (of a text of its length) above the bound of its language at which a text is rejected.
 REJECT = 4.0
-#: Words of calibration texts that are replaced by noise to set the bound.
-NOISE_WORDS = 5_000
 
 _WORDS: list = []
 
@@ -209,18 +207,19 @@ def train(docs: DataFrame, allowed=None, per_lang: int = PER_LANG, order: int =
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     if allowed is not None:
         rows = rows.where(allowed)
-    counts = rows.groupBy("lang").count().collect()  # a row for each language
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).collect()  # a row for each language
     if not counts:
         return {}
     # about four times the sample by hash, so that ranking meets a bounded number of rows; then exactly the smallest
     spread = 1 << 40
-    cuts = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(spread, 4 * per_lang * spread // r["count"]))])
+    cuts = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(spread, 4 * per_lang * spread // max(1, r["ids"])))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
     by = Window.partitionBy("lang").orderBy(place, "doc_id")
-    near = rows.select("doc_id", "lang").where(place < F.element_at(cuts, F.col("lang")))
+    near = rows.where(place < F.element_at(cuts, F.col("lang"))).select("doc_id", "lang").distinct()
     # staged, so that its true size decides how it is joined
     few = stage(near.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_lang))
-    sample = rows.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"])
+    # one text (the least) for each id and language, however often it stands
+    sample = rows.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(few, ["doc_id", "lang"]).groupBy("doc_id", "lang", "n").agg(F.min("text").alias("text"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["doc_id", "text"]).sort_values(["n", "text"])
@@ -241,11 +240,12 @@ def train(docs: DataFrame, allowed=None, per_lang: int = PER_LANG, order: int =
         means, sizes = np.array(means), np.array(sizes)
         mean = float(np.median(means)) if len(means) else float("inf")
         each = float(np.median((means - mean) ** 2 * sizes)) * 2.2 if len(means) else 0.0  # a character's variance, robustly
-        noise = noise_entropy(model, [w for t in checked for w in t][:NOISE_WORDS])
+        noise = noise_entropy(model, [w for t in checked for w in t])
         model["bound"] = np.array([mean, (mean + max(noise, mean)) / 2, max(each, 1.0)])
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "model": [pack(model)]})
 
     made = sample.groupBy("lang").applyInPandas(fit, "lang string, model binary").collect()
+    unstage(few)
     return {r["lang"]: unpack(r["model"]) for r in sorted(made)}
 
 
