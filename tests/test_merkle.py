@@ -73,6 +73,39 @@ def test_both_tree_plans_agree(spark):
     assert a == {tuple(r) for r in M.tree_levels_by_shuffle(leaves(spark, 13), 4).select("level", "offset", "hash").collect()}
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(1, 40), st.data())
+def test_rows_and_nodes_agree(spark, n, data):
+    """The proof of one row is that made node by node, whole proofs lead to the root, and of equal leaves the last counts."""
+    rs = data.draw(st.sets(st.integers(0, n - 1), min_size=1, max_size=6))
+    twin = n > 1 and data.draw(st.booleans())
+    made = [("b", 500, 0, i, leaf(0 if twin and i == n - 1 else i).hex()) for i in range(n)]
+    lv = spark.createDataFrame(made, "block_hash string, height long, subtree_index long, leaf_index long, raw_hex string")
+    regs = spark.createDataFrame([(made[r][4], "u", "") for r in rs], "raw_hex string, url string, token string").distinct()
+    own = {max(i for i in range(n) if made[i][4] == made[r][4]) for r in rs}
+    row = M.with_stump(M.with_proof(M.with_levels(M.subtree_rows(lv, regs), 6))).withColumn("root", M.root_of(F.col("levels"), F.col("tree_height"))).head()
+    levels = M.tree_levels_by_shuffle(lv, 6)
+    want = {(r["level"], r["offset"], r["flag"], r["hash"]) for r in M.stump_nodes(registered(spark, own), levels).collect()}
+    assert [(x["level"], x["offset"]) for x in row["nodes"]] == sorted((k, o) for k, o, _, _ in want)
+    assert {tuple(x) for x in row["nodes"]} == {(k, o, f, h if f != 1 else None) for k, o, f, h in want}
+    if n == 1:
+        assert row["stump_hex"] is None
+        return
+    _, height, nodes = M.parse_stump(bytes.fromhex(row["stump_hex"]))
+    assert M.root_of_proof(nodes, height) == row["root"]
+    assert M.root_of_proof([(k, o, 0 if f == 2 else f, h) for k, o, f, h in nodes], height) is None
+
+
+def test_a_tree_over_the_bound_is_an_error(spark):
+    with pytest.raises(Exception, match="too high"):
+        M.with_levels(M.subtree_rows(leaves(spark, 9)), 3).collect()
+
+
+def test_whole_proofs_as_rows(spark):
+    got = M.stump_roots(spark.createDataFrame([(1, base64.b64decode(VECTOR).hex()), (2, "00"), (3, None)], "k int, stump_hex string"), ["k"]).collect()
+    assert {r["k"]: (r["root"], r["error"] is None) for r in got} == {1: (ROOT, True), 2: (None, False), 3: (None, False)}
+
+
 def test_malformed_proofs_are_rows_with_an_error(spark):
     good = base64.b64decode(VECTOR)
     bad = [good[:50].hex(), "zz", "", None, (good[:6] + b"\x09" + good[7:]).hex()]

@@ -1,9 +1,12 @@
 """Merkle trees and proofs as relations.
 
-A tree is built in one shuffle: the leaves of a subtree come together as one array, and each level is an expression
-over the array below it. The proof (STUMP) needs no loop: which nodes it holds is a closed form of the registered
-offsets. For every level the offsets above the registered leaves are needed; the proof holds their siblings, and the
-registered leaves themselves at level 0. Offsets beyond the level's real nodes are marked as duplicates without a hash.
+A subtree is one row (`subtree_rows`): the leaves, with who registered for them, come together in one shuffle; each level
+is an expression over the level below, the proof (STUMP) one over the levels, its bytes one over the proof. Nothing is
+taken apart and joined again. The proof needs no loop: which nodes it holds is a closed form of the registered offsets.
+For every level the offsets above the registered leaves are needed; the proof holds their siblings, and the registered
+leaves themselves at level 0. Offsets beyond the level's real nodes are marked as duplicates without a hash.
+
+`tree_levels_by_shuffle`, `stump_nodes` and `encode_stumps` do the same node by node, for subtrees too large for a row.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txloom.functions.scalars import compact_size_hex, double_sha256_hex, sha256_hex
+from txloom.functions.scalars import compact_size_hex, double_sha256_hex, let, sha256_hex
 
 #: Levels a tree may have (2**MAX_HEIGHT leaves).
 MAX_HEIGHT = 20
@@ -29,41 +32,121 @@ def subtree_arrays(leaves: DataFrame) -> DataFrame:
     return out.withColumn("n", F.size("hashes")).withColumn("subtree_hash", sha256_hex(F.unhex(F.array_join("hashes", ""))))
 
 
-def next_level(hashes: Column) -> Column:
-    """Parents of a level: each the double hash of two children; a missing right child is its sibling again."""
+def subtree_rows(leaves: DataFrame, registrations: DataFrame | None = None, key: str = "raw_hex") -> DataFrame:
+    """block_hash, subtree_index, height, n, tree_height, hashes (binary, by leaf index) and found: the registered leaves
+    (raw_hex, leaf_index, callbacks: url and token). Of equal hashes in a subtree only the last leaf counts.
+
+    registrations: key, url, token; a txid's urls are bounded by the cap, so they travel as one array."""
+    if registrations is None:
+        leaves = leaves.withColumn("callbacks", F.lit(None).cast("array<struct<url:string,token:string>>"))
+    else:
+        who = registrations.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("url", "token"))).alias("callbacks"))
+        leaves = leaves.join(who, key, "left")
+    packed = F.array_sort(F.collect_list(F.struct(F.col("leaf_index").cast("int").alias("leaf_index"), "raw_hex", "callbacks")))
+    rows = leaves.groupBy(*TREE, "height").agg(packed.alias("_l"))
+    hit = F.array_sort(F.transform(F.filter("_l", lambda x: x["callbacks"].isNotNull()), lambda x: F.struct(x["raw_hex"].alias("raw_hex"), x["leaf_index"].alias("leaf_index"), x["callbacks"].alias("callbacks"))))
+    last = let(hit, lambda h: F.filter(h, lambda x, i: (i == F.size(h) - 1) | (F.try_element_at(h, i + 2)["raw_hex"] != x["raw_hex"])))
+    n = F.size("_l")
+    return rows.select(*TREE, "height", n.alias("n"), tree_height(n).cast("int").alias("tree_height"), F.transform("_l", lambda x: F.unhex(x["raw_hex"])).alias("hashes"), last.alias("found"))
+
+
+def double_sha256(b: Column) -> Column:
+    """SHA-256 of SHA-256, from binary to binary."""
+    return F.unhex(F.sha2(F.unhex(F.sha2(b, 256)), 256))
+
+
+def _parents(below: Column) -> Column:
     def parent(i: Column) -> Column:
-        left = F.element_at(hashes, (i * 2 + 1).cast("int"))
-        right = F.coalesce(F.try_element_at(hashes, (i * 2 + 2).cast("int")), left)
-        return double_sha256_hex(F.concat(left, right))
+        left = F.element_at(below, i * 2 + 1)
+        return double_sha256(F.concat(left, F.coalesce(F.try_element_at(below, i * 2 + 2), left)))
+
+    return F.transform(F.sequence(F.lit(0), F.shiftright(F.size(below) + 1, 1) - 1), parent)
+
+
+def with_levels(rows: DataFrame, height: int = MAX_HEIGHT) -> DataFrame:
+    """rows with levels: an array (leaves first, root last) of the arrays of each level's hashes. height: a bound of the
+    levels above the leaves; a tree that needs more raises an error."""
+    small = F.when(F.col("tree_height") <= min(height, MAX_HEIGHT), F.col("tree_height")).otherwise(F.raise_error(F.lit("the tree is too high"))).cast("int")
+    start = F.struct(F.col("hashes").alias("top"), F.array("hashes").alias("all"))
+
+    def step(acc: Column, i: Column) -> Column:
+        return let(_parents(acc["top"]), lambda up: F.struct(up.alias("top"), F.concat(acc["all"], F.array(up)).alias("all")))
+
+    turns = F.slice(F.sequence(F.lit(0), F.lit(MAX_HEIGHT)), 1, small)
+    return rows.withColumn("levels", F.aggregate(turns, start, step, lambda acc: acc["all"]))
+
+
+def root_of(levels: Column, height: Column) -> Column:
+    """The root's hex, from the levels of a row and its tree_height."""
+    return F.lower(F.hex(F.element_at(F.element_at(levels, height + 1), 1)))
+
+
+def _proof_level(levels: Column, own: Column, level: Column) -> Column:
+    """The proof's nodes at a level, in order."""
+    real = F.element_at(levels, level + 1)
+
+    def node(flag: int):
+        return lambda o: F.struct(level.alias("level"), o.alias("offset"), F.when(o >= F.size(real), 1).otherwise(flag).alias("flag"), F.lower(F.hex(F.try_element_at(real, o + 1))).alias("hash"))
 
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(hashes) / 2).cast("int") - 1), parent)
+    def made(beside: Column) -> Column:
+        leaves = F.concat(F.transform(own, node(2)), F.transform(F.array_except(beside, own), node(0)))
+        return F.array_sort(F.when(level == 0, leaves).otherwise(F.transform(beside, node(0))))
+
+    up = F.array_distinct(F.transform(own, lambda o: F.call_function("shiftright", o, level)))
+    return let(F.transform(up, lambda o: o.bitwiseXOR(F.lit(1))), made)
+
+
+def with_proof(rows: DataFrame, offsets: Column | None = None) -> DataFrame:
+    """rows (with_levels) with nodes: the proof of the found leaves (or of `offsets`) as an array of (level, offset, flag,
+    hash) in order. A single leaf has no path and so no nodes."""
+    own = F.array_distinct(offsets if offsets is not None else F.transform("found", lambda x: x["leaf_index"]))
+    turns = F.slice(F.sequence(F.lit(0), F.lit(MAX_HEIGHT)), 1, F.col("tree_height"))
+    nodes = let(F.struct(F.col("levels").alias("l"), own.alias("o")), lambda v: F.flatten(F.transform(turns, lambda k: _proof_level(v["l"], v["o"], k))))
+    return rows.withColumn("nodes", nodes)
+
+
+def with_stump(rows: DataFrame) -> DataFrame:
+    """rows (with_proof) with stump_hex and stump_ref; both null where the proof has no nodes."""
+    one = lambda x: F.concat(compact_size_hex(x["offset"]), F.lpad(F.lower(F.hex(x["flag"])), 2, "0"), F.when(x["flag"] != 1, x["hash"]).otherwise(""))
+    turns = F.slice(F.sequence(F.lit(0), F.lit(MAX_HEIGHT)), 1, F.col("tree_height"))
+    written = lambda own: F.concat(compact_size_hex(F.size(own)), F.array_join(F.transform(own, one), ""))
+    body = let(F.col("nodes"), lambda ns: F.array_join(F.transform(turns, lambda k: let(F.filter(ns, lambda x: x["level"] == k), written)), ""))
+    text = F.concat(compact_size_hex("height"), F.lpad(F.lower(F.hex("tree_height")), 2, "0"), body)
+    return rows.withColumn("stump_hex", F.when(F.size("nodes") > 0, text)).withColumn("stump_ref", sha256_hex(F.unhex("stump_hex")))
+
+
+def callbacks_of(rows: DataFrame) -> DataFrame:
+    """block_hash, subtree_index, url, token (the greatest that is not empty), stump_ref: one message for each url of a
+    row; no shuffle, as a row holds all of its subtree."""
+    pairs = F.sort_array(F.flatten(F.transform("found", lambda x: F.transform(x["callbacks"], lambda c: F.struct(c["url"].alias("url"), F.nullif(c["token"], F.lit("")).alias("token"))))))
+    # the last of each url's sorted pairs has the greatest token; nulls sort first
+    last = let(pairs, lambda p: F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.try_element_at(p, i + 2)["url"] != x["url"])))
+    return rows.where("stump_ref is not null").select(*TREE, "stump_ref", F.explode(last).alias("_c")).select(*TREE, "_c.url", "_c.token", "stump_ref")
 
 
 def tree_levels(leaves: DataFrame, height: int) -> DataFrame:
     """block_hash, subtree_index, height, n, level, offset, hash: all nodes. height: the levels above the leaves that
     the largest subtree needs (ceil(log2(size)))."""
-    if height > MAX_HEIGHT:
-        raise ValueError("the tree is too high")
-    t = subtree_arrays(leaves).withColumn("_0", F.col("hashes"))
-    for level in range(1, height + 1):
-        t = t.withColumn(f"_{level}", F.when(F.size(f"_{level - 1}") > 1, next_level(F.col(f"_{level - 1}"))).otherwise(F.array().cast("array<string>")))
-    levels = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"_{i}").alias("nodes")) for i in range(height + 1)])
-    t = t.select(*TREE, "height", "n", F.explode(levels).alias("l"))
-    return t.select(*TREE, "height", "n", F.col("l.level").alias("level"), F.posexplode("l.nodes").alias("offset", "hash"))
-
-
-def tree_levels_by_shuffle(leaves: DataFrame, height: int) -> DataFrame:
-    """The same, one aggregation a level: for subtrees too large for one row."""
-    level = leaves.select(*TREE, F.col("leaf_index").cast("int").alias("offset"), F.col("raw_hex").alias("hash"))
-    out = [level.withColumn("level", F.lit(0))]
-    for i in range(1, height + 1):
-        pair = level.groupBy(*TREE, F.expr("offset div 2").alias("up")).agg(F.min_by("hash", "offset").alias("l"), F.max_by("hash", "offset").alias("r"), F.count("*").alias("c"))
-        many = level.groupBy(*TREE).agg(F.max("offset").alias("_m")).where("_m > 0")
-        level = pair.join(many.select(*TREE), TREE, "left_semi").select(*TREE, F.col("up").cast("int").alias("offset"), double_sha256_hex(F.concat("l", "r")).alias("hash"))
-        out.append(level.withColumn("level", F.lit(i)))
-    made = out[0]
-    for x in out[1:]:
-        made = made.unionByName(x)
+    t = with_levels(subtree_rows(leaves), height)
+    t = t.select(*TREE, "height", "n", F.posexplode("levels").alias("level", "_nodes"))
+    return t.select(*TREE, "height", "n", "level", F.posexplode(F.transform("_nodes", lambda h: F.lower(F.hex(h)))).alias("offset", "hash"))
+
+
+def tree_levels_by_shuffle(leaves: DataFrame, height: int, stage=None) -> DataFrame:
+    """The same, one aggregation a level: for subtrees too large for one row. stage (for instance a checkpoint) is given
+    each level, so that no level is computed again by those above it."""
+    level = leaves.withColumn("offset", F.col("leaf_index").cast("int")).withColumn("hash", F.col("raw_hex"))
+    sizes = leaves.groupBy(*TREE).agg(F.count("*").cast("int").alias("n"))
+    level = level.join(sizes, TREE).select(*TREE, "height", "n", "offset", "hash")
+    made = None
+    for i in range(height + 1):
+        if i:
+            two = level.where(F.expr(f"n > cast(power(2, {i - 1}) as int)")).groupBy(*TREE, "height", "n", F.expr("offset div 2").cast("int").alias("up"))
+            level = two.agg(F.min_by("hash", "offset").alias("l"), F.max_by("hash", "offset").alias("r"))
+            level = level.select(*TREE, "height", "n", F.col("up").alias("offset"), double_sha256_hex(F.concat("l", "r")).alias("hash"))
+        level = stage(level) if stage else level
+        own = level.select(*TREE, "height", "n", F.lit(i).alias("level"), "offset", "hash")
+        made = own if made is None else made.unionByName(own)
     return made
 
 
@@ -182,6 +265,54 @@ def verify(nodes: DataFrame) -> DataFrame:
     return paths.select(*TREE, "leaf_index", fold_root(F.col("leaf"), F.col("leaf_index"), F.col("path")).alias("root"))
 
 
+def root_of_proof(nodes: list[tuple[int, int, int, str | None]], height: int) -> str | None:
+    """The root of a whole proof, level by level: a duplicate takes its sibling's hash, a hash that the proof gives goes
+    before one computed from below, and pairs that lack a side lead nowhere. None without a registered leaf at level 0."""
+    import hashlib
+
+    if not any(level == 0 and flag == 2 for level, _, flag, _ in nodes):
+        return None
+    made: dict[int, bytes] = {}
+    for level in range(height):
+        given = {o: bytes.fromhex(h) for k, o, f, h in nodes if k == level and f != 1 and h}
+        made |= given
+        for k, o, f, _ in nodes:
+            if k == level and f == 1 and o ^ 1 in made:
+                made[o] = made[o ^ 1]
+        up = {}
+        for o in {x & ~1 for x in made}:
+            if o in made and o + 1 in made:
+                up[o // 2] = hashlib.sha256(hashlib.sha256(made[o] + made[o + 1]).digest()).digest()
+        if not up and level < height - 1:
+            break
+        made = up
+    return made[0].hex() if 0 in made else None
+
+
+def stump_roots(stumps: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """key columns, root, error of each encoded proof (stump_hex): null with an error if it is malformed, has no registered
+    leaf, or does not lead to one root."""
+    key = key or TREE
+    head = ", ".join(f"`{k}` {stumps.schema[k].dataType.simpleString()}" for k in key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots, errors = [], []
+            for text in batch.column(len(key)).to_pylist():
+                root, error = None, None
+                try:
+                    _, levels, nodes = parse_stump(bytes.fromhex(text or ""))
+                    root = root_of_proof(nodes, levels)
+                    error = None if root else "no registered leaf leads to a root"
+                except (ValueError, KeyError) as e:
+                    error = str(e)
+                roots.append(root)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(key))), pa.array(roots, pa.string()), pa.array(errors, pa.string())], [*key, "root", "error"])
+
+    return stumps.select(*key, "stump_hex").mapInArrow(run, f"{head}, root string, error string")
+
+
 def merge(nodes: DataFrame) -> DataFrame:
     """Proofs of one subtree as one: nodes by (level, offset), registered leaves before others."""
     return nodes.groupBy(*TREE, "height", "tree_height", "level", "offset").agg(F.max("flag").alias("flag"), F.max("hash").alias("hash"))

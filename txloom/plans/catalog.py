@@ -26,11 +26,26 @@ def query(f):
 
 
 def registrations(spark: SparkSession, sf: str) -> DataFrame:
-    return R.latest_registrations(T.registration_events(spark, sf))
+    """raw_hex, url, token, first_seq, txid: hashes are shown as txids after they were aggregated and joined."""
+    return R.latest_registrations(T.registration_events(spark, sf), "raw_hex").withColumn("txid", S.reversed_hex("raw_hex", 32))
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    return R.lookup(T.leaves(spark, sf), registrations(spark, sf))
+    return R.lookup(T.leaves(spark, sf), registrations(spark, sf), "raw_hex").withColumn("txid", S.reversed_hex("raw_hex", 32))
+
+
+def trees(spark: SparkSession, sf: str) -> DataFrame:
+    """A row a subtree, with its levels."""
+    return M.with_levels(M.subtree_rows(T.leaves(spark, sf)), HEIGHT)
+
+
+def proofs(spark: SparkSession, sf: str) -> DataFrame:
+    """A row a subtree, with its levels, who registered and the proof."""
+    return M.with_proof(M.with_levels(M.subtree_rows(T.leaves(spark, sf), registrations(spark, sf)), HEIGHT))
+
+
+def stumps(spark: SparkSession, sf: str) -> DataFrame:
+    return M.with_stump(proofs(spark, sf)).where("stump_hex is not null")
 
 
 def levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +53,7 @@ def levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return M.stump_nodes(found(spark, sf), levels(spark, sf))
+    return proofs(spark, sf).select("block_hash", "subtree_index", "height", "tree_height", F.inline("nodes"))
 
 
 @query
@@ -69,16 +84,31 @@ def raw_split_txids(spark, sf):
 def watch_validation(spark, sf):
     """Requests made from suppliers, good and bad by turns."""
     s = T.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
-    k = F.col("k") % 12
+    k = F.col("k") % 24
     tx = S.sha256_hex(F.concat(F.lit("tx:"), F.col("k").cast("string")))
-    url = (
-        F.when(k == 3, "").when(k == 4, "ftp://a.example/x").when(k == 5, "http://10.1.2.3/x").when(k == 6, "http://metadata/x")
-        .when(k == 7, "http://u:p@b.example/x").when(k == 8, "http://127.0.0.1:99/x").when(k == 9, "https://172.32.0.1/x").otherwise("https://subscriber.example/cb")
-    )
-    s = s.select("k", F.when(k == 1, "").when(k == 2, "xyz").when(k == 11, F.upper(tx)).otherwise(tx).alias("txid"), url.alias("callbackUrl"), F.when(k == 10, F.repeat(F.lit("é"), 2049)).otherwise("t").alias("callbackToken"))
+    odd = {
+        3: "", 4: "ftp://a.example/x", 5: "http://10.1.2.3/x", 6: "http://metadata/x", 7: "http://u:p@b.example/x", 8: "http://127.0.0.1:99/x", 9: "https://172.32.0.1/x",
+        12: "http://[::1]/x", 13: "http://[fc00::1]:8080/x", 14: "http://[::ffff:10.0.0.1]/x", 15: "http://[fd00:ec2::254]/x", 16: "http://[2001:db8::1]/x", 17: "http://[::]/x", 18: "http://[ff02::1]/x", 19: "http://[FE80::1]/x",
+        20: "http://METADATA.google.internal/x", 21: "http:///x",
+    }
+    url = F.lit("https://subscriber.example/cb")
+    for i, u in odd.items():
+        url = F.when(k == i, u).otherwise(url)
+    txid = F.when(k == 1, "").when(k == 2, "xyz").when(k == 11, F.upper(tx)).when(k == 22, F.concat(tx, F.lit("\n"))).when(k == 23, F.concat(F.lit(" "), tx)).otherwise(tx)
+    s = s.select("k", txid.alias("txid"), url.alias("callbackUrl"), F.when(k == 10, F.repeat(F.lit("é"), 2049)).otherwise("t").alias("callbackToken"))
     return R.validate_watch(s).select("k", F.col("status").cast("long").alias("status"), "error")
 
 
+@query
+def watch_admission(spark, sf):
+    """Answers to requests in their order, made from returned line items: a txid's urls over the cap are refused with 429."""
+    e = T.registration_events(spark, sf).withColumn("callbackUrl", F.when(F.col("seq.l_linenumber") == 4, "ftp://x/").otherwise(F.col("url")))
+    checked = R.validate_watch(e.select("txid", "callbackUrl", F.col("token").alias("callbackToken"), "seq"))
+    known = T.read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(S.reversed_hex(T.raw_hash(F.col("o_orderkey")), 32).alias("txid"), F.lit("https://known.example/").alias("url"))
+    out = R.admitted(checked, known, 2)
+    return out.groupBy("txid", "callbackUrl").agg(F.max("status").cast("long").alias("status"), F.count("*").alias("n"), F.max("error").alias("error"))
+
+
 @query
 def registration_latest_token(spark, sf):
     return registrations(spark, sf).select("txid", "url", "token")
@@ -139,9 +169,12 @@ def url_registry_upsert(spark, sf):
 
 @query
 def url_registry_active(spark, sf):
-    u = R.url_registry(T.url_sightings(spark, sf).where("seq % 3 <> 0 or last_seen < timestamp_ntz'2024-01-20 00:00:00'"))
-    u = u.withColumn("last_seen", F.when(F.col("url") != "https://subscriber-7.example/callback", F.col("last_seen")))
-    return R.active_urls(u, "2024-02-05 12:00:00").select("url", "token")
+    """Users as subscribers, each at a url of its own; those whose latest token is tok-3 have no time on record."""
+    e = T.read(spark, sf, "events")
+    own = F.concat(F.lit("https://user-"), F.col("user_id").cast("string"), F.lit(".example/callback"))
+    u = R.url_registry(e.select(own.alias("url"), F.concat(F.lit("tok-"), (F.col("event_id") % 7).cast("string")).alias("token"), F.col("ts").alias("last_seen"), F.col("event_id").alias("seq")))
+    u = u.withColumn("last_seen", F.when(F.col("token") != "tok-3", F.col("last_seen")))
+    return R.active_urls(u, "2024-01-31 12:00:00", 1).select("url", "token")
 
 
 @query
@@ -152,8 +185,9 @@ def seen_group_by_url(spark, sf):
 
 @query
 def seen_chunked(spark, sf):
-    c = N.chunked(registrations(spark, sf), 100)
-    return c.select("url", "chunk", F.size("txids").cast("long").alias("n"), S.txid_set_hash("txids").alias("set_hash"))
+    """Runs of a subtree's txids for each url."""
+    c = N.chunked(found(spark, sf), 2, "block_hash", "subtree_index")
+    return c.select("block_hash", "subtree_index", "url", "chunk", F.size("txids").cast("long").alias("n"), S.txid_set_hash("txids").alias("set_hash"))
 
 
 @query
@@ -222,7 +256,11 @@ def idempotency_key(spark, sf):
 
 @query
 def dedup_key(spark, sf):
+    """Every third message has no scope, and so no key."""
     m = callback_messages(spark, sf)
+    bare = F.col("subtree_index") % 3 == 2
+    m = m.withColumn("block", F.when(~bare, F.col("block")).otherwise("")).withColumn("txid", F.when(~bare, F.col("txid")).otherwise("")).withColumn("txids", F.when(~bare, F.col("txids")).otherwise(F.array().cast("array<string>")))
+    m = m.withColumn("type", F.when(bare & (F.col("type") == "STUMP"), "BLOCK_PROCESSED").otherwise(F.col("type"))).distinct()
     scope = S.scope_key("type", "block", "index", "txid", "txids")
     return m.select("block_hash", "subtree_index", "type", S.dedup_key(scope, "url", "type").alias("dedup_key"))
 
@@ -235,7 +273,8 @@ def callback_payload_json(spark, sf):
 
 @query
 def txid_set_hash(spark, sf):
-    return registrations(spark, sf).groupBy("url").agg(F.collect_set("txid").alias("t")).select("url", S.txid_set_hash("t").alias("set_hash"))
+    t = found(spark, sf).groupBy("block_hash", "subtree_index", "url").agg(F.collect_set("txid").alias("t"))
+    return t.select("block_hash", "subtree_index", "url", S.txid_set_hash("t").alias("set_hash"))
 
 
 @query
@@ -272,7 +311,15 @@ def merkle_levels(spark, sf):
 
 @query
 def merkle_root(spark, sf):
-    return M.roots(levels(spark, sf)).select("block_hash", "subtree_index", F.col("n").cast("long").alias("n"), "root")
+    return trees(spark, sf).select("block_hash", "subtree_index", F.col("n").cast("long").alias("n"), M.root_of(F.col("levels"), F.col("tree_height")).alias("root"))
+
+
+@query
+def merkle_root_4096(spark, sf):
+    """Roots, and digests of the proofs, of subtrees of up to 4,096 leaves."""
+    rows = M.with_levels(M.subtree_rows(T.leaves(spark, sf, 4096), registrations(spark, sf)), 12)
+    p = M.with_stump(M.with_proof(rows))
+    return p.select("block_hash", "subtree_index", F.col("n").cast("long").alias("n"), M.root_of(F.col("levels"), F.col("tree_height")).alias("root"), "stump_ref")
 
 
 @query
@@ -283,43 +330,52 @@ def stump_nodes(spark, sf):
 
 @query
 def stump_encode_hex(spark, sf):
-    return M.encode_stumps(nodes(spark, sf)).select("block_hash", "subtree_index", "stump_hex")
+    return stumps(spark, sf).select("block_hash", "subtree_index", "stump_hex")
 
 
 @query
 def stump_ref(spark, sf):
-    return M.encode_stumps(nodes(spark, sf)).select("block_hash", "subtree_index", "stump_ref")
+    return stumps(spark, sf).select("block_hash", "subtree_index", "stump_ref")
 
 
 @query
 def stump_decode(spark, sf):
     """Proofs encoded and decoded again; equal to stump_nodes."""
-    d = M.decode_stumps(M.encode_stumps(nodes(spark, sf)))
+    d = M.decode_stumps(stumps(spark, sf))
     return d.select("block_hash", "subtree_index", *[F.col(c).cast("long").alias(c) for c in ("tree_height", "level", "offset", "flag")], F.coalesce("hash", F.lit("")).alias("hash"))
 
 
 @query
 def stump_verify(spark, sf):
     """The root that each registered leaf folds to, and whether it is the tree's."""
-    lv = levels(spark, sf)
-    v = M.verify(M.stump_nodes(found(spark, sf), lv))
-    r = M.roots(lv).select("block_hash", "subtree_index", F.col("root").alias("want"))
+    p = proofs(spark, sf).select("block_hash", "subtree_index", "tree_height", "nodes", M.root_of(F.col("levels"), F.col("tree_height")).alias("want"))
+    v = M.verify(p.select("block_hash", "subtree_index", "tree_height", F.inline("nodes")))
+    r = p.select("block_hash", "subtree_index", "want")
     return v.join(r, ["block_hash", "subtree_index"]).select("block_hash", "subtree_index", F.col("leaf_index").cast("long").alias("leaf_index"), (F.col("root") == F.col("want")).alias("ok"))
 
 
+@query
+def stump_root(spark, sf):
+    """The root that each encoded proof leads to as a whole, and whether it is the tree's."""
+    p = M.with_stump(proofs(spark, sf).withColumn("want", M.root_of(F.col("levels"), F.col("tree_height")))).where("stump_hex is not null")
+    r = M.stump_roots(p, ["block_hash", "subtree_index", "want"])
+    return r.select("block_hash", "subtree_index", "root", (F.col("root") == F.col("want")).alias("ok"))
+
+
 @query
 def stump_merge(spark, sf):
     """Proofs of each url merged into the proof of all."""
-    f, lv = found(spark, sf), levels(spark, sf)
-    halves = [M.stump_nodes(f.where(F.col("leaf_index") % 2 == k), lv) for k in (0, 1)]
+    rows = M.with_levels(M.subtree_rows(T.leaves(spark, sf), registrations(spark, sf)), HEIGHT)
+    own = F.transform("found", lambda x: x["leaf_index"])
+    parts = (F.filter(own, lambda o: o % 2 == 0), F.filter(own, lambda o: o % 2 == 1))
+    halves = [M.with_proof(rows, p).select("block_hash", "subtree_index", "height", "tree_height", F.inline("nodes")) for p in parts]
     m = M.merge(halves[0].unionByName(halves[1]))
     return m.select("block_hash", "subtree_index", *[F.col(c).cast("long").alias(c) for c in ("tree_height", "level", "offset", "flag")], F.coalesce("hash", F.lit("")).alias("hash"))
 
 
 @query
 def stump_callbacks(spark, sf):
-    f = found(spark, sf)
-    c = B.stump_callbacks(f, M.encode_stumps(M.stump_nodes(f, levels(spark, sf))))
+    c = M.callbacks_of(stumps(spark, sf))
     return c.select("block_hash", "subtree_index", "url", F.coalesce("token", F.lit("")).alias("token"), "stump_ref")
 
 
@@ -417,15 +473,23 @@ def receiver_report(spark, sf):
 
 @query
 def missing_and_unexpected(spark, sf):
-    """Registered pairs of even subtrees against pairs that the lookup found in all."""
-    got = found(spark, sf).where("subtree_index % 2 = 0").select("txid", "url")
+    """Registered pairs against those that were delivered up to a height of the chain."""
+    got = found(spark, sf).where(F.col("height") < T.FIRST_HEIGHT + 40).select("txid", "url")
     return D.spurious(got, registrations(spark, sf), "txid", "url").groupBy("what").agg(F.count("*").alias("n"))
 
 
 @query
 def exact_cover(spark, sf):
-    """Fixture txids dealt over subtrees: each lies in one, and all subtrees are equal."""
-    r = readers.round_robin(readers.fixture_txids(spark, 42, 4000), 16)
+    """How many txids lie in how many subtrees, over all leaves: each should lie in one."""
+    each = T.leaves(spark, sf).groupBy("raw_hex").agg(F.count("*").alias("n_leaves"), F.count_distinct("block_hash", "subtree_index").alias("n_subtrees"))
+    return each.groupBy("n_leaves", "n_subtrees").agg(F.count("*").alias("n_txids"), F.min("raw_hex").alias("first_hex"))
+
+
+@query
+def fixture_cover(spark, sf):
+    """Fixture txids, as many as there are orders, dealt over subtrees: each subtree's size and first hash."""
+    n = T.read(spark, sf, "orders").count()
+    r = readers.round_robin(readers.fixture_txids(spark, 42, n), 16)
     return r.groupBy("subtree_index").agg(F.count("*").alias("n"), F.count_distinct("raw_hex").alias("distinct_n"), F.min("raw_hex").alias("first_hex"))
 
 
@@ -446,7 +510,7 @@ def proof_walk(spark, sf):
 @query
 def root_in_either_order(spark, sf):
     """Roots against their own bytes, turned round for odd subtrees and wrong for every third."""
-    r = M.roots(levels(spark, sf)).withColumn("k", F.col("subtree_index") % 3)
+    r = trees(spark, sf).withColumn("root", M.root_of(F.col("levels"), F.col("tree_height"))).withColumn("k", F.col("subtree_index") % 3)
     want = F.when(F.col("k") == 0, F.col("root")).when(F.col("k") == 1, S.reversed_hex("root")).otherwise(F.sha2("root", 256))
     return r.select("block_hash", "subtree_index", S.root_matches(F.col("root"), want).alias("ok"))
 
@@ -454,7 +518,7 @@ def root_in_either_order(spark, sf):
 @query
 def stump_validity(spark, sf):
     """Received proofs: as sent, missing, or of another block by turns."""
-    e = M.encode_stumps(nodes(spark, sf)).join(T.leaves(spark, sf).select("block_hash", "height").distinct(), "block_hash")
+    e = stumps(spark, sf)
     k = F.col("subtree_index") % 3
     e = e.withColumn("stump_hex", F.when(k == 0, F.col("stump_hex")).when(k == 1, F.col("stump_hex")))  # nothing for the third kind
     return D.valid_stumps(e, F.col("height") + F.when(k == 1, 1).otherwise(0)).select("block_hash", "subtree_index", "ok")

@@ -31,24 +31,25 @@ _REG = f"""
 ev0 as (select sha256('tx:' || l_orderkey::varchar) as h, {_url('l_suppkey')} as url,
   case when l_linenumber % 3 = 0 then '' else 'tok-' || l_linenumber::varchar end as token,
   l_shipdate as s1, l_linenumber as s2, l_suppkey as s3, l_partkey as s4, l_extendedprice as s5 from lineitem where l_returnflag = 'R'),
-ev as (select {_rev('h')} as txid, url, token, row_number() over (order by s1, s2, s3, s4, s5) as seq from ev0),
+ev as (select {_rev('h')} as txid, url, token, s2, row_number() over (order by s1, s2, s3, s4, s5) as seq from ev0),
 reg as (select txid, url, arg_max(token, seq) as token, min(seq) as first_seq from ev group by txid, url)"""
 _FOUND = """
 found as (select height, block_hash, subtree_index, max(leaf_index) as leaf_index, txid, url, any_value(token) as token
   from leaf join reg using (txid) group by height, block_hash, subtree_index, txid, url)"""
 _SIZE = "siz as (select block_hash, height, subtree_index, count(*) as n from leaf group by all)"
-_LEVELS = (
+_levels = lambda height: (
     _SIZE
     + ", l0 as (select block_hash, subtree_index, leaf_index as pos, raw_hex as hash from leaf)"
     + "".join(
         f""", l{i} as (select block_hash, subtree_index, pos // 2 as pos, {_hash2('arg_min(hash, pos) || arg_max(hash, pos)')} as hash
   from l{i - 1} where (block_hash, subtree_index) in (select (block_hash, subtree_index) from l{i - 1} where pos = 1) group by block_hash, subtree_index, pos // 2)"""
-        for i in range(1, 7)
+        for i in range(1, height + 1)
     )
     + ", lev as ("
-    + " union all ".join(f"select block_hash, subtree_index, {i} as level, pos, hash from l{i}" for i in range(7))
+    + " union all ".join(f"select block_hash, subtree_index, {i} as level, pos, hash from l{i}" for i in range(height + 1))
     + ")"
 )
+_LEVELS = _levels(6)
 _NODES = """
 th as (select *, case when n <= 1 then 0 else ceil(log2(n))::bigint end as tree_height from siz),
 r as (select distinct f.block_hash, f.subtree_index, th.height, n, tree_height, leaf_index from found f join th using (block_hash, subtree_index) where tree_height > 0),
@@ -101,16 +102,22 @@ ORACLES: dict[str, str] = {
     "txid_display": f"with {_TX} select tx_key, raw_hex, txid from tx",
     "raw_split_txids": f"with {_TX} select height, subtree_index, leaf_index, raw_hex, txid from leaf",
     "watch_validation": """
-with s as (select s_suppkey as k, s_suppkey % 12 as m, sha256('tx:' || s_suppkey::varchar) as tx from supplier)
-select k, case when m in (1, 2, 3, 4, 5, 6, 7, 8, 10) then 400 else 200 end::bigint as status,
-  case m when 1 then 'txid is required' when 2 then 'invalid txid format: must be a 64-character hex string'
-    when 3 then 'callbackUrl is required'
-    when 4 then 'invalid callbackUrl: must be a valid HTTP/HTTPS URL with a public host'
-    when 7 then 'invalid callbackUrl: must be a valid HTTP/HTTPS URL with a public host'
-    when 5 then 'invalid callbackUrl: host is on the SSRF deny-list (private, loopback, link-local, or metadata-endpoint address)'
-    when 6 then 'invalid callbackUrl: host is on the SSRF deny-list (private, loopback, link-local, or metadata-endpoint address)'
-    when 8 then 'invalid callbackUrl: host is on the SSRF deny-list (private, loopback, link-local, or metadata-endpoint address)'
-    when 10 then 'invalid callbackToken: exceeds maximum length' end as error from s""",
+with s as (select s_suppkey as k, s_suppkey % 24 as m from supplier),
+e as (select k, -- fixed values: the answers that clients see
+  case when m = 1 then 'txid is required' when m in (2, 22, 23) then 'invalid txid format: must be a 64-character hex string'
+    when m = 3 then 'callbackUrl is required'
+    when m in (4, 7, 21) then 'invalid callbackUrl: must be a valid HTTP/HTTPS URL with a public host'
+    when m in (5, 6, 8, 12, 13, 14, 15, 17, 18, 19, 20) then 'invalid callbackUrl: host is on the SSRF deny-list (private, loopback, link-local, or metadata-endpoint address)'
+    when m = 10 then 'invalid callbackToken: exceeds maximum length' end as error from s)
+select k, case when error is null then 200 else 400 end::bigint as status, error from e""",
+    "watch_admission": f"""
+with {_REG}, q as (select txid, case when s2 = 4 then 'ftp://x/' else url end as u, seq from ev),
+p as (select txid, u, min(seq) as w from q where u <> 'ftp://x/' group by txid, u
+  union all select {_rev("sha256('tx:' || o_orderkey::varchar)")}, 'https://known.example/', 0 from orders where o_orderpriority = '1-URGENT'),
+r as (select *, row_number() over (partition by txid order by w, u) as slot from p)
+select txid, u as "callbackUrl", case when u = 'ftp://x/' then 400 when max(slot) > 2 then 429 else 200 end::bigint as status, count(*) as n,
+  case when u = 'ftp://x/' then 'invalid callbackUrl: must be a valid HTTP/HTTPS URL with a public host' when max(slot) > 2 then 'too many callback URLs registered for this txid' end as error
+from q left join r using (txid, u) group by txid, u""",
     "registration_latest_token": f"with {_REG} select txid, url, token from reg",
     "registration_cap": f"with {_REG} select * from (select txid, url, row_number() over (partition by txid order by first_seq, url) as slot from reg) where slot <= 3",
     "registration_over_cap": f"with {_REG} select txid, count(*) as refused from (select txid, row_number() over (partition by txid order by first_seq, url) as slot from reg) where slot > 3 group by txid",
@@ -121,10 +128,11 @@ select k, case when m in (1, 2, 3, 4, 5, 6, 7, 8, 10) then 400 else 200 end::big
     "ttl_sweep": f"""with {_EXP}, kept as (select txid from expiring where expires_at is null or expires_at >= timestamp '2024-01-31 12:00:00')
 select k.txid, count(distinct {_url('event_id')}) as urls from kept k left join events e on e.user_id::varchar = k.txid group by k.txid""",
     "url_registry_upsert": f"with {_SEEN_URL} select url, max(last_seen) as last_seen, arg_max(token, seq) as token from us group by url",
-    "url_registry_active": f"""with {_SEEN_URL}, u as (select url, max(last_seen) as last_seen, arg_max(token, seq) as token from us where seq % 3 <> 0 or last_seen < timestamp '2024-01-20' group by url)
-select url, token from u where url = 'https://subscriber-7.example/callback' or last_seen >= timestamp '2024-02-05 12:00:00' - interval 7 day""",
+    "url_registry_active": """with u as (select 'https://user-' || user_id::varchar || '.example/callback' as url, max(ts) as last_seen, 'tok-' || (max(event_id) % 7)::varchar as token from events group by user_id)
+select url, token from u where token = 'tok-3' or last_seen >= timestamp '2024-01-31 12:00:00' - interval 1 day""",
     "seen_group_by_url": f"{_ALL} select height, subtree_index, url, coalesce(max(token) filter (token <> ''), '') as token, count(*) as n, sha256(string_agg(txid, ',' order by txid)) as txids_sha256 from found group by height, subtree_index, url",
-    "seen_chunked": f"with {_REG} select url, chunk, count(*) as n, {_SET('list(txid)')} as set_hash from (select url, txid, (row_number() over (partition by url order by txid) - 1) // 100 as chunk from reg) group by url, chunk",
+    "seen_chunked": f"""{_ALL} select block_hash, subtree_index, url, chunk, count(*) as n, {_SET('list(txid)')} as set_hash
+from (select *, (row_number() over (partition by block_hash, subtree_index, url order by txid) - 1) // 2 as chunk from found) group by block_hash, subtree_index, url, chunk""",
     "seen_distinct_count": f"with {_OBS} select txid, count(distinct subtree_id) as n from obs group by txid",
     "seen_threshold_fire": f"with {_OBS}, {_FIRED(3)} select * from fired",
     "seen_threshold_fire_55": f"with {_OBS}, {_FIRED(55)} select * from fired",
@@ -133,11 +141,12 @@ select url, token from u where url = 'https://subscriber-7.example/callback' or
     "partition_key": f"""with {_TX}, {_MSG} select block_hash, subtree_index, type, case when subtree <> '' then subtree || '|' || url
   when block <> '' and type = 'BLOCK_PROCESSED' then block || '|' || url when block <> '' then block || '#' || idx || '|' || url else url end as partition_key from msg""",
     "idempotency_key": f"with {_TX}, {_MSG} select block_hash, subtree_index, type, case when scope = '' then '' else scope || ':' || type end as idempotency_key from key",
-    "dedup_key": f"with {_TX}, {_MSG} select block_hash, subtree_index, type, sha256(scope || ':' || url || ':' || type) as dedup_key from key",
+    "dedup_key": f"""with {_TX}, {_MSG}, bare as (select block_hash, subtree_index, type, case when subtree_index % 3 <> 2 then sha256(scope || ':' || url || ':' || type) end as dedup_key, subtree_index % 3 = 2 as b from key)
+select distinct block_hash, subtree_index, case when b and type = 'STUMP' then 'BLOCK_PROCESSED' else type end as type, dedup_key from bare""",
     "callback_payload_json": f"""with {_TX}, {_MSG} select block_hash, subtree_index, type as kind, '{{{{"type":"' || type || '"' || case when txid <> '' then ',"txid":"' || txid || '"' else '' end
   || case when len(txids) > 0 then ',"txids":["' || array_to_string(txids, '","') || '"]' else '' end || case when block <> '' then ',"blockHash":"' || block || '"' else '' end
   || case when idx <> 0 then ',"subtreeIndex":' || idx else '' end || '}}}}' as payload from msg""".replace("{{", "{").replace("}}", "}"),
-    "txid_set_hash": f"with {_REG} select url, {_SET('list(distinct txid)')} as set_hash from reg group by url",
+    "txid_set_hash": f"{_ALL} select block_hash, subtree_index, url, {_SET('list(distinct txid)')} as set_hash from found group by block_hash, subtree_index, url",
     "hash_partition": f"""with {_SEEN_URL}, h as (select distinct url, sha256(url) as h from us), n as (select *, ('0x' || substr(h, 1, 8))::bigint as v from h)
 select url, substr(h, 1, 16) as short_hash, case when v >= 2147483648 then v - 4294967296 else v end as int32 from n""",
     "compact_size": f"""with v as (select o_orderkey as k, case o_orderkey % 4 when 0 then o_orderkey * 1000003 when 1 then o_orderkey % 300 when 2 then o_orderkey * 97 else o_orderkey * 5000000007 end as v from orders)
@@ -146,12 +155,14 @@ select k, {_compact('v')} as encoded from v""",
     "block_fanout": f"with {_TX}, {_SUB} select block_hash, height, subtree_index, subtree_hash from sub",
     "merkle_levels": f"with {_TX}, {_LEVELS} select height, subtree_index, level::bigint as level, pos as \"offset\", hash from lev join siz using (block_hash, subtree_index)",
     "merkle_root": f"with {_TX}, {_LEVELS} select block_hash, subtree_index, n, arg_max(hash, level) as root from lev join siz using (block_hash, subtree_index) group by all",
+    "merkle_root_4096": f"with {_TX.replace('n // 64', 'n // 4096').replace('n % 64', 'n % 4096')}, {_REG}, {_FOUND}, {_levels(12)}, {_NODES}, {_ENC}, rt as (select block_hash, subtree_index, arg_max(hash, level) as root from lev group by all) select block_hash, subtree_index, n, root, sha256(unhex(stump_hex)) as stump_ref from siz join rt using (block_hash, subtree_index) left join enc using (block_hash, subtree_index)",
     "stump_nodes": f"{_PROOF} select {_NODE_COLS} from nodes",
     "stump_encode_hex": f"{_PROOF}, {_ENC} select block_hash, subtree_index, stump_hex from enc",
     "stump_ref": f"{_PROOF}, {_ENC} select block_hash, subtree_index, sha256(unhex(stump_hex)) as stump_ref from enc",
     "stump_decode": f"{_PROOF} select {_NODE_COLS} from nodes",
     "stump_verify": f"{_PROOF} select block_hash, subtree_index, leaf_index, true as ok from r",
     "stump_merge": f"{_PROOF} select {_NODE_COLS} from nodes",
+    "stump_root": f"{_PROOF}, rt as (select block_hash, subtree_index, arg_max(hash, level) as root from lev group by all) select distinct block_hash, subtree_index, root, true as ok from rt join (select distinct block_hash, subtree_index from nodes) using (block_hash, subtree_index)",
     "stump_callbacks": f"""{_PROOF}, {_ENC}, u as (select block_hash, subtree_index, url, coalesce(max(token) filter (token <> ''), '') as token from found group by all)
 select block_hash, subtree_index, url, token, sha256(unhex(stump_hex)) as stump_ref from u join enc using (block_hash, subtree_index)""",
     "subtree_countdown": f"with {_TX}, {_WORK} select * from cd",
@@ -174,9 +185,10 @@ select any_value(n) as n, min(v) as least, max(v) as most, min(v) filter (r >= c
     "scale_duplicates": f"with {_REG} select txid, url, count(*) as n from ev group by txid, url having count(*) > 1",
     "recent_callbacks": f"select user_id as key, {_url('user_id')} as url, event_id as seq, ts, event_type <> 'error' as ok from events order by ts desc, event_id desc limit 100",
     "receiver_report": f"select {_url('user_id')} as url, count(*) as n, count(*) filter (event_type <> 'error') as ok, sum(length(event_type))::bigint as bytes, min(ts) as first_at, max(ts) as last_at from events group by 1",
-    "missing_and_unexpected": f"{_ALL}, got as (select distinct txid, url from found where subtree_index % 2 = 0) select 'missing' as what, count(*) as n from reg where (txid, url) not in (select (txid, url) from got) having count(*) > 0",
-    "exact_cover": """with f as (select i, i % 16 as subtree_index, sha256(unhex(lpad(to_hex(42), 16, '0') || lpad(lower(to_hex(i)), 16, '0'))) as h from range(4000) t(i))
+    "missing_and_unexpected": f"{_ALL}, got as (select distinct txid, url from found where height < 800040) select 'missing' as what, count(*) as n from reg where (txid, url) not in (select (txid, url) from got) having count(*) > 0",
+    "fixture_cover": """with f as (select i, i % 16 as subtree_index, sha256(unhex(lpad(to_hex(42), 16, '0') || lpad(lower(to_hex(i)), 16, '0'))) as h from range((select count(*) from orders)) t(i))
 select subtree_index, count(*) as n, count(distinct h) as distinct_n, min(h) as first_hex from f group by subtree_index""",
+    "exact_cover": f"with {_TX}, e as (select raw_hex, count(*) as n_leaves, count(distinct (block_hash, subtree_index)) as n_subtrees from leaf group by raw_hex) select n_leaves, n_subtrees, count(*) as n_txids, min(raw_hex) as first_hex from e group by n_leaves, n_subtrees",
     "latest_sighting_gap": f"""with {_OBS}, g as (select subtree_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by txid, subtree_id order by ts, seq)) as gap from obs)
 select subtree_id, count(*) as n, max(gap) as longest_us from g where gap is not null group by subtree_id""",
     "proof_walk": f"{_PROOF} select block_hash, subtree_index, leaf_index, level, leaf_index >> level as own, xor(leaf_index >> level, 1) as other from (select *, unnest(range(0, tree_height)) as level from r)",
@@ -184,7 +196,7 @@ select subtree_id, count(*) as n, max(gap) as longest_us from g where gap is not
     "stump_validity": f"{_PROOF} select distinct block_hash, subtree_index, subtree_index % 3 = 0 as ok from r",
     "exactly_one_block_processed": f"""with {_TX}, {_WORK}, {_SEEN_URL}, u as (select url, max(last_seen) as last_seen from us group by url)
 select block_hash, url, 1::bigint as n, true as ok from cd, u where remaining <= 0 and last_seen >= timestamp '2024-02-01' - interval 7 day""",
-    "bulk_register_summary": "select s_suppkey % 12 in (0, 9, 11) as ok, count(*) as n from supplier group by 1",
+    "bulk_register_summary": "select s_suppkey % 24 in (0, 9, 11, 16) as ok, count(*) as n from supplier group by 1",
     "registry_keys": f"with {_SEEN_URL} select distinct url, sha256(url) as key, url as trimmed from us",
     "appended_values": f"with {_OBS} select txid, sha256(string_agg(subtree_id, '' order by ts, seq)) as digest from obs group by txid",
     "tracked_txids": f"with {_SEEN_URL} select token as txid, arg_max(url, last_seen) as urls, min(last_seen) as first_at from us group by token",

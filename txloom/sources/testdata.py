@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from txloom.functions.scalars import reversed_hex, sha256_hex
 
 SUBTREE_SIZE = 64
+#: Keys of a range in which transactions are numbered.
+KEY_RANGE = 1 << 16
 FIRST_HEIGHT = 800_000
 NOW = "2024-02-01 00:00:00"
 
@@ -25,31 +27,32 @@ def raw_hash(order_key) -> F.Column:
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx_key, month, raw_hex (internal byte order), txid (display order): one row an order."""
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_key"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_key"), F.trunc("o_orderdate", "MM").alias("month"))
     return o.withColumn("raw_hex", raw_hash(F.col("tx_key"))).withColumn("txid", reversed_hex("raw_hex", 32))
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """month, height, block_hash: one block a month. The months are few (one row each, aggregated before they are ranked)."""
-    months = read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")).distinct()
-    ranked = months.withColumn("height", F.lit(FIRST_HEIGHT).cast("long") + F.row_number().over(Window.orderBy("month")) - 1)
-    return ranked.withColumn("block_hash", sha256_hex(F.concat(F.lit("block:"), F.col("height").cast("string"))))
-
-
-def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """height, block_hash, subtree_index, leaf_index, raw_hex, txid: ordered leaves of each block's subtrees."""
-    tx = transactions(spark, sf_dir).join(blocks(spark, sf_dir), "month")
-    n = F.row_number().over(Window.partitionBy("height").orderBy("tx_key")) - 1
-    tx = tx.withColumn("n", n.cast("long"))
-    return tx.select("height", "block_hash", F.expr(f"n div {SUBTREE_SIZE}").alias("subtree_index"), F.expr(f"n % {SUBTREE_SIZE}").alias("leaf_index"), "raw_hex", "txid")
+def leaves(spark: SparkSession, sf_dir: str, size: int = SUBTREE_SIZE) -> DataFrame:
+    """height, block_hash, subtree_index, leaf_index, raw_hex, txid: ordered leaves of each block's subtrees, one block a
+    month. Transactions are numbered within ranges of keys, and ranges by the sums of those before, so no task holds a
+    whole block."""
+    tx = transactions(spark, sf_dir).withColumn("range", F.expr(f"tx_key div {KEY_RANGE}"))
+    sizes = tx.groupBy("month", "range").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("month").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    # the ranges are few (one row each), and so are the months that are ranked
+    height = F.lit(FIRST_HEIGHT).cast("long") + F.dense_rank().over(Window.orderBy("month")) - 1
+    begins = sizes.withColumn("begin", F.coalesce(before, F.lit(0))).withColumn("height", height)
+    begins = begins.withColumn("block_hash", sha256_hex(F.concat(F.lit("block:"), F.col("height").cast("string")))).drop("size")
+    place = F.row_number().over(Window.partitionBy("month", "range").orderBy("tx_key")) - 1
+    tx = tx.withColumn("place", place).join(begins, ["month", "range"]).withColumn("n", F.col("begin") + F.col("place"))
+    return tx.select("height", "block_hash", F.expr(f"n div {size}").alias("subtree_index"), F.expr(f"n % {size}").alias("leaf_index"), "raw_hex", "txid")
 
 
 def registration_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """txid, url, token, seq: requests in a total order (seq), from returned line items."""
-    li = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").withColumn("raw", raw_hash(F.col("l_orderkey")))
+    """raw_hex, txid, url, token, seq: requests in a total order (seq), from returned line items."""
+    li = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").withColumn("raw_hex", raw_hash(F.col("l_orderkey")))
     seq = F.struct("l_shipdate", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
     token = F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit("tok-"), F.col("l_linenumber").cast("string")))
-    return li.select(reversed_hex("raw", 32).alias("txid"), url_of(F.col("l_suppkey")).alias("url"), token.alias("token"), seq.alias("seq"))
+    return li.select("raw_hex", reversed_hex("raw_hex", 32).alias("txid"), url_of(F.col("l_suppkey")).alias("url"), token.alias("token"), seq.alias("seq"))
 
 
 def url_of(key) -> F.Column:
