@@ -1,8 +1,10 @@
 """Streams give what the batch functions give."""
 
+import os
+
 from pyspark.sql import functions as F
 
-from txloom.operators import registry, seen
+from txloom.operators import merkle, registry, seen
 from txloom.sources import testdata as T
 from txloom.streaming import engine
 
@@ -41,13 +43,91 @@ def test_seen_callbacks(spark, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(seen.chunked(registry.lookup(leaves, regs), 3, "block_hash", "subtree_index"))
 
 
-def test_deliveries_retry_then_dead_letter(spark, tmp_path):
-    m = spark.createDataFrame([("good", 0), ("good", 0), ("bad", 0), ("worn", 5)], "dedup_key string, retry int").withColumn("next_at", F.lit(None).cast("timestamp_ntz"))
-    send = lambda df: df.withColumn("ok", F.col("dedup_key") == "good").withColumn("permanent", F.lit(False))
-    where = [str(tmp_path / x) for x in ("done", "queue", "dlq")]
-    q = engine.deliveries(spark, events(spark, tmp_path, m, 1), *where, str(tmp_path / "ck"), send, T.NOW)
+def test_seen_multiple(spark, tmp_path):
+    o = engine.event_time(T.observations(spark, SF))
+    regs = o.select("txid").distinct().withColumn("url", F.lit("u")).withColumn("token", F.lit(""))
+    engine.seen_multiple(events(spark, tmp_path, o, 2), regs, str(tmp_path / "out"), str(tmp_path / "ck"), 5).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select(F.explode("txids"), "type")
+    assert sorted(r[0] for r in got.collect()) == sorted(r["txid"] for r in seen.fired(o, 5).collect())
+    assert {r["type"] for r in got.collect()} == {"SEEN_MULTIPLE_NODES"}
+
+
+def test_block_work(spark, tmp_path):
+    leaves = T.leaves(spark, SF).where("height < 800004").cache()
+    regs = registry.latest_registrations(T.registration_events(spark, SF), "raw_hex")
+    work = leaves.select("block_hash", "subtree_index").distinct()
+    expected = work.groupBy("block_hash").agg(F.count("*").alias("expected"))
+    lost = expected.orderBy("block_hash").head()["block_hash"]  # one block never gets its last subtree
+    some = work.where(f"not (block_hash = '{lost}' and subtree_index = 0)")
+    urls = spark.createDataFrame([("u1", "t"), ("u2", "")], "url string, token string")
+    stream = events(spark, tmp_path, some.unionByName(some.limit(3)), 3)
+    engine.block_work(spark, stream, leaves, regs, expected, urls, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    done = spark.read.parquet(str(tmp_path / "out/block_processed"))
+    assert {(r["block_hash"], r["url"]) for r in done.collect()} == {(r["block_hash"], u) for r in expected.collect() if r["block_hash"] != lost for u in ("u1", "u2")}
+    want = merkle.callbacks_of(merkle.with_stump(merkle.with_proof(merkle.with_levels(merkle.subtree_rows(leaves.join(some, ["block_hash", "subtree_index"]), regs)))))
+    key = lambda df: {(r["block_hash"], r["subtree_index"], r["url"], r["stump_ref"]) for r in df.collect()}
+    sent = spark.read.parquet(str(tmp_path / "out/stump"))
+    assert key(sent) == key(want) and len(key(want)) > 10
+    assert {r["stump_ref"] for r in sent.collect()} <= {r["stump_ref"] for r in spark.read.parquet(str(tmp_path / "out/proofs")).collect()}
+
+
+def deliver(spark, tmp_path, stream, now, sent, good=("good",)):
+    def send(df):
+        out = df.withColumn("ok", F.coalesce(F.col("dedup_key").isin(*good), F.lit(True))).withColumn("permanent", F.lit(False))
+        sent.append(sorted(str(r["dedup_key"]) for r in out.collect()))
+        return out
+
+    q = engine.deliveries(spark, stream, str(tmp_path / "out"), str(tmp_path / "ck"), send, now)
     q.awaitTermination()
-    done, queue, dlq = (spark.read.parquet(w) for w in where)
-    assert {r["dedup_key"] for r in done.collect()} == {"good"}
-    assert [(r["dedup_key"], r["retry"], str(r["next_at"])) for r in queue.collect()] == [("bad", 1, "2024-02-01 00:00:30")]
-    assert [r["dedup_key"] for r in dlq.collect()] == ["worn"]
+    return lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+
+
+def batch_of(spark, tmp_path, rows):
+    m = spark.createDataFrame(rows, "dedup_key string, retry int").withColumn("next_at", F.lit(None).cast("timestamp_ntz"))
+    m.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return spark.readStream.schema(m.schema).parquet(str(tmp_path / "in"))
+
+
+def test_deliveries_retry_then_dead_letter(spark, tmp_path):
+    sent = []
+    stream = batch_of(spark, tmp_path, [("good", 0), ("good", 0), ("bad", 0), ("worn", 5), (None, 0), (None, 0)])
+    table = deliver(spark, tmp_path, stream, T.NOW, sent)
+    assert sent == [["None", "None", "bad", "good", "worn"]]  # one of two equal keys, both without a key
+    assert {r["dedup_key"] for r in table("delivered").collect()} == {"good"}
+    assert [(r["dedup_key"], r["retry"], str(r["next_at"])) for r in table("queue").collect()] == [("bad", 1, "2024-02-01 00:00:30")]
+    assert [r["dedup_key"] for r in table("dlq").collect()] == ["worn"]
+    assert [tuple(r)[:5] for r in table("counters").collect()] == [(3, 1, 1, 1, 0)]
+    # the clock moves: the queue is taken up, what was delivered is skipped, and what is not due waits on
+    stream = batch_of(spark, tmp_path, [("good", 0), ("new", 0)])
+    table = deliver(spark, tmp_path, stream, lambda: "2024-02-01 00:00:10", sent)
+    assert sent[1] == ["new"]
+    stream = batch_of(spark, tmp_path, [("good", 0)])
+    table = deliver(spark, tmp_path, stream, "2024-02-01 00:00:50", sent, ("bad", "new"))
+    assert sent[2] == ["bad", "new"]
+    assert table("queue").where("batch = 2").count() == 0
+    # a day later the record has expired
+    stream = batch_of(spark, tmp_path, [("good", 0)])
+    deliver(spark, tmp_path, stream, "2024-02-02 00:00:01", sent)
+    assert sent[3] == ["good"]
+
+
+def test_replayed_deliveries_lose_no_record(spark, tmp_path):
+    sent = []
+    deliver(spark, tmp_path, batch_of(spark, tmp_path, [("good", 0), ("bad", 0)]), T.NOW, sent)
+    os.remove(tmp_path / "ck/commits/0")
+    (tmp_path / "ck/commits/.0.crc").unlink(missing_ok=True)
+    table = deliver(spark, tmp_path, batch_of(spark, tmp_path, [("good", 0)]), "2024-02-01 00:00:05", sent)
+    assert sent == [["bad", "good"], []]  # the replay sends nothing, and the next copy is a duplicate
+    assert {r["dedup_key"] for r in table("delivered").collect()} == {"good"}
+    assert {r["dedup_key"] for r in table("queue").where("batch = 1").collect()} == {"bad"}
+
+
+def test_ticks_and_heartbeat(spark, tmp_path):
+    stream = engine.ticks(batch_of(spark, tmp_path, [("a", 0)]))
+    assert stream.columns[-1] == "_tick" and stream.isStreaming
+    lines = []
+    beat = engine.Heartbeat(lines.append)
+    spark.streams.addListener(beat)
+    deliver(spark, tmp_path, batch_of(spark, tmp_path, [("b", 0)]), T.NOW, [])
+    spark.streams.removeListener(beat)
+    assert any("started" in x for x in lines)
