@@ -10,7 +10,7 @@ from txloom.operators import blocks as B
 from txloom.operators import delivery as D
 from txloom.operators import registry as R
 from txloom.operators import seen as N
-from txloom.sources import readers
+from txloom.sources import blobs, readers
 
 NOW = "2024-01-01 00:00:00"
 
@@ -48,6 +48,7 @@ def test_recorded_conflict_overwrites_with_null(spark):
 
 
 def test_dual_shape_entries(spark):
+    assert spark.createDataFrame([("",), ('{"t": "x"}',), ('{"u": ""}',)], "v string").where(R.entry(F.col("v")).isNull()).count() == 3
     e = spark.createDataFrame([("https://a",), ('{"u": "https://b", "t": "x"}',), ('{"u": "https://c"}',)], "v string").select(R.entry(F.col("v")).alias("e")).select("e.*")
     assert rows(e) == [("https://a", ""), ("https://b", "x"), ("https://c", "")]
 
@@ -95,6 +96,8 @@ def test_payload_leaves_out_zero_and_empty(spark):
         ("", False, "empty url"), ("ftp://a.b/", False, "unsupported scheme"), ("http:///x", False, "missing host"), ("http://u@a.b/", False, "userinfo not allowed"),
         ("http://METADATA/", True, "blocked host"), ("http://169.254.169.254/", True, "blocked host"), ("http://10.0.0.1/", False, "blocked address"), ("http://10.0.0.1/", True, None),
         ("http://0.0.0.0/", True, "blocked address"), ("http://224.0.0.1/", True, "blocked address"), ("http://172.16.0.1/", False, "blocked address"), ("http://172.32.0.1/", False, None),
+        ("http://[::1]/", False, "blocked address"), ("http://[::1]/", True, None), ("http://[fc00::1]:80/", False, "blocked address"), ("http://[::ffff:10.0.0.1]/", False, "blocked address"),
+        ("http://[fd00:ec2::254]/", True, "blocked host"), ("http://[2001:db8::1]/", False, None), ("http://[::]/", True, "blocked address"), ("http://[ff02::1]/", True, "blocked address"), ("http://[::ffff:8.8.8.8]/", False, None),
         ("http://100.64.0.1/", False, None), ("https://subscriber.example:8080/cb", False, None),
     ],
 )
@@ -103,7 +106,7 @@ def test_url_guard(spark, url, private, want):
 
 
 def test_ip_guard_of_both_families(spark):
-    cases = {"::1": True, "fe80::1": True, "fc00::1": True, "2001:db8::1": False, "::": True, "ff02::1": True, "8.8.8.8": False, "192.168.1.1": True, "x": True, "::ffff:10.0.0.1": True}
+    cases = {"1::2::3": True, "1:2:3:4:5:6:7": True, "1:2:3:4:5:6:7:8": False, "1:2:3:4:5:6:7::": False, "12345::": True, "::127.0.0.1": False, "fe80::1%eth0": True, "[::1]": True, "": True, "::1": True, "fe80::1": True, "fc00::1": True, "2001:db8::1": False, "::": True, "febf::": True, "fec0::": False, "fdff::1": True, "fe00::1": False, "8.8.8.8\n": True, "ff02::1": True, "8.8.8.8": False, "192.168.1.1": True, "x": True, "::ffff:10.0.0.1": True}
     df = spark.createDataFrame([(k,) for k in cases], "a string")
     assert {r["a"]: r["b"] for r in df.withColumn("b", S.blocked_ip(F.col("a"))).collect()} == cases
     local = {r["a"]: r["b"] for r in df.withColumn("b", S.blocked_ip(F.col("a"), True)).collect()}
@@ -142,7 +145,7 @@ def test_readers(spark, tmp_path):
     assert {r["k"]: r["s"] for r in got.withColumn("s", readers.safe_key("k")).collect()} == keys
 
 
-def test_hub_fetch_and_post(spark):
+def test_hub_fetch_and_post(spark, tmp_path):
     import http.server
     import threading
 
@@ -177,28 +180,114 @@ def test_hub_fetch_and_post(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
     want = spark.createDataFrame([(base, "a"), (base, "none"), (base, "flaky")], "base string, subtree_hash string")
-    made = {r["subtree_hash"]: (r["data"], r["error"]) for r in hub.fetched(want, first_wait=0.01).collect()}
+    made = {r["subtree_hash"]: (r["data"], r["error"]) for r in hub.fetched(want, first_wait=0.01, allow_private=True).collect()}
     assert made == {"a": (b"a", None), "none": (None, "not found"), "flaky": (b"flaky", None)}
-    assert hub.post(f"{base}/ok", "{}", "k", "tok") and not hub.post(f"{base}/no", "{}", None, None)
+    assert hub.post(f"{base}/ok", "{}", "k", "tok", allow_private=True) and not hub.post(f"{base}/no", "{}", None, None, allow_private=True)
+    assert not hub.post(f"{base}/ok", "{}", "k", "tok") and len(got) == 2  # the dialled address is checked too
     assert got[0] == ("/ok", "k", "Bearer tok", b"{}")
     m = spark.createDataFrame([(f"{base}/ok", "", "k", "{}")], "callback_url string, token string, idempotency_key string, payload string")
     assert [(r["ok"], r["permanent"]) for r in hub.posted(m).collect()] == [(False, True)]
     with pytest.raises(ValueError):
-        hub.fetch(f"{base}/aaaa", limit=2)
+        hub.fetch(f"{base}/aaaa", limit=2, allow_private=True)
+    with pytest.raises(hub.Refused):
+        hub.fetch(f"{base.replace('127.0.0.1', 'localhost')}/a")
+    assert {r["error"] for r in hub.fetched(want).collect()} == {"blocked address"}
+    again = m.withColumn("permanent", F.lit(True))
+    assert [(r["ok"], r["permanent"]) for r in hub.posted(again, allow_private=True).collect()] == [(False, True)]
+    # the store is asked first, and what was fetched is stored
+    store = str(tmp_path / "store")
+    blobs.put(spark.createDataFrame([("a", b"stored")], "key string, data binary"), store, 0)
+    have = {r["subtree_hash"]: bytes(r["data"]) for r in blobs.with_remote(spark, want, store, 1, first_wait=0.01, allow_private=True).collect()}
+    assert have == {"a": b"stored", "flaky": b"flaky"}
+    assert {r["key"] for r in blobs.latest(spark, store).collect()} == {"a", "flaky"}
     server.shutdown()
 
 
+@pytest.mark.parametrize(("address", "private", "ok"), [("8.8.8.8", False, True), ("10.0.0.1", False, False), ("10.0.0.1", True, True), ("::1", False, False), ("0.0.0.0", True, False), ("ff02::1", True, False), ("::ffff:127.0.0.1", False, False), ("fe80::1%eth0", False, False), ("name.example", True, False), ("2001:db8::1", False, True)])
+def test_dial_guard(address, private, ok):
+    from txloom.sources import hub
+
+    if ok:
+        hub.check_dial(address, private)
+    else:
+        with pytest.raises(hub.Refused):
+            hub.check_dial(address, private)
+
+
+def block_bytes(subtrees, height, count):
+    def number(n):
+        return bytes([n]) if n < 0xFD else b"\xfd" + n.to_bytes(2, "little") if n < 1 << 16 else b"\xfe" + n.to_bytes(4, "little")
+
+    head = (1).to_bytes(4, "little") + bytes(range(32)) + bytes(32) + (1_700_000_000).to_bytes(4, "little") + bytes.fromhex("ffff001d") + (7).to_bytes(4, "little")
+    coinbase = (1).to_bytes(4, "little") + number(1) + bytes(36) + number(3) + b"abc" + bytes(4) + number(1) + bytes(8) + number(2) + b"xy" + bytes(4)
+    return head + number(count) + number(1000) + number(len(subtrees)) + b"".join(subtrees) + coinbase + number(height)
+
+
+def test_binary_blocks(spark):
+    data = block_bytes([bytes([i]) * 32 for i in range(3)], 800_123, 70_000)
+    rows = [("a", data), ("b", data[:90]), ("c", None), ("d", data[:-1])]
+    got = {r["block_hash"]: r for r in readers.parsed_blocks(spark.createDataFrame(rows, "block_hash string, data binary")).collect()}
+    assert (got["a"]["height"], got["a"]["transaction_count"], len(got["a"]["subtrees"]), got["a"]["bits"], got["a"]["error"]) == (800_123, 70_000, 3, "1d00ffff", None)
+    assert got["a"]["hash_prev_block"] == bytes(range(31, -1, -1)).hex()
+    assert all(got[k]["error"] and got[k]["height"] is None for k in "bcd")
+
+
+def test_blob_store(spark, tmp_path):
+    path = str(tmp_path / "blobs")
+    assert blobs.latest(spark, path).count() == 0
+    b = lambda rows: spark.createDataFrame(rows, "key string, data binary, height long")
+    blobs.put(b([("a", b"1", 100), ("b", b"2", 0), ("c", b"3", None)]), path, 0, "height")
+    blobs.put(b([("a", b"4", 100)]), path, 1, "height")
+    blobs.put(b([("a", b"4", 100)]), path, 1, "height")  # a replay
+    blobs.delete(spark.createDataFrame([("b",), ("unheard",)], "key string"), path, 2)
+    assert rows(blobs.latest(spark, path).select("key", "data", "delete_at_height")) == [("a", bytearray(b"4"), 110), ("c", bytearray(b"3"), None)]
+    assert [r["key"] for r in blobs.latest(spark, path, 110).collect()] == ["c"]
+    blobs.compacted(spark, path, str(tmp_path / "new"), 110)
+    assert [r["key"] for r in blobs.latest(spark, str(tmp_path / "new")).collect()] == ["c"]
+    with pytest.raises(Exception, match="unsafe blob key"):
+        blobs.put(b([("../x", b"", 0)]), path, 3)
+
+
+def test_messages_are_written_as_they_are_read(spark):
+    a = spark.createDataFrame([("h", 7, "00", "01", "http://x", "p", "c"), ("g", 8, None, "", "", "", "")], "hash string, height long, header string, coinbase string, dataHubUrl string, peerId string, clientName string")
+    made = readers.block_messages(a).collect()
+    assert (made[0]["key"], made[0]["value"]) == ("h", '{"hash":"h","height":7,"header":"00","coinbase":"01","dataHubUrl":"http://x","peerId":"p","clientName":"c"}')
+    assert made[1]["value"] == '{"hash":"g","height":8,"header":"","coinbase":"","dataHubUrl":"","peerId":"","clientName":""}'
+    assert [r["value"] for r in readers.subtree_messages(a.limit(1)).collect()] == ['{"hash":"h","dataHubUrl":"http://x","peerId":"p","clientName":"c"}']
+    w = spark.createDataFrame([("b", 0, "s", 0, "u", 0), ("b", 1, "s", 2, "u", 3)], "blockHash string, blockHeight long, subtreeHash string, subtreeIndex int, dataHubUrl string, attemptCount int")
+    assert [r["value"] for r in readers.work_messages(w).collect()] == ['{"blockHash":"b","blockHeight":0,"subtreeHash":"s","subtreeIndex":0,"dataHubUrl":"u"}', '{"blockHash":"b","blockHeight":1,"subtreeHash":"s","subtreeIndex":2,"dataHubUrl":"u","attemptCount":3}']
+    c = spark.createDataFrame([("u", "", "STUMP", "", [], "b", "", 0, "r", 0, None)], readers.CALLBACK_MESSAGE)
+    assert readers.callback_messages(c).head()[0] == '{"callbackUrl":"u","type":"STUMP","blockHash":"b","stumpRef":"r"}'
+    back = readers.decoded(readers.work_messages(w), readers.SUBTREE_WORK, "blockHash")
+    assert [r["attemptCount"] for r in back.collect()] == [None, 3]
+
+
+def test_cap_refuses_new_urls_only(spark):
+    known = spark.createDataFrame([("ab" * 32, "https://a.example/")], "txid string, url string")
+    asked = spark.createDataFrame([("ab" * 32, f"https://{h}.example/", "", i) for i, h in enumerate("bacb")] + [("cd" * 32, "https://z.example/", "", 9), ("xx", "https://z.example/", "", 10)], "txid string, callbackUrl string, callbackToken string, seq int")
+    got = {(r["seq"]): (r["status"], r["error"]) for r in R.admitted(R.validate_watch(asked), known, 2).collect()}
+    assert [got[i][0] for i in (0, 1, 2, 3, 9, 10)] == [200, 200, 429, 200, 200, 400] and got[2][1] == R.OVER_CAP
+
+
+def test_empty_scopes_are_no_duplicates(spark):
+    df = spark.createDataFrame([("s", "u"), ("", "u"), (None, "u")], "s string, u string").withColumn("dedup_key", S.dedup_key("s", "u", F.lit("K")))
+    assert [r["dedup_key"] is None for r in df.collect()] == [False, True, True]
+    done = df.select("dedup_key").withColumn("expires_at", F.lit(None).cast("timestamp_ntz"))
+    assert rows(D.undelivered(df, done, NOW).select("s")) == [("",), (None,)]
+
+
 def test_options_and_small_scalars(spark, tmp_path):
     from txloom.sources import options
 
     (tmp_path / "o.json").write_text('{"seenThreshold": 4, "callback": {"maxRetries": "7"}, "unknown": 1}')
     got = options.load(str(tmp_path / "o.json"), {"TXLOOM_SEENTHRESHOLD": "9", "TXLOOM_API_ALLOWPRIVATECALLBACKIPS": "true"})
     assert (got["seenThreshold"], got["callback.maxRetries"], got["api.allowPrivateCallbackIps"], got["storageMode"]) == (9, 7, True, "realtime")
-    cases = {"90s": 90, "5m": 300, "24h": 86400, "0s": 7, "x": 7, "-1s": 7}
+    cases = {"90s": 90, "5m": 300, "24h": 86400, "0s": 7, "x": 7, "-1s": 7, "1h30m": 5400, "250ms": 0.25, "1.5h": 5400, "3µs": 3e-6, "90": 7, "1h ": 7}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r["t"]: r["s"] for r in df.withColumn("s", S.seconds_or("t", 7)).collect()} == cases
     sizes = spark.createDataFrame([(5,), (2048,), (5 << 20,), (3 << 30,)], "n long").select(S.size_text("n")).collect()
     assert [r[0] for r in sizes] == ["5 B", "2.0 KB", "5.0 MB", "3.0 GB"]
     assert spark.range(1).select(S.snippet(F.repeat(F.lit("a"), 9999))).head()[0] == "a" * 256
+    assert spark.range(1).select(S.snippet(F.repeat(F.lit("aé"), 9999), 4096, 5)).head()[0] == "aéa\ufffd"
     both = spark.range(1).select(S.bytes_or_none(F.lit("0aff")), S.bytes_or_none(F.lit("Cv8="))).head()
     assert bytes(both[0]) == bytes(both[1]) == b"\x0a\xff"

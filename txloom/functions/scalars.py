@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TXID = "^[a-fA-F0-9]{64}$"
+TXID = r"\A[a-fA-F0-9]{64}\z"
 TOKEN_LIMIT = 4096
 # Hosts that are refused by name.
 BLOCKED_HOSTS = ("metadata.google.internal", "metadata", "metadata.goog", "169.254.169.254", "fd00:ec2::254")
@@ -83,7 +83,8 @@ def idempotency_key(kind: Column | str, block: Column | str, index: Column | str
 
 
 def dedup_key(scope: Column | str, url: Column | str, kind: Column | str) -> Column:
-    return sha256_hex(F.concat_ws(":", col(scope), col(url), col(kind)))
+    """Null for an empty scope: such messages are never duplicates of each other."""
+    return F.when(F.coalesce(col(scope), F.lit("")) != "", sha256_hex(F.concat_ws(":", col(scope), col(url), col(kind))))
 
 
 def partition_key(kind: Column | str, subtree: Column | str, block: Column | str, index: Column | str, url: Column | str) -> Column:
@@ -134,7 +135,7 @@ def json_list(text: Column | str) -> Column:
 def ipv4_number(host: Column | str) -> Column:
     """The address as a number, or null if host is not a dotted quad."""
     parts = F.split(col(host), r"\.")
-    ok = col(host).rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
+    ok = col(host).rlike(r"\A(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}\z")
     at = lambda i: parts.getItem(i).cast("long")
     return F.when(ok, ((at(0) * 256 + at(1)) * 256 + at(2)) * 256 + at(3))
 
@@ -147,42 +148,85 @@ def blocked_ipv4(n: Column, allow_private: bool = False) -> Column:
     return always if allow_private else always | private
 
 
-def blocked_ip(address: Column, allow_private: bool = False) -> Column:
-    """The same for addresses of either family, by an Arrow UDF (JVM functions do not parse IPv6); text that is no address is blocked."""
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's variable, which the optimizer does not write out at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def ipv6_groups(host: Column | str) -> Column:
+    """The eight 16-bit groups of an IPv6 address (without brackets; a zone is left out), or null if host is none."""
+
+    def hexed(tail: Column) -> Column:
+        return F.concat(F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"), F.lower(F.hex(tail.bitwiseAND(F.lit(0xFFFF)))))
+
+    def whole(h: Column) -> Column:
+        end = let(ipv4_number(F.regexp_extract(h, r"(\d+\.\d+\.\d+\.\d+)\z", 1)), hexed)
+        return F.when(h.contains("."), F.concat(F.regexp_extract(h, r"\A(.*:)[^:]*\z", 1), end)).otherwise(h)
+
+    def side(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":", -1))
+
+    def joined(v: Column) -> Column:
+        gap = 8 - F.size(v["a"]) - F.size(v["b"])
+        return F.when(gap > 0, F.concat(v["a"], F.array_repeat(F.lit("0"), gap), v["b"]))
+
+    def spread(halves: Column) -> Column:
+        two = let(F.struct(side(F.element_at(halves, 1)).alias("a"), side(F.try_element_at(halves, F.lit(2))).alias("b")), joined)
+        return F.when(F.size(halves) == 1, F.split(F.element_at(halves, 1), ":", -1)).when(F.size(halves) == 2, two)
+
+    def numbers(g: Column) -> Column:
+        good = (F.size(g) == 8) & F.forall(g, lambda x: x.rlike(r"\A[0-9a-f]{1,4}\z"))
+        return F.when(good, F.transform(g, lambda x: F.conv(x, 16, 10).cast("long")))
+
+    bare = F.regexp_replace(F.lower(col(host)), r"%.*\z", "")
+    return let(let(let(bare, lambda h: F.split(whole(h), "::", -1)), spread), numbers)
 
-    @F.pandas_udf("boolean")
-    def check(texts):
-        import ipaddress
 
-        def one(t):
-            try:
-                ip = ipaddress.ip_address(t.strip("[]").partition("%")[0])
-            except (ValueError, AttributeError):
-                return True
-            ip = getattr(ip, "ipv4_mapped", None) or ip
-            if ip.is_unspecified or ip.is_multicast:
-                return True
-            local = any(ip in ipaddress.ip_network(n) for n in ("127.0.0.0/8", "169.254.0.0/16", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16") if ip.version == 4) or any(ip in ipaddress.ip_network(n) for n in ("::1/128", "fe80::/10", "fc00::/7") if ip.version == 6)
-            return local and not allow_private
+def blocked_ipv6(g: Column, allow_private: bool = False) -> Column:
+    """Unspecified and multicast always; loopback, link-local and unique local unless allowed; an IPv4 address that is
+    mapped into IPv6 is judged as such."""
+    at = lambda i: F.element_at(g, i + 1)
+    zero = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
+    mapped = zero(5) & (at(5) == 0xFFFF)
+    always = zero(8) | (at(0) >= 0xFF00)
+    private = (zero(7) & (at(7) == 1)) | (F.shiftright(at(0), 6) == 0xFE80 >> 6) | (F.shiftright(at(0), 9) == 0xFC00 >> 9)
+    return F.when(mapped, blocked_ipv4(at(6) * 65536 + at(7), allow_private)).otherwise(always if allow_private else always | private)
 
-        return texts.map(one)
 
-    return check(address)
+def blocked_literal(host: Column, allow_private: bool = False) -> Column:
+    """Whether an address of either family is blocked; null if host is a name."""
+
+    def judged(bare: Column) -> Column:
+        four = let(ipv4_number(bare), lambda n: F.when(n.isNotNull(), blocked_ipv4(n, allow_private)))
+        six = let(ipv6_groups(bare), lambda g: F.when(g.isNotNull(), blocked_ipv6(g, allow_private)))
+        return F.when(bare.contains(":"), F.coalesce(six, F.lit(True))).otherwise(four)
+
+    return let(F.regexp_replace(host, r"\A\[|\]\z", ""), judged)
+
+
+def blocked_ip(address: Column, allow_private: bool = False) -> Column:
+    """The same for what must be an address; text that is none is blocked."""
+    return F.coalesce(blocked_literal(F.lower(F.trim(address)), allow_private), F.lit(True))
 
 
 def url_error(url: Column | str, allow_private: bool = False) -> Column:
     """Why a callback url is refused, or null. Names that need a resolver pass here."""
-    url = col(url)
-    part = lambda name: F.try_parse_url(url, F.lit(name))
-    host = F.lower(F.trim(part("HOST")))
-    return (
-        F.when(url.isNull() | (url == ""), "empty url")
-        .when(part("PROTOCOL").isNull() | ~F.lower(part("PROTOCOL")).isin("http", "https"), "unsupported scheme")
-        .when(host.isNull() | (host == ""), "missing host")
-        .when(part("USERINFO").isNotNull(), "userinfo not allowed")
-        .when(host.isin(*BLOCKED_HOSTS), "blocked host")
-        .when(F.coalesce(blocked_ipv4(ipv4_number(host), allow_private), F.lit(False)), "blocked address")
-    )
+    def parts(u: Column) -> Column:
+        part = lambda name: F.try_parse_url(u, F.lit(name))
+        return F.struct(F.lower(part("PROTOCOL")).alias("scheme"), F.lower(F.trim(part("HOST"))).alias("host"), part("USERINFO").alias("user"))
+
+    def judged(p: Column) -> Column:
+        host = p["host"]
+        return (
+            F.when(p["scheme"].isNull() | ~p["scheme"].isin("http", "https"), "unsupported scheme")
+            .when(host.isNull() | (host == ""), "missing host")
+            .when(p["user"].isNotNull(), "userinfo not allowed")
+            .when(F.regexp_replace(host, r"\A\[|\]\z", "").isin(*BLOCKED_HOSTS), "blocked host")
+            .when(F.coalesce(blocked_literal(host, allow_private), F.lit(False)), "blocked address")
+        )
+
+    u = col(url)
+    return F.when(u.isNull() | (u == ""), "empty url").otherwise(let(parts(u), judged))
 
 
 def registry_key(url: Column | str) -> Column:
@@ -195,17 +239,19 @@ def stump_key(ref: Column | str) -> Column:
 
 
 def seconds_or(text: Column | str, default: int) -> Column:
-    """A duration like 90s, 5m or 24h in seconds; the default if it is malformed or not above zero."""
-    t = col(text)
-    n = F.regexp_extract(t, r"^(\d{1,9})(s|m|h)$", 1)
-    unit = F.regexp_extract(t, r"^(\d{1,9})(s|m|h)$", 2)
-    value = F.when(n != "", n.cast("long") * F.when(unit == "h", 3600).when(unit == "m", 60).otherwise(1))
-    return F.when(value > 0, value).otherwise(F.lit(default))
+    """A duration like 90s, 1h30m, 1.5h or 250ms in seconds; the default if it is malformed or not above zero."""
+    t = F.regexp_replace(col(text), "\u00b5s|\u03bcs", "us")
+    part = r"(\d{1,9}(?:\.\d{1,9})?)(h|ms|m|s|us|ns)"
+    numbers, units = F.regexp_extract_all(t, F.lit(part), F.lit(1)), F.regexp_extract_all(t, F.lit(part), F.lit(2))
+    size = F.create_map(*[F.lit(x) for unit in (("h", 3600.0), ("m", 60.0), ("s", 1.0), ("ms", 1e-3), ("us", 1e-6), ("ns", 1e-9)) for x in unit])
+    value = F.aggregate(F.zip_with(numbers, units, lambda n, u: n.cast("double") * F.element_at(size, u)), F.lit(0.0), lambda a, x: a + x)
+    return F.when(t.rlike(rf"\A(?:{part})+\z") & (value > 0), value).otherwise(F.lit(float(default)))
 
 
 def snippet(body: Column | str, kept: int = 4096, shown: int = 256) -> Column:
-    """What a log shows of an answer: its first bytes only."""
-    return F.substring(F.substring(col(body), 1, kept), 1, shown)
+    """What a log shows of an answer: its first bytes only; a character that the cut splits becomes a replacement mark."""
+    first = F.substring(F.substring(col(body).cast("binary"), 1, kept), 1, shown)
+    return F.make_valid_utf8(first.cast("string"))
 
 
 def root_matches(root: Column | str, want: Column | str) -> Column:

@@ -12,7 +12,7 @@ BACKOFF_SECONDS = 30
 
 
 def undelivered(messages: DataFrame, delivered: DataFrame, now: str) -> DataFrame:
-    """Messages whose dedup_key has no record that is still valid (at equality it is not)."""
+    """Messages whose dedup_key has no record that is still valid (at equality it is not); a null key is never a duplicate."""
     valid = delivered.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp_ntz")))
     return messages.join(valid.select("dedup_key"), "dedup_key", "left_anti")
 

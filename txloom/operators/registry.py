@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txloom.functions.scalars import TOKEN_LIMIT, TXID, url_error
+from txloom.functions.scalars import TOKEN_LIMIT, TXID, let, url_error
 
 
 def validate_watch(requests: DataFrame, allow_private: bool = False) -> DataFrame:
     """requests (txid, callbackUrl, callbackToken) with status and error: the first check that fails decides."""
-    why = url_error("callbackUrl", allow_private)
-    checks = [
+    # The answers that clients see.
+    checks = lambda why: [
         (F.coalesce(F.col("txid"), F.lit("")) == "", "txid is required"),
         (~F.col("txid").rlike(TXID), "invalid txid format: must be a 64-character hex string"),
         (F.coalesce(F.col("callbackUrl"), F.lit("")) == "", "callbackUrl is required"),
@@ -19,10 +19,28 @@ def validate_watch(requests: DataFrame, allow_private: bool = False) -> DataFram
         (why.isNotNull(), "invalid callbackUrl: must be a valid HTTP/HTTPS URL with a public host"),
         (F.octet_length(F.coalesce("callbackToken", F.lit(""))) > TOKEN_LIMIT, "invalid callbackToken: exceeds maximum length"),
     ]
-    error = F.coalesce(*[F.when(c, F.lit(m)) for c, m in checks])
+    error = let(url_error("callbackUrl", allow_private), lambda why: F.coalesce(*[F.when(c, F.lit(m)) for c, m in checks(why)]))
     return requests.withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), 200).otherwise(400))
 
 
+#: Fixed value: the answer to a request over the cap.
+OVER_CAP = "too many callback URLs registered for this txid"
+
+
+def admitted(checked: DataFrame, known: DataFrame, cap: int) -> DataFrame:
+    """Checked requests (validate_watch, with seq: their order) against the urls that txids have already (known: txid, url):
+    a pair beyond the first `cap` of its txid is answered with 429; a pair that is known, or repeats, is refreshed."""
+    pair = [F.col("txid"), F.col("callbackUrl").alias("url")]
+    asked = checked.where("status = 200").groupBy(*pair).agg(F.min(F.struct(F.lit(1).alias("new"), F.col("seq").alias("seq"))).alias("at"))
+    had = known.select("txid", "url").distinct().withColumn("at", F.struct(F.lit(0).alias("new"), F.lit(None).cast(checked.schema["seq"].dataType).alias("seq")))
+    both = asked.unionByName(had).groupBy("txid", "url").agg(F.min("at").alias("at"))
+    slot = F.row_number().over(Window.partitionBy("txid").orderBy("at", "url"))
+    late = both.withColumn("slot", slot).where(F.col("slot") > cap).where("at.new = 1").select("txid", F.col("url").alias("callbackUrl"), F.lit(True).alias("_late"))
+    out = checked.join(late, ["txid", "callbackUrl"], "left")
+    over = F.col("_late") & (F.col("status") == 200)
+    return out.withColumn("error", F.when(over, OVER_CAP).otherwise(F.col("error"))).withColumn("status", F.when(over, 429).otherwise(F.col("status"))).drop("_late")
+
+
 def resolved_ok(urls: DataFrame, resolution: DataFrame, allow_private: bool = False) -> DataFrame:
     """urls (url, host) that a resolution table (host, address) leads to public addresses only; unresolved hosts go."""
     from txloom.functions.scalars import blocked_ip
@@ -31,9 +49,9 @@ def resolved_ok(urls: DataFrame, resolution: DataFrame, allow_private: bool = Fa
     return urls.join(checked.where(~F.col("bad")), "host", "left_semi")
 
 
-def latest_registrations(events: DataFrame) -> DataFrame:
-    """txid, url, token (of the latest event), first_seq: one row for each pair. events: txid, url, token, seq."""
-    return events.groupBy("txid", "url").agg(F.max_by("token", "seq").alias("token"), F.min("seq").alias("first_seq"))
+def latest_registrations(events: DataFrame, key: str = "txid") -> DataFrame:
+    """txid, url, token (of the latest event), first_seq: one row for each pair. events: txid (or key), url, token, seq."""
+    return events.groupBy(key, "url").agg(F.max_by("token", "seq").alias("token"), F.min("seq").alias("first_seq"))
 
 
 def capped(registrations: DataFrame, cap: int) -> DataFrame:
@@ -48,14 +66,15 @@ def over_cap(registrations: DataFrame, cap: int) -> DataFrame:
     return registrations.withColumn("slot", F.row_number().over(order)).where(F.col("slot") > cap)
 
 
-def lookup(leaves: DataFrame, registrations: DataFrame) -> DataFrame:
+def lookup(leaves: DataFrame, registrations: DataFrame, key: str = "txid") -> DataFrame:
     """leaves joined to who registered for them. Exact text match; expired rows match until they are swept.
 
-    Of a txid that a subtree repeats only the last leaf counts. Spark picks the strategy: a small registry is
-    broadcast, a large one is shuffled on the txid with skewed keys split.
+    Of a txid that a subtree repeats only the last leaf counts; only the leaves that matched are aggregated. Spark picks
+    the strategy of the join: a small registry is broadcast, a large one is shuffled on the key with skewed keys split.
     """
-    last = leaves.groupBy("height", "block_hash", "subtree_index", "txid").agg(F.max("leaf_index").alias("leaf_index"))
-    return last.join(registrations.select("txid", "url", "token"), "txid")
+    scope = ["height", "block_hash", "subtree_index"]
+    hit = leaves.select(*scope, key, "leaf_index").join(registrations.select(key, "url", "token"), key)
+    return hit.groupBy(*scope, key, "url", "token").agg(F.max("leaf_index").alias("leaf_index"))
 
 
 def nested(registrations: DataFrame) -> DataFrame:
@@ -64,9 +83,10 @@ def nested(registrations: DataFrame) -> DataFrame:
 
 
 def entry(text: Column) -> Column:
-    """A stored entry of either shape: a {u, t} object or a bare url."""
+    """A stored entry of either shape: a {u, t} object or a bare url; null if it has no url."""
     parsed = F.from_json(text, "u string, t string")
-    return F.when(text.startswith("{"), F.struct(parsed["u"].alias("url"), F.coalesce(parsed["t"], F.lit("")).alias("token"))).otherwise(F.struct(text.alias("url"), F.lit("").alias("token")))
+    made = F.when(text.startswith("{"), F.struct(parsed["u"].alias("url"), F.coalesce(parsed["t"], F.lit("")).alias("token"))).otherwise(F.struct(text.alias("url"), F.lit("").alias("token")))
+    return F.when(F.coalesce(made["url"], F.lit("")) != "", made)
 
 
 def with_ttl(registrations: DataFrame, txids: DataFrame, now: str, seconds: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,109 @@ def encoded(*fields: Column) -> Column:
     return F.to_json(F.struct(*fields))
 
 
+#: Fields that the JSON of a message leaves out when they are empty or zero; all others are always written.
+LEFT_OUT = {"attemptCount", "callbackToken", "txid", "txids", "blockHash", "subtreeHash", "subtreeIndex", "stumpRef", "retryCount", "nextRetryAt"}
+ALWAYS = {"SUBTREE_WORK": {"blockHash", "subtreeHash", "subtreeIndex"}}
+
+
+def message_json(schema: T.StructType, always: set[str] = frozenset()) -> Column:
+    """The JSON of one message from columns named as its fields; columns that are null count as empty."""
+    fields = []
+    for f in schema:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            empty, some = F.array().cast(f.dataType), F.size(c) > 0
+        elif isinstance(f.dataType, T.TimestampType):
+            empty, some = F.lit(None).cast("timestamp"), c.isNotNull()
+        else:
+            empty = F.lit("" if isinstance(f.dataType, T.StringType) else 0).cast(f.dataType)
+            some = c != empty
+        fields.append((F.when(some, c) if f.name in LEFT_OUT and f.name not in always else F.coalesce(c, empty)).alias(f.name))
+    return F.to_json(F.struct(*fields))
+
+
+def subtree_messages(announced: DataFrame) -> DataFrame:
+    """key, value: announcements of subtrees (hash, dataHubUrl, peerId, clientName) as messages of their topic."""
+    return announced.withColumn("attemptCount", F.lit(0)).select(F.col("hash").alias("key"), message_json(SUBTREE_MESSAGE).alias("value"))
+
+
+def block_messages(announced: DataFrame) -> DataFrame:
+    """key, value: announcements of blocks (hash, height, header, coinbase, dataHubUrl, peerId, clientName)."""
+    return announced.select(F.col("hash").alias("key"), message_json(BLOCK_MESSAGE).alias("value"))
+
+
+def callback_messages(df: DataFrame) -> DataFrame:
+    """value: callbacks (columns of CALLBACK_MESSAGE) as messages."""
+    return df.select(message_json(CALLBACK_MESSAGE).alias("value"))
+
+
+def work_messages(df: DataFrame) -> DataFrame:
+    """key, value: subtree work (columns of SUBTREE_WORK), keyed by block."""
+    return df.select(F.col("blockHash").alias("key"), message_json(SUBTREE_WORK, ALWAYS["SUBTREE_WORK"]).alias("value"))
+
+
+def parse_block(data: bytes) -> dict:
+    """A block in its binary form: header of 80 bytes, counts, subtree hashes, coinbase transaction, height. Hashes are
+    shown last byte first. ValueError if it is malformed."""
+    at = 0
+
+    def take(n: int) -> bytes:
+        nonlocal at
+        if at + n > len(data):
+            raise ValueError("the block ends early")
+        at += n
+        return data[at - n : at]
+
+    def number(size: int = 0) -> int:
+        if size:
+            return int.from_bytes(take(size), "little")
+        first = take(1)[0]
+        return first if first < 0xFD else number({0xFD: 2, 0xFE: 4, 0xFF: 8}[first])
+
+    shown = lambda: take(32)[::-1].hex()
+    out = {"version": number(4), "hash_prev_block": shown(), "hash_merkle_root": shown(), "timestamp": number(4), "bits": take(4)[::-1].hex(), "nonce": number(4)}
+    out |= {"transaction_count": number(), "size_in_bytes": number()}
+    count = number()
+    if count * 32 > len(data):
+        raise ValueError("the block ends early")
+    out["subtrees"] = [shown() for _ in range(count)]
+    take(4)  # the coinbase: version, inputs, outputs, lock time
+    for _ in range(number()):
+        take(36)
+        take(number())
+        take(4)
+    for _ in range(number()):
+        take(8)
+        take(number())
+    take(4)
+    out["height"] = number()
+    return out
+
+
+def parsed_blocks(blobs: DataFrame, key: str = "block_hash", data: str = "data") -> DataFrame:
+    """key, height, version, hash_prev_block, hash_merkle_root, timestamp, bits, nonce, subtrees, transaction_count, error of
+    binary blocks; one that is malformed, or null, has an error and nothing else."""
+    names = [("height", pa.int64()), ("version", pa.int64()), ("hash_prev_block", pa.string()), ("hash_merkle_root", pa.string()), ("timestamp", pa.int64()), ("bits", pa.string()), ("nonce", pa.int64()), ("subtrees", pa.list_(pa.string())), ("transaction_count", pa.int64())]
+    had = "error" in blobs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for b, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                try:
+                    if b is None:
+                        raise ValueError(e or "no data")
+                    made.append(parse_block(b) | {"error": e})
+                except ValueError as problem:
+                    made.append({"error": str(problem)})
+            cols = [pa.array([m.get(n) for m in made], t) for n, t in [*names, ("error", pa.string())]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["key", *[n for n, _ in names], "error"])
+
+    kinds = "key string, height long, version long, hash_prev_block string, hash_merkle_root string, timestamp long, bits string, nonce long, subtrees array<string>, transaction_count long, error string"
+    rows = blobs.select(F.col(key).cast("string").alias("key"), F.col(data).alias("data"), (F.col("error") if had else F.lit(None).cast("string")).alias("error"))
+    return rows.mapInArrow(run, kinds).withColumnRenamed("key", key)
+
+
 def messages(spark: SparkSession, path: str, schema: T.StructType, streaming: bool = False, fmt: str = "parquet", **options: str) -> DataFrame:
     """A message log: a parquet directory, or a topic if the session has that connector (read from the earliest offset)."""
     reader = spark.readStream if streaming else spark.read
