@@ -50,3 +50,13 @@ def test_few_and_no_rows(spark):
     one = spark.createDataFrame([(0, [1.0, 0.0], 1), (7, [1.0, 1.0], 1)], SCHEMA)
     assert [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.nearest(one, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 7, 0.707107)]
     assert ann.nearest(one.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_ties_of_unequal_vectors_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(4)
+    d = rng.standard_normal(8).astype(np.float32)
+    ids = rng.permutation(np.arange(1, 200)).tolist()
+    rows = [(int(i), (d * np.float32(2.0 ** (n % 100 - 50))).tolist(), 0) for n, i in enumerate(ids)]
+    rows += [(int(i), rng.standard_normal(8).tolist(), 0) for i in range(200, 400)]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 50).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]

@@ -95,7 +95,9 @@ class Forest:
                 seen[fresh] = True
                 rows, cosines = np.concatenate([rows, fresh]), np.concatenate([cosines, self.unit[fresh] @ unit[q]])
                 if len(rows) > k:
-                    best = np.argpartition(-cosines, k - 1)[:k]
+                    # of cosines that tie at the cut the earlier rows stay: rows are in the order of their smallest ids
+                    near = np.flatnonzero(cosines >= np.partition(cosines, len(rows) - k)[len(rows) - k] - 1e-12)
+                    best = near[np.lexsort((rows[near], -np.round(cosines[near], 12)))[:k]]
                     rows, cosines = rows[best], cosines[best]
                 if bits and len(rows) == k:
                     angle = math.acos(max(-1.0, min(1.0, float(cosines.min()))))
@@ -126,7 +128,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, trees: int = TREES, surety:
     def search(q: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         for dim in sorted({len(x) for x in q["q"]} & {len(x) for x in own["v"]}):
-            qs, rs = q[q["q"].map(len) == dim], own[own["v"].map(len) == dim]
+            qs, rs = q[q["q"].map(len) == dim], own[own["v"].map(len) == dim].sort_values("cid")
             base, ids = np.stack(rs["v"].to_numpy()), rs["ids"].to_numpy()
             asked_for = np.stack(qs["q"].to_numpy())
             for cid, x, (found, _) in zip(qs["qid"], asked_for, Forest(base, trees).search(asked_for, k + 1, surety)):
