@@ -115,13 +115,19 @@ def with_stump(rows: DataFrame) -> DataFrame:
     return rows.withColumn("stump_hex", F.when(F.size("nodes") > 0, text)).withColumn("stump_ref", sha256_hex(F.unhex("stump_hex")))
 
 
+def provable(rows: DataFrame) -> DataFrame:
+    """The rows that have a proof: a registered leaf and a path. Asked of what is given, not of the proof, so that nothing
+    is computed for the others and nothing twice."""
+    return rows.where((F.size("found") > 0) & (F.col("tree_height") > 0))
+
+
 def callbacks_of(rows: DataFrame) -> DataFrame:
     """block_hash, subtree_index, url, token (the greatest that is not empty), stump_ref: one message for each url of a
     row; no shuffle, as a row holds all of its subtree."""
     pairs = F.sort_array(F.flatten(F.transform("found", lambda x: F.transform(x["callbacks"], lambda c: F.struct(c["url"].alias("url"), F.nullif(c["token"], F.lit("")).alias("token"))))))
     # the last of each url's sorted pairs has the greatest token; nulls sort first
     last = let(pairs, lambda p: F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.try_element_at(p, i + 2)["url"] != x["url"])))
-    return rows.where("stump_ref is not null").select(*TREE, "stump_ref", F.explode(last).alias("_c")).select(*TREE, "_c.url", "_c.token", "stump_ref")
+    return provable(rows).select(*TREE, "stump_ref", F.explode(last).alias("_c")).select(*TREE, "_c.url", "_c.token", "stump_ref")
 
 
 def tree_levels(leaves: DataFrame, height: int) -> DataFrame:

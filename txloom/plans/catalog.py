@@ -41,11 +41,11 @@ def trees(spark: SparkSession, sf: str) -> DataFrame:
 
 def proofs(spark: SparkSession, sf: str) -> DataFrame:
     """A row a subtree, with its levels, who registered and the proof."""
-    return M.with_proof(M.with_levels(M.subtree_rows(T.leaves(spark, sf), registrations(spark, sf)), HEIGHT))
+    return M.with_proof(M.with_levels(M.provable(M.subtree_rows(T.leaves(spark, sf), registrations(spark, sf))), HEIGHT))
 
 
 def stumps(spark: SparkSession, sf: str) -> DataFrame:
-    return M.with_stump(proofs(spark, sf)).where("stump_hex is not null")
+    return M.with_stump(proofs(spark, sf))
 
 
 def levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -357,7 +357,7 @@ def stump_verify(spark, sf):
 @query
 def stump_root(spark, sf):
     """The root that each encoded proof leads to as a whole, and whether it is the tree's."""
-    p = M.with_stump(proofs(spark, sf).withColumn("want", M.root_of(F.col("levels"), F.col("tree_height")))).where("stump_hex is not null")
+    p = M.with_stump(proofs(spark, sf).withColumn("want", M.root_of(F.col("levels"), F.col("tree_height"))))
     r = M.stump_roots(p, ["block_hash", "subtree_index", "want"])
     return r.select("block_hash", "subtree_index", "root", (F.col("root") == F.col("want")).alias("ok"))
 

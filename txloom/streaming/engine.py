@@ -109,7 +109,7 @@ def block_work(spark: SparkSession, work: DataFrame, leaves: DataFrame, registra
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
         own = batch.select("block_hash", "subtree_index").distinct()
         rows = merkle.subtree_rows(leaves.join(own, ["block_hash", "subtree_index"]), registrations)
-        put(merkle.with_stump(merkle.with_proof(merkle.with_levels(rows, height))).where("stump_ref is not null").drop("levels", "hashes", "nodes"), "work")
+        put(merkle.with_stump(merkle.with_proof(merkle.with_levels(merkle.provable(rows), height))).drop("levels", "hashes", "nodes"), "work")
         done = spark.read.parquet(f"{path}/work/batch={batch_id}")
         put(done.select("stump_ref", "stump_hex"), "proofs")
         put(merkle.callbacks_of(done).withColumn("type", F.lit("STUMP")), "stump")
