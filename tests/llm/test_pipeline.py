@@ -29,6 +29,38 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, tmp_path):
     assert totals(again) == totals(pieces) and sum(k[2] for k in key(again)) == sum(k[2] for k in key(pieces))
 
 
+ODD = """doc_id long, text string, lang string, source string, n_chars long, kept string, n_words long, n_removed int, spans string, node long, label long, score double,
+block string, key string, n int, toxic int, ids string"""
+
+
+def odd_docs(spark):
+    """Null ids, texts and languages, rows that repeat, one id with two texts, a long text, clashing names."""
+    base = [r for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    extra = ("k", 1, 2, "s", 3, 4, 0.5, "b", "q", 7, 1, "i")
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], *extra) for r in base]
+    rows += rows[:3] * 4 + [(rows[0][0], rows[1][1], *rows[0][2:]), (None, rows[2][1], None, None, None, *extra), (None, None, None, None, None, *[None] * 12)]
+    rows += [(9_000_001, None, "en", "s", 0, *extra), (9_000_002, "", "en", "s", 0, *extra), (9_000_003, " ".join([rows[3][1]] * 40), "en", "s", 0, *extra)]
+    return spark.createDataFrame(rows, ODD)
+
+
+def test_stages_on_odd_rows_and_on_none(spark, tmp_path):
+    docs = odd_docs(spark)
+    for frame in (docs, docs.limit(0)):
+        for name, step in corpus_pipeline.STAGES:
+            out = step(spark, frame, SF)
+            rows = out.collect()
+            if name == "packing":
+                assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
+                continue
+            assert out.columns == frame.columns and out.schema.simpleString() == frame.schema.simpleString()
+            assert len(rows) <= frame.count() and (name != "substring_dedup" or len(rows) == frame.count())
+            assert all(r["kept"] in ("k", None) and r["spans"] in ("s", None) and r["n_words"] in (1, None) for r in rows)
+    (tmp_path / "documents.parquet").mkdir()
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_oracles(spark):
     c = duckdb.connect()
     for t in ("documents", "pages"):

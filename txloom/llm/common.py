@@ -13,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/txloom-checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if all runs
+    in one process; on a cluster that is an error, as executors do not see each other's folders."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or "/tmp/txloom-checkpoints"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -25,6 +29,14 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Arrow batches of at most `rows` rows in this session from here on: two tasks of an executor then hold a few MB of
+    text each in the JVM and in Python, also where workers live on through stages."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
     spark = df.sparkSession

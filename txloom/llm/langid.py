@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import io
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txloom.llm.bpe import _kind
-from txloom.llm.common import held_out, stage, table, trim, unstage
+from txloom.llm.common import held_out, small_batches, stage, table, trim, unstage
 
 ORDER = 4
 #: Bound of the training sample, rows a language.
@@ -41,12 +41,18 @@ ROWS = 1024
 #: Standard deviations (of a text of its length) above the bound of its language at which a text is rejected.
 REJECT = 4.0
 
+def _letters() -> str:
+    """The letters of Unicode as ranges for a pattern."""
+    every = "".join(chr(k) if unicodedata.category(chr(k))[0] == "L" else " " for k in range(0x40000))
+    return "".join(f"\\U{ord(m[0][0]):08x}-\\U{ord(m[0][-1]):08x}" for m in re.finditer("[^ ]+", every))
+
+
 _WORDS: list = []
 
 
 def words_of(text: str) -> list[str]:
     if not _WORDS:
-        _WORDS.append(re.compile(f"[{_kind('L')}]+"))
+        _WORDS.append(re.compile(f"[{_letters()}]+"))
     return _WORDS[0].findall(text.lower())
 
 
@@ -346,6 +352,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language was found, with all their columns."""
+    small_batches(spark)
     models = train(docs, ~held_out())
     names = docs.columns
     found = keep_by(docs, models)

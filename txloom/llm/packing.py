@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txloom.llm.bpe import byte_chars, read_spec
-from txloom.llm.common import stage, table
+from txloom.llm.common import small_batches, stage, table
 
 ROWS = 1024
 #: Tokens by which a pack may overtake the shortest one when many short pieces are dealt out at once.
@@ -199,4 +199,5 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the pieces of all documents."""
+    small_batches(spark)
     return packed_documents(docs)

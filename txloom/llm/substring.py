@@ -16,7 +16,8 @@ the total size of the text. Equal hashes stand for equal words (64 bits) and win
 
 Edge cases: null and empty texts have no words and keep "" ; a text shorter than a window keeps all its words;
 repeated rows are copies of each other, so both lose what they share; null keys are kept; other columns are passed
-through by `dedup_rows`, whatever their names, but for the two helper columns that start with `_txl_`.
+through by `dedup_rows`, but for those named like its results (kept, n_words, n_removed, spans), which it replaces, and
+its helper column `_txl_block`; `cut_repeats` hands those on as well.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txloom.llm.common import table, trim
+from txloom.llm.common import small_batches, table, trim
 from txloom.llm.wordhash import SECOND, slices, split_by_hash, windows
 
 WINDOW = 35
@@ -220,8 +221,11 @@ from w left join g using (r)
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without repeated windows; texts that hold none stay as they are."""
+    small_batches(spark)
     names = docs.columns
-    found = dedup_rows(docs)
+    # columns named like those that dedup_rows makes go by other names meanwhile
+    kept_as = {n: f"_in_{n}" for n in names if n in ("kept", "n_words", "n_removed", "spans")}
+    found = dedup_rows(docs.withColumnsRenamed(kept_as))
     new = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).withColumn("text", new)
-    return found.select(*names)
+    return found.select(*[F.col(kept_as.get(n, n)).alias(n) for n in names])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txloom.llm.common import held_out, stage, table, trim, unstage
+from txloom.llm.common import held_out, small_batches, stage, table, trim, unstage
 
 #: Bound of the training sample, labelled texts of each class.
 PER_CLASS = 2_000
@@ -343,6 +343,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that score below one half, with all their columns."""
+    small_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"), ~held_out())
     if model is None:
         return docs
