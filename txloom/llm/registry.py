@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from txloom.llm import ann, bpe, jaccard, langid, lm, media, packing, substring, toxicity, urls
+from txloom.llm import ann, bpe, jaccard, langid, lm, media, packing, substring, tokenfile, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_langid": langid.op10_langid,
+    "op11_token_frames": tokenfile.op11_token_frames,
 }
 ORACLES: dict[str, str] = {
     "op4_lm_score": lm.OP4_SQL,
