@@ -37,12 +37,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of consecutive texts data[bounds[i]:bounds[i + 1]], and where each text's words begin (n + 1)."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of consecutive texts data[bounds[i]:bounds[i + 1]], and where each text's words begin (n + 1).
+    space: for each byte, whether it lies between words."""
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
-    word = ~_SPACE[data]
+    word = ~space[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     edge = bounds[:-1][bounds[:-1] < n]
@@ -69,7 +70,7 @@ def windows(h: np.ndarray, size: int, base: int = FIRST) -> np.ndarray:
     return mixed((sums[size:] - sums[:-size]) * powers(pow(base, -1, 1 << 64), n - size + 1))
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False, space: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, where each row's words begin) over consecutive rows; null texts have no words."""
     row = 0
     for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
@@ -82,7 +83,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[t
         i = 0
         while i < len(chunk):
             j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SLICE, "right")) - 1)
-            h, own = word_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], lower)
+            h, own = word_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], lower, space)
             yield row + i, h, own
             i = j
         row += len(chunk)
