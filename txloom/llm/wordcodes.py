@@ -21,7 +21,7 @@ from tokenizers import normalizers
 from txloom.llm import bpe
 
 #: Chunks and words that a worker remembers; beyond this it keeps what it just met (speed only, never results).
-TABLE, WORDS = 1_000_000, 300_000
+TABLE, WORDS = 500_000, 150_000
 #: Chunks longer than this are encoded but not remembered.
 LONGEST = 64
 
