@@ -1,11 +1,11 @@
-"""Every query of the catalog against its DuckDB SQL on the smallest tables."""
+"""Every query of the catalog against its DuckDB SQL, on tables whose blocks have several subtrees."""
 
 import duckdb
 import pytest
 
 from txloom.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

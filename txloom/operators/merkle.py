@@ -122,10 +122,11 @@ def provable(rows: DataFrame) -> DataFrame:
 
 
 def callbacks_of(rows: DataFrame) -> DataFrame:
-    """block_hash, subtree_index, url, token (the greatest that is not empty), stump_ref: one message for each url of a
-    row; no shuffle, as a row holds all of its subtree."""
-    pairs = F.sort_array(F.flatten(F.transform("found", lambda x: F.transform(x["callbacks"], lambda c: F.struct(c["url"].alias("url"), F.nullif(c["token"], F.lit("")).alias("token"))))))
-    # the last of each url's sorted pairs has the greatest token; nulls sort first
+    """block_hash, subtree_index, url, token (that of the last leaf with one that is not empty), stump_ref: one message for
+    each url of a row; no shuffle, as a row holds all of its subtree."""
+    entry = lambda x: lambda c: F.struct(c["url"].alias("url"), (c["token"] != "").alias("some"), x["leaf_index"].alias("leaf_index"), F.nullif(c["token"], F.lit("")).alias("token"))
+    pairs = F.sort_array(F.flatten(F.transform("found", lambda x: F.transform(x["callbacks"], entry(x)))))
+    # the last of each url's sorted pairs has a token if any has, and is of the last such leaf
     last = let(pairs, lambda p: F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.try_element_at(p, i + 2)["url"] != x["url"])))
     return provable(rows).select(*TREE, "stump_ref", F.explode(last).alias("_c")).select(*TREE, "_c.url", "_c.token", "stump_ref")
 
@@ -271,6 +272,34 @@ def verify(nodes: DataFrame) -> DataFrame:
     return paths.select(*TREE, "leaf_index", fold_root(F.col("leaf"), F.col("leaf_index"), F.col("path")).alias("root"))
 
 
+def verified(rows: DataFrame, *keep: str) -> DataFrame:
+    """block_hash, subtree_index, keep columns, leaf_index, root: the root that each registered leaf of a row's own nodes
+    folds to, without a join or shuffle. A node that the proof lacks leads to another root."""
+    turns = F.slice(F.sequence(F.lit(0), F.lit(MAX_HEIGHT)), 1, F.col("tree_height"))
+    held = lambda own: F.struct(F.transform(own, lambda x: x["offset"]).alias("at"), F.transform(own, lambda x: F.coalesce(x["hash"], F.lit("-"))).alias("hash"))
+    levels = F.transform(turns, lambda k: let(F.filter("nodes", lambda x: x["level"] == k), held))
+
+    def folded(levels: Column, leaf: Column) -> Column:
+        def beside(k: Column) -> Column:
+            level = F.element_at(levels, k + 1)
+            at = F.array_position(level["at"], F.call_function("shiftright", leaf["offset"], k).bitwiseXOR(F.lit(1)))
+            # a duplicate, held as "-", stands for the node itself; what is not held at all is empty
+            return F.struct(k.alias("level"), F.nullif(F.when(at > 0, F.element_at(level["hash"], F.greatest(at, F.lit(1)).cast("int"))).otherwise(F.lit("")), F.lit("-")).alias("hash"))
+
+        return F.struct(leaf["offset"].alias("leaf_index"), fold_root(leaf["hash"], leaf["offset"], F.transform(turns, beside)).alias("root"))
+
+    own = F.filter("nodes", lambda x: (x["level"] == 0) & (x["flag"] == 2))
+    roots = let(levels, lambda ls: F.transform(own, lambda leaf: folded(ls, leaf)))
+    return rows.select(*TREE, *keep, F.inline(roots))
+
+
+def merged(*proofs: Column) -> Column:
+    """Proofs of one subtree, as arrays of nodes, as one: nodes by (level, offset), registered leaves before others."""
+    every = F.array_sort(F.concat(*proofs))
+    other = lambda x, y: (x["level"] != y["level"]) | (x["offset"] != y["offset"])
+    return let(every, lambda a: F.filter(a, lambda x, i: (i == F.size(a) - 1) | other(x, F.try_element_at(a, i + 2))))
+
+
 def root_of_proof(nodes: list[tuple[int, int, int, str | None]], height: int) -> str | None:
     """The root of a whole proof, level by level: a duplicate takes its sibling's hash, a hash that the proof gives goes
     before one computed from below, and pairs that lack a side lead nowhere. None without a registered leaf at level 0."""

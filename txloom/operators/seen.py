@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 5_000
 THRESHOLD = 3
 
 
-def by_url(found: DataFrame, *scope: str) -> DataFrame:
-    """scope columns, url, token (the latest that is not empty, by token text where there is no order), n, txids."""
-    return found.groupBy(*scope, "url").agg(F.max(F.when(F.col("token") != "", F.col("token"))).alias("token"), F.count("*").alias("n"), F.sort_array(F.collect_list("txid")).alias("txids"))
+def first_token(order: str) -> Column:
+    """The first token, by order, that is not empty; null if none is."""
+    some = F.col("token") != ""
+    return F.min_by(F.when(some, F.col("token")), F.when(some, F.col(order)))
 
 
-def chunked(found: DataFrame, size: int = CHUNK, *scope: str) -> DataFrame:
-    """scope columns, url, chunk, txids: sorted txids in runs of at most size, so no message or row grows without bound."""
+def by_url(found: DataFrame, *scope: str, order: str = "leaf_index") -> DataFrame:
+    """scope columns, url, token (first_token by order), n, txids."""
+    return found.groupBy(*scope, "url").agg(first_token(order).alias("token"), F.count("*").alias("n"), F.sort_array(F.collect_list("txid")).alias("txids"))
+
+
+def chunked(found: DataFrame, size: int = CHUNK, *scope: str, order: str = "leaf_index") -> DataFrame:
+    """scope columns, url, chunk, token, txids: sorted txids in runs of at most size, so no message or row grows without
+    bound. All chunks of a url carry one token: the first by order that is not empty."""
     n = F.row_number().over(Window.partitionBy(*scope, "url").orderBy("txid")) - 1
-    return found.withColumn("chunk", F.floor(n / size)).groupBy(*scope, "url", "chunk").agg(F.sort_array(F.collect_list("txid")).alias("txids"))
+    some = F.struct(F.col(order).alias("at"), F.col("token").alias("token"))
+    token = F.min(F.when(F.col("token") != "", some)).over(Window.partitionBy(*scope, "url"))
+    found = found.withColumn("chunk", F.floor(n / size)).withColumn("token", token["token"])
+    return found.groupBy(*scope, "url", "chunk").agg(F.first("token").alias("token"), F.sort_array(F.collect_list("txid")).alias("txids"))
 
 
 def first_sightings(observed: DataFrame) -> DataFrame:

@@ -214,7 +214,7 @@ def seen_threshold_fire_55(spark, sf):
 def seen_multiple_nodes(spark, sf):
     """Txids that just fired, by (subtree that made them fire, url)."""
     f = N.fired(T.observations(spark, sf)).withColumn("url", T.url_of(F.col("txid").cast("long"))).withColumn("token", F.lit("t"))
-    g = N.by_url(f, "subtree_id")
+    g = N.by_url(f, "subtree_id", order="txid")
     return g.select("subtree_id", "url", "n", F.array_join("txids", ",").alias("txids"))
 
 
@@ -226,7 +226,7 @@ def message_dedup(spark, sf):
 
 def callback_messages(spark, sf) -> DataFrame:
     """STUMP, BLOCK_PROCESSED and SEEN messages over the blocks of the tables."""
-    sub = M.subtree_arrays(T.leaves(spark, sf)).select("block_hash", "subtree_index", "subtree_hash", F.slice("hashes", 1, 2).alias("two"))
+    sub = M.subtree_arrays(T.leaves(spark, sf)).select("block_hash", "subtree_index", "subtree_hash", F.col("hashes").alias("all"))
     kinds = F.explode(F.array(*map(F.lit, ("STUMP", "BLOCK_PROCESSED", "SEEN_ON_NETWORK", "SEEN_MULTIPLE_NODES"))))
     m = sub.withColumn("type", kinds).withColumn("url", T.url_of(F.col("subtree_index")))
     stump, done, many = (F.col("type") == t for t in ("STUMP", "BLOCK_PROCESSED", "SEEN_ON_NETWORK"))
@@ -236,8 +236,8 @@ def callback_messages(spark, sf) -> DataFrame:
         F.when(stump | done, F.col("block_hash")).otherwise("").alias("block"),
         F.when(done, "").when(F.col("subtree_index") % 2 == 0, F.col("subtree_hash")).otherwise("").alias("subtree"),
         F.when(stump, F.col("subtree_index")).otherwise(F.lit(0)).alias("index"),
-        F.when(one, F.element_at("two", 1)).otherwise("").alias("txid"),
-        F.when(many, F.col("two")).otherwise(F.array().cast("array<string>")).alias("txids"),
+        F.when(one, F.element_at("all", 1)).otherwise("").alias("txid"),
+        F.when(many, F.col("all")).otherwise(F.array().cast("array<string>")).alias("txids"),
         F.col("block_hash"), F.col("subtree_index"),
     )
 
@@ -260,9 +260,9 @@ def dedup_key(spark, sf):
     m = callback_messages(spark, sf)
     bare = F.col("subtree_index") % 3 == 2
     m = m.withColumn("block", F.when(~bare, F.col("block")).otherwise("")).withColumn("txid", F.when(~bare, F.col("txid")).otherwise("")).withColumn("txids", F.when(~bare, F.col("txids")).otherwise(F.array().cast("array<string>")))
-    m = m.withColumn("type", F.when(bare & (F.col("type") == "STUMP"), "BLOCK_PROCESSED").otherwise(F.col("type"))).distinct()
+    m = m.withColumn("type", F.when(bare & (F.col("type") == "STUMP"), "BLOCK_PROCESSED").otherwise(F.col("type")))
     scope = S.scope_key("type", "block", "index", "txid", "txids")
-    return m.select("block_hash", "subtree_index", "type", S.dedup_key(scope, "url", "type").alias("dedup_key"))
+    return m.select("block_hash", "subtree_index", "type", S.dedup_key(scope, "url", "type").alias("dedup_key")).distinct()
 
 
 @query
@@ -349,9 +349,8 @@ def stump_decode(spark, sf):
 def stump_verify(spark, sf):
     """The root that each registered leaf folds to, and whether it is the tree's."""
     p = proofs(spark, sf).select("block_hash", "subtree_index", "tree_height", "nodes", M.root_of(F.col("levels"), F.col("tree_height")).alias("want"))
-    v = M.verify(p.select("block_hash", "subtree_index", "tree_height", F.inline("nodes")))
-    r = p.select("block_hash", "subtree_index", "want")
-    return v.join(r, ["block_hash", "subtree_index"]).select("block_hash", "subtree_index", F.col("leaf_index").cast("long").alias("leaf_index"), (F.col("root") == F.col("want")).alias("ok"))
+    v = M.verified(p, "want")
+    return v.select("block_hash", "subtree_index", F.col("leaf_index").cast("long").alias("leaf_index"), (F.col("root") == F.col("want")).alias("ok"))
 
 
 @query
@@ -368,8 +367,9 @@ def stump_merge(spark, sf):
     rows = M.with_levels(M.subtree_rows(T.leaves(spark, sf), registrations(spark, sf)), HEIGHT)
     own = F.transform("found", lambda x: x["leaf_index"])
     parts = (F.filter(own, lambda o: o % 2 == 0), F.filter(own, lambda o: o % 2 == 1))
-    halves = [M.with_proof(rows, p).select("block_hash", "subtree_index", "height", "tree_height", F.inline("nodes")) for p in parts]
-    m = M.merge(halves[0].unionByName(halves[1]))
+    one = M.with_proof(rows, parts[0]).withColumnRenamed("nodes", "even")
+    m = M.with_proof(one, parts[1]).withColumn("nodes", M.merged(F.col("even"), F.col("nodes")))
+    m = m.select("block_hash", "subtree_index", "tree_height", F.inline("nodes"))
     return m.select("block_hash", "subtree_index", *[F.col(c).cast("long").alias(c) for c in ("tree_height", "level", "offset", "flag")], F.coalesce("hash", F.lit("")).alias("hash"))
 
 
@@ -380,10 +380,10 @@ def stump_callbacks(spark, sf):
 
 
 def work(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(expected subtrees of each block, finished ones: all but every eleventh of the odd blocks)."""
-    sub = T.leaves(spark, sf).select("height", "block_hash", "subtree_index").distinct()
+    """(expected subtrees of each block, finished ones: all but those whose first transaction is large and still pending)."""
+    sub = T.leaves(spark, sf, T.SUBTREE_SIZE, "o_orderstatus", "o_totalprice").where("leaf_index = 0")
     expected = sub.groupBy("block_hash").agg(F.count("*").alias("expected"))
-    return expected, sub.where((F.col("height") % 2 == 0) | ((F.col("subtree_index") + F.col("height")) % 11 != 0)).select("block_hash", "subtree_index", F.col("subtree_index").alias("finished_at"))
+    return expected, sub.where("o_orderstatus <> 'P' or o_totalprice <= 475000").select("block_hash", "subtree_index", F.col("subtree_index").alias("finished_at"))
 
 
 @query

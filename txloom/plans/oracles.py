@@ -68,7 +68,7 @@ enc as (select block_hash, subtree_index, {_compact('height')} || lpad(to_hex(tr
 _ALL = f"with {_TX}, {_REG}, {_FOUND}"
 _PROOF = f"{_ALL}, {_LEVELS}, {_NODES}"
 _NODE_COLS = "block_hash, subtree_index, tree_height, level, pos as \"offset\", flag::bigint as flag, hash"
-_SUB = "sub as (select block_hash, height, subtree_index, sha256(unhex(string_agg(raw_hex, '' order by leaf_index))) as subtree_hash, list(raw_hex order by leaf_index)[1:2] as two from leaf group by all)"
+_SUB = "sub as (select block_hash, height, subtree_index, sha256(unhex(string_agg(raw_hex, '' order by leaf_index))) as subtree_hash, list(raw_hex order by leaf_index) as every from leaf group by all)"
 _SET = lambda t: f"substr(sha256(array_to_string(list_sort({t}), ',')), 1, 16)"
 _OBS = "obs as (select user_id::varchar as txid, event_type || '-' || strftime(ts, '%Y-%m-%d') as subtree_id, ts, event_id as seq from events), fs as (select txid, subtree_id, min(ts) as first_ts from obs group by all)"
 _FIRED = lambda k: f"fired as (select txid, subtree_id, first_ts as fired_at from (select *, row_number() over (partition by txid order by first_ts, subtree_id) as n from fs) where n = {k})"
@@ -77,15 +77,15 @@ _MSG = f"""
   case when type in ('STUMP', 'BLOCK_PROCESSED') then block_hash else '' end as block,
   case when type <> 'BLOCK_PROCESSED' and subtree_index % 2 = 0 then subtree_hash else '' end as subtree,
   case when type = 'STUMP' then subtree_index else 0 end as idx,
-  case when type = 'SEEN_MULTIPLE_NODES' then two[1] else '' end as txid,
-  case when type = 'SEEN_ON_NETWORK' then two else [] end as txids
+  case when type = 'SEEN_MULTIPLE_NODES' then every[1] else '' end as txid,
+  case when type = 'SEEN_ON_NETWORK' then every else [] end as txids
   from sub, (values ('STUMP'), ('BLOCK_PROCESSED'), ('SEEN_ON_NETWORK'), ('SEEN_MULTIPLE_NODES')) k(type)),
 key as (select *, case when type = 'BLOCK_PROCESSED' then block when type = 'STUMP' then block || ':' || idx
   when len(txids) > 0 then {_SET('txids')} else txid end as scope from msg)"""
 _WORK = """
 sub as (select distinct height, block_hash, subtree_index from leaf),
 expected as (select block_hash, count(*) as expected from sub group by all),
-finished as (select block_hash, subtree_index from sub where height % 2 = 0 or (subtree_index + height) % 11 <> 0),
+finished as (select block_hash, subtree_index from leaf join orders on raw_hex = sha256('tx:' || o_orderkey::varchar) where leaf_index = 0 and (o_orderstatus <> 'P' or o_totalprice <= 475000)),
 cd as (select block_hash, coalesce(expected, 0) as expected, coalesce(f, 0) as finished, greatest(0, coalesce(expected, 0) - coalesce(f, 0)) as remaining
   from expected full join (select block_hash, count(*) as f from finished group by all) using (block_hash))"""
 _SEEN_URL = f"us as (select {_url('user_id')} as url, 'tok-' || (event_id % 7)::varchar as token, ts as last_seen, event_id as seq from events)"
@@ -111,6 +111,7 @@ e as (select k, -- fixed values: the answers that clients see
     when m = 10 then 'invalid callbackToken: exceeds maximum length' end as error from s)
 select k, case when error is null then 200 else 400 end::bigint as status, error from e""",
     "watch_admission": f"""
+-- fixed values: the answers that clients see
 with {_REG}, q as (select txid, case when s2 = 4 then 'ftp://x/' else url end as u, seq from ev),
 p as (select txid, u, min(seq) as w from q where u <> 'ftp://x/' group by txid, u
   union all select {_rev("sha256('tx:' || o_orderkey::varchar)")}, 'https://known.example/', 0 from orders where o_orderpriority = '1-URGENT'),
@@ -130,7 +131,7 @@ select k.txid, count(distinct {_url('event_id')}) as urls from kept k left join
     "url_registry_upsert": f"with {_SEEN_URL} select url, max(last_seen) as last_seen, arg_max(token, seq) as token from us group by url",
     "url_registry_active": """with u as (select 'https://user-' || user_id::varchar || '.example/callback' as url, max(ts) as last_seen, 'tok-' || (max(event_id) % 7)::varchar as token from events group by user_id)
 select url, token from u where token = 'tok-3' or last_seen >= timestamp '2024-01-31 12:00:00' - interval 1 day""",
-    "seen_group_by_url": f"{_ALL} select height, subtree_index, url, coalesce(max(token) filter (token <> ''), '') as token, count(*) as n, sha256(string_agg(txid, ',' order by txid)) as txids_sha256 from found group by height, subtree_index, url",
+    "seen_group_by_url": f"{_ALL} select height, subtree_index, url, coalesce(arg_min(token, leaf_index) filter (token <> ''), '') as token, count(*) as n, sha256(string_agg(txid, ',' order by txid)) as txids_sha256 from found group by height, subtree_index, url",
     "seen_chunked": f"""{_ALL} select block_hash, subtree_index, url, chunk, count(*) as n, {_SET('list(txid)')} as set_hash
 from (select *, (row_number() over (partition by block_hash, subtree_index, url order by txid) - 1) // 2 as chunk from found) group by block_hash, subtree_index, url, chunk""",
     "seen_distinct_count": f"with {_OBS} select txid, count(distinct subtree_id) as n from obs group by txid",
@@ -163,7 +164,7 @@ select k, {_compact('v')} as encoded from v""",
     "stump_verify": f"{_PROOF} select block_hash, subtree_index, leaf_index, true as ok from r",
     "stump_merge": f"{_PROOF} select {_NODE_COLS} from nodes",
     "stump_root": f"{_PROOF}, rt as (select block_hash, subtree_index, arg_max(hash, level) as root from lev group by all) select distinct block_hash, subtree_index, root, true as ok from rt join (select distinct block_hash, subtree_index from nodes) using (block_hash, subtree_index)",
-    "stump_callbacks": f"""{_PROOF}, {_ENC}, u as (select block_hash, subtree_index, url, coalesce(max(token) filter (token <> ''), '') as token from found group by all)
+    "stump_callbacks": f"""{_PROOF}, {_ENC}, u as (select block_hash, subtree_index, url, coalesce(arg_max(token, leaf_index) filter (token <> ''), '') as token from found group by all)
 select block_hash, subtree_index, url, token, sha256(unhex(stump_hex)) as stump_ref from u join enc using (block_hash, subtree_index)""",
     "subtree_countdown": f"with {_TX}, {_WORK} select * from cd",
     "running_remaining": f"""with {_TX}, {_WORK} select block_hash, subtree_index,

@@ -25,26 +25,27 @@ def raw_hash(order_key) -> F.Column:
     return sha256_hex(F.concat(F.lit("tx:"), order_key.cast("string")))
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tx_key, month, raw_hex (internal byte order), txid (display order): one row an order."""
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_key"), F.trunc("o_orderdate", "MM").alias("month"))
+def transactions(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """tx_key, month, raw_hex (internal byte order), txid (display order), extra columns of orders: one row an order."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_key"), F.trunc("o_orderdate", "MM").alias("month"), *extra)
     return o.withColumn("raw_hex", raw_hash(F.col("tx_key"))).withColumn("txid", reversed_hex("raw_hex", 32))
 
 
-def leaves(spark: SparkSession, sf_dir: str, size: int = SUBTREE_SIZE) -> DataFrame:
+def leaves(spark: SparkSession, sf_dir: str, size: int = SUBTREE_SIZE, *extra: str) -> DataFrame:
     """height, block_hash, subtree_index, leaf_index, raw_hex, txid: ordered leaves of each block's subtrees, one block a
     month. Transactions are numbered within ranges of keys, and ranges by the sums of those before, so no task holds a
     whole block."""
-    tx = transactions(spark, sf_dir).withColumn("range", F.expr(f"tx_key div {KEY_RANGE}"))
+    tx = transactions(spark, sf_dir, *extra).withColumn("range", F.expr(f"tx_key div {KEY_RANGE}"))
     sizes = tx.groupBy("month", "range").agg(F.count("*").alias("size"))
     before = F.sum("size").over(Window.partitionBy("month").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    # the ranges are few (one row each), and so are the months that are ranked
-    height = F.lit(FIRST_HEIGHT).cast("long") + F.dense_rank().over(Window.orderBy("month")) - 1
-    begins = sizes.withColumn("begin", F.coalesce(before, F.lit(0))).withColumn("height", height)
+    # only the distinct months are ranked in one task; ranges are counted within their month
+    height = F.lit(FIRST_HEIGHT).cast("long") + F.row_number().over(Window.orderBy("month")) - 1
+    months = tx.select("month").distinct().withColumn("height", height)
+    begins = sizes.withColumn("begin", F.coalesce(before, F.lit(0))).join(months, "month")
     begins = begins.withColumn("block_hash", sha256_hex(F.concat(F.lit("block:"), F.col("height").cast("string")))).drop("size")
     place = F.row_number().over(Window.partitionBy("month", "range").orderBy("tx_key")) - 1
     tx = tx.withColumn("place", place).join(begins, ["month", "range"]).withColumn("n", F.col("begin") + F.col("place"))
-    return tx.select("height", "block_hash", F.expr(f"n div {size}").alias("subtree_index"), F.expr(f"n % {size}").alias("leaf_index"), "raw_hex", "txid")
+    return tx.select("height", "block_hash", F.expr(f"n div {size}").alias("subtree_index"), F.expr(f"n % {size}").alias("leaf_index"), "raw_hex", "txid", *extra)
 
 
 def registration_events(spark: SparkSession, sf_dir: str) -> DataFrame:
