@@ -187,8 +187,8 @@ def test_hub_fetch_and_post(spark, tmp_path):
     assert got[0] == ("/ok", "k", "Bearer tok", b"{}")
     m = spark.createDataFrame([(f"{base}/ok", "", "k", "{}")], "callback_url string, token string, idempotency_key string, payload string")
     assert [(r["ok"], r["permanent"]) for r in hub.posted(m).collect()] == [(False, True)]
-    with pytest.raises(ValueError):
-        hub.fetch(f"{base}/aaaa", limit=2, allow_private=True)
+    with pytest.raises(hub.Failed):
+        hub.fetch(f"{base}/aaaa", limit=2, first_wait=0.01, allow_private=True)
     with pytest.raises(hub.Refused):
         hub.fetch(f"{base.replace('127.0.0.1', 'localhost')}/a")
     assert {r["error"] for r in hub.fetched(want).collect()} == {"blocked address"}

@@ -86,45 +86,72 @@ class NotFound(Exception):
     """The hub has no such object; trying again does not help."""
 
 
-def fetch(url: str, limit: int = LIMIT, attempts: int = ATTEMPTS, first_wait: float = 0.5, longest_wait: float = 10.0, allow_private: bool = False) -> bytes:
-    """The body of url, tried again with doubling waits; 404 is final, and so is a body over the limit."""
+class Failed(OSError):
+    """No attempt gave the whole body."""
+
+
+def whole_body(r: http.client.HTTPResponse, limit: int) -> bytes:
+    """The body of an answer; Failed if it is longer than limit or shorter than it says."""
+    told = r.headers.get("Content-Length")
+    if told is not None and not told.strip().isdigit():
+        raise Failed(f"the length {told!r} is no number")
+    if told is not None and int(told) > limit:
+        raise Failed(f"it is larger than {limit} bytes")
+    data = r.read(limit + 1)
+    if len(data) > limit:
+        raise Failed(f"it is larger than {limit} bytes")
+    if told is not None and len(data) != int(told):
+        raise Failed(f"it ends after {len(data)} of {told} bytes")
+    return data
+
+
+def fetch(url: str, limit: int = LIMIT, attempts: int = ATTEMPTS, first_wait: float = 0.5, longest_wait: float = 10.0, allow_private: bool = False, timeout: float = 30.0) -> bytes:
+    """The whole body of url. NotFound for a 404 and Refused for an address that may not be dialled are final; all else
+    (other answers, resets, broken protocol, bodies cut off or over the limit) is tried again with doubling waits, and then
+    Failed. A body of unknown length ends where the connection does."""
+    problem: Exception | None = None
     for attempt in range(attempts):
         if attempt:
             time.sleep(min(longest_wait, first_wait * 2 ** (attempt - 1)))
         try:
-            with opener(allow_private).open(url, timeout=30) as r:
-                if int(r.headers.get("Content-Length") or 0) > limit:
-                    raise ValueError(f"{url} is larger than {limit} bytes")
-                data = r.read(limit + 1)
-            if len(data) > limit:
-                raise ValueError(f"{url} is larger than {limit} bytes")
-            return data
+            with opener(allow_private).open(url, timeout=timeout) as r:
+                return whole_body(r, limit)
         except urllib.error.HTTPError as e:
             if e.code == 404:
                 raise NotFound(url) from e
-            problem: Exception = e
-        except urllib.error.URLError as e:
-            if isinstance(e.reason, Refused):
-                raise e.reason from e
             problem = e
-    raise problem
+        except Refused:
+            raise
+        except (OSError, http.client.HTTPException, ValueError) as e:  # an URLError and a timeout are an OSError
+            if isinstance(reason := getattr(e, "reason", None), Refused):
+                raise reason from e
+            problem = e
+    raise Failed(f"{url}: {type(problem).__name__}: {problem} ({attempts} attempts)") from problem
+
+
+def attempted(url: str, **options) -> tuple[bytes | None, str | None]:
+    """(data, None), or (None, what went wrong)."""
+    try:
+        return fetch(url, **options), None
+    except NotFound:
+        return None, "not found"
+    except Refused as e:
+        return None, f"refused: {e}"
+    except (OSError, http.client.HTTPException, ValueError) as e:
+        return None, f"failed: {e}"
 
 
 def fetched(wanted: DataFrame, base: str = "base", key: str = "subtree_hash", kind: str = "subtree", allow_private: bool = False, **options) -> DataFrame:
     """key, data, error for each wanted object at base/kind/key: fetched by the executors, a row at a time, as rows are
-    the requests. A missing object has null data and the error `not found`; a base that the guard refuses is not called."""
+    the requests. What cannot be had is a row with null data and its error (`not found`, `refused: …`, `failed: …`), so one
+    bad peer never ends the stage; a base that the guard refuses is not called."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for url, k, error in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = None
                 if error is None:
-                    try:
-                        data = fetch(f"{url.rstrip('/')}/{kind}/{k}", allow_private=allow_private, **options)
-                    except NotFound:
-                        error = "not found"
-                    except Refused as e:
-                        error = f"refused: {e}"
+                    data, error = attempted(f"{url.rstrip('/')}/{kind}/{k}", allow_private=allow_private, **options)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.string()), pa.array([data], pa.binary()), pa.array([error], pa.string())], ["key", "data", "error"])
 
     out = wanted.select(base, F.col(key).cast("string"), url_error(base, allow_private).alias("refused")).mapInArrow(run, "key string, data binary, error string")
