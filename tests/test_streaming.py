@@ -39,17 +39,22 @@ def test_seen_callbacks(spark, tmp_path):
     regs = registry.latest_registrations(T.registration_events(spark, SF))
     q = engine.seen_callbacks(events(spark, tmp_path, leaves, 1), regs, str(tmp_path / "out"), str(tmp_path / "ck"), 3)
     q.awaitTermination()
-    key = lambda df: sorted(map(tuple, df.select("block_hash", "subtree_index", "url", "chunk", F.array_join("txids", ",")).collect()))
-    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(seen.chunked(registry.lookup(leaves, regs), 3, "block_hash", "subtree_index"))
+    key = lambda df, *c: sorted(map(tuple, df.select("block_hash", "subtree_index", *c, "chunk", F.array_join("txids", ",")).collect()))
+    want = seen.chunked(registry.lookup(leaves, regs), 3, "block_hash", "subtree_index").withColumn("token", F.coalesce("token", F.lit("")))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert key(got, "callbackUrl", "callbackToken") == key(want, "url", "token")
+    assert {r["subtreeHash"] for r in got.collect()} == {f"{r['block_hash']}/{r['subtree_index']}" for r in want.collect()} and want.where("token <> ''").count()
 
 
 def test_seen_multiple(spark, tmp_path):
     o = engine.event_time(T.observations(spark, SF))
-    regs = o.select("txid").distinct().withColumn("url", F.lit("u")).withColumn("token", F.lit(""))
+    regs = o.select("txid").distinct().withColumn("url", F.lit("u")).withColumn("token", F.lit("t"))
     engine.seen_multiple(events(spark, tmp_path, o, 2), regs, str(tmp_path / "out"), str(tmp_path / "ck"), 5).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select(F.explode("txids"), "type")
     assert sorted(r[0] for r in got.collect()) == sorted(r["txid"] for r in seen.fired(o, 5).collect())
-    assert {r["type"] for r in got.collect()} == {"SEEN_MULTIPLE_NODES"}
+    assert {(r["type"]) for r in got.collect()} == {"SEEN_MULTIPLE_NODES"}
+    whole = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r["callbackUrl"], r["callbackToken"]) for r in whole} == {("u", "t")} and all(r["subtreeHash"] == r["subtree_id"] for r in whole)
 
 
 def test_block_work(spark, tmp_path):

@@ -11,7 +11,7 @@ import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
@@ -73,6 +73,11 @@ def sink(df: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame],
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def complete(chunks: DataFrame, kind: str, subtree: Column) -> DataFrame:
+    """Chunks (seen.chunked) as messages with all that a delivery needs: callbackUrl, callbackToken, type, subtreeHash, txids."""
+    return chunks.withColumnsRenamed({"url": "callbackUrl", "token": "callbackToken"}).withColumn("callbackToken", F.coalesce("callbackToken", F.lit(""))).withColumn("type", F.lit(kind)).withColumn("subtreeHash", subtree)
+
+
 def seen_callbacks(leaves: DataFrame, registrations: DataFrame, path: str, checkpoint: str, chunk: int = seen.CHUNK) -> StreamingQuery:
     """SEEN_ON_NETWORK messages for a stream of subtree leaves: lookup, grouping by url and chunking in each batch.
 
@@ -81,7 +86,7 @@ def seen_callbacks(leaves: DataFrame, registrations: DataFrame, path: str, check
 
     def step(batch: DataFrame) -> DataFrame:
         found = registry.lookup(batch, registrations)
-        return seen.chunked(found, chunk, "block_hash", "subtree_index").withColumn("type", F.lit("SEEN_ON_NETWORK"))
+        return complete(seen.chunked(found, chunk, "block_hash", "subtree_index"), "SEEN_ON_NETWORK", F.concat_ws("/", "block_hash", "subtree_index"))
 
     return sink(leaves, path, checkpoint, step)
 
@@ -92,7 +97,7 @@ def seen_multiple(observed: DataFrame, registrations: DataFrame, path: str, chec
 
     def step(batch: DataFrame) -> DataFrame:
         found = batch.join(registrations.select("txid", "url", "token"), "txid")
-        return seen.chunked(found, chunk, "subtree_id").withColumn("type", F.lit("SEEN_MULTIPLE_NODES"))
+        return complete(seen.chunked(found, chunk, "subtree_id", order="txid"), "SEEN_MULTIPLE_NODES", F.col("subtree_id"))
 
     return sink(fire_once(observed, threshold, ttl_ms), path, checkpoint, step)
 
