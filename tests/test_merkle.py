@@ -126,3 +126,28 @@ def test_merge_prefers_registered_leaves(spark):
 @pytest.mark.parametrize(("n", "want"), [(0, "00"), (1, "01"), (127, "7f"), (128, "80"), (252, "fc"), (253, "fdfd00"), (300, "fd2c01"), (65535, "fdffff"), (65536, "fe00000100"), (1 << 32, "ff0000000001000000")])
 def test_compact_size(spark, n, want):
     assert spark.range(1).select(S.compact_size_hex(F.lit(n))).head()[0] == want
+
+
+@pytest.mark.parametrize(("n", "rs"), [(1, [0]), (2, [1]), (7, [0, 6]), (8, [3]), (9, [8]), (13, [0, 7, 12]), (16, []), (17, [16]), (33, [5, 32]), (64, [63]), (65, [0, 64])])
+def test_chunks_give_the_same_tree_and_proof(spark, n, rs):
+    lv, own = leaves(spark, n), registered(spark, rs) if rs else None
+    got = M.with_stump(M.chunked_proofs(lv, own, 3)).head()
+    flat = M.with_levels(M.subtree_rows(lv), 7)
+    want = M.with_stump(M.with_proof(flat, F.array(*map(F.lit, rs)).cast("array<int>"))).head()
+    assert got["root"] == tree(n)[-1][0].hex() and (got["n"], got["tree_height"], got["height"]) == (n, want["tree_height"], 500)
+    assert [tuple(x) for x in got["nodes"]] == [tuple(x) for x in want["nodes"]] and got["stump_hex"] == want["stump_hex"]
+    if rs and n > 1:
+        found = M.verified(M.chunked_proofs(lv, own, 3).withColumn("want", F.col("root")), "want").collect()
+        assert sorted(r["leaf_index"] for r in found) == rs and {r["root"] for r in found} == {got["root"]}
+
+
+def test_chunks_need_two_shuffles(spark):
+    lv = leaves(spark, 40)
+    plan = M.chunked_proofs(lv, registered(spark, [3]), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_a_broken_proof_leads_elsewhere(spark):
+    row = M.chunked_proofs(leaves(spark, 20), registered(spark, [3]), 3)
+    cut = row.withColumn("nodes", F.filter("nodes", lambda x: x["level"] != 2))
+    assert [r["root"] == row.head()["root"] for r in M.verified(cut).collect()] == [False]

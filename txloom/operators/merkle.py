@@ -81,8 +81,8 @@ def root_of(levels: Column, height: Column) -> Column:
     return F.lower(F.hex(F.element_at(F.element_at(levels, height + 1), 1)))
 
 
-def _proof_level(levels: Column, own: Column, level: Column) -> Column:
-    """The proof's nodes at a level, in order."""
+def _proof_level(levels: Column, own: Column, level: Column, above: bool = False) -> Column:
+    """The proof's nodes at a level, in order. above: level 0 holds no leaves, but nodes like those of all other levels."""
     real = F.element_at(levels, level + 1)
 
     def node(flag: int):
@@ -90,7 +90,7 @@ def _proof_level(levels: Column, own: Column, level: Column) -> Column:
 
     def made(beside: Column) -> Column:
         leaves = F.concat(F.transform(own, node(2)), F.transform(F.array_except(beside, own), node(0)))
-        return F.array_sort(F.when(level == 0, leaves).otherwise(F.transform(beside, node(0))))
+        return F.transform(beside, node(0)) if above else F.array_sort(F.when(level == 0, leaves).otherwise(F.transform(beside, node(0))))
 
     up = F.array_distinct(F.transform(own, lambda o: F.call_function("shiftright", o, level)))
     return let(F.transform(up, lambda o: o.bitwiseXOR(F.lit(1))), made)
@@ -105,6 +105,50 @@ def with_proof(rows: DataFrame, offsets: Column | None = None) -> DataFrame:
     return rows.withColumn("nodes", nodes)
 
 
+#: Levels of a chunk of a large tree.
+CHUNK_BITS = 10
+
+
+def chunked_proofs(leaves: DataFrame, registered: DataFrame | None = None, bits: int = CHUNK_BITS) -> DataFrame:
+    """block_hash, subtree_index, height, n, tree_height, root, nodes: the tree and the proof of a subtree of any size, with
+    two shuffles and no row that holds all of its leaves.
+
+    The leaves of an aligned chunk (2**bits of them) come together in one row, which gives the chunk's root and its part of
+    the proof; then the roots of a subtree's chunks come together, as the leaves of the tree above, with these parts. Siblings
+    below a chunk's root lie in the same chunk. The last chunk, if it is not full, goes up to the height of the others: a node
+    without a sibling is hashed with itself, as in the whole tree.
+
+    registered: block_hash, subtree_index, leaf_index of the leaves to prove (of equal hashes in a subtree the last, as
+    registry.lookup gives them). A subtree without registered leaves has no nodes."""
+    size = 1 << bits
+    cut = [F.shiftright(F.col("leaf_index").cast("long"), bits).alias("chunk"), (F.col("leaf_index").cast("long") % size).cast("int").alias("at")]
+    rows = leaves.select(*TREE, "height", *cut, F.unhex("raw_hex").alias("hash"))
+    if registered is not None:
+        rows = rows.unionByName(registered.select(*TREE, F.lit(None).cast("long").alias("height"), *cut, F.lit(None).cast("binary").alias("hash")))
+    real = F.col("hash").isNotNull()
+    rows = rows.groupBy(*TREE, "chunk").agg(F.max("height").alias("height"), F.array_sort(F.collect_list(F.when(real, F.struct("at", "hash")))).alias("_l"), F.array_sort(F.collect_set(F.when(~real, F.col("at")))).alias("own"))
+    m = F.size("_l")
+    # a chunk that is not the only one of its tree goes up to the common height
+    up = F.when((F.col("chunk") > 0) | (m == size), bits).otherwise(tree_height(m)).cast("int")
+    rows = with_levels(rows.select(*TREE, "height", "chunk", "own", m.alias("m"), up.alias("tree_height"), F.transform("_l", lambda x: x["hash"]).alias("hashes")))
+    turns = F.slice(F.sequence(F.lit(0), F.lit(MAX_HEIGHT)), 1, F.col("tree_height"))
+    shift = lambda x: F.struct(x["level"].alias("level"), (x["offset"] + F.call_function("shiftleft", F.col("chunk"), F.lit(bits) - x["level"])).cast("long").alias("offset"), x["flag"].alias("flag"), x["hash"].alias("hash"))
+    part = let(F.struct(F.col("levels").alias("l"), F.col("own").alias("o")), lambda v: F.flatten(F.transform(turns, lambda k: F.transform(_proof_level(v["l"], v["o"], k), shift))))
+    top = F.element_at(F.element_at("levels", F.col("tree_height") + 1), 1)
+    rows = rows.select(*TREE, "height", "m", F.struct("chunk", top.alias("root"), (F.size("own") > 0).alias("has"), F.when(F.size("own") > 0, part).alias("nodes")).alias("c"))
+    rows = rows.groupBy(*TREE).agg(F.max("height").alias("height"), F.sum("m").alias("n"), F.array_sort(F.collect_list("c")).alias("_c"))
+    above = F.when(F.size("_c") > 1, tree_height(F.size("_c"))).otherwise(0).cast("int")
+    rows = with_levels(rows.select(*TREE, "height", F.col("n").cast("int").alias("n"), "_c", above.alias("tree_height"), F.transform("_c", lambda x: x["root"]).alias("hashes")))
+    # a tree of several chunks has full ones, so what is above them begins at level `bits`
+    high = lambda x: F.struct((x["level"] + bits).alias("level"), x["offset"].cast("long").alias("offset"), x["flag"].alias("flag"), x["hash"].alias("hash"))
+    own = F.transform(F.filter("_c", lambda x: x["has"]), lambda x: x["chunk"].cast("int"))
+    upper = let(F.struct(F.col("levels").alias("l"), own.alias("o")), lambda v: F.flatten(F.transform(turns, lambda k: F.transform(_proof_level(v["l"], v["o"], k, True), high))))
+    lower = F.flatten(F.transform(F.filter("_c", lambda x: x["has"]), lambda x: x["nodes"]))
+    root = root_of(F.col("levels"), F.col("tree_height"))
+    rows = rows.select(*TREE, "height", "n", root.alias("root"), F.array_sort(F.concat(lower, upper)).alias("nodes"))
+    return rows.withColumn("tree_height", tree_height(F.col("n")).cast("int"))
+
+
 def with_stump(rows: DataFrame) -> DataFrame:
     """rows (with_proof) with stump_hex and stump_ref; both null where the proof has no nodes."""
     one = lambda x: F.concat(compact_size_hex(x["offset"]), F.lpad(F.lower(F.hex(x["flag"])), 2, "0"), F.when(x["flag"] != 1, x["hash"]).otherwise(""))

@@ -322,6 +322,16 @@ def merkle_root_4096(spark, sf):
     return p.select("block_hash", "subtree_index", F.col("n").cast("long").alias("n"), M.root_of(F.col("levels"), F.col("tree_height")).alias("root"), "stump_ref")
 
 
+@query
+def merkle_large_subtree(spark, sf):
+    """Proofs of a few leaves of subtrees of up to 262,144: 16 outputs of each order, the first ones of the dearest registered."""
+    o = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    place = F.col("k") * 16 + F.col("i")
+    leaf = o.select(F.lit("large").alias("block_hash"), F.shiftright(place, 18).alias("subtree_index"), F.lit(900_000).cast("long").alias("height"), (place % (1 << 18)).alias("leaf_index"), S.sha256_hex(F.concat_ws(":", F.lit("out"), "k", "i")).alias("raw_hex"), ((F.col("i") == 0) & (F.col("o_totalprice") > 499_000)).alias("own"))
+    p = M.with_stump(M.chunked_proofs(leaf, leaf.where("own")))
+    return p.select("subtree_index", F.col("n").cast("long").alias("n"), F.col("tree_height").cast("long").alias("tree_height"), "root", F.size("nodes").cast("long").alias("n_nodes"), "stump_ref")
+
+
 @query
 def stump_nodes(spark, sf):
     n = nodes(spark, sf)

@@ -157,6 +157,12 @@ select k, {_compact('v')} as encoded from v""",
     "merkle_levels": f"with {_TX}, {_LEVELS} select height, subtree_index, level::bigint as level, pos as \"offset\", hash from lev join siz using (block_hash, subtree_index)",
     "merkle_root": f"with {_TX}, {_LEVELS} select block_hash, subtree_index, n, arg_max(hash, level) as root from lev join siz using (block_hash, subtree_index) group by all",
     "merkle_root_4096": f"with {_TX.replace('n // 64', 'n // 4096').replace('n % 64', 'n % 4096')}, {_REG}, {_FOUND}, {_levels(12)}, {_NODES}, {_ENC}, rt as (select block_hash, subtree_index, arg_max(hash, level) as root from lev group by all) select block_hash, subtree_index, n, root, sha256(unhex(stump_hex)) as stump_ref from siz join rt using (block_hash, subtree_index) left join enc using (block_hash, subtree_index)",
+    "merkle_large_subtree": f"""with leaf as materialized (select 'large' as block_hash, (o_orderkey * 16 + i) >> 18 as subtree_index, 900000 as height, (o_orderkey * 16 + i) % 262144 as leaf_index,
+  sha256('out:' || o_orderkey::varchar || ':' || i::varchar) as raw_hex, i = 0 and o_totalprice > 499000 as own from orders, range(16) t(i)),
+{_levels(18).replace(" as (", " as materialized (")}, found as (select * from leaf where own), {_NODES}, {_ENC},
+rt as (select block_hash, subtree_index, arg_max(hash, level) as root, max(level) as tree_height from lev group by all)
+select subtree_index, n, tree_height, root, coalesce(n_nodes, 0) as n_nodes, sha256(unhex(stump_hex)) as stump_ref
+from siz join rt using (block_hash, subtree_index) left join (select subtree_index, count(*) as n_nodes from nodes group by all) using (subtree_index) left join enc using (subtree_index)""",
     "stump_nodes": f"{_PROOF} select {_NODE_COLS} from nodes",
     "stump_encode_hex": f"{_PROOF}, {_ENC} select block_hash, subtree_index, stump_hex from enc",
     "stump_ref": f"{_PROOF}, {_ENC} select block_hash, subtree_index, sha256(unhex(stump_hex)) as stump_ref from enc",
