@@ -291,3 +291,25 @@ def test_options_and_small_scalars(spark, tmp_path):
     assert spark.range(1).select(S.snippet(F.repeat(F.lit("aé"), 9999), 4096, 5)).head()[0] == "aéa\ufffd"
     both = spark.range(1).select(S.bytes_or_none(F.lit("0aff")), S.bytes_or_none(F.lit("Cv8="))).head()
     assert bytes(both[0]) == bytes(both[1]) == b"\x0a\xff"
+
+
+@pytest.mark.parametrize("kind", ["double", "long", "int", "decimal(20,2)"])
+def test_percentiles_by_selection(spark, monkeypatch, kind):
+    import math
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(D, "PARTS", 4)  # many rounds
+    cases = [[5], [1, 2], [7] * 50 + [9], [rng.randrange(-1000, 1000) for _ in range(300)], [0, 10**9], [int(math.exp(rng.random() * 20)) for _ in range(101)], list(range(100))]
+    for values in cases:
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v long").select(F.col("v").cast(kind).alias("v"))
+        got = D.percentiles(df, "v", (0.5, 0.95, 0.99, 1.0)).head()
+        s = sorted(values)
+        assert [int(x) for x in got] == [len(s), s[0], s[-1], *[s[max(1, math.ceil(p * len(s) / 100)) - 1] for p in (50, 95, 99, 100)]]
+    assert tuple(D.percentiles(spark.createDataFrame([], "v double"), "v").head()) == (0, None, None, None, None, None)
+
+
+def test_percentiles_of_odd_doubles(spark):
+    values = [float("nan"), -1.7e308, 1.7e308, 5e-324, 0.0, 1.0, 1.0000000000000002, None]
+    got = D.percentiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", (0.5, 0.7, 1.0)).head()
+    assert tuple(got) == (6, -1.7e308, 1.7e308, 5e-324, 1.0000000000000002, 1.7e308)

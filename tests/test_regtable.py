@@ -129,3 +129,36 @@ def test_blocks_set_expiries_and_the_sweep_takes_them(spark, tmp_path):
     assert [r[0] for r in state(table)] == ["b"]
     table.upsert(spark.createDataFrame([("a", "v", "t", 9)], ASKED), 2, 5)  # it starts anew, without an expiry
     assert state(table) == [("a", "v", "t", None), ("b", "u", "t", None)]
+
+
+def test_the_sketch_rules_out_what_nobody_registered(spark, tmp_path):
+    table = RegistrationTable(spark, str(tmp_path / "t"), 2)
+    known = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("txid"), F.lit("u").alias("url"), F.lit("").alias("token"), F.col("id").alias("seq"))
+    table.upsert(known.where("seq < 2000"), 0, 5)
+    assert table.may_hold(F.col("txid")) is None  # no base yet
+    table.compact()
+    table.upsert(known.where("seq >= 2000"), 1, 5)
+    asked = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("txid"), F.col("id").alias("leaf"))
+    passed = [r[0] for r in asked.where(table.may_hold(F.col("txid"))).select("leaf").collect()]
+    assert set(range(3000)) <= set(passed) and len(passed) < 3000 + 0.05 * 37_000
+    assert sorted(r["leaf"] for r in table.lookup(asked).collect()) == list(range(3000))
+    # before the join, and so before its shuffle
+    plan = table.lookup(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan
+
+
+def test_sketches_are_bounded():
+    from txloom.operators import bloom
+
+    assert bloom.words_for(0) == bloom.LEAST_WORDS and bloom.words_for(10_000) == 2048 and bloom.words_for(10**9) is None
+
+
+def test_a_table_too_large_for_a_sketch_goes_without(spark, tmp_path, monkeypatch):
+    from txloom.operators import bloom
+
+    monkeypatch.setattr(bloom, "MOST_WORDS", 1)
+    table = RegistrationTable(spark, str(tmp_path / "t"), 2)
+    table.upsert(spark.createDataFrame([("a", "u", "t", 1)], ASKED), 0, 5)
+    table.compact()
+    assert table.may_hold(F.col("txid")) is None
+    assert table.lookup(spark.createDataFrame([("a",), ("b",)], "txid string")).count() == 1

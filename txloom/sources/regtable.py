@@ -4,6 +4,7 @@ Below its folder lie
 
 * `base/v=<n>_upto=<batch>_buckets=<k>`: a row a txid with its urls, tokens and expiry, in buckets by txid and sorted; the
   highest version that is complete counts. Every version holds all changes up to its batch.
+* `sketch/v=<n>_words=<w>`: a Bloom sketch of the version's txids, if it is not too large; batches add theirs;
 * `log/batch=<n>/add` (txid, url, token, seq) and `log/batch=<n>/ttl` (txid, expires_at): the changes of one batch, replaced
   if the batch is replayed.
 
@@ -24,6 +25,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from txloom.operators import bloom
+
 ADD = "txid string, url string, token string, seq long"
 TTL = "txid string, expires_at timestamp_ntz"
 ROW = "txid string, callbacks array<struct<url: string, token: string>>, expires_at timestamp_ntz"
@@ -113,11 +116,29 @@ class RegistrationTable:
     def lookup(self, leaves: DataFrame, before: int | None = None) -> DataFrame:
         """leaves (txid and other columns) with url and token of everyone registered for them.
 
-        The leaves are shuffled into the base's buckets (or the base is broadcast, if it is small); the base is not."""
+        Leaves that the sketch rules out go first. The others are shuffled into the base's buckets (or the base is broadcast,
+        if it is small); the base is not."""
         upto, base = self.base()
+        passes = self.may_hold(F.col("txid"), before)
+        leaves = leaves if passes is None else leaves.where(passes)
         held = base.select("txid", "callbacks").join(leaves, "txid", "right").join(self._news(upto, before).drop("since"), "txid", "left")
         return held.select(*leaves.columns, F.inline(_both()))
 
+    def sketch(self, before: int | None = None) -> tuple[int, DataFrame] | None:
+        """(words, parts) of the Bloom sketch of all txids (before a batch); None if the table has none, or has no base."""
+        found = self.versions()
+        names = [n for n in self._names(f"{self.path}/sketch") if found and int(n.split("_")[0].partition("=")[2]) == found[-1][0]]
+        if not names or not self._complete(f"{self.path}/sketch/{names[-1]}"):
+            return None
+        words = int(names[-1].partition("words=")[2])
+        parts = self.spark.read.schema(bloom.SCHEMA).parquet(f"{self.path}/sketch/{names[-1]}")
+        return words, parts.unionByName(bloom.sketch(self._log("add", found[-1][1], before), "txid", words))
+
+    def may_hold(self, txid: Column, before: int | None = None) -> Column | None:
+        """False only for txids that nobody registered; None if there is no sketch."""
+        made = self.sketch(before)
+        return None if made is None else bloom.may_hold(txid, made[1], made[0])
+
     # --- writing
 
     def _write(self, rows: DataFrame, batch: int, kind: str) -> None:
@@ -164,6 +185,8 @@ class RegistrationTable:
         one = rows.repartition(buckets, "txid")  # a file a bucket
         one.write.bucketBy(buckets, "txid").sortBy("txid").format("parquet").option("path", folder).saveAsTable(name)
         self._named = (v, name)
+        if (words := bloom.words_for(self.spark.table(name).count())) is not None:
+            bloom.sketch(self.spark.table(name), "txid", words).write.mode("overwrite").parquet(f"{self.path}/sketch/v={v}_words={words}")
 
     def vacuum(self) -> None:
         """Delete base versions but the last, and the log that it holds; not while readers of older versions run."""
