@@ -30,6 +30,12 @@ def chunked(found: DataFrame, size: int = CHUNK, *scope: str, order: str = "leaf
     return found.groupBy(*scope, "url", "chunk").agg(F.first("token").alias("token"), F.sort_array(F.collect_list("txid")).alias("txids"))
 
 
+def messages(found: DataFrame, kind: str, chunk: int = CHUNK, order: str = "leaf_index") -> DataFrame:
+    """Seen-messages of found (subtree, txid, url, token), in chunks: callbackUrl, callbackToken, type, subtreeHash, txids."""
+    c = chunked(found, chunk, "subtree", order=order)
+    return c.select(F.col("url").alias("callbackUrl"), F.coalesce("token", F.lit("")).alias("callbackToken"), F.lit(kind).alias("type"), F.col("subtree").alias("subtreeHash"), "txids")
+
+
 def first_sightings(observed: DataFrame) -> DataFrame:
     """txid, subtree_id, first_ts: one row for each distinct pair."""
     return observed.groupBy("txid", "subtree_id").agg(F.min("ts").alias("first_ts"))

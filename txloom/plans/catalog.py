@@ -14,9 +14,12 @@ from txloom.operators import seen as N
 from txloom.plans.oracles import ORACLES  # noqa: F401
 from txloom.sources import readers
 from txloom.sources import testdata as T
+from txloom.sources.regtable import RegistrationTable
+from txloom.sources.shared import new_folder
 
 CAP = 3
 HEIGHT = 6  # subtrees hold at most 64 leaves
+SWEPT_AT = "1998-06-01 00:00:00"
 QUERIES: dict = {}
 
 
@@ -143,6 +146,40 @@ def registration_nested(spark, sf):
     return n.select("txid", F.array_join(F.transform("callbacks", lambda c: F.concat(c["url"], F.lit("|"), c["token"])), ",").alias("callbacks"))
 
 
+def registration_batches(spark, sf) -> list[DataFrame]:
+    """Requests (txid, url, token, seq) in three batches, by line number."""
+    e = T.registration_events(spark, sf)
+    seq = F.datediff(F.col("seq.l_shipdate"), F.lit("1970-01-01").cast("date")).cast("long") * 1_000_000_000 + F.col("seq.l_linenumber") * 100_000_000 + F.col("seq.l_suppkey")
+    e = e.select("txid", "url", "token", F.least(F.lit(2), F.expr("(seq.l_linenumber - 1) div 2")).alias("batch"), seq.alias("seq"))
+    return [e.where(F.col("batch") == b).drop("batch") for b in range(3)]
+
+
+@query
+def registration_table(spark, sf):
+    """The table on disk after three batches with a cap: after the first the urgent orders are given an expiry, after the
+    second what has expired is swept."""
+    table = RegistrationTable(spark, new_folder(spark, "registrations"), 8)
+    urgent = T.read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(S.reversed_hex(T.raw_hash(F.col("o_orderkey")), 32).alias("txid"), "o_orderdate")
+    for i, requests in enumerate(registration_batches(spark, sf)):
+        table.upsert(requests, i, CAP)
+        if i == 0:
+            table.touch(urgent, i, F.col("o_orderdate") + F.make_interval(days=F.lit(1)))
+        if i == 1:
+            table.compact(SWEPT_AT)
+    return table.state()
+
+
+@query
+def registration_table_lookup(spark, sf):
+    """The leaves of all subtrees looked up in the table on disk: a base in buckets, a log, and a sketch before the shuffle."""
+    table = RegistrationTable(spark, new_folder(spark, "registrations"), 8)
+    for i, requests in enumerate(registration_batches(spark, sf)):
+        table.upsert(requests, i, 1000)
+        if i == 1:
+            table.compact()
+    return table.lookup(T.leaves(spark, sf).select("height", "subtree_index", "leaf_index", "txid"))
+
+
 def expiring(spark, sf):
     """txid, expires_at: users, a day after their last event; every tenth never expires."""
     e = T.read(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
@@ -183,6 +220,14 @@ def seen_group_by_url(spark, sf):
     return g.select("height", "subtree_index", "url", F.coalesce("token", F.lit("")).alias("token"), "n", F.sha2(F.array_join("txids", ","), 256).alias("txids_sha256"))
 
 
+@query
+def seen_message_json(spark, sf):
+    """The encoded messages for a subtree's sightings, of at most 50 txids each, with all that a delivery needs."""
+    f = found(spark, sf).withColumn("subtree", F.concat_ws("/", "block_hash", "subtree_index"))
+    m = readers.whole_callbacks(N.messages(f, "SEEN_ON_NETWORK", 50))
+    return m.select("subtreeHash", "callbackUrl", F.element_at("txids", 1).alias("first_txid"), readers.message_json(readers.CALLBACK_MESSAGE).alias("value"))
+
+
 @query
 def seen_chunked(spark, sf):
     """Runs of a subtree's txids for each url."""

@@ -96,6 +96,14 @@ _TRY = lambda ok: f"""with a as (select user_id as key, {_url('user_id')} as url
 s as (select key, url, seq, ts, retry, case when ok then 'delivered' when retry >= 5 then 'dlq' else 'retry' end as state from a where past = 0 and retry <= 5),
 d as (select *, case when state = 'retry' then ts + to_seconds(30 * (retry + 1)) end as next_at from s)"""
 
+_BATCHED = f"""
+ev0 as (select sha256('tx:' || l_orderkey::varchar) as h, {_url('l_suppkey')} as url, case when l_linenumber % 3 = 0 then '' else 'tok-' || l_linenumber::varchar end as token,
+  date_diff('day', date '1970-01-01', l_shipdate::date) * 1000000000 + l_linenumber * 100000000 + l_suppkey as seq, least(2, (l_linenumber - 1) // 2) as batch from lineitem where l_returnflag = 'R'),
+ev as (select {_rev('h')} as txid, url, token, seq, batch from ev0),
+p as (select batch, txid, url, arg_max(token, seq) as token, min(seq) as first from ev group by all)"""
+_after = lambda before, batch: f"""(select txid, url, token from (select txid, url, coalesce(n.token, o.token) as token, o.token is not null as known,
+  row_number() over (partition by txid order by o.token is not null desc, first, url) as slot from {before} o full join (select * from p where batch = {batch}) n using (txid, url)) where known or slot <= 3)"""
+
 ORACLES: dict[str, str] = {
     "registered_by_url": f"{_ALL} select height, url, count(*) as n_txids, count(distinct subtree_index) as n_subtrees, min(txid) as first_txid from found group by height, url",
     "registration_lookup": f"{_ALL} select height, subtree_index, leaf_index, txid, url, token from found",
@@ -124,6 +132,15 @@ from q left join r using (txid, u) group by txid, u""",
     "registration_over_cap": f"with {_REG} select txid, count(*) as refused from (select txid, row_number() over (partition by txid order by first_seq, url) as slot from reg) where slot > 3 group by txid",
     "registration_point_get": f"with {_REG} select url, token from reg where txid = {_rev(chr(115) + 'ha256(' + chr(39) + 'tx:7' + chr(39) + ')')} order by url",
     "registration_missing_anti": f"with {_TX}, {_REG} select tx_key, txid from tx where txid not in (select txid from reg)",
+    "registration_table": f"""with {_BATCHED}, none as (select '' as txid, '' as url, '' as token where false),
+s0 as {_after("none", 0)},
+due as (select {_rev("sha256('tx:' || o_orderkey::varchar)")} as txid, o_orderdate + interval 1 day as expires_at from orders where o_orderpriority = '1-URGENT'),
+ttl as (select * from due where txid in (select txid from s0)),
+s1 as {_after("s0", 1)}, swept as (select * from s1 where txid not in (select txid from ttl where expires_at < timestamp '1998-06-01')),
+s2 as {_after("swept", 2)}
+select txid, url, token, expires_at from s2 left join (select * from ttl where expires_at >= timestamp '1998-06-01') using (txid)""",
+    "registration_table_lookup": f"""with {_BATCHED}, {_TX}, r as (select txid, url, arg_max(token, (batch, seq)) as token from ev group by all)
+select height, subtree_index, leaf_index, txid, url, token from leaf join r using (txid)""",
     "registration_nested": f"with {_REG} select txid, string_agg(url || '|' || token, ',' order by url, token) as callbacks from reg group by txid",
     "ttl_update": f"with {_EXP} select txid, case when txid in (select user_id::varchar from events where event_type = 'purchase' and value > 150) then timestamp '2024-02-01 00:30:00' else expires_at end as expires_at from expiring",
     "ttl_sweep": f"""with {_EXP}, kept as (select txid from expiring where expires_at is null or expires_at >= timestamp '2024-01-31 12:00:00')
@@ -132,6 +149,11 @@ select k.txid, count(distinct {_url('event_id')}) as urls from kept k left join
     "url_registry_active": """with u as (select 'https://user-' || user_id::varchar || '.example/callback' as url, max(ts) as last_seen, 'tok-' || (max(event_id) % 7)::varchar as token from events group by user_id)
 select url, token from u where token = 'tok-3' or last_seen >= timestamp '2024-01-31 12:00:00' - interval 1 day""",
     "seen_group_by_url": f"{_ALL} select height, subtree_index, url, coalesce(arg_min(token, leaf_index) filter (token <> ''), '') as token, count(*) as n, sha256(string_agg(txid, ',' order by txid)) as txids_sha256 from found group by height, subtree_index, url",
+    "seen_message_json": f"""{_ALL}, c as (select *, (row_number() over (partition by block_hash, subtree_index, url order by txid) - 1) // 50 as chunk,
+  coalesce(first_value(token) over (partition by block_hash, subtree_index, url order by token = '', leaf_index), '') as tok from found)
+select block_hash || '/' || subtree_index as "subtreeHash", url as "callbackUrl", min(txid) as first_txid, '{{{{"callbackUrl":"' || url || '"' || case when any_value(tok) <> '' then ',"callbackToken":"' || any_value(tok) || '"' else '' end
+  || ',"type":"SEEN_ON_NETWORK","txids":["' || string_agg(txid, '","' order by txid) || '"],"subtreeHash":"' || block_hash || '/' || subtree_index || '"}}}}' as value
+from c group by block_hash, subtree_index, url, chunk""".replace("{{", "{").replace("}}", "}"),
     "seen_chunked": f"""{_ALL} select block_hash, subtree_index, url, chunk, count(*) as n, {_SET('list(txid)')} as set_hash
 from (select *, (row_number() over (partition by block_hash, subtree_index, url order by txid) - 1) // 2 as chunk from found) group by block_hash, subtree_index, url, chunk""",
     "seen_distinct_count": f"with {_OBS} select txid, count(distinct subtree_id) as n from obs group by txid",

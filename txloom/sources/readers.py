@@ -64,6 +64,11 @@ def block_messages(announced: DataFrame) -> DataFrame:
     return announced.select(F.col("hash").alias("key"), message_json(BLOCK_MESSAGE).alias("value"))
 
 
+def whole_callbacks(df: DataFrame) -> DataFrame:
+    """df with every field of CALLBACK_MESSAGE, null where it has none; other columns go."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CALLBACK_MESSAGE])
+
+
 def callback_messages(df: DataFrame) -> DataFrame:
     """value: callbacks (columns of CALLBACK_MESSAGE) as messages."""
     return df.select(message_json(CALLBACK_MESSAGE).alias("value"))

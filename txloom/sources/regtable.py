@@ -163,9 +163,10 @@ class RegistrationTable:
         return answers.withColumn("status", status).drop("_good", "in")
 
     def touch(self, txids: DataFrame, batch: int, expires_at: str | None | Column) -> None:
-        """Set the expiry of txids (txid): what a mined block does to what it held. Unknown txids are passed over when read."""
+        """Set the expiry of txids (txid; expires_at may be an expression over their columns): what a mined block does to what
+        it held. Unknown txids are passed over when read; of several expiries in one batch the last in time counts."""
         at = expires_at if isinstance(expires_at, Column) else F.lit(expires_at)
-        self._write(txids.select("txid").where("txid is not null").distinct().withColumn("expires_at", at.cast("timestamp_ntz")), batch, "ttl")
+        self._write(txids.where("txid is not null").select("txid", at.cast("timestamp_ntz").alias("expires_at")).distinct(), batch, "ttl")
 
     def compact(self, now: str | None = None) -> None:
         """Fold the log into a new base version; with `now`, drop every txid whose expiry lies before it (a null one never

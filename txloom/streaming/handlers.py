@@ -157,8 +157,7 @@ class Topics:
 
     def send(self, df: DataFrame, writer: str, batch: int) -> None:
         """Callback messages: every field of CALLBACK_MESSAGE, null where a kind has none."""
-        every = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in readers.CALLBACK_MESSAGE]
-        self.put(df.select(*every), "callback", writer, batch)
+        self.put(readers.whole_callbacks(df), "callback", writer, batch)
 
     def stream(self, topic: str, schema: str) -> DataFrame:
         """The topic as a stream, oldest first."""
@@ -210,19 +209,13 @@ def subtree_handler(messages: DataFrame, table: RegistrationTable, topics: Topic
         found = table.lookup(last)
         topics.put(found, "found", "subtree", batch_id)  # looked up once
         found = topics.spark.read.parquet(f"{topics.path}/found/from=subtree/batch={batch_id}")
-        topics.send(seen_messages(found, "SEEN_ON_NETWORK"), "subtree", batch_id)
+        topics.send(seen.messages(found, "SEEN_ON_NETWORK"), "subtree", batch_id)
         topics.put(found.select("txid", F.col("subtree").alias("subtree_id"), F.current_timestamp().alias("ts")).distinct(), "seen", "subtree", batch_id)
         topics.put(batch.where("state = 'dlq'").select("key", "message", "attempt", "error"), "subtree_dlq", "subtree", batch_id)
 
     return _started(outcome, lambda b, i: _cached(b, lambda c: handle(c, i)), checkpoint, trigger)
 
 
-def seen_messages(found: DataFrame, kind: str, chunk: int = seen.CHUNK, order: str = "leaf_index") -> DataFrame:
-    """Callback messages (columns of CALLBACK_MESSAGE that are set) of found (subtree, txid, url, token): complete, in chunks."""
-    c = seen.chunked(found, chunk, "subtree", order=order)
-    return c.select(F.col("url").alias("callbackUrl"), F.coalesce("token", F.lit("")).alias("callbackToken"), F.lit(kind).alias("type"), F.col("subtree").alias("subtreeHash"), "txids")
-
-
 def block_handler(messages: DataFrame, topics: Topics, checkpoint: str, opts: Mapping[str, object] | None = None, trigger: dict | None = None, **fetch) -> StreamingQuery:
     """Block announcements (value: JSON; one that cannot be decoded fails the stream) to work: skip what was handled, fetch
     the block, set its counter (`counts`), then write a message for each subtree (`work`); `block_dlq`: given up."""
