@@ -8,6 +8,7 @@ it, so a replay leaves nothing twice.
 from __future__ import annotations
 
 import datetime as dt
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
-from txloom.operators import blocks, delivery, merkle, registry, seen
+from txloom.operators import delivery, registry, seen
+from txloom.streaming.publish import Totals
 
 FIRED_SCHEMA = "txid string, subtree_id string, n long"
 
@@ -102,31 +104,6 @@ def seen_multiple(observed: DataFrame, registrations: DataFrame, path: str, chec
     return sink(fire_once(observed, threshold, ttl_ms), path, checkpoint, step)
 
 
-def block_work(spark: SparkSession, work: DataFrame, leaves: DataFrame, registrations: DataFrame, expected: DataFrame, urls: DataFrame, path: str, checkpoint: str, height: int = merkle.MAX_HEIGHT) -> StreamingQuery:
-    """The block path for a stream of subtree work (block_hash, subtree_index): proofs of what is registered, one STUMP
-    message a url, then the countdown, and BLOCK_PROCESSED to every active url once a block has no work left.
-
-    Tables below path, a folder a batch: proofs (stump_ref, stump_hex), stump and block_processed (messages), finished
-    (work done). Work that is repeated counts once; a block may be announced as processed again, which the delivery's
-    dedup by block, url and type absorbs. leaves, registrations and urls are read anew for each batch."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-        own = batch.select("block_hash", "subtree_index").distinct()
-        rows = merkle.subtree_rows(leaves.join(own, ["block_hash", "subtree_index"]), registrations)
-        put(merkle.with_stump(merkle.with_proof(merkle.with_levels(merkle.provable(rows), height))).drop("levels", "hashes", "nodes"), "work")
-        done = spark.read.parquet(f"{path}/work/batch={batch_id}")
-        put(done.select("stump_ref", "stump_hex"), "proofs")
-        put(merkle.callbacks_of(done).withColumn("type", F.lit("STUMP")), "stump")
-        put(own, "finished")
-        finished = spark.read.parquet(f"{path}/finished").where(F.col("batch") <= batch_id)
-        ours = finished.join(own.select("block_hash").distinct(), "block_hash", "left_semi")
-        ready = blocks.countdown(expected.join(own.select("block_hash").distinct(), "block_hash", "left_semi"), ours).where("remaining = 0")
-        put(blocks.broadcast_done(ready, urls).withColumn("type", F.lit("BLOCK_PROCESSED")), "block_processed")
-
-    return work.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -134,7 +111,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def deliveries(
     spark: SparkSession, messages: DataFrame, path: str, checkpoint: str, send: Callable[[DataFrame], DataFrame], now: str | Callable[[], str] | None = None,
-    limit: int = delivery.MAX_RETRIES, ttl_days: int = 1, trigger: dict | None = None,
+    limit: int = delivery.MAX_RETRIES, ttl_days: int = 1, trigger: dict | None = None, totals: Totals | None = None,
 ) -> StreamingQuery:
     """Deliver a stream of messages (dedup_key, retry, next_at, …): skip what was delivered, send what is due, record
     successes, put back retries with their time, and the rest on the dead-letter table.
@@ -144,9 +121,11 @@ def deliveries(
     `dlq`; `counters` has one row a batch. Each batch takes up the queue that the batch before left; `ticks` keeps batches
     coming while no message arrives.
 
+    Of rows of one key in a batch one is sent; the others wait, and are duplicates once it is delivered, or sent in their turn
+    if it ends as a dead letter. totals: counted while the outcomes are written (delivery_totals).
+
     Outcomes are written once: if a batch is replayed after that, nothing is sent again and the other tables are made from
-    them anew. Records count from earlier batches only, so a replay does not meet its own. Of rows of one key in a batch one is
-    sent. Delivery is at least once: a batch that is lost while it sends is sent again. Records older than ttl_days are not
+    them anew. Records count from earlier batches only, so a replay does not meet its own. Delivery is at least once: a batch that is lost while it sends is sent again. Records older than ttl_days are not
     read; `now` may be a function, so the clock moves from batch to batch (by default the system's, in UTC)."""
 
     def clock() -> str:
@@ -165,43 +144,53 @@ def deliveries(
         named = ready.withColumn("_k", F.coalesce("dedup_key", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))))
         first = F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("retry"), F.xxhash64(*[c for c in cols])))
         named = named.withColumn("_n", first).drop("_k")
-        fresh = named.where("_n = 1").drop("_n")
         if _exists(spark, f"{path}/delivered"):
             since = (dt.datetime.fromisoformat(at) - dt.timedelta(days=ttl_days)).date()
             past = spark.read.schema("dedup_key string, expires_at timestamp_ntz, day date, batch long").parquet(f"{path}/delivered")
             past = past.where((F.col("batch") < batch_id) & (F.col("day") >= F.lit(since)))
             valid = past.where(F.col("expires_at") > time).select("dedup_key").distinct().withColumn("_had", F.lit(True))
-            fresh = fresh.join(valid, "dedup_key", "left").withColumn("_had", F.coalesce("_had", F.lit(False)))
+            named = named.join(valid, "dedup_key", "left").withColumn("_had", F.coalesce("_had", F.lit(False)))
         else:
-            fresh = fresh.withColumn("_had", F.lit(False))
-        sent = send(fresh.where("not _had").select(*cols))
+            named = named.withColumn("_had", F.lit(False))
+        sent = send(named.where("not _had and _n = 1").select(*cols))
         state = delivery.callback_state(F.col("ok"), F.col("permanent"), F.col("retry"), limit)
         again = time + F.make_interval(secs=F.lit(delivery.BACKOFF_SECONDS) * (F.col("retry") + 1))
         sent = sent.withColumn("state", state).withColumn("next_at", F.when(F.col("state") == "retry", again).otherwise(F.col("next_at"))).withColumn("retry", (F.col("retry") + (F.col("state") == "retry").cast("int")).cast("int"))
         other = lambda df, what: df.select(*cols).withColumn("state", F.lit(what))
-        out = sent.select(*cols, "state").unionByName(other(later, "waiting")).unionByName(other(fresh.where("_had"), "duplicate")).unionByName(other(named.where("_n > 1"), "duplicate"))
+        out = sent.select(*cols, "state").unionByName(other(later, "waiting")).unionByName(other(named.where("_had"), "duplicate")).unionByName(other(named.where("not _had and _n > 1"), "waiting"))
         return out.withColumn("handled_at", time)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         outcomes = f"{path}/outcomes/batch={batch_id}"
+        counts = None
         if not _exists(spark, f"{outcomes}/_SUCCESS"):
-            judged(batch, batch_id).write.mode("overwrite").parquet(outcomes)
+            counts = (totals or delivery_totals()).watched(judged(batch, batch_id), lambda df: df.write.mode("overwrite").parquet(outcomes))
         out = spark.read.parquet(outcomes)
         put = lambda df, where: df.write.mode("overwrite").parquet(f"{path}/{where}batch={batch_id}")
         cols = [c for c in out.columns if c not in ("state", "handled_at")]
         put(out.where("state in ('retry', 'waiting')").select(*cols), "queue/")
         put(out.where("state = 'dlq'").select(*cols), "dlq/")
-        counts = {r["state"]: r["count"] for r in out.groupBy("state").count().collect()}
-        if counts.get("delivered"):
+        if counts is None:  # a replay after the outcomes were written: they are counted from there
+            states = {r["state"]: r["count"] for r in out.groupBy("state").count().collect()}
+            counts = {k: states.get(s, 0) for k, s in STATES.items()}
+        if counts["processed"]:
             at = out.where("state = 'delivered'").select("handled_at").head()[0]
             expires = F.col("handled_at") + F.make_interval(days=F.lit(ttl_days))
             put(out.where("state = 'delivered' and dedup_key is not null").select("dedup_key", expires.alias("expires_at")), f"delivered/day={at.date()}/")
-        row = [tuple(counts.get(s, 0) for s in ("delivered", "retry", "dlq", "duplicate", "waiting"))]
-        put(spark.createDataFrame(row, "processed long, retried long, failed long, deduped long, waiting long").coalesce(1), "counters/")
+        put(spark.createDataFrame([tuple(counts[k] for k in STATES)], ", ".join(f"{k} long" for k in STATES)).coalesce(1), "counters/")
 
     return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+#: What a service counts, and the state of an outcome that it counts.
+STATES = {"processed": "delivered", "retried": "retry", "failed": "dlq", "deduped": "duplicate", "waiting": "waiting"}
+
+
+def delivery_totals() -> Totals:
+    """The totals of a delivery service: processed, retried, failed, deduped (and waiting, summed over batches)."""
+    return Totals(**{k: F.col("state") == s for k, s in STATES.items()})
+
+
 def ticks(messages: DataFrame, seconds: int = 2) -> DataFrame:
     """messages with a row every few seconds (_tick is true) that only makes batches go on, so that retries fall due."""
     rate = messages.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load().where(F.expr(f"value % {seconds} = 0"))
@@ -210,10 +199,11 @@ def ticks(messages: DataFrame, seconds: int = 2) -> DataFrame:
 
 
 class Heartbeat(StreamingQueryListener):
-    """Logs what each micro-batch took in, and keeps totals: a sign of life without a line a message."""
+    """Logs what each micro-batch took in, and a service's totals at most every `seconds`: a sign of life without a line a
+    message."""
 
-    def __init__(self, log: Callable[[str], None] = print):
-        self.log, self.batches, self.rows = log, 0, 0
+    def __init__(self, log: Callable[[str], None] = print, totals: Totals | None = None, seconds: float = 30.0):
+        self.log, self.totals, self.seconds, self.batches, self.rows, self.last = log, totals, seconds, 0, 0, float("-inf")
 
     def onQueryStarted(self, event) -> None:
         self.log(f"stream {event.id} started")
@@ -222,6 +212,9 @@ class Heartbeat(StreamingQueryListener):
         self.batches += 1
         self.rows += event.progress.numInputRows
         self.log(f"stream {event.progress.id}: batch {event.progress.batchId}, {event.progress.numInputRows} rows, {self.rows} in all")
+        if self.totals and time.monotonic() - self.last >= self.seconds:
+            self.last = time.monotonic()
+            self.log(", ".join(f"{v} {k}" for k, v in self.totals.sums.items()))
 
     def onQueryIdle(self, event) -> None:
         pass
