@@ -229,3 +229,18 @@ def test_publishing_lasts(spark, tmp_path):
     with pytest.raises(publish.Unpublished, match="4 tries"):
         publish.lasting(lambda: write(rows, str(tmp_path / f"x{len(waits)}")), sleep=waits.append)
     assert waits == [0.5, 1.0, 2.0] and list(log.batches()) == [0]
+
+
+def test_a_failing_stream_ends_the_others(spark, tmp_path):
+    import pytest
+
+    rate = lambda: spark.readStream.format("rate").load()
+    good = engine.sink(rate(), str(tmp_path / "a"), str(tmp_path / "ca"), processingTime="300 milliseconds")
+
+    def broken(df):
+        raise ValueError("it cannot be")
+
+    bad = engine.sink(rate(), str(tmp_path / "b"), str(tmp_path / "cb"), broken, waits=(0.0, 0.1), processingTime="300 milliseconds")
+    with pytest.raises(Exception, match="2 tries failed"):
+        engine.run_until_fatal(spark, good, bad)
+    assert not good.isActive

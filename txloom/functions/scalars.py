@@ -34,11 +34,11 @@ def double_sha256_hex(hex_: Column | str) -> Column:
 
 
 def reversed_hex(hex_: Column | str, size: int | None = None) -> Column:
-    """The bytes that hex_ spells, last first. With a known size in bytes it is one concatenation inside generated code;
-    else the text is turned round and each pair of digits back."""
+    """The bytes that hex_ spells, last first, in lower case. A few bytes (of a known size) are one concatenation; more are
+    turned round as characters of a character set that has one for each byte."""
     h = col(hex_)
-    if size is None:
-        return F.regexp_replace(F.reverse(h), "(.)(.)", "$2$1")
+    if size is None or size > 8:
+        return F.lower(F.hex(F.encode(F.reverse(F.decode(F.unhex(h), "ISO-8859-1")), "ISO-8859-1")))
     return F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(size - 1, -1, -1)])
 
 

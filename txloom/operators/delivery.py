@@ -149,12 +149,24 @@ def exactly_one(messages: DataFrame, *key: str) -> DataFrame:
     return messages.groupBy(*key).agg(F.count("*").alias("n")).withColumn("ok", F.col("n") == 1)
 
 
-def valid_stumps(received: DataFrame, height: Column) -> DataFrame:
-    """received with ok: the proof is there, is hex, and starts with the height that is expected."""
+def totals_by_type(received: DataFrame, expected_blocks: Column | None = None) -> DataFrame:
+    """url, n, stumps, block_processed, other, bytes, ok: what each receiver got by type (received: url, type, bytes). Nothing
+    else than these two may come; expected_blocks: how many BLOCK_PROCESSED each receiver should have."""
+    count = lambda t: F.count_if(F.col("type") == t)
+    out = received.groupBy("url").agg(F.count("*").alias("n"), count("STUMP").alias("stumps"), count("BLOCK_PROCESSED").alias("block_processed"), F.sum("bytes").alias("bytes"))
+    out = out.withColumn("other", F.col("n") - F.col("stumps") - F.col("block_processed"))
+    ok = F.col("other") == 0
+    return out.withColumn("ok", ok if expected_blocks is None else ok & (F.col("block_processed") == expected_blocks))
+
+
+def valid_stumps(received: DataFrame, height: Column, block: Column | None = None) -> DataFrame:
+    """received with ok: the proof is there, is hex, starts with the height that is expected, and (block: a hash to compare
+    block_hash with) is of the block."""
     from txloom.functions.scalars import compact_size_hex
 
     hex_ = F.coalesce(F.col("stump_hex"), F.lit(""))
-    return received.withColumn("ok", hex_.rlike("^([0-9a-f]{2})+$") & hex_.startswith(compact_size_hex(height)))
+    ok = hex_.rlike("^([0-9a-f]{2})+$") & hex_.startswith(compact_size_hex(height))
+    return received.withColumn("ok", ok if block is None else ok & F.coalesce(F.col("block_hash") == block, F.lit(False)))
 
 
 def appended(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:

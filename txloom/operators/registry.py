@@ -8,10 +8,26 @@ from pyspark.sql import functions as F
 from txloom.functions.scalars import TOKEN_LIMIT, TXID, let, url_error
 
 
+def requests_of(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """bodies with txid, callbackUrl, callbackToken and undecodable: whether the body is no JSON object of texts (null fields,
+    missing ones and a null body count as empty)."""
+    v = F.try_parse_json(F.coalesce(F.col(body), F.lit("")))
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    names = ("txid", "callbackUrl", "callbackToken")
+    is_object = kind(v).startswith("OBJECT")
+    texts = [kind(F.when(is_object, F.try_variant_get(v, f"$.{n}", "variant"))).isin("STRING", "VOID") for n in names]
+    good = v.isNotNull() & (is_object | (kind(v) == "VOID")) & texts[0] & texts[1] & texts[2]
+    fields = [F.when(good & is_object, F.try_variant_get(v, f"$.{n}", "string")).alias(n) for n in names]
+    return bodies.select("*", *fields, (~F.coalesce(good, F.lit(False))).alias("undecodable"))
+
+
 def validate_watch(requests: DataFrame, allow_private: bool = False) -> DataFrame:
-    """requests (txid, callbackUrl, callbackToken) with status and error: the first check that fails decides."""
+    """requests (txid, callbackUrl, callbackToken) with status and error: the first check that fails decides. A column
+    undecodable (requests_of) marks bodies that could not be read."""
+    broken = F.col("undecodable") if "undecodable" in requests.columns else F.lit(False)
     # The answers that clients see.
     checks = lambda why: [
+        (broken, "invalid request body"),
         (F.coalesce(F.col("txid"), F.lit("")) == "", "txid is required"),
         (~F.col("txid").rlike(TXID), "invalid txid format: must be a 64-character hex string"),
         (F.coalesce(F.col("callbackUrl"), F.lit("")) == "", "callbackUrl is required"),
@@ -23,6 +39,16 @@ def validate_watch(requests: DataFrame, allow_private: bool = False) -> DataFram
     return requests.withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), 200).otherwise(400))
 
 
+def answered_lookup(asked: DataFrame, registrations: DataFrame) -> DataFrame:
+    """asked (txid and other columns) with status, error and urls, in order: who is registered, without any token."""
+    bad = ~F.coalesce(F.col("txid").rlike(TXID), F.lit(False))
+    urls = registrations.groupBy("txid").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+    out = asked.join(urls, "txid", "left")
+    # Fixed value: the answer that clients see.
+    error = F.when(bad, "invalid txid format: must be a 64-character hex string")
+    return out.select(*asked.columns, F.when(bad, 400).otherwise(200).alias("status"), error.alias("error"), F.when(~bad, F.coalesce("urls", F.array().cast("array<string>"))).alias("urls"))
+
+
 #: Fixed value: the answer to a request over the cap.
 OVER_CAP = "too many callback URLs registered for this txid"
 

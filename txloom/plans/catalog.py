@@ -102,6 +102,30 @@ def watch_validation(spark, sf):
     return R.validate_watch(s).select("k", F.col("status").cast("long").alias("status"), "error")
 
 
+@query
+def watch_bodies(spark, sf):
+    """Bodies made from customers: whole, cut off, of another kind, or without a field by turns."""
+    k = F.col("c_custkey") % 9
+    tx = S.sha256_hex(F.concat(F.lit("tx:"), F.col("c_custkey").cast("string")))
+    whole = F.concat(F.lit('{"txid":"'), tx, F.lit('","callbackUrl":"https://subscriber.example/cb","callbackToken":"t"}'))
+    odd = {1: F.expr("substring(whole, 1, 40)"), 2: F.lit("[1]"), 3: F.lit('{"txid":5}'), 4: F.lit("null"), 5: F.concat(F.lit('{"txid":"'), tx, F.lit('","other":[1]}')), 6: F.lit(None).cast("string"), 7: F.lit('{"callbackUrl":"https://a.example/","txid":null}')}
+    b = T.read(spark, sf, "customer").select("c_custkey", k.alias("k"), tx.alias("tx"), whole.alias("whole"))
+    body = F.col("whole")
+    for i, text in odd.items():
+        body = F.when(F.col("k") == i, F.concat(F.lit('{"txid":"'), F.col("tx"), F.lit('","other":[1]}')) if i == 5 else text).otherwise(body)
+    checked = R.validate_watch(R.requests_of(b.select("c_custkey", body.alias("body"))))
+    return checked.select("c_custkey", F.col("status").cast("long").alias("status"), "error")
+
+
+@query
+def api_lookup(spark, sf):
+    """Who is registered for the order of each customer's number, tokens hidden; every seventh asks badly."""
+    tx = S.reversed_hex(T.raw_hash(F.col("c_custkey")), 32)
+    asked = T.read(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, F.substring(tx, 1, 63)).otherwise(tx).alias("txid"))
+    a = R.answered_lookup(asked, registrations(spark, sf))
+    return a.select("c_custkey", F.col("status").cast("long").alias("status"), "error", F.array_join("urls", ",").alias("urls"))
+
+
 @query
 def watch_admission(spark, sf):
     """Answers to requests in their order, made from returned line items: a txid's urls over the cap are refused with 429."""
@@ -572,11 +596,21 @@ def root_in_either_order(spark, sf):
 
 @query
 def stump_validity(spark, sf):
-    """Received proofs: as sent, missing, or of another block by turns."""
+    """Received proofs: as sent, of another height, missing, or of another block by turns."""
     e = stumps(spark, sf)
-    k = F.col("subtree_index") % 3
-    e = e.withColumn("stump_hex", F.when(k == 0, F.col("stump_hex")).when(k == 1, F.col("stump_hex")))  # nothing for the third kind
-    return D.valid_stumps(e, F.col("height") + F.when(k == 1, 1).otherwise(0)).select("block_hash", "subtree_index", "ok")
+    k = (F.col("subtree_index") + F.col("height")) % 4
+    e = e.withColumn("stump_hex", F.when(k != 2, F.col("stump_hex")))
+    want = F.when(k == 3, S.sha256_hex(F.col("block_hash"))).otherwise(F.col("block_hash"))
+    return D.valid_stumps(e, F.col("height") + F.when(k == 1, 1).otherwise(0), want).select("block_hash", "subtree_index", "ok")
+
+
+@query
+def receiver_totals(spark, sf):
+    """Proofs and finished blocks as each receiver counts them, with nothing else among them."""
+    size = F.octet_length("url").cast("long").alias("bytes")
+    got = stump_callbacks(spark, sf).select("url", F.lit("STUMP").alias("type"), size)
+    got = got.unionByName(block_processed_broadcast(spark, sf).select("url", F.lit("BLOCK_PROCESSED").alias("type"), size))
+    return D.totals_by_type(got)
 
 
 @query

@@ -118,6 +118,16 @@ e as (select k, -- fixed values: the answers that clients see
     when m in (5, 6, 8, 12, 13, 14, 15, 17, 18, 19, 20) then 'invalid callbackUrl: host is on the SSRF deny-list (private, loopback, link-local, or metadata-endpoint address)'
     when m = 10 then 'invalid callbackToken: exceeds maximum length' end as error from s)
 select k, case when error is null then 200 else 400 end::bigint as status, error from e""",
+    "watch_bodies": """
+with b as (select c_custkey, c_custkey % 9 as k, case c_custkey % 9 -- fixed values: the answers that clients see
+  when 4 then 'txid is required' when 7 then 'txid is required' when 5 then 'callbackUrl is required'
+  when 1 then 'invalid request body' when 2 then 'invalid request body' when 3 then 'invalid request body' when 6 then 'invalid request body' end as error from customer)
+select c_custkey, case when error is null then 200 else 400 end::bigint as status, error from b""",
+    "api_lookup": f"""
+with {_REG}, a as (select c_custkey, {_rev("sha256('tx:' || c_custkey::varchar)")} as txid from customer), u as (select txid, string_agg(url, ',' order by url) as urls from reg group by txid)
+-- fixed value: the answer that clients see
+select c_custkey, case when c_custkey % 7 = 0 then 400 else 200 end::bigint as status, case when c_custkey % 7 = 0 then 'invalid txid format: must be a 64-character hex string' end as error,
+  case when c_custkey % 7 <> 0 then coalesce(urls, '') end as urls from a left join u using (txid)""",
     "watch_admission": f"""
 -- fixed values: the answers that clients see
 with {_REG}, q as (select txid, case when s2 = 4 then 'ftp://x/' else url end as u, seq from ev),
@@ -222,7 +232,11 @@ select subtree_index, count(*) as n, count(distinct h) as distinct_n, min(h) as
 select subtree_id, count(*) as n, max(gap) as longest_us from g where gap is not null group by subtree_id""",
     "proof_walk": f"{_PROOF} select block_hash, subtree_index, leaf_index, level, leaf_index >> level as own, xor(leaf_index >> level, 1) as other from (select *, unnest(range(0, tree_height)) as level from r)",
     "root_in_either_order": f"with {_TX} select distinct block_hash, subtree_index, subtree_index % 3 <> 2 as ok from leaf",
-    "stump_validity": f"{_PROOF} select distinct block_hash, subtree_index, subtree_index % 3 = 0 as ok from r",
+    "stump_validity": f"{_PROOF} select distinct block_hash, subtree_index, (subtree_index + height) % 4 = 0 as ok from r",
+    "receiver_totals": f"""{_PROOF}, {_ENC}, {_WORK}, {_SEEN_URL}, m as (
+  select url, 'STUMP' as type from (select distinct block_hash, subtree_index, url from found join enc using (block_hash, subtree_index))
+  union all select url, 'BLOCK_PROCESSED' from cd, (select url, max(last_seen) as last_seen from us group by url) where remaining <= 0 and last_seen >= timestamp '2024-02-01' - interval 7 day)
+select url, count(*) as n, count(*) filter (type = 'STUMP') as stumps, count(*) filter (type = 'BLOCK_PROCESSED') as block_processed, sum(strlen(url))::bigint as bytes, 0::bigint as other, true as ok from m group by url""",
     "exactly_one_block_processed": f"""with {_TX}, {_WORK}, {_SEEN_URL}, u as (select url, max(last_seen) as last_seen from us group by url)
 select block_hash, url, 1::bigint as n, true as ok from cd, u where remaining <= 0 and last_seen >= timestamp '2024-02-01' - interval 7 day""",
     "bulk_register_summary": "select s_suppkey % 24 in (0, 9, 11, 16) as ok, count(*) as n from supplier group by 1",

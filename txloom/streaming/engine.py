@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from txloom.operators import delivery, registry, seen
-from txloom.streaming.publish import Totals
+from txloom.streaming.publish import Totals, lasting
 
 FIRED_SCHEMA = "txid string, subtree_id string, n long"
 
@@ -66,11 +66,30 @@ def fire_once(observed: DataFrame, threshold: int = seen.THRESHOLD, ttl_ms: int
     return observed.groupBy("txid").transformWithStateInPandas(statefulProcessor=FireOnce(threshold, ttl_ms), outputStructType=FIRED_SCHEMA, outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
-def sink(df: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None, **trigger) -> StreamingQuery:
-    """Write each micro-batch (after step) to path/batch=<id>, replacing what an earlier try left there."""
+def run_until_fatal(spark: SparkSession, *queries: StreamingQuery) -> None:
+    """Wait until a query ends. One that fails ends all others, and its error is raised; one that is stopped ends nothing."""
+    try:
+        while any(q.isActive for q in queries):
+            spark.streams.resetTerminated()
+            for q in queries:
+                if (problem := q.exception()) is not None:
+                    raise problem
+            spark.streams.awaitAnyTermination(1)  # raises for a query that fails meanwhile
+        for q in queries:
+            if (problem := q.exception()) is not None:
+                raise problem
+    except Exception:
+        for q in queries:
+            q.stop()
+        raise
+
+
+def sink(df: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None, waits: Sequence[float] = (0.0,), **trigger) -> StreamingQuery:
+    """Write each micro-batch (after step) to path/batch=<id>, replacing what an earlier try left there; tried again after
+    the waits given (publish.ANNOUNCEMENTS for announcements), and fatal after the last."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (step(batch) if step else batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        lasting(lambda: (step(batch) if step else batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}"), waits)
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -169,7 +188,7 @@ def deliveries(
         put = lambda df, where: df.write.mode("overwrite").parquet(f"{path}/{where}batch={batch_id}")
         cols = [c for c in out.columns if c not in ("state", "handled_at")]
         put(out.where("state in ('retry', 'waiting')").select(*cols), "queue/")
-        put(out.where("state = 'dlq'").select(*cols), "dlq/")
+        lasting(lambda: put(out.where("state = 'dlq'").select(*cols), "dlq/"))
         if counts is None:  # a replay after the outcomes were written: they are counted from there
             states = {r["state"]: r["count"] for r in out.groupBy("state").count().collect()}
             counts = {k: states.get(s, 0) for k, s in STATES.items()}
