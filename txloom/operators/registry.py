@@ -80,9 +80,9 @@ def latest_registrations(events: DataFrame, key: str = "txid") -> DataFrame:
     return events.groupBy(key, "url").agg(F.max_by("token", "seq").alias("token"), F.min("seq").alias("first_seq"))
 
 
-def capped(registrations: DataFrame, cap: int) -> DataFrame:
+def capped(registrations: DataFrame, cap: int, key: str = "txid") -> DataFrame:
     """The first `cap` distinct urls of each txid; known urls are refreshed whatever the cap."""
-    order = Window.partitionBy("txid").orderBy("first_seq", "url")
+    order = Window.partitionBy(key).orderBy("first_seq", "url")
     return registrations.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= cap)
 
 

@@ -14,10 +14,12 @@ from txloom.operators import seen as N
 from txloom.plans.oracles import ORACLES  # noqa: F401
 from txloom.sources import readers
 from txloom.sources import testdata as T
+from txloom.sources.options import DEFAULTS
 from txloom.sources.regtable import RegistrationTable
 from txloom.sources.shared import new_folder
 
 CAP = 3
+MOST_URLS = int(DEFAULTS["api.maxCallbacksPerTxid"])
 HEIGHT = 6  # subtrees hold at most 64 leaves
 SWEPT_AT = "1998-06-01 00:00:00"
 QUERIES: dict = {}
@@ -33,6 +35,11 @@ def registrations(spark: SparkSession, sf: str) -> DataFrame:
     return R.latest_registrations(T.registration_events(spark, sf), "raw_hex").withColumn("txid", S.reversed_hex("raw_hex", 32))
 
 
+def bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """registrations of which each txid has at most MOST_URLS: what travels as one array."""
+    return R.capped(registrations(spark, sf), MOST_URLS, "raw_hex")
+
+
 def found(spark: SparkSession, sf: str) -> DataFrame:
     return R.lookup(T.leaves(spark, sf), registrations(spark, sf), "raw_hex").withColumn("txid", S.reversed_hex("raw_hex", 32))
 
@@ -44,7 +51,7 @@ def trees(spark: SparkSession, sf: str) -> DataFrame:
 
 def proofs(spark: SparkSession, sf: str) -> DataFrame:
     """A row a subtree, with its levels, who registered and the proof."""
-    return M.with_proof(M.with_levels(M.provable(M.subtree_rows(T.leaves(spark, sf), registrations(spark, sf))), HEIGHT))
+    return M.with_proof(M.with_levels(M.provable(M.subtree_rows(T.leaves(spark, sf), bounded(spark, sf))), HEIGHT))
 
 
 def stumps(spark: SparkSession, sf: str) -> DataFrame:
@@ -386,7 +393,7 @@ def merkle_root(spark, sf):
 @query
 def merkle_root_4096(spark, sf):
     """Roots, and digests of the proofs, of subtrees of up to 4,096 leaves."""
-    rows = M.with_levels(M.subtree_rows(T.leaves(spark, sf, 4096), registrations(spark, sf)), 12)
+    rows = M.with_levels(M.subtree_rows(T.leaves(spark, sf, 4096), bounded(spark, sf)), 12)
     p = M.with_stump(M.with_proof(rows))
     return p.select("block_hash", "subtree_index", F.col("n").cast("long").alias("n"), M.root_of(F.col("levels"), F.col("tree_height")).alias("root"), "stump_ref")
 
@@ -443,7 +450,7 @@ def stump_root(spark, sf):
 @query
 def stump_merge(spark, sf):
     """Proofs of each url merged into the proof of all."""
-    rows = M.with_levels(M.subtree_rows(T.leaves(spark, sf), registrations(spark, sf)), HEIGHT)
+    rows = M.with_levels(M.subtree_rows(T.leaves(spark, sf), bounded(spark, sf)), HEIGHT)
     own = F.transform("found", lambda x: x["leaf_index"])
     parts = (F.filter(own, lambda o: o % 2 == 0), F.filter(own, lambda o: o % 2 == 1))
     one = M.with_proof(rows, parts[0]).withColumnRenamed("nodes", "even")
