@@ -22,11 +22,13 @@ def by_url(found: DataFrame, *scope: str, order: str = "leaf_index") -> DataFram
 
 def chunked(found: DataFrame, size: int = CHUNK, *scope: str, order: str = "leaf_index") -> DataFrame:
     """scope columns, url, chunk, token, txids: sorted txids in runs of at most size, so no message or row grows without
-    bound. All chunks of a url carry one token: the first by order that is not empty."""
+    bound. All chunks of a url carry one token: the first by order that is not empty (none if found has no token)."""
     n = F.row_number().over(Window.partitionBy(*scope, "url").orderBy("txid")) - 1
-    some = F.struct(F.col(order).alias("at"), F.col("token").alias("token"))
-    token = F.min(F.when(F.col("token") != "", some)).over(Window.partitionBy(*scope, "url"))
-    found = found.withColumn("chunk", F.floor(n / size)).withColumn("token", token["token"])
+    token = F.lit(None).cast("string")
+    if "token" in found.columns:
+        some = F.struct(F.col(order).alias("at"), F.col("token").alias("token"))
+        token = F.min(F.when(F.col("token") != "", some)).over(Window.partitionBy(*scope, "url"))["token"]
+    found = found.withColumn("chunk", F.floor(n / size)).withColumn("token", token)
     return found.groupBy(*scope, "url", "chunk").agg(F.first("token").alias("token"), F.sort_array(F.collect_list("txid")).alias("txids"))
 
 
