@@ -30,12 +30,6 @@ def broadcast_done(done: DataFrame, urls: DataFrame) -> DataFrame:
     return done.select("block_hash").crossJoin(urls.select("url", "token"))
 
 
-def stump_callbacks(found: DataFrame, stumps: DataFrame) -> DataFrame:
-    """One STUMP message for each (subtree, url) with the proof's address, not its bytes."""
-    urls = found.groupBy("block_hash", "subtree_index", "url").agg(F.max(F.when(F.col("token") != "", F.col("token"))).alias("token"))
-    return urls.join(stumps.select("block_hash", "subtree_index", "stump_ref"), ["block_hash", "subtree_index"])
-
-
 def accumulated(found: DataFrame) -> DataFrame:
     """block_hash, url, entries (subtree_index, txids): what one flush of a block hands over."""
     each = found.groupBy("block_hash", "url", "subtree_index").agg(F.sort_array(F.collect_list("txid")).alias("txids"))

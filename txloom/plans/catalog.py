@@ -124,6 +124,18 @@ def watch_bodies(spark, sf):
     return checked.select("c_custkey", F.col("status").cast("long").alias("status"), "error")
 
 
+@query
+def resolved_urls(spark, sf):
+    """Urls of suppliers whose host leads to public addresses only; some lead inside, some nowhere."""
+    k = F.col("s_suppkey")
+    host = F.concat(F.lit("h"), (k % 50).cast("string"), F.lit(".example"))
+    s = T.read(spark, sf, "supplier").select(k.alias("k"), host.alias("host"), F.concat(F.lit("https://"), host, F.lit("/cb")).alias("url"))
+    inner = F.concat(F.lit("10.0.0."), (F.col("k") % 256).cast("string"))
+    address = F.when(F.col("k") % 50 == 3, inner).when(F.col("k") % 50 == 4, F.lit("fd00::1")).otherwise(F.concat(F.lit("93.184."), (F.col("k") % 200).cast("string"), F.lit(".7")))
+    resolution = s.where("k % 50 <> 49").select("host", address.alias("address"))
+    return R.resolved_ok(s, resolution).select("k", "url")
+
+
 @query
 def api_lookup(spark, sf):
     """Who is registered for the order of each customer's number, tokens hidden; every seventh asks badly."""
@@ -353,6 +365,14 @@ def txid_set_hash(spark, sf):
     return t.select("block_hash", "subtree_index", "url", S.txid_set_hash("t").alias("set_hash"))
 
 
+@query
+def txids_json_list(spark, sf):
+    """What a url gathers of a subtree, as a JSON list in a text and read back."""
+    t = found(spark, sf).groupBy("block_hash", "subtree_index", "url").agg(F.to_json(F.array_sort(F.collect_list("txid"))).alias("txids_json"))
+    back = S.json_list("txids_json")
+    return t.select("block_hash", "subtree_index", "url", F.sha2("txids_json", 256).alias("digest"), F.size(back).cast("long").alias("n"), F.element_at(back, -1).alias("last_txid"))
+
+
 @query
 def hash_partition(spark, sf):
     """Hashed keys of urls: 8 bytes in hex, and the first 4 as a signed number."""
@@ -385,6 +405,12 @@ def merkle_levels(spark, sf):
     return levels(spark, sf).select("height", "subtree_index", F.col("level").cast("long").alias("level"), F.col("offset").cast("long").alias("offset"), "hash")
 
 
+@query
+def tree_layout(spark, sf):
+    """Where a drawing puts each node of each tree."""
+    return M.layout(levels(spark, sf)).select("height", "subtree_index", F.col("level").cast("long").alias("level"), F.col("offset").cast("long").alias("offset"), "x", "y")
+
+
 @query
 def merkle_root(spark, sf):
     return trees(spark, sf).select("block_hash", "subtree_index", F.col("n").cast("long").alias("n"), M.root_of(F.col("levels"), F.col("tree_height")).alias("root"))

@@ -123,6 +123,7 @@ with b as (select c_custkey, c_custkey % 9 as k, case c_custkey % 9 -- fixed val
   when 4 then 'txid is required' when 7 then 'txid is required' when 5 then 'callbackUrl is required'
   when 1 then 'invalid request body' when 2 then 'invalid request body' when 3 then 'invalid request body' when 6 then 'invalid request body' end as error from customer)
 select c_custkey, case when error is null then 200 else 400 end::bigint as status, error from b""",
+    "resolved_urls": "select s_suppkey as k, 'https://h' || (s_suppkey % 50)::varchar || '.example/cb' as url from supplier where s_suppkey % 50 not in (3, 4, 49)",
     "api_lookup": f"""
 with {_REG}, a as (select c_custkey, {_rev("sha256('tx:' || c_custkey::varchar)")} as txid from customer), u as (select txid, string_agg(url, ',' order by url) as urls from reg group by txid)
 -- fixed value: the answer that clients see
@@ -180,6 +181,8 @@ select distinct block_hash, subtree_index, case when b and type = 'STUMP' then '
   || case when len(txids) > 0 then ',"txids":["' || array_to_string(txids, '","') || '"]' else '' end || case when block <> '' then ',"blockHash":"' || block || '"' else '' end
   || case when idx <> 0 then ',"subtreeIndex":' || idx else '' end || '}}}}' as payload from msg""".replace("{{", "{").replace("}}", "}"),
     "txid_set_hash": f"{_ALL} select block_hash, subtree_index, url, {_SET('list(distinct txid)')} as set_hash from found group by block_hash, subtree_index, url",
+    "txids_json_list": f"""{_ALL} select block_hash, subtree_index, url, sha256('["' || string_agg(txid, '","' order by txid) || '"]') as digest, count(*) as n, max(txid) as last_txid
+from found group by block_hash, subtree_index, url""",
     "hash_partition": f"""with {_SEEN_URL}, h as (select distinct url, sha256(url) as h from us), n as (select *, ('0x' || substr(h, 1, 8))::bigint as v from h)
 select url, substr(h, 1, 16) as short_hash, case when v >= 2147483648 then v - 4294967296 else v end as int32 from n""",
     "compact_size": f"""with v as (select o_orderkey as k, case o_orderkey % 4 when 0 then o_orderkey * 1000003 when 1 then o_orderkey % 300 when 2 then o_orderkey * 97 else o_orderkey * 5000000007 end as v from orders)
@@ -187,6 +190,7 @@ select k, {_compact('v')} as encoded from v""",
     "backoff": "select p_partkey as k, least(10000, 500 * (1 << (p_partkey % 9)::int))::bigint as exponential_ms, (p_partkey % 9 + 1) * 30 as linear_s from part",
     "block_fanout": f"with {_TX}, {_SUB} select block_hash, height, subtree_index, subtree_hash from sub",
     "merkle_levels": f"with {_TX}, {_LEVELS} select height, subtree_index, level::bigint as level, pos as \"offset\", hash from lev join siz using (block_hash, subtree_index)",
+    "tree_layout": f"with {_TX}, {_LEVELS} select height, subtree_index, level::bigint as level, pos as \"offset\", (pos + 0.5) * 100 * pow(2, level) as x, -level * 100.0::double as y from lev join siz using (block_hash, subtree_index)",
     "merkle_root": f"with {_TX}, {_LEVELS} select block_hash, subtree_index, n, arg_max(hash, level) as root from lev join siz using (block_hash, subtree_index) group by all",
     "merkle_root_4096": f"with {_TX.replace('n // 64', 'n // 4096').replace('n % 64', 'n % 4096')}, {_REG}, {_FOUND}, {_levels(12)}, {_NODES}, {_ENC}, rt as (select block_hash, subtree_index, arg_max(hash, level) as root from lev group by all) select block_hash, subtree_index, n, root, sha256(unhex(stump_hex)) as stump_ref from siz join rt using (block_hash, subtree_index) left join enc using (block_hash, subtree_index)",
     "merkle_large_subtree": f"""with leaf as materialized (select 'large' as block_hash, (o_orderkey * 16 + i) >> 18 as subtree_index, 900000 as height, (o_orderkey * 16 + i) % 262144 as leaf_index,

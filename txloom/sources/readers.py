@@ -190,9 +190,3 @@ def round_robin(txids: DataFrame, subtrees: int) -> DataFrame:
 
 def content_address(data: Column | str) -> Column:
     return sha256_hex(data)
-
-
-def with_fallback(wanted: DataFrame, stored: DataFrame, remote: DataFrame, key: str = "subtree_hash") -> DataFrame:
-    """data of each wanted key from the store, else from the remote; null if neither has it."""
-    s, r = stored.select(key, F.col("data").alias("_s")), remote.select(key, F.col("data").alias("_r"))
-    return wanted.join(s, key, "left").join(r, key, "left").select(wanted["*"], F.coalesce("_s", "_r").alias("data"), F.col("_s").isNull().alias("fetched"))
