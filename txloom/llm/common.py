@@ -29,7 +29,7 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Arrow batches of at most `rows` rows in this session from here on: two tasks of an executor then hold a few MB of
     text each in the JVM and in Python, also where workers live on through stages."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
