@@ -89,3 +89,26 @@ def test_large_ids_and_empty_tables(spark):
     got = packing.pack(t, 16).collect()
     assert [(r["doc_id"], bytes(r["ids"])) for r in got] == [("k", big)]
     assert packing.pack(t.limit(0), 16).count() == 0
+
+
+def test_one_python_worker_a_task_encodes_and_ranks(spark, tmp_path, monkeypatch):
+    """Two Python steps in a row keep two workers a task, and a kept encoder stays in both for all later stages."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    plans, stage = [], packing.stage
+    monkeypatch.setattr(packing, "stage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stage(df))[1])
+    docs = spark.createDataFrame([(i, "ab c " * (i * 37 % 900)) for i in range(40)] + [(50, None), (50, None)], "doc_id long, text string")
+    got = packing.packed_documents(docs).select("doc_id", "start", "length", "doc_tokens").collect()
+    assert len(plans) == 1 and plans[0].count("MapInArrow") == 1
+    spec = packing.read_spec(P.path("byte_bpe_50k.json"))
+    apart = packing.pack(packing.tokenise(docs, spec)).select("doc_id", "start", "length", "doc_tokens").collect()
+    totals = lambda rows: (sorted({(r["doc_id"], r["doc_tokens"]) for r in rows}), sum(r["length"] for r in rows))
+    assert totals(got) == totals(apart)
+    made, whole = [], packing.byte_encoder
+    monkeypatch.setattr(packing, "byte_encoder", lambda spec: (e := whole(spec), made.append(weakref.ref(e)))[0])
+    out = list(packing.encoded(spec)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["ab c"])], ["key", "text"])])))
+    gc.collect()
+    assert out[0].num_rows == 1 and len(made) == 1 and made[0]() is None

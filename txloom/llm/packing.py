@@ -22,7 +22,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txloom.llm.bpe import byte_chars, read_spec
-from txloom.llm.common import small_batches, stage, table
+from txloom.llm.common import small_batches, stage, table, trim
 
 ROWS = 1024
 #: Tokens by which a pack may overtake the shortest one when many short pieces are dealt out at once.
@@ -49,24 +49,27 @@ def byte_encoder(spec: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in d["added_tokens"]})
 
 
-_LOADED: dict = {}
-
-
-def tokenise(docs: DataFrame, spec: str, end: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and ids (BINARY, little-endian unsigned 32 bits) with the end id appended."""
-    kind = docs.schema[key].dataType.simpleString()
+def encoded(spec: str, end: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step from batches of keys and texts to batches of keys and ids, with the end id appended."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if spec not in _LOADED:
-            _LOADED[spec] = byte_encoder(spec)
-        encode, last = _LOADED[spec].encode_to_numpy, np.array([end], "<u4")
+        own = byte_encoder(spec)  # a task's own: a worker keeps nothing for later stages
+        encode, last = own.encode_to_numpy, np.array([end], "<u4")
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 ids = [np.concatenate([encode(t or "", allowed_special="all").astype("<u4"), last]).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+        del own, encode
+        trim()
+
+    return run
 
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids binary")
+
+def tokenise(docs: DataFrame, spec: str, end: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and ids (BINARY, little-endian unsigned 32 bits) with the end id appended."""
+    kind = docs.schema[key].dataType.simpleString()
+    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(encoded(spec, end), f"key {kind}, ids binary")
     return out.select(F.col("key").alias(key), "ids")
 
 
@@ -118,16 +121,17 @@ def place(histogram: dict[int, int], size: int) -> tuple[list[tuple], int]:
     return out, packs
 
 
-def pack(tokens: DataFrame, size: int = 2048, key: str = "doc_id") -> DataFrame:
+def pack(tokens: DataFrame, size: int = 2048, key: str = "doc_id", ids: str = "ids", step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:
     """Pieces (key, start, length, ids, doc_tokens, sequence_id, offset) of all rows of tokens (key, ids).
 
     Each id lies in exactly one piece; the pieces of a sequence leave no gap and no sequence exceeds size.
+    step: what makes the ids from the column `ids`, in the Python worker that ranks them: two steps would hold two workers a task.
     """
     kind = tokens.schema[key].dataType.simpleString()
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, full = TaskContext.get().partitionId(), np.zeros(size, np.int64), 0
-        for batch in batches:
+        for batch in step(batches):
             ids = batch.column(1).to_pylist()
             n = np.array([len(b or b"") // 4 for b in ids], np.int64)
             rest, ranks = n % size, np.empty(len(n), np.int64)
@@ -138,8 +142,9 @@ def pack(tokens: DataFrame, size: int = 2048, key: str = "doc_id") -> DataFrame:
             before = full + np.cumsum(whole) - whole
             full += int(whole.sum())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(rest.astype(np.int32)), pa.array(ranks), pa.array(before), pa.array(_narrow(ids), pa.binary())], ["key", "part", "rest", "rank", "full", "ids"])
+        trim()
 
-    rows = stage(tokens.select(F.col(key).alias("key"), "ids").mapInArrow(ranked, f"key {kind}, part int, rest int, rank long, full long, ids binary"))
+    rows = stage(tokens.select(F.col(key).alias("key"), ids).mapInArrow(ranked, f"key {kind}, part int, rest int, rank long, full long, ids binary"))
     counts = rows.groupBy("part", "rest").agg(F.count("*").alias("n"))
     histogram = dict(counts.groupBy("rest").agg(F.sum("n")).collect())
     placed, packs = place(histogram, size)
@@ -166,6 +171,7 @@ def pack(tokens: DataFrame, size: int = 2048, key: str = "doc_id") -> DataFrame:
                         out.append((k, start, length, ids[start : start + length].tobytes(), n, seq + up, offset + turn * length))
                 kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        trim()
 
     found = rows.join(before, ["part", "rest"]).select("key", "part", "rest", (F.col("rank") + F.col("base")).alias("rank"), "full", "ids")
     out = found.mapInArrow(pieces, f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
@@ -193,7 +199,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    made = pack(tokenise(docs, read_spec(public_tokenizers.path("byte_bpe_50k.json"))))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    made = pack(texts, ids="text", step=encoded(read_spec(public_tokenizers.path("byte_bpe_50k.json"))))
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
