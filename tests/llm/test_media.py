@@ -78,3 +78,59 @@ def test_equal_rasters_without_features_are_copies(spark):
     got = {r["id"]: (r["copy_of"], r["n_features"]) for r in M.copies(spark.createDataFrame(rows, "id long, width int, pixels binary")).collect()}
     assert {i: c for i, (c, _) in got.items()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 1, 6: 1, 7: 7, 8: 7, 9: 9, 10: 10, 20: 20, 21: 20, 22: 20, 23: 20}
     assert got[7][1] == got[1][1] == 0 and got[20][1] == got[22][1] > 20
+
+
+def plain_features(image):
+    """Corners and descriptors of one image, pixel window by pixel window."""
+    def box(a):
+        p = np.pad(a, 1, mode="edge")
+        rows = p[:-2] + p[1:-1] + p[2:]
+        return (rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]) / 9
+
+    out, a = [], image.astype(float)
+    for scale in range(M.SCALES):
+        h, w = a.shape
+        if min(h, w) < 2 * M.RADIUS + 3:
+            break
+        s = box(a)
+        gy, gx = np.gradient(s)
+        xx, yy, xy = box(gx * gx), box(gy * gy), box(gx * gy)
+        r = np.round(xx * yy - xy * xy - 0.05 * (xx + yy) ** 2, 6)
+        m, c, d = M.RADIUS + 1, M.CELL // 2, M.RADIUS
+        for y in range(m, h - m):
+            for x in range(m, w - m):
+                if r[y, x] > 0 and r[y, x] >= r[y - c : y + c + 1, x - c : x + c + 1].max():
+                    patch = s[y - d : y + d + 1, x - d : x + d + 1] * M._DISC
+                    turn = int(np.rint(np.arctan2((patch * M._Y).sum(), (patch * M._X).sum()) / (2 * np.pi) * M.TURNS)) % M.TURNS
+                    t = M.TESTS[turn]
+                    out.append((scale, y, x, int(np.packbits(s[y + t[:, 0], x + t[:, 1]] < s[y + t[:, 2], x + t[:, 3]]).view(">i8")[0])))
+        a = a[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3))
+    return out
+
+
+def test_images_worked_on_together_have_the_features_of_each_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 256, (int(rng.integers(1, 90)), w), dtype=np.uint8) for w in (9, 15, 31, 64) for _ in range(12)] + [np.full((40, 40), 7, np.uint8)]
+    want = sorted((k, *f) for k, a in enumerate(images) for f in plain_features(a))
+    for pixels in (1, 20_000, M.PIXELS):
+        monkeypatch.setattr(M, "PIXELS", pixels)
+        assert sorted(zip(*(c.tolist() for c in M.all_features(images)))) == want
+    assert len(want) > 100 and sorted(M.features(images[40])) == [w[1:] for w in want if w[0] == 40]
+
+
+def test_no_shuffle_of_a_staged_table_stays(spark, monkeypatch):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum("shuffle_" in str(f) for f in files.getAllFiles().mkString(" ").split(" "))
+    left, stage = [], M.stage
+
+    def counted(df):
+        before, out = shuffles(), stage(df)
+        left.append(shuffles() - before)
+        return out
+
+    monkeypatch.setattr(M, "stage", counted)
+    rng = np.random.default_rng(6)
+    rows = [(i, 140, bytearray(picture(rng).tobytes())) for i in range(6)]
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert M.copies(spark.createDataFrame(rows, "id long, width int, pixels binary")).count() == 6
+    assert len(left) > 8 and max(left) <= 0 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before

@@ -19,6 +19,7 @@ one image; null ids take no part; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txloom.llm.common import stage, table, unstage
+from txloom.llm.common import stage, table, tidied, unstage
 from txloom.llm.components import components
 
 SCALES, CELL, RADIUS, TURNS = 3, 12, 6, 32
 DISTANCE, CONSENSUS, BIN = 3, 4, 4
+#: The least side of an image with features; images taken and pixels worked on at once (a larger image is taken whole).
+LEAST, ROWS, PIXELS = 2 * RADIUS + 3, 1024, 1 << 17
 #: Bounds of the 5 parts of a descriptor.
 PARTS = (0, 13, 26, 39, 52, 64)
 
@@ -47,45 +50,83 @@ def _tests() -> np.ndarray:
     return np.array(out, int)
 
 
-def _box(a: np.ndarray) -> np.ndarray:
-    p = np.pad(a, 1, mode="edge")
-    rows = p[:-2] + p[1:-1] + p[2:]
-    return (rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]) / 9
-
-
 TESTS = _tests()
 _Y, _X = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = _Y**2 + _X**2 <= RADIUS**2
 
 
+def _edge(a: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Repeats each image's last row below it; a: images (n, rows, columns) of which the first h[i] rows are image i."""
+    k = np.arange(len(a))
+    a[k, h] = a[k, h - 1]
+    return a
+
+
+def _box(a: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Means of 3 by 3 pixels, edges repeated."""
+    p = np.pad(_edge(a, h), ((0, 0), (1, 1), (1, 1)), mode="edge")
+    rows = p[:, :-2] + p[:, 1:-1] + p[:, 2:]
+    return (rows[:, :, :-2] + rows[:, :, 1:-1] + rows[:, :, 2:]) / 9
+
+
+def _corners(a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Image, y, x and descriptor of the corners of images of one width and h[i] rows each, which lie in a (n, more rows, width)."""
+    k, m = np.arange(len(a)), RADIUS + 1
+    s = _box(a, h)
+    gy, gx = np.gradient(s, axis=(1, 2))
+    gy[k, h - 1] = s[k, h - 1] - s[k, h - 2]
+    xx, yy, xy = _box(gx * gx, h), _box(gy * gy, h), _box(gx * gy, h)
+    r = np.round(xx * yy - xy * xy - 0.05 * (xx + yy) ** 2, 6)
+    r[np.arange(r.shape[1]) >= h[:, None]] = -np.inf
+    p = np.pad(r, ((0, 0), (1, 1), (1, 1)), constant_values=-np.inf)
+    rows = np.maximum(np.maximum(p[:, :-2], p[:, 1:-1]), p[:, 2:])
+    peak = (r > 0) & (r >= np.maximum(np.maximum(rows[:, :, :-2], rows[:, :, 1:-1]), rows[:, :, 2:]))
+    peak[np.arange(r.shape[1]) >= h[:, None] - m] = False
+    i, y, x = np.nonzero(peak[:, m:, m : a.shape[2] - m])
+    y, x = y + m, x + m
+    around = lambda of, half: np.lib.stride_tricks.sliding_window_view(of, (2 * half + 1,) * 2, (1, 2))[i, y - half, x - half]
+    # strongest within a cell around it: a rule that crops do not move
+    best = r[i, y, x] >= around(r, CELL // 2).max(axis=(1, 2))
+    i, y, x = i[best], y[best], x[best]
+    patch = around(s, RADIUS) * _DISC
+    angle = np.arctan2(*((patch * of).reshape(len(i), of.size).sum(axis=1) for of in (_Y, _X)))
+    t = TESTS[np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS]
+    at = i[:, None]
+    bits = s[at, y[:, None] + t[:, :, 0], x[:, None] + t[:, :, 1]] < s[at, y[:, None] + t[:, :, 2], x[:, None] + t[:, :, 3]]
+    return i, y, x, np.packbits(bits, axis=1).view(">i8").reshape(-1).astype(np.int64)
+
+
+def all_features(images: list[np.ndarray]) -> list[np.ndarray]:
+    """Image, scale, y, x and descriptor of the corners of grey images; places are in pixels of that scale.
+    Images of one width and similar heights are laid into one array, PIXELS of them at once, and worked on together."""
+    out: list[tuple] = []
+    order = sorted((a.shape[1], len(a), k) for k, a in enumerate(images) if min(a.shape) >= LEAST)
+    while order:
+        # from the highest down, as many as fit under its height
+        w, high, _ = order[-1]
+        part = [k for width, _, k in order[-max(1, PIXELS // (w * high)) :] if width == w]
+        del order[-len(part) :]
+        own, h = np.array(part), np.array([len(images[k]) for k in part])
+        a = np.zeros((len(part), high + 1, w))
+        for i, k in enumerate(part):
+            a[i, : h[i]] = images[k]
+        for scale in range(SCALES):
+            if min(h.max(initial=0), a.shape[2]) < LEAST:
+                break
+            if h.min() < LEAST:
+                a, own, h = a[h >= LEAST], own[h >= LEAST], h[h >= LEAST]
+            i, y, x, bits = _corners(a, h)
+            out.append((own[i], np.full(len(i), scale), y, x, bits))
+            n, rows, columns = a.shape
+            half = a[:, : rows // 2 * 2, : columns // 2 * 2].reshape(n, rows // 2, 2, columns // 2, 2).mean(axis=(2, 4))
+            h = h // 2
+            a = np.pad(half, ((0, 0), (0, 1), (0, 0)))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
+
+
 def features(image: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(scale, y, x, descriptor) of the corners of a grey image; places are in pixels of that scale."""
-    out, a = [], image.astype(float)
-    for scale in range(SCALES):
-        h, w = a.shape
-        if min(h, w) < 2 * RADIUS + 3:
-            break
-        s = _box(a)
-        gy, gx = np.gradient(s)
-        xx, yy, xy = _box(gx * gx), _box(gy * gy), _box(gx * gy)
-        r = np.round(xx * yy - xy * xy - 0.05 * (xx + yy) ** 2, 6)
-        p = np.pad(r, 1, constant_values=-np.inf)
-        peak = r > 0
-        for dy in (0, 1, 2):
-            for dx in (0, 1, 2):
-                peak &= r >= p[dy : dy + h, dx : dx + w]
-        m = RADIUS + 1
-        for y, x in np.argwhere(peak[m : h - m, m : w - m]) + m:
-            # strongest within a cell around it: a rule that crops do not move
-            if r[y, x] < r[max(0, y - CELL // 2) : y + CELL // 2 + 1, max(0, x - CELL // 2) : x + CELL // 2 + 1].max():
-                continue
-            patch = s[y - RADIUS : y + RADIUS + 1, x - RADIUS : x + RADIUS + 1] * _DISC
-            angle = np.arctan2((patch * _Y).sum(), (patch * _X).sum())
-            t = TESTS[int(np.rint(angle / (2 * np.pi) * TURNS)) % TURNS]
-            bits = s[y + t[:, 0], x + t[:, 1]] < s[y + t[:, 2], x + t[:, 3]]
-            out.append((scale, int(y), int(x), int(np.packbits(bits).view(">i8")[0])))
-        a = a[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2).mean(axis=(1, 3))
-    return out
+    """(scale, y, x, descriptor) of the corners of a grey image."""
+    return list(zip(*(c.tolist() for c in all_features([image])[1:])))
 
 
 def describe(images: DataFrame) -> DataFrame:
@@ -93,13 +134,16 @@ def describe(images: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, w, b in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                h = len(b or b"") // w if w and w > 0 else 0
-                if h:
-                    rows += [(i, *f) for f in features(np.frombuffer(b, np.uint8, h * w).reshape(h, w))]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "scale", "y", "x", "bits"])
+            for at in range(0, batch.num_rows, ROWS):
+                ids, rasters = [], []
+                for i, w, b in zip(*(batch.column(k).slice(at, ROWS).to_pylist() for k in range(3))):
+                    h = len(b or b"") // w if w and w > 0 else 0
+                    if h:
+                        ids.append(i)
+                        rasters.append(np.frombuffer(b, np.uint8, h * w).reshape(h, w))
+                own, *rest = all_features(rasters)
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(t) for c, t in zip([np.array(ids, np.int64)[own], *rest], kinds)], ["id", "scale", "y", "x", "bits"])
 
     return images.where("id is not null").select("id", "width", "pixels").mapInArrow(run, "id long, scale int, y int, x int, bits long")
 
@@ -109,18 +153,21 @@ def near_descriptors(bits: DataFrame) -> DataFrame:
     Two that differ in at most 3 of 64 bits agree in 2 of 5 parts at least, so they share one of 10 keys of 25 or 26 bits."""
     masks = [sum((1 << hi) - (1 << lo) for lo, hi in two) for two in combinations(zip(PARTS, PARTS[1:]), 2)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    filed = bits.select("bits", F.posexplode(F.array(*map(F.lit, masks))).alias("t", "m")).select("bits", "t", F.col("bits").bitwiseAND(F.col("m")).alias("v"))
-    other = filed.select(F.col("bits").alias("other"), "t", "v")
+    other, found = bits.select(F.col("bits").alias("other")), []
     close = (F.col("bits") < F.col("other")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= DISTANCE)
-    pairs = filed.join(other, ["t", "v"]).where(close).select("bits", "other").distinct()
+    # two tables at a time: the shuffles of all ten never lie on disk together
+    for k in range(0, len(masks), 2):
+        met = [bits.join(other, F.col("bits").bitwiseAND(F.lit(m)) == F.col("other").bitwiseAND(F.lit(m))).where(close) for m in masks[k : k + 2]]
+        found.append(stage(met[0].union(met[1]).distinct()))
+    pairs = reduce(DataFrame.union, found).distinct()
     both = F.explode(F.array(F.struct("bits", "other"), F.struct(F.col("other").alias("bits"), F.col("bits").alias("other"))))
     return pairs.select(both.alias("p")).select("p.*").union(bits.select("bits", F.col("bits").alias("other")))
 
 
 def voted(met: DataFrame, consensus: int) -> DataFrame:
     """a, b: the pairs of owners whose met features (scale, y, x of a; r of b) have `consensus` votes for one shift."""
-    # one vote for each place of a and its pair
-    pairs = met.select("a", "b", "scale", "y", "x", (F.col("r.scale") - F.col("scale")).alias("step"), F.expr("r.y * power(2, r.scale) - y * power(2, r.scale)").alias("dy"), F.expr("r.x * power(2, r.scale) - x * power(2, r.scale)").alias("dx")).distinct()
+    # one vote for each place of a and its pair; dealt out once, before each becomes four
+    pairs = met.select("a", "b", "scale", "y", "x", (F.col("r.scale") - F.col("scale")).alias("step"), F.expr("r.y * power(2, r.scale) - y * power(2, r.scale)").alias("dy"), F.expr("r.x * power(2, r.scale) - x * power(2, r.scale)").alias("dx")).repartition("a", "b", "step").distinct()
     half = F.explode(F.expr("array(struct(0 as a, 0 as b), struct(0 as a, 1 as b), struct(1 as a, 0 as b), struct(1 as a, 1 as b))"))
     votes = pairs.withColumn("h", half).groupBy("a", "b", "step", "h", F.expr(f"floor(dy / {BIN} + h.a * 0.5)").alias("by"), F.expr(f"floor(dx / {BIN} + h.b * 0.5)").alias("bx")).agg(F.count_distinct("scale", "y", "x").alias("n"))
     return votes.where(F.col("n") >= consensus).select("a", "b").distinct()
@@ -139,7 +186,9 @@ def links(f: DataFrame, consensus: int) -> DataFrame:
     groups = components(early).withColumnRenamed("node", "id")
     owned = stage(f.join(groups, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label"))
     whole = stage(owned.select("g", "scale", "y", "x", "bits").distinct())
-    near = stage(near_descriptors(whole.select("bits").distinct()))
+    kinds = stage(whole.select("bits").distinct())
+    near = stage(near_descriptors(kinds))
+    unstage(kinds)
     seen = near.join(whole.groupBy("bits").agg(F.count("*").alias("n")).withColumnRenamed("bits", "other"), "other").groupBy("bits").agg(F.sum("n").alias("heat"))
     places = whole.join(seen, "bits").groupBy("g", "scale", "y", "x").agg(F.max("heat").alias("heat"))
     ranked = places.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("heat"), "scale", "y", "x")))
@@ -152,10 +201,16 @@ def links(f: DataFrame, consensus: int) -> DataFrame:
     unstage(whole)
     theirs = owned.select(F.col("g").alias("h"), F.col("id").alias("b"), F.col("bits").alias("other"), place)
     met = maybe.join(owned.withColumnRenamed("id", "a"), "g").join(near, "bits").join(theirs, ["h", "other"])
-    return early.union(voted(met, consensus))
+    return early.union(stage(voted(met, consensus)))
 
 
 def copies(images: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
+    """As grouped; the shuffles of a table that is staged go as soon as it is written."""
+    with tidied(images.sparkSession):
+        return grouped(images, consensus)
+
+
+def grouped(images: DataFrame, consensus: int) -> DataFrame:
     """id, n_features, copy_of (the smallest id of the group that links connect) for each distinct id."""
     f = stage(describe(images).distinct())
     counts = images.where("id is not null").select("id").distinct().join(f.groupBy("id").agg(F.count("*").alias("n_features")), "id", "left")
