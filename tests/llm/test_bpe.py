@@ -1,4 +1,5 @@
 import hashlib
+import unicodedata
 from array import array
 
 import numpy as np
@@ -80,3 +81,25 @@ def test_every_code_point_is_that_of_the_library(both):
     texts = [" ".join(f"a{chr(k)}b {chr(k)}" for k in points[i : i + 40]) for i in range(0, len(points), 40)]
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(b, "<u4").tolist() for b in own.encode_batch(texts)] == want
+
+
+def test_chunks_are_composed_and_spelt_together(monkeypatch):
+    """Chunks that are not ASCII share one call a batch; those with characters that Python does not know go by themselves."""
+    name = P.path(NAMES[0])
+    library, own = Library.from_file(name), bpe.Tokenizer(bpe.read_spec(name))
+    calls = []
+
+    class Counted:
+        category = staticmethod(bpe.unicodedata.category)
+
+        @staticmethod
+        def normalize(form, text):
+            calls.append(text)
+            return unicodedata.normalize(form, text)
+
+    monkeypatch.setattr(bpe, "unicodedata", Counted)
+    texts = [" ".join(f"ÉÉ{chr(0x4E00 + k)}Σ's{k} ́x{k}́ É\x01{k}- a\x01b{k}" for k in range(i, i + 50)) for i in (0, 50)]
+    same(library, own, texts)
+    assert len(calls) == 1
+    new = next(chr(k) for k in range(0x2FFFF, 0, -1) if bpe._unknown().match(chr(k)))
+    same(library, own, [f"ñandú{new}Σ ÀΣ é{new} ÀB c'est’s", new])

@@ -283,23 +283,42 @@ class Tokenizer:
         first, *rest = text.split(" ")
         return [x for x in (first, *[f" {r}" for r in rest]) if x]
 
-    def _spell(self, chunk: str) -> list[str]:
-        """The words of a chunk, in byte characters."""
-        if not self.spaces:
-            if chunk.isascii():
-                chunk = chunk.lower()
-                if chunk.isalpha():
-                    return [chunk]
+    def _plain(self, chunks: list[str]) -> list[str]:
+        """Chunks that are not ASCII, composed and lower-cased: all in one string, as nothing composes with a line end."""
+        joined = "\n".join(chunks)
+        if _unknown().search(joined):
+            library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+            return [library.normalize_str(c) if _unknown().search(c) else self._plain([c])[0] for c in chunks]
+        return unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower().split("\n")  # the library has no final sigma
+
+    def _bytes(self, words: list[str]) -> list[str]:
+        """Words in byte characters: all in one string, as no word holds a line end."""
+        return "\n".join(words).encode("utf-8", "replace").decode("latin-1").translate(self.chars).split(self.chars[10]) if words else []
+
+    def _spell(self, chunks: set[str]) -> dict[str, list[str]]:
+        """The words of each chunk, in byte characters."""
+        find = self.words.findall
+        if self.spaces:  # a word may hold line ends
+            return {c: [w.encode("utf-8", "replace").decode("latin-1").translate(self.chars) for w in find(c)] for c in chunks}
+        out, odd = {}, []
+        for c in chunks:
+            if not c.isascii():
+                odd.append(c)
+            elif c.isalpha():
+                out[c] = [c.lower()]
             else:
-                if _unknown().search(chunk):
-                    chunk = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(chunk)
-                else:
-                    chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # the library has no final sigma
-        return [w.encode("utf-8", "replace").decode("latin-1").translate(self.chars) for w in self.words.findall(chunk)]
+                out[c] = find(c.lower())  # printable ASCII stands for itself
+                if not c.isprintable():
+                    out[c] = self._bytes(out[c])
+        split = [find(c) for c in self._plain(odd)] if odd else []
+        spelt = iter(self._bytes([w for ws in split for w in ws]))
+        for c, ws in zip(odd, split):
+            out[c] = [next(spelt) for _ in ws]
+        return out
 
     def learn(self, chunks: set[str]) -> None:
         """Put chunks into the table, by one trie over their distinct words."""
-        spelt = {c: self._spell(c) for c in chunks}
+        spelt = self._spell(chunks)
         known, ids = self.known, self.ids
         known |= self.bpe.encode({w for ws in spelt.values() for w in ws if w not in known})
         for c, ws in spelt.items():
