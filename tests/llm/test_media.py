@@ -134,3 +134,21 @@ def test_no_shuffle_of_a_staged_table_stays(spark, monkeypatch):
     before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
     assert M.copies(spark.createDataFrame(rows, "id long, width int, pixels binary")).count() == 6
     assert len(left) > 8 and max(left) <= 0 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+def test_full_entries_are_parted_and_not_paired(spark, monkeypatch):
+    """2,000 descriptors that agree in 26 bits (one entry of two whole parts), against brute force."""
+    rng = np.random.default_rng(12)
+    v = np.unique(rng.integers(0, 1 << 38, 2000).astype(np.uint64) << np.uint64(26))
+    v = np.unique(np.r_[v, v[:300] ^ np.uint64(1 << 63), v[100:200] ^ np.uint64(0b111 << 30), v[:50] ^ np.uint64(1)])
+    i, j = np.triu_indices(len(v), 1)
+    close = np.bitwise_count(v[i] ^ v[j]) <= M.DISTANCE
+    want = {tuple(sorted(p)) for p in zip(v[i[close]].view(np.int64).tolist(), v[j[close]].view(np.int64).tolist())}
+    bits = spark.createDataFrame([(b,) for b in v.view(np.int64).tolist()], "bits long")
+    got = [(a, b) for a, b in M.near_descriptors(bits).collect() if a < b]
+    assert sorted(got) == sorted(want) and len(want) > 400
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(M.np, "bitwise_count", lambda x: compared.append(len(x)) or count(x))
+    for k in range(4):
+        M._within(v, [b for b in range(64) if b // 16 != k])
+    assert sum(compared) < 0.05 * len(i)

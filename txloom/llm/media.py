@@ -3,8 +3,8 @@ Hamming tables, and geometric consensus.
 
 An image is a raw grey raster (width, height, bytes). At each scale (halved by means) the strongest Harris corner of
 each cell is kept; a patch's orientation is the direction of its centroid of intensity; the descriptor is 64 fixed
-comparisons of smoothed pixels, their places turned by that orientation. Distinct descriptors are filed in 10 tables
-under 2 of 5 parts of their bits each, so two that differ in at most 3 bits share an entry and meet. Features of such
+comparisons of smoothed pixels, their places turned by that orientation. Distinct descriptors are filed in 4 tables
+under one part of their bits each, so two that differ in at most 3 bits share an entry; a full entry is parted again by its other bits. Features of such
 descriptors vote for the scale step and shift they imply, and images with `consensus` votes of either one's places for
 one shift (in bins that overlap by half) are linked. Links give groups, the same as if all pairs were compared (`links`).
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,10 @@ SCALES, CELL, RADIUS, TURNS = 3, 12, 6, 32
 DISTANCE, CONSENSUS, BIN = 3, 4, 4
 #: The least side of an image with features; images taken and pixels worked on at once (a larger image is taken whole).
 LEAST, ROWS, PIXELS = 2 * RADIUS + 3, 1024, 1 << 17
-#: Bounds of the 5 parts of a descriptor.
-PARTS = (0, 13, 26, 39, 52, 64)
+#: Descriptors of a run compared with each other; rows of a task looked at together.
+RUN, TOGETHER = 16, 1 << 18
+#: A place is common if more features than this meet it.
+HOT = 32
 
 
 def _tests() -> np.ndarray:
@@ -148,60 +149,159 @@ def describe(images: DataFrame) -> DataFrame:
     return images.where("id is not null").select("id", "width", "pixels").mapInArrow(run, "id long, scale int, y int, x int, bits long")
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal entries."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return starts, np.diff(np.r_[starts, len(key)])
+
+
+def _within(v: np.ndarray, free: list[int]) -> list[np.ndarray]:
+    """Arrays of two rows: the pairs of the distinct numbers v (unsigned) that agree but for DISTANCE of the `free` bits at
+    most. Runs that agree elsewhere are compared; a long one is parted by DISTANCE + 1 parts of its free bits, one of
+    which agrees, so the work follows the numbers and not the squares of their common parts."""
+    key = v & np.uint64(((1 << 64) - 1) ^ sum(1 << b for b in free))
+    order = np.argsort(key)
+    v, (starts, long) = v[order], _runs(key[order])
+    each = np.repeat(long, long)
+    place, out = np.arange(len(v)) - np.repeat(starts, long), []
+    apart = each > RUN if len(free) > 2 * (DISTANCE + 1) else np.zeros(len(v), bool)
+    near = np.flatnonzero(~apart & (each > 1))
+    for d in range(1, int(each[near].max(initial=0))):
+        near = near[place[near] + d < each[near]]
+        a, b = v[near], v[near + d]
+        close = np.bitwise_count(a ^ b) <= DISTANCE
+        out.append(np.stack([a[close], b[close]]))
+    if apart.any():
+        for part in range(DISTANCE + 1):
+            out += _within(v[apart], [b for n, b in enumerate(free) if n % (DISTANCE + 1) != part])
+    return out
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, about `rows` rows at once, cut where one of the first `keys` columns changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(h[0]) for h in held) >= rows:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            new = np.flatnonzero(reduce(np.logical_or, [c[1:] != c[:-1] for c in cols[:keys]]))
+            cut = int(new[-1]) + 1 if len(new) else 0
+            if cut:
+                yield [c[:cut] for c in cols]
+            held = [[c[cut:] for c in cols]]
+    if held and sum(len(h[0]) for h in held):
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def near_descriptors(bits: DataFrame) -> DataFrame:
-    """bits, other: all pairs of the distinct descriptors `bits` within DISTANCE, both ways round and each with itself.
-    Two that differ in at most 3 of 64 bits agree in 2 of 5 parts at least, so they share one of 10 keys of 25 or 26 bits."""
-    masks = [sum((1 << hi) - (1 << lo) for lo, hi in two) for two in combinations(zip(PARTS, PARTS[1:]), 2)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    other, found = bits.select(F.col("bits").alias("other")), []
-    close = (F.col("bits") < F.col("other")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= DISTANCE)
-    # two tables at a time: the shuffles of all ten never lie on disk together
-    for k in range(0, len(masks), 2):
-        met = [bits.join(other, F.col("bits").bitwiseAND(F.lit(m)) == F.col("other").bitwiseAND(F.lit(m))).where(close) for m in masks[k : k + 2]]
-        found.append(stage(met[0].union(met[1]).distinct()))
-    pairs = reduce(DataFrame.union, found).distinct()
-    both = F.explode(F.array(F.struct("bits", "other"), F.struct(F.col("other").alias("bits"), F.col("bits").alias("other"))))
-    return pairs.select(both.alias("p")).select("p.*").union(bits.select("bits", F.col("bits").alias("other")))
+    """bits, other: the pairs of the distinct descriptors `bits` within DISTANCE, each once, the smaller first.
+    Two that differ in at most 3 of 64 bits agree in one of 4 parts, so they meet under one of 4 keys of 16 bits."""
+    keys = F.array(*[F.struct(F.shiftrightunsigned("bits", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int").bitwiseOR(F.lit(k << 16)).alias("key"), "bits") for k in range(DISTANCE + 1)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, v in _whole(batches, 1, TOGETHER):
+            found = [np.zeros((2, 0), np.uint64)]
+            for k in range(DISTANCE + 1):
+                found += _within(v[key >> 16 == k].view(np.uint64), [b for b in range(64) if b // 16 != k])
+            a, b = np.concatenate(found, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["bits", "other"])
+
+    rows = bits.select(F.explode(keys).alias("k")).select("k.*").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "bits long, other long").distinct()
+
+
+def _packed(*cols: np.ndarray) -> np.ndarray:
+    """One number for each row, equal where all columns are, in their order."""
+    out, size = np.zeros(len(cols[0]), np.int64), 1
+    for c in cols:
+        least = int(c.min(initial=0))
+        n = int(c.max(initial=0)) - least + 1
+        if size * n >= 1 << 62:
+            kinds, out = np.unique(out, return_inverse=True)
+            size = len(kinds)
+        out, size = out * n + (c - least), size * n
+    return out
 
 
 def voted(met: DataFrame, consensus: int) -> DataFrame:
     """a, b: the pairs of owners whose met features (scale, y, x of a; r of b) have `consensus` votes for one shift."""
-    # one vote for each place of a and its pair; dealt out once, before each becomes four
-    pairs = met.select("a", "b", "scale", "y", "x", (F.col("r.scale") - F.col("scale")).alias("step"), F.expr("r.y * power(2, r.scale) - y * power(2, r.scale)").alias("dy"), F.expr("r.x * power(2, r.scale) - x * power(2, r.scale)").alias("dx")).repartition("a", "b", "step").distinct()
-    half = F.explode(F.expr("array(struct(0 as a, 0 as b), struct(0 as a, 1 as b), struct(1 as a, 0 as b), struct(1 as a, 1 as b))"))
-    votes = pairs.withColumn("h", half).groupBy("a", "b", "step", "h", F.expr(f"floor(dy / {BIN} + h.a * 0.5)").alias("by"), F.expr(f"floor(dx / {BIN} + h.b * 0.5)").alias("bx")).agg(F.count_distinct("scale", "y", "x").alias("n"))
-    return votes.where(F.col("n") >= consensus).select("a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, *rest in _whole(batches, 2, TOGETHER):
+            starts, long = _runs(_packed(a, b))
+            pair, some = np.repeat(np.arange(len(starts)), long), np.repeat(long >= consensus, long)
+            done = np.zeros(len(starts), bool)
+            for down, right in ((0, 0), (0, 1), (1, 0), (1, 1)):  # bins that overlap by half
+                some &= ~done[pair]
+                p = pair[some]
+                scale, y, x, step, dy, dx = (c[some].astype(np.int64) for c in rest)
+                bins = _packed(p, step, (dy + down * BIN // 2) // BIN, (dx + right * BIN // 2) // BIN)
+                place = _packed(scale, y, x)
+                order = np.lexsort((place, bins))
+                bins, place, p = bins[order], place[order], p[order]
+                own = np.r_[True, (bins[1:] != bins[:-1]) | (place[1:] != place[:-1])][: len(bins)]
+                bins, p = bins[own], p[own]
+                first, votes = _runs(bins)
+                done[p[first[votes >= consensus]]] = True
+            at = starts[done]
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], ["a", "b"])
+
+    shift = [F.expr(f"shiftleft(cast(r.{c} - {c} as bigint), r.scale)").alias(f"d{c}") for c in "yx"]
+    rows = met.select("a", "b", "scale", "y", "x", (F.col("r.scale") - F.col("scale")).alias("step"), *shift)
+    return rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
 
 
 def links(f: DataFrame, consensus: int) -> DataFrame:
     """a, b: links between images (features f: id, scale, y, x, bits) that connect all that links of every pair would.
+    If f is staged, its files go when they have been read.
 
     First each image meets the first one of each equal descriptor; what that connects is a group. Then groups meet: all
     descriptors within DISTANCE, by the union of a group's features, whose votes bound those of its images. Where
-    `consensus` places agree, one agrees outside any `consensus` - 1, so a group asks with all but its commonest ones.
-    Last, the images of groups that could be linked are compared feature by feature."""
-    place = F.struct("scale", "y", "x").alias("r")
-    first = f.groupBy("bits").agg(F.min(F.struct("id", "scale", "y", "x")).alias("r"))
-    early = stage(voted(f.join(first, "bits").where(F.col("id") != F.col("r.id")).withColumns({"a": F.col("id"), "b": F.col("r.id")}), consensus))
+    `consensus` places agree, one agrees outside any `consensus` - 1, so a group asks with all but its commonest ones (if
+    over HOT features meet them); those that it left out meet only the groups that the others have found. Last, the
+    images of groups that could be linked are compared feature by feature, unless each is one image."""
+    place, spot = F.struct("scale", "y", "x").alias("r"), ["g", "scale", "y", "x"]
+    kinds = stage(f.groupBy("bits").agg(F.min(F.struct("id", "scale", "y", "x")).alias("r"), (F.min("id") < F.max("id")).alias("shared")))
+    shared = kinds.where("shared")
+    early = stage(voted(f.join(shared, "bits").where(F.col("id") != F.col("r.id")).withColumns({"a": F.col("id"), "b": F.col("r.id")}), consensus))
     groups = components(early).withColumnRenamed("node", "id")
-    owned = stage(f.join(groups, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label"))
-    whole = stage(owned.select("g", "scale", "y", "x", "bits").distinct())
-    kinds = stage(whole.select("bits").distinct())
-    near = stage(near_descriptors(kinds))
+    once = stage(near_descriptors(kinds.select("bits")))
+    near = stage(once.union(once.select(F.col("other").alias("bits"), F.col("bits").alias("other"))).union(shared.select("bits", F.col("bits").alias("other"))))
+    unstage(once)
     unstage(kinds)
+    met = f.join(near.select("bits").distinct(), "bits", "left_semi")
+    met = stage(met.join(groups, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label"))
+    unstage(f)
+    # descriptors that meet only within one group have no votes to give
+    ends = met.groupBy("bits").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
+    theirs = ends.select(F.col("bits").alias("other"), F.col("lo").alias("low"), F.col("hi").alias("high"))
+    across = stage(near.join(ends, "bits").join(theirs, "other").where(F.least("lo", "low") < F.greatest("hi", "high")).select("bits", "other"))
+    unstage(near)
+    near = across
+    owned = stage(met.join(near.select("bits").distinct(), "bits", "left_semi"))
+    unstage(met)
+    whole = stage(owned.select(*spot, "bits").distinct())
     seen = near.join(whole.groupBy("bits").agg(F.count("*").alias("n")).withColumnRenamed("bits", "other"), "other").groupBy("bits").agg(F.sum("n").alias("heat"))
-    places = whole.join(seen, "bits").groupBy("g", "scale", "y", "x").agg(F.max("heat").alias("heat"))
-    ranked = places.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("heat"), "scale", "y", "x")))
-    asking = whole.join(ranked.where(F.col("n") >= consensus).drop("n", "heat"), ["g", "scale", "y", "x"], "left_semi")
+    hot = whole.join(seen.where(F.col("heat") > HOT), "bits").groupBy(*spot).agg(F.max("heat").alias("heat"))
+    ranked = hot.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("heat"), "scale", "y", "x")))
+    left = stage(ranked.where(F.col("n") < consensus).select(*spot))
+    enough = whole.select(*spot).distinct().groupBy("g").count().where(F.col("count") >= consensus)
+    able = whole.join(enough, "g", "left_semi")
+    asking = stage(able.join(left, spot, "left_anti"))
     theirs = whole.select(F.col("g").alias("h"), F.col("bits").alias("other"), place)
-    pairs = stage(asking.select("g", "bits").distinct().join(near, "bits").select("g", "other").distinct().join(theirs.select("h", "other").distinct(), "other").where("g <> h").select("g", "h").distinct())
-    met = pairs.join(whole, "g").join(near, "bits").join(theirs, ["h", "other"])
-    maybe = stage(voted(met.withColumns({"a": F.col("g"), "b": F.col("h")}), consensus).select(F.col("a").alias("g"), F.col("b").alias("h")))
-    unstage(pairs)
-    unstage(whole)
+    met = asking.join(near, "bits").join(theirs, "other").where("g <> h")
+    found = asking.join(left.select("g").distinct(), "g", "left_semi").join(near, "bits").join(theirs.drop("r").distinct(), "other").where("g <> h").select("g", "h").distinct()
+    more = able.join(left, spot, "left_semi").join(found, "g").join(near, "bits").join(theirs, ["h", "other"])
+    cols = [F.col("g").alias("a"), F.col("h").alias("b"), "scale", "y", "x", "r"]
+    maybe = stage(voted(met.select(*cols).union(more.select(*cols)), consensus).select(F.col("a").alias("g"), F.col("b").alias("h")))
+    for done in (whole, left, asking):
+        unstage(done)
+    many = groups.select(F.col("label").alias("g")).distinct()
+    large = maybe.join(many, "g", "left_semi").union(maybe.join(many.withColumnRenamed("g", "h"), "h", "left_semi").select("g", "h")).distinct()
+    single = maybe.join(large, ["g", "h"], "left_anti").select(F.col("g").alias("a"), F.col("h").alias("b"))
     theirs = owned.select(F.col("g").alias("h"), F.col("id").alias("b"), F.col("bits").alias("other"), place)
-    met = maybe.join(owned.withColumnRenamed("id", "a"), "g").join(near, "bits").join(theirs, ["h", "other"])
-    return early.union(stage(voted(met, consensus)))
+    met = large.join(owned.withColumnRenamed("id", "a"), "g").join(near, "bits").join(theirs, ["h", "other"])
+    return early.union(single).union(stage(voted(met, consensus)))
 
 
 def copies(images: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
@@ -213,14 +313,19 @@ def copies(images: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
 def grouped(images: DataFrame, consensus: int) -> DataFrame:
     """id, n_features, copy_of (the smallest id of the group that links connect) for each distinct id."""
     f = stage(describe(images).distinct())
-    counts = images.where("id is not null").select("id").distinct().join(f.groupBy("id").agg(F.count("*").alias("n_features")), "id", "left")
+    counts = stage(f.groupBy("id").agg(F.count("*").alias("n_features")))
+    counts = images.where("id is not null").select("id").distinct().join(counts, "id", "left")
     rasters = images.where("id is not null and width > 0 and octet_length(pixels) > 0").select("id", "width", F.sha2("pixels", 256).alias("digest"))
     rasters = stage(rasters.distinct())
     least = rasters.groupBy("width", "digest").agg(F.min("id").alias("b"))
     equal = rasters.join(least, ["width", "digest"]).where("id <> b").select(F.col("id").alias("a"), "b")
     # the smallest id of equal rasters stands for those that have no other raster: it has all their features
     lone = rasters.groupBy("id").count().where("count = 1")
-    stands = stage(f.join(equal.join(lone, equal["a"] == lone["id"]).select("id"), "id", "left_anti"))
+    lone = stage(equal.join(lone, equal["a"] == lone["id"]).select("id"))
+    stands = f
+    if not lone.isEmpty():
+        stands = stage(f.join(lone, "id", "left_anti"))
+        unstage(f)
     groups = components(links(stands, consensus).union(equal)).withColumnRenamed("node", "id")
     return counts.join(groups, "id", "left").select("id", F.coalesce("n_features", F.lit(0)).alias("n_features"), F.coalesce("label", "id").alias("copy_of"))
 
