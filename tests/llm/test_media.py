@@ -152,3 +152,50 @@ def test_full_entries_are_parted_and_not_paired(spark, monkeypatch):
     for k in range(4):
         M._within(v, [b for b in range(64) if b // 16 != k])
     assert sum(compared) < 0.05 * len(i)
+
+
+def linked(a, b):
+    """Of two images' (y, x, descriptor): has one shift CONSENSUS of a's places?"""
+    votes = {}
+    for y, x, v in a:
+        for y2, x2, w in b:
+            if bin((v ^ w) & (1 << 64) - 1).count("1") <= M.DISTANCE:
+                for h in (0, 0.5):
+                    for k in (0, 0.5):
+                        votes.setdefault((h, k, np.floor((y2 - y) / M.BIN + h), np.floor((x2 - x) / M.BIN + k)), set()).add((y, x))
+    return any(len(s) >= M.CONSENSUS for s in votes.values())
+
+
+def test_what_repeats_meets_as_lists(spark, monkeypatch):
+    """Images full of one pattern (few link), near copies whose groups meet in images that are not their fullest, against brute force."""
+    rng = np.random.default_rng(15)
+    kinds = [int(v) for v in rng.integers(-(1 << 63), 1 << 63, 60)]
+    near = lambda v: int(np.int64(v) ^ np.int64(0b101))
+    f = [(i, 0, int(y), int(x), kinds[0]) for i in range(6) for y, x in zip(rng.integers(0, 20_000, 40), rng.integers(0, 500, 40))]
+    f += [(i, 0, y + 8, x, v) for i, y, x, v in [(6, *r[2:]) for r in f if r[0] == 3][:9]]  # a part of image 3
+    for i, base in ((20, 1), (21, 1), (22, 1), (30, 11), (31, 11), (32, 11)):
+        f += [(i, 0, 900 * k, 9, kinds[base + k]) for k in range(5)]
+    for i, own, some in ((20, range(21, 31), False), (30, range(21, 31), True), (22, range(31, 35), False), (32, range(31, 35), True)):
+        # the fullest of both groups share descriptors at no shift, one other of each shares four at one
+        f += [(i, 0, int(rng.integers(0, 20_000)) if i in (20, 30) else 700 * k + i, 40, near(kinds[k]) if some else kinds[k]) for k in own]
+    places = {}
+    for i, _, y, x, v in f:
+        places.setdefault(i, []).append((y, x, v))
+    want = {i: i for i in places}
+    for a in places:
+        for b in places:
+            if want[a] != want[b] and (linked(places[a], places[b]) or linked(places[b], places[a])):
+                lo, hi = sorted((want[a], want[b]))
+                want = {i: lo if c == hi else c for i, c in want.items()}
+    rows, voted = [], M.voted
+
+    def counted(met, consensus):
+        rows.append(met.count())
+        return voted(met, consensus)
+
+    monkeypatch.setattr(M, "voted", counted)
+    monkeypatch.setattr(M, "describe", lambda images: spark.createDataFrame(f, "id long, scale int, y int, x int, bits long"))
+    images = spark.createDataFrame([(i, 9, bytearray(str(i).encode())) for i in places], "id long, width int, pixels binary")
+    got = {r["id"]: r["copy_of"] for r in M.copies(images).collect()}
+    assert got == want and want[6] == 3 and want[32] == 20 and len(set(want.values())) > 4
+    assert sum(rows) < 1_000, rows  # places by places: over 40,000

@@ -35,7 +35,7 @@ DISTANCE, CONSENSUS, BIN = 3, 4, 4
 LEAST, ROWS, PIXELS = 2 * RADIUS + 3, 1024, 1 << 17
 #: Descriptors of a run compared with each other; rows of a task looked at together.
 RUN, TOGETHER = 16, 1 << 18
-#: A place is common if more features than this meet it.
+#: A descriptor of a group is common if more descriptors of groups than this meet it.
 HOT = 32
 
 
@@ -223,32 +223,60 @@ def _packed(*cols: np.ndarray) -> np.ndarray:
     return out
 
 
+#: A place as one number.
+SPOT = "shiftleft(cast(scale as bigint), 56) | shiftleft(cast(y as bigint), 28) | cast(x as bigint)"
+
+
+def _places(spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scale, y and x of places that SPOT made."""
+    return spots >> 56, spots >> 28 & (1 << 28) - 1, spots & (1 << 28) - 1
+
+
+def _votes(pair: np.ndarray, n: int, mine: np.ndarray, theirs: np.ndarray, enough: int) -> np.ndarray:
+    """The most votes of each of n pairs' own places for one shift (once `enough`, not counted further). Row: a pair, a place, a place that it meets."""
+    most = np.zeros(n, np.int64)
+    scale, y, x = _places(mine)
+    down, *right = _places(theirs)
+    step, (dy, dx) = down - scale, (v - u << down for u, v in zip((y, x), right))
+    for low, left in ((0, 0), (0, 1), (1, 0), (1, 1)):  # bins that overlap by half
+        some = most[pair] < enough
+        p = pair[some]
+        bins = _packed(p, step[some], (dy[some] + low * BIN // 2) // BIN, (dx[some] + left * BIN // 2) // BIN)
+        order = np.lexsort((mine[some], bins))
+        bins, place, p = bins[order], mine[some][order], p[order]
+        own = np.r_[True, (bins[1:] != bins[:-1]) | (place[1:] != place[:-1])][: len(bins)]
+        first, votes = _runs(bins[own])
+        np.maximum.at(most, p[own][first], votes)
+    return most
+
+
 def voted(met: DataFrame, consensus: int) -> DataFrame:
-    """a, b: the pairs of owners whose met features (scale, y, x of a; r of b) have `consensus` votes for one shift."""
+    """a, b, bits, other, sure: the rows of the pairs of owners whose met features (bits, other; spots: a's places; theirs:
+    b's, all of which they meet) have `need` votes of a's places for one shift; sure: `consensus` votes. Two lists meet in
+    their task, and not as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, *rest in _whole(batches, 2, TOGETHER):
+        for a, b, bits, to, need, mine, theirs in _whole(batches, 2, TOGETHER):
             starts, long = _runs(_packed(a, b))
-            pair, some = np.repeat(np.arange(len(starts)), long), np.repeat(long >= consensus, long)
-            done = np.zeros(len(starts), bool)
-            for down, right in ((0, 0), (0, 1), (1, 0), (1, 1)):  # bins that overlap by half
-                some &= ~done[pair]
-                p = pair[some]
-                scale, y, x, step, dy, dx = (c[some].astype(np.int64) for c in rest)
-                bins = _packed(p, step, (dy + down * BIN // 2) // BIN, (dx + right * BIN // 2) // BIN)
-                place = _packed(scale, y, x)
-                order = np.lexsort((place, bins))
-                bins, place, p = bins[order], place[order], p[order]
-                own = np.r_[True, (bins[1:] != bins[:-1]) | (place[1:] != place[:-1])][: len(bins)]
-                bins, p = bins[own], p[own]
-                first, votes = _runs(bins)
-                done[p[first[votes >= consensus]]] = True
-            at = starts[done]
-            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], ["a", "b"])
-
-    shift = [F.expr(f"shiftleft(cast(r.{c} - {c} as bigint), r.scale)").alias(f"d{c}") for c in "yx"]
-    rows = met.select("a", "b", "scale", "y", "x", (F.col("r.scale") - F.col("scale")).alias("step"), *shift)
-    return rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
+            own, other = (np.fromiter(map(len, c), np.int64, len(c)) for c in (mine, theirs))
+            upto = np.r_[0, np.cumsum(own * other)]
+            ends = upto[starts + long]
+            most, k = np.zeros(len(starts), np.int64), 0
+            while k < len(starts):  # as many pairs at once as give TOGETHER places that meet, or one
+                end = max(k + 1, int(np.searchsorted(ends, upto[starts[k]] + TOGETHER, "right")))
+                lo, hi = starts[k], starts[end - 1] + long[end - 1]
+                n, m = own[lo:hi], other[lo:hi]
+                row = np.repeat(np.arange(hi - lo), n * m)
+                at = np.arange(len(row)) - (upto[lo:hi] - upto[lo])[row]
+                left, right = (np.concatenate(c[lo:hi])[(np.cumsum(size) - size)[row] + i] for c, size, i in ((mine, n, at // m[row]), (theirs, m, at % m[row])))
+                most[k:end] = _votes(np.repeat(np.arange(end - k), long[k:end])[row], end - k, left, right, consensus)
+                k = end
+            most = np.repeat(most, long)
+            ok = most >= need
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[ok]) for c in (a, b, bits, to)), pa.array(most[ok] >= consensus)], ["a", "b", "bits", "other", "sure"])
+
+    rows = met.select("a", "b", "bits", "other", "need", "spots", "theirs")
+    return rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long, bits long, other long, sure boolean")
 
 
 def links(f: DataFrame, consensus: int) -> DataFrame:
@@ -256,20 +284,22 @@ def links(f: DataFrame, consensus: int) -> DataFrame:
     If f is staged, its files go when they have been read.
 
     First each image meets the first one of each equal descriptor; what that connects is a group. Then groups meet: all
-    descriptors within DISTANCE, by the union of a group's features, whose votes bound those of its images. Where
-    `consensus` places agree, one agrees outside any `consensus` - 1, so a group asks with all but its commonest ones (if
-    over HOT features meet them); those that it left out meet only the groups that the others have found. Last, the
-    images of groups that could be linked are compared feature by feature, unless each is one image."""
-    place, spot = F.struct("scale", "y", "x").alias("r"), ["g", "scale", "y", "x"]
+    descriptors within DISTANCE, by the union of a group's features, whose votes bound those of its images. A descriptor's
+    places in a group are one list, so a pattern that repeats within images is one row where two groups meet. Where
+    `consensus` places agree, `consensus` - k agree outside any k, so a group asks without its commonest descriptors (those
+    that over HOT groups meet, `consensus` - 2 places at most) and needs as many votes fewer. Last, the images of groups
+    that could be linked are compared descriptor by descriptor, unless each is one image that has all votes."""
+    full = F.lit(consensus).cast("long")
     kinds = stage(f.groupBy("bits").agg(F.min(F.struct("id", "scale", "y", "x")).alias("r"), (F.min("id") < F.max("id")).alias("shared")))
-    shared = kinds.where("shared")
-    early = stage(voted(f.join(shared, "bits").where(F.col("id") != F.col("r.id")).withColumns({"a": F.col("id"), "b": F.col("r.id")}), consensus))
+    shared = kinds.where("shared").select("bits", F.col("r.id").alias("b"), F.array(F.expr(SPOT.replace("(scale", "(r.scale").replace("(y", "(r.y").replace("(x", "(r.x"))).alias("theirs"))
+    early = f.join(shared, "bits").where("id <> b").select(F.col("id").alias("a"), "b", "bits", F.col("bits").alias("other"), full.alias("need"), F.array(F.expr(SPOT)).alias("spots"), "theirs")
+    early = stage(voted(early, consensus).select("a", "b").distinct())
     groups = components(early).withColumnRenamed("node", "id")
     once = stage(near_descriptors(kinds.select("bits")))
     near = stage(once.union(once.select(F.col("other").alias("bits"), F.col("bits").alias("other"))).union(shared.select("bits", F.col("bits").alias("other"))))
     unstage(once)
     unstage(kinds)
-    met = f.join(near.select("bits").distinct(), "bits", "left_semi")
+    met = f.join(near.select("bits").distinct(), "bits", "left_semi").groupBy("id", "bits").agg(F.collect_set(F.expr(SPOT)).alias("spots"))
     met = stage(met.join(groups, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label"))
     unstage(f)
     # descriptors that meet only within one group have no votes to give
@@ -280,28 +310,41 @@ def links(f: DataFrame, consensus: int) -> DataFrame:
     near = across
     owned = stage(met.join(near.select("bits").distinct(), "bits", "left_semi"))
     unstage(met)
-    whole = stage(owned.select(*spot, "bits").distinct())
-    seen = near.join(whole.groupBy("bits").agg(F.count("*").alias("n")).withColumnRenamed("bits", "other"), "other").groupBy("bits").agg(F.sum("n").alias("heat"))
-    hot = whole.join(seen.where(F.col("heat") > HOT), "bits").groupBy(*spot).agg(F.max("heat").alias("heat"))
-    ranked = hot.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("heat"), "scale", "y", "x")))
-    left = stage(ranked.where(F.col("n") < consensus).select(*spot))
-    enough = whole.select(*spot).distinct().groupBy("g").count().where(F.col("count") >= consensus)
-    able = whole.join(enough, "g", "left_semi")
-    asking = stage(able.join(left, spot, "left_anti"))
-    theirs = whole.select(F.col("g").alias("h"), F.col("bits").alias("other"), place)
-    met = asking.join(near, "bits").join(theirs, "other").where("g <> h")
-    found = asking.join(left.select("g").distinct(), "g", "left_semi").join(near, "bits").join(theirs.drop("r").distinct(), "other").where("g <> h").select("g", "h").distinct()
-    more = able.join(left, spot, "left_semi").join(found, "g").join(near, "bits").join(theirs, ["h", "other"])
-    cols = [F.col("g").alias("a"), F.col("h").alias("b"), "scale", "y", "x", "r"]
-    maybe = stage(voted(met.select(*cols).union(more.select(*cols)), consensus).select(F.col("a").alias("g"), F.col("b").alias("h")))
-    for done in (whole, left, asking):
+    whole = owned.groupBy("g", "bits").agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("spots"))
+    whole = stage(whole.withColumn("k", F.size("spots").cast("long")))
+    heat = near.join(whole.groupBy(F.col("bits").alias("other")).agg(F.count("*").alias("n")), "other").groupBy("bits").agg(F.sum("n").alias("heat")).where(F.col("heat") > HOT)
+    upto = F.sum("k").over(Window.partitionBy("g").orderBy(F.desc("heat"), "bits").rowsBetween(Window.unboundedPreceding, 0))
+    left = stage(whole.where(F.col("k") <= consensus - 2).join(heat, "bits").withColumn("upto", upto).where(F.col("upto") <= consensus - 2).select("g", "bits", "k"))
+    able = whole.groupBy("g").agg(F.sum("k").alias("places")).where(F.col("places") >= consensus)
+    able = able.join(left.groupBy("g").agg(F.sum("k").alias("less")), "g", "left").select("g", (full - F.coalesce("less", F.lit(0))).alias("need"))
+    asking = whole.join(left, ["g", "bits"], "left_anti").join(able, "g").select("g", "need", "bits", "spots")
+    theirs = whole.select(F.col("g").alias("h"), F.col("bits").alias("other"), F.col("spots").alias("theirs"))
+    met = asking.join(near, "bits").join(theirs, "other").where("g <> h").withColumns({"a": F.col("g"), "b": F.col("h")})
+    maybe = stage(voted(met, consensus).withColumnsRenamed({"a": "g", "b": "h"}))
+    many = groups.select(F.col("label").alias("g")).distinct().withColumn("many", F.lit(True))
+    pairs = maybe.groupBy("g", "h").agg(F.first("sure").alias("sure")).join(many, "g", "left").join(many.select(F.col("g").alias("h"), F.col("many").alias("more")), "h", "left")
+    pairs = stage(pairs.select("g", "h", (F.col("sure") & F.col("many").isNull() & F.col("more").isNull()).alias("single")))
+    found = [early, pairs.where("single").select(F.col("g").alias("a"), F.col("h").alias("b"))]
+    # what the pairs asked, and the few descriptors that they did not ask
+    unsure = pairs.where("not single").select("g", "h")
+    near = (F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))) <= DISTANCE)
+    unasked = unsure.join(left.select("g", "bits"), "g").join(theirs.select("h", "other"), "h").where(near)
+    rows = stage(maybe.join(unsure, ["g", "h"], "left_semi").select("g", "h", "bits", "other").union(unasked.select("g", "h", "bits", "other")))
+    for done in (whole, left, maybe):
         unstage(done)
-    many = groups.select(F.col("label").alias("g")).distinct()
-    large = maybe.join(many, "g", "left_semi").union(maybe.join(many.withColumnRenamed("g", "h"), "h", "left_semi").select("g", "h")).distinct()
-    single = maybe.join(large, ["g", "h"], "left_anti").select(F.col("g").alias("a"), F.col("h").alias("b"))
-    theirs = owned.select(F.col("g").alias("h"), F.col("id").alias("b"), F.col("bits").alias("other"), place)
-    met = large.join(owned.withColumnRenamed("id", "a"), "g").join(near, "bits").join(theirs, ["h", "other"])
-    return early.union(single).union(stage(voted(met, consensus)))
+    # first the image of each group with the most features that meet others, then all images of the pairs still open
+    chief = owned.groupBy("g", "id").agg(F.sum(F.size("spots")).alias("n")).groupBy("g").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("id"))
+    for last, of in enumerate((owned.join(chief, ["g", "id"], "left_semi"), owned)):
+        mine = of.select("g", F.col("id").alias("a"), "bits", "spots")
+        theirs = of.select(F.col("g").alias("h"), F.col("id").alias("b"), F.col("bits").alias("other"), F.col("spots").alias("theirs"))
+        met = rows.join(mine, ["g", "bits"]).join(theirs, ["h", "other"]).withColumn("need", full)
+        linked = stage(voted(met, consensus).select("a", "b").distinct())
+        found.append(linked)
+        if not last:
+            known = linked.join(chief.select(F.col("id").alias("a"), "g"), "a").join(chief.select(F.col("id").alias("b"), F.col("g").alias("h")), "b")
+            rows = stage(rows.join(known, ["g", "h"], "left_anti"))
+    unstage(owned)
+    return reduce(DataFrame.union, found)
 
 
 def copies(images: DataFrame, consensus: int = CONSENSUS) -> DataFrame:
