@@ -283,25 +283,28 @@ def links(f: DataFrame, consensus: int) -> DataFrame:
     """a, b: links between images (features f: id, scale, y, x, bits) that connect all that links of every pair would.
     If f is staged, its files go when they have been read.
 
-    First each image meets the first one of each equal descriptor; what that connects is a group. Then groups meet: all
-    descriptors within DISTANCE, by the union of a group's features, whose votes bound those of its images. A descriptor's
+    First each image meets, for each descriptor, the one with the most of all that hold a descriptor near it; what that
+    connects is a group. Then groups meet: all descriptors within DISTANCE, by the union of a group's features, whose votes bound those of its images. A descriptor's
     places in a group are one list, so a pattern that repeats within images is one row where two groups meet. Where
     `consensus` places agree, `consensus` - k agree outside any k, so a group asks without its commonest descriptors (those
     that over HOT groups meet, `consensus` - 2 places at most) and needs as many votes fewer. Last, the images of groups
     that could be linked are compared descriptor by descriptor, unless each is one image that has all votes."""
     full = F.lit(consensus).cast("long")
-    kinds = stage(f.groupBy("bits").agg(F.min(F.struct("id", "scale", "y", "x")).alias("r"), (F.min("id") < F.max("id")).alias("shared")))
-    shared = kinds.where("shared").select("bits", F.col("r.id").alias("b"), F.array(F.expr(SPOT.replace("(scale", "(r.scale").replace("(y", "(r.y").replace("(x", "(r.x"))).alias("theirs"))
-    early = f.join(shared, "bits").where("id <> b").select(F.col("id").alias("a"), "b", "bits", F.col("bits").alias("other"), full.alias("need"), F.array(F.expr(SPOT)).alias("spots"), "theirs")
-    early = stage(voted(early, consensus).select("a", "b").distinct())
-    groups = components(early).withColumnRenamed("node", "id")
+    kinds = stage(f.groupBy("bits").agg((F.min("id") < F.max("id")).alias("shared")))
     once = stage(near_descriptors(kinds.select("bits")))
-    near = stage(once.union(once.select(F.col("other").alias("bits"), F.col("bits").alias("other"))).union(shared.select("bits", F.col("bits").alias("other"))))
+    near = stage(once.union(once.select(F.col("other").alias("bits"), F.col("bits").alias("other"))).union(kinds.where("shared").select("bits", F.col("bits").alias("other"))))
     unstage(once)
     unstage(kinds)
-    met = f.join(near.select("bits").distinct(), "bits", "left_semi").groupBy("id", "bits").agg(F.collect_set(F.expr(SPOT)).alias("spots"))
-    met = stage(met.join(groups, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label"))
+    met = stage(f.join(near.select("bits").distinct(), "bits", "left_semi").groupBy("id", "bits").agg(F.collect_set(F.expr(SPOT)).alias("spots")))
     unstage(f)
+    rank = F.struct("n", -F.col("id"))
+    holder = met.join(met.groupBy("id").agg(F.count("*").alias("n")), "id").groupBy(F.col("bits").alias("other")).agg(F.max(rank).alias("n"), F.max_by(F.struct(F.col("id").alias("b"), F.col("spots").alias("theirs")), rank).alias("r"))
+    holder = near.join(holder, "other").groupBy("bits").agg(F.max_by(F.struct("other", "r.*"), F.struct("n", "other")).alias("r")).select("bits", "r.*")
+    early = stage(voted(met.join(holder, "bits").where("id <> b").withColumns({"a": F.col("id"), "need": full}), consensus).select("a", "b").distinct())
+    groups = components(early).withColumnRenamed("node", "id")
+    of = stage(met.join(groups, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label"))
+    unstage(met)
+    met = of
     # descriptors that meet only within one group have no votes to give
     ends = met.groupBy("bits").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
     theirs = ends.select(F.col("bits").alias("other"), F.col("lo").alias("low"), F.col("hi").alias("high"))
@@ -341,8 +344,10 @@ def links(f: DataFrame, consensus: int) -> DataFrame:
         linked = stage(voted(met, consensus).select("a", "b").distinct())
         found.append(linked)
         if not last:
-            known = linked.join(chief.select(F.col("id").alias("a"), "g"), "a").join(chief.select(F.col("id").alias("b"), F.col("g").alias("h")), "b")
-            rows = stage(rows.join(known, ["g", "h"], "left_anti"))
+            # pairs that are connected by now have nothing to add
+            known = components(reduce(DataFrame.union, found))
+            ends = [known.select(F.col("node").alias(c), F.col("label").alias(f"{c}_in")) for c in "gh"]
+            rows = stage(rows.join(ends[0], "g", "left").join(ends[1], "h", "left").where(F.coalesce("g_in", "g") != F.coalesce("h_in", "h")).select("g", "h", "bits", "other"))
     unstage(owned)
     return reduce(DataFrame.union, found)
 
